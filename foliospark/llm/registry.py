@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, near_duplicates, packing, quality, secrets
+from . import lines, mixing, near_duplicates, packing, quality, secrets, substrings, topk, toxicity
 from .common import read
 from .oracles import ORACLES
 
@@ -19,6 +19,10 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.secret_findings(read(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark, sf_dir):
+    return topk.embedding_top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -27,16 +31,32 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_quality_rules(spark, sf_dir):
+    return lines.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_mixing_sources(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_suffix_array_dedup(spark, sf_dir):
+    return substrings.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeated_words(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries():
-    found = (op1_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op6_mixing_sources, op10_quality_classifier)
+    found = (op1_secret_scan, op2_exact_top_k, op3_minhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing_sources, op7_toxicity, op8_suffix_array_dedup, op9_substring_dedup, op10_quality_classifier)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
