@@ -10,7 +10,7 @@ twelve agree: 1.1e-4.  Candidates are confirmed on full sets.
 
 Equal sets are one class from the start.  A table bucket first links each
 member to one centre; only members whose components still differ afterwards
-are compared with one another, first by a 512-bit sketch inside the join and
+are compared with one another, first by a sketch inside the join and
 then on full sets, so a large group of copies costs a star, not all pairs, and
 no link that joins two components is left out.
 
@@ -36,8 +36,8 @@ from .common import U64, arrow_map, byte_prefix, flat, mix, seeds, span_hash, ta
 
 COLLECTIONS, ROWS = 12, 2
 #: One-bit minhashes of candidates, and how many may differ: sets of similarity 0.8 differ in a tenth of
-#: them (51, deviation 6.8), so the limit loses fewer than one such pair in a million.
-SKETCH_BITS, SKETCH_DIFFER = 512, 89
+#: them (205, deviation 13.6), so the limit loses fewer than one such pair in ten million.
+SKETCH_BITS, SKETCH_DIFFER = 2048, 280
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -174,7 +174,7 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
         found = list(shingle_sets(batch.column(1), k))
         bits = np.zeros((len(found), SKETCH_BITS), np.uint8)
         for row, s in enumerate(found):
-            least = [((s[i : i + 512, None] ^ _SKETCH_B) * _SKETCH_A).min(axis=0) for i in range(0, len(s), 512)]
+            least = [((s[i : i + 128, None] ^ _SKETCH_B) * _SKETCH_A).min(axis=0) for i in range(0, len(s), 128)]
             bits[row] = (np.min(least, axis=0) >> U64(17)) & U64(1)
         packed = np.packbits(bits, axis=1).view(np.int64)
         out = {"rep": batch.column(0), "shingles": pa.array([s.tobytes() for s in found], pa.binary())}
