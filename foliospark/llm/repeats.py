@@ -142,14 +142,17 @@ class Repeats:
         def run(batch):
             groups = Groups(self.read(batch.column(1)), self.plan)
             k, f, doc = emit(groups, batch)
+            # A document that repeats a group has one row of it.
+            once = np.unique(mix(f) ^ mix(doc.astype(U64) + U64(1)), return_index=True)[1]
             ids = batch.column(0).to_numpy()
-            return {"k": pa.array(k.view(np.int64)), "f": pa.array(f.view(np.int64)), "doc": pa.array(ids[doc])}
+            return {"k": pa.array(k[once].view(np.int64)), "f": pa.array(f[once].view(np.int64)), "doc": pa.array(ids[doc[once]])}
 
         return arrow_map(docs, "k long, f long, doc long", run)
 
     def _settle(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc, f) of groups that other documents hold whole, and (doc, f) of those to look into."""
-        shared = rows.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("k")
+        # As a table of its own the join's two sides both shuffle, and Spark can split a frequent k.
+        shared = table(rows.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("k"), "keys")
         live = table(rows.join(shared, "k"), "shared")
         whole = table(live.groupBy("k", "f").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "whole")
         return self._found(live, whole), self._open(whole)
