@@ -1,13 +1,326 @@
-"""The library's queries over the driver's tables."""
+"""The library's queries over the driver's tables, and the DuckDB SQL that states each result.
 
+The tables hold no recognised pages, so inputs are derived: pages and labels from customers, numbers and
+dates from orders, boxes from line items, lines from conversation turns, components from parts.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliospark.functions import text as T
+from foliospark.operators import candidates, fields, items, lines, validate
+from foliospark.sources.ocr import resolve_command
+from foliospark.streaming import queue
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LETTERS = "translate(cast(c_custkey AS {s}), '0123456789', 'АБВГДЖЗИКЛ')"
+
+
+def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recognised page of ten fields for each customer, 1000 by 1400 pixels, in the operators' item form."""
+    key = LETTERS.format(s="string")
+    boxes = [
+        ("'ПАСПОРТ ВЫДАН'", 50, 40, 200, 60), ("'ОТДЕЛОМ MBД ГОР.ТЕСТОВСКА'", 250, 35, 700, 65), ("'ДАТА ВЫДАЧИ'", 50, 190, 180, 205),
+        ("'28.02.' || (1990 + c_custkey % 30)", 200, 185, 340, 215), ("'КОД ПОДРАЗДЕЛЕНИЯ'", 360, 190, 520, 205), ("lpad(c_nationkey, 3, '0') || '-' || lpad(c_custkey % 1000, 3, '0')", 540, 185, 700, 215),
+        ("'ФАМИЛИЯ'", 300, 795, 380, 810), (f"'ТЕСТОВ' || {key}", 400, 785, 600, 815), ("'ИМЯ'", 300, 855, 340, 870), (f"'TECT' || {key}", 400, 845, 560, 875),
+        ("'ОТЧЕСТВО'", 300, 915, 390, 930), ("'ТЕСТОВИЧ'", 400, 905, 560, 935), ("'ПОЛ'", 300, 975, 330, 990), ("CASE WHEN c_custkey % 2 = 0 THEN 'МУЖ.' ELSE 'ЖЕН.' END", 350, 965, 420, 995),
+        ("'ДАТА РОЖДЕНИЯ'", 440, 975, 560, 990), ("'31.01.' || (1950 + c_custkey % 50)", 600, 965, 760, 995), ("'МЕСТО РОЖДЕНИЯ'", 300, 1035, 420, 1050), ("'ГОП.ТЕСТОВСК'", 440, 1025, 640, 1055),
+        ("lpad(c_custkey, 10, '4')", 940, 200, 960, 500), ("translate(lpad(c_custkey, 10, '4'), '0', 'О')", 940, 900, 960, 1200),
+    ]
+    rows = ", ".join(f"named_struct('text', {t}, 'bbox', array({a}D, {b}D, {c}D, {d}D))" for t, a, b, c, d in boxes)
+    ocr = read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "array(1400, 1000) AS image_shape", f"array({rows}) AS raw")
+    kind = "array<struct<id:int,page_index:int,text:string,rec_text:string,label:string,value:string,score:double,confidence:double,conf:double,rec_score:double,bbox:array<double>,poly:array<array<double>>>>"
+    whole = F.transform("raw", lambda r: F.from_json(F.to_json(r), kind.removeprefix("array<").removesuffix(">")))
+    return items.pages(items.item_rows(ocr.withColumn("items", whole)))
+
+
+_KEY = LETTERS.format(s="varchar")
+_FIELDS_SQL = f"""
+SELECT c_custkey AS doc_id, 'ТЕСТОВ' || {_KEY} AS last_name, 'ТЕСТ' || {_KEY} AS first_name, 'ТЕСТОВИЧ' AS middle_name,
+  (1950 + c_custkey % 50) || '-01-31' AS birth_date, CASE WHEN c_custkey % 2 = 0 THEN 'МУЖ' ELSE 'ЖЕН' END AS sex, 'ГОР. ТЕСТОВСК' AS birth_place,
+  (1990 + c_custkey % 30) || '-02-28' AS issue_date, lpad(c_nationkey::varchar, 3, '0') || '-' || lpad((c_custkey % 1000)::varchar, 3, '0') AS department_code,
+  'ОТДЕЛОМ МВД ГОР. ТЕСТОВСКА' AS issued_by, lpad(c_custkey::varchar, 10, '4')[1:4] || ' ' || lpad(c_custkey::varchar, 10, '4')[5:10] AS document_number,
+  'matched_top_bottom' AS document_number_status
+FROM customer
+"""
+
+
+@query(_FIELDS_SQL)
+def extract_fields(spark, sf_dir):
+    return fields.extract(customer_pages(spark, sf_dir))
+
+
+flagship = extract_fields
+
+
+@query("SELECT c_custkey AS doc_id, 'ok' AS status, 0 AS errors_count, 0 AS warnings_count FROM customer")
+def validate_extracted(spark, sf_dir):
+    v = validate.validate(extract_fields(spark, sf_dir))
+    return v.select("doc_id", "validation.status", "validation.summary.errors_count", "validation.summary.warnings_count")
+
+
+def _broken(spark, sf_dir):
+    """Fields of customers with one fault each, by key modulo 6."""
+    k = F.col("c_custkey") % 6
+    whole = {"last_name": F.when(k == 1, "X1").otherwise("ТЕСТОВ"), "first_name": F.lit("ТЕСТ"), "middle_name": F.lit(None).cast("string"), "birth_date": F.when(k == 2, "31.01.2099").otherwise("2099-01-31"), "sex": F.when(k == 3, "X").otherwise("МУЖ"), "birth_place": F.when(k == 4, "  ").otherwise("С. НОВОЕ"), "issue_date": F.lit("2099-02-28"), "department_code": F.when(k == 5, "12-3").otherwise("999-999"), "issued_by": F.lit("ОТДЕЛОМ"), "document_number": F.when(k == 0, "9999 999999")}
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[v.alias(n) for n, v in whole.items()])
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 6 AS k FROM customer)
+SELECT doc_id, 'warning' AS severity, 'last_name' AS field, 'unexpected_name_characters' AS code, 'X1' AS value FROM c WHERE k = 1
+UNION ALL SELECT doc_id, 'error', 'birth_date', 'invalid_date_format', '31.01.2099' FROM c WHERE k = 2
+UNION ALL SELECT doc_id, 'error', 'sex', 'invalid_sex_value', 'X' FROM c WHERE k = 3
+UNION ALL SELECT doc_id, 'error', 'birth_place', 'missing_required_field', '  ' FROM c WHERE k = 4
+UNION ALL SELECT doc_id, 'error', 'department_code', 'invalid_department_code_format', '12-3' FROM c WHERE k = 5
+UNION ALL SELECT doc_id, 'warning', 'document_number', 'missing_document_number', NULL FROM c WHERE k <> 0""")
+def validate_issues(spark, sf_dir):
+    return validate.issues(validate.validate(_broken(spark, sf_dir)))
+
+
+@query("""
+WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM (SELECT doc_id, replace(upper(translate(translate(replace(coalesce(text, ''), 'ё', 'е'), 'ABCEHKMOPTXYabcehkmoptxyΔδΛλ', 'АВСЕНКМОРТХУАВСЕНКМОРТХУДДЛЛ'), '–—«»"`''’', '--')), 'ẞ', 'SS') AS text FROM documents))
+SELECT doc_id, t AS norm, regexp_replace(t, '[^А-ЯA-Z0-9]+', '', 'g') AS compact FROM d""")
+def normalize_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+    return d.select("doc_id", "norm", T.compact_text(F.col("norm")).alias("compact"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS first_date, 2 AS n_dates FROM orders")
+def date_candidates(spark, sf_dir):
+    text = F.concat(F.lit("ВЫДАН "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" И "), F.date_format("o_orderdate", "dd/MM-yyyy"))
+    found = T.find_dates(text)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.element_at(found, 1).alias("first_date"), F.size(found).alias("n_dates"))
+
+
+@query("SELECT c_custkey, lpad((c_custkey % 1000)::varchar, 3, '0') || '-' || lpad(c_nationkey::varchar, 3, '0') AS code FROM customer")
+def department_codes(spark, sf_dir):
+    sep = F.element_at(F.array(F.lit("-"), F.lit(" "), F.lit("")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("КОД "), F.lpad(F.col("c_custkey") % 1000, 3, "0"), sep, F.lpad("c_nationkey", 3, "0"), F.lit(" 1234567"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.explode(T.find_department_codes(text)).alias("code"))
+
+
+_NUMBER = "lpad(((o_orderkey * 7919) % 10000000000)::varchar, 10, '0')"
+
+
+@query(f"SELECT o_orderkey, {_NUMBER} AS digits, {_NUMBER}[1:4] || ' ' || {_NUMBER}[5:10] AS number FROM orders")
+def document_number_format(spark, sf_dir):
+    seen = F.translate(F.lpad((F.col("o_orderkey") * 7919) % 10_000_000_000, 10, "0"), "01358", "ОlЗSВ")
+    digits = T.document_number_digits(seen)
+    return read(spark, sf_dir, "orders").select("o_orderkey", digits.alias("digits"), T.format_document_number(digits).alias("number"))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'T' || (o_custkey % 3) END AS t, CASE WHEN o_orderkey % 7 <> 0 THEN 'T' || (o_orderkey % 3) END AS b FROM orders)
+SELECT o_orderkey, CASE WHEN t IS NULL THEN b WHEN b IS NULL OR t = b THEN t END AS value,
+  CASE WHEN t = b THEN 'matched_top_bottom' WHEN t IS NOT NULL AND b IS NOT NULL THEN 'conflict_top_bottom' WHEN coalesce(t, b) IS NULL THEN 'not_found' ELSE 'single_candidate' END AS status FROM n""")
+def document_number_consensus(spark, sf_dir):
+    top = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("T"), F.col("o_custkey") % 3))
+    low = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("T"), F.col("o_orderkey") % 3))
+    got = fields.number_consensus(top, low, F.lit(False))
+    return read(spark, sf_dir, "orders").select("o_orderkey", got["value"].alias("value"), got["status"].alias("status"))
+
+
+#: Raw text, its label types, whether it is a service label, sex, and what the cleaners leave.
+GOLDEN = (
+    ("Паспорт выдан", "issued_by_label", True, None, "", "ПАСПОРТ ВЫДАН", "ПАСПОРТ ВЫДАН"),
+    ("ФАМИЛИЯ ТЕСТОВ", "last_name_label", True, None, "ФАМИЛИЯ ТЕСТОВ", "ТЕСТОВ", "ФАМИЛИЯ ТЕСТОВ"),
+    ("ИМЯ", "first_name_label", True, None, "ИМЯ", "", "ИМЯ"),
+    ("дата рождения 31.01.2099", "birth_date_label", True, None, "РОЖДЕНИЯ", "", ""),
+    ("пол муж. 31.01.2099", "", True, "МУЖ", "ПОЛ МУЖ", "", ""),
+    ("Ж 31.01.2099", "", False, "Ж", "Ж", "Ж", "Ж"),
+    ("МЕСТО РОЖДЕНИЯ ГОП.ТЕСТОВСК", "birth_place_label", True, None, "МЕСТО РОЖДЕНИЯ ГОП.ТЕСТОВСК", "ГОП ТЕСТОВСК", "ГОР. ТЕСТОВСК"),
+    ("Г О Р. ТЕСТОВСК", "", False, None, "ГОР. ТЕСТОВСК", "ГОР ТЕСТОВСК", "ГОР. ТЕСТОВСК"),
+    ("КОД ПОДРАЗДЕЛЕНИЯ 999-999", "department_code_label", True, None, "", "КОД ПОДРАЗДЕЛЕНИЯ", "КОД ПОДРАЗДЕЛЕНИЯ"),
+)
+_lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v + "'"
+_GOLDEN_SQL = ", ".join(f"({i}, {', '.join(map(_lit, row))})" for i, row in enumerate(GOLDEN))
+
+
+@query(f"""
+SELECT c_custkey, types, service, sex, issuer, person, place FROM customer
+JOIN (VALUES {_GOLDEN_SQL}) g(i, raw, types, service, sex, issuer, person, place) ON g.i = c_custkey % {len(GOLDEN)}""")
+def classify_and_clean(spark, sf_dir):
+    raw = F.element_at(F.array(*[F.lit(r[0]) for r in GOLDEN]), (F.col("c_custkey") % len(GOLDEN) + 1).cast("int"))
+    n = F.col("norm")
+    c = read(spark, sf_dir, "customer").select("c_custkey", T.normalize_text(raw).alias("norm"))
+    return c.select("c_custkey", F.array_join(T.detect_label_types(n), ",").alias("types"), T.is_service_label(n).alias("service"), T.extract_sex(n).alias("sex"), T.clean_issued_by_line(n).alias("issuer"), T.clean_person_line(n).alias("person"), T.clean_birth_place_line(n).alias("place"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey)::double AS x1, greatest(l_partkey, l_suppkey)::double AS x2, l_linenumber::double AS y1, l_linenumber + l_quantity AS y2,
+  (l_partkey + l_suppkey) / 2.0::double AS cx, abs(l_partkey - l_suppkey)::double AS w, l_quantity AS h FROM lineitem""")
+def bbox_normalize(spark, sf_dir):
+    x, y, u, v = F.col("l_partkey").cast("double"), F.col("l_linenumber").cast("double"), F.col("l_suppkey").cast("double"), F.col("l_linenumber") + F.col("l_quantity")
+    shape = F.col("l_orderkey") % 3
+    b = F.when(shape == 0, items.box(x, v, u, y)).when(shape == 1, items.box_from_list(F.array(u, y, x, v))).otherwise(items.box_from_points(F.array(F.array(x, y), F.array(u, y), F.array(u, v), F.array(x, v))))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.x1", "b.x2", "b.y1", "b.y2", "b.cx", "b.w", "b.h")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_returnflag AS norm, min(l_linenumber) AS ord FROM lineitem GROUP BY l_orderkey, l_returnflag, floor(l_quantity / 10)""")
+def dedup_first_wins(spark, sf_dir):
+    q = F.floor(F.col("l_quantity") / 10).cast("double")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("norm"), q.alias("x1"), (q + 0.04).alias("y1"), q.alias("x2"), q.alias("y2"), F.col("l_linenumber").alias("ord"))
+    return items.deduplicate(rows, "doc_id", "ord").select("doc_id", "norm", "ord")
+
+
+def turn_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversation turns laid out as items: a line each newline, jittered so that lines come near each other."""
+    t = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    w = t.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("wn", "word")).where("word <> ''")
+    long, cy = F.length("word"), (40 * F.col("ln") + (7 * F.col("doc_id") + 5 * F.col("wn")) % 27 + 12).cast("double")
+    return w.select("doc_id", "word", (60 * F.col("wn") + 5 * long).cast("double").alias("cx"), cy.alias("cy"), (10.0 * long).alias("w"), F.lit(24.0).alias("h"), (F.col("ln") * 100000 + F.col("wn")).cast("int").alias("ord"))
+
+
+_LAYOUT = r"""
+lines AS (SELECT conv_id * 1000 + turn AS doc_id, str_split(text, chr(10)) AS ls FROM conversations),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ln FROM lines),
+ws AS (SELECT doc_id, ln, str_split(line, ' ') AS w FROM l),
+x AS (SELECT doc_id, ln, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS wn FROM ws),
+item AS (SELECT doc_id, word, (60 * wn + 5 * length(word))::double AS cx, (40 * ln + (7 * doc_id + 5 * wn) % 27 + 12)::double AS cy, ln * 100000 + wn AS ord, 10.0 * length(word) AS w FROM x WHERE word <> '')
+"""
+
+
+@query(f"""
+WITH {_LAYOUT},
+sorted AS (SELECT doc_id, list(struct_pack(cy := cy, o := rn, cx := cx) ORDER BY rn) AS s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cy, cx, word, ord) AS rn FROM item) GROUP BY doc_id),
+seed AS (SELECT doc_id, list_transform(s, lambda i: [struct_pack(cy := i.cy, n := 1)]) AS s FROM sorted),
+folded AS (SELECT doc_id, list_reduce(s, lambda acc, i: CASE WHEN len(list_filter(acc, lambda z: abs(z.cy - i[1].cy) <= 14.4)) = 0 THEN list_concat(acc, i)
+  ELSE list_transform(acc, lambda z, k: CASE WHEN k = list_position(list_transform(acc, lambda q: abs(q.cy - i[1].cy) <= 14.4), true) THEN struct_pack(cy := (z.cy * z.n + i[1].cy) / (z.n + 1), n := z.n + 1) ELSE z END) END) AS g FROM seed),
+each AS (SELECT doc_id, unnest(g) AS z, generate_subscripts(g, 1) AS line FROM folded)
+SELECT doc_id, line::int AS line, z.cy AS cy, z.n::int AS n FROM each""")
+def group_lines(spark, sf_dir):
+    i = turn_items(spark, sf_dir)
+    null = F.lit(0.0)
+    one = F.struct(F.col("word").alias("text"), F.col("word").alias("norm"), null.alias("x1"), null.alias("y1"), null.alias("x2"), null.alias("y2"), "cx", "cy", "w", "h", "ord").cast(items.ITEM)
+    page = i.groupBy("doc_id").agg(F.collect_list(one).alias("all"))
+    return page.select("doc_id", F.posexplode(lines.group_lines(F.col("all"))).alias("p", "g")).select("doc_id", (F.col("p") + 1).cast("int").alias("line"), "g.cy", "g.n")
+
+
+@query(f"""
+WITH {_LAYOUT}
+SELECT doc_id, ord, CASE WHEN cx >= 840 AND (24 >= 1.8 * greatest(w, 1) OR w <= 35 OR length(regexp_replace(word, '[^0-9]', '', 'g')) >= 4) THEN 'right_vertical' WHEN cy < 100 THEN 'top' ELSE 'bottom' END AS zone FROM item""")
+def zone_assign(spark, sf_dir):
+    i = turn_items(spark, sf_dir)
+    right = items.is_right_vertical(F.col("cx"), F.col("w"), F.col("h"), F.col("word"), F.lit(1000.0))
+    return i.select("doc_id", F.col("ord").cast("long").alias("ord"), items.zone(right, F.col("cy"), F.lit(200.0)).alias("zone"))
+
+
+@query(f"""
+WITH {_LAYOUT}, m AS (SELECT *, length(word) / max(length(word)) OVER (PARTITION BY doc_id)::double AS r FROM item)
+SELECT doc_id, ord, CASE WHEN r <= 0.45 THEN 'small' WHEN r >= 0.80 THEN 'large' ELSE 'normal' END AS font_class FROM m""")
+def font_class(spark, sf_dir):
+    i = turn_items(spark, sf_dir)
+    ratio = F.length("word") / F.max(F.length("word")).over(Window.partitionBy("doc_id"))
+    return i.select("doc_id", F.col("ord").cast("long").alias("ord"), T.classify_font(ratio).alias("font_class"))
+
+
+@query(f"WITH {_LAYOUT} SELECT doc_id, arg_min(word, (cy, cx, ord)) AS first_word, string_agg(word, chr(10) ORDER BY cy::int, cx::int, ord) AS raw_text FROM item GROUP BY doc_id")
+def first_geo_and_raw_text(spark, sf_dir):
+    i = turn_items(spark, sf_dir)
+    one = F.struct("cy", "cx", "ord", F.col("word").alias("text"))
+    return i.groupBy("doc_id").agg(F.min_by("word", F.struct("cy", "cx", "ord")).alias("first_word"), items.raw_text(F.collect_list(one)).alias("raw_text"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, p_size % 10 AS image_id, p_size / 100.0::double AS fill, (p_partkey % 97) / 97.0::double AS aspect, (p_partkey % 31) / 31.0::double AS distance FROM part),
+s AS (SELECT *, fill * 2.0::double - abs(aspect - 0.7::double) - distance * 0.5::double AS score FROM c WHERE p_partkey % 20 <> 0)
+SELECT image_id, p_partkey AS label_id, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, p_partkey)::int AS rank FROM s QUALIFY rank <= 8""")
+def component_topk(spark, sf_dir):
+    p = F.col("p_partkey")
+    c = read(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("image_id"), p.alias("label_id"), (F.col("p_size") / 100.0).alias("fill"), ((p % 97) / 97.0).alias("aspect"), ((p % 31) / 31.0).alias("distance"), F.when(p % 20 == 0, 0.01).otherwise(0.5).alias("area_share"))
+    return candidates.top_components(c, 8).select("image_id", "label_id", "rank")
+
+
+@query("""
+WITH c AS (SELECT p_partkey // 40 AS image_id, ((p_partkey // 2) % 4)::int AS rotation, p_partkey % 37 AS x, p_partkey % 41 AS y, p_partkey % 2 AS kind, ((p_partkey * 13) % 100) / 100.0::double AS a, ((p_partkey * 29) % 100) / 100.0::double AS b FROM part),
+m AS (SELECT image_id, rotation, x, y, 10 AS w, 10 AS h, kind, CASE WHEN kind = 0 THEN 0.3 + 0.5 * a ELSE 0.14 + 0.5 * a END AS wr, CASE WHEN kind = 0 THEN 0.02 ELSE 0.2 END AS hr, 0.1 + 0.6 * b AS cx, CASE WHEN kind = 0 THEN 0.3 + 0.4 * b ELSE 0.5 + 0.4 * b END AS cy, CASE WHEN kind = 0 THEN 5.5 + 10 * a ELSE 0.5 + 3 * b END AS asp FROM c),
+f AS (SELECT *, (1 - least(abs(cy - 0.5) / 0.15, 1)) * 4 + least(wr / 0.8, 1) * 3 + least(asp / 20, 1) * 2 - hr * 2 AS fs FROM m WHERE wr >= 0.3 AND cy BETWEEN 0.35 AND 0.65 AND asp >= 6 AND hr <= 0.12),
+f5 AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY image_id, rotation ORDER BY fs DESC, y, x) <= 5),
+p AS (SELECT * FROM m WHERE wr BETWEEN 0.14 AND 0.7 AND hr BETWEEN 0.1 AND 0.6 AND asp BETWEEN 0.35 AND 4.5 AND cx <= 0.68),
+j AS (SELECT f5.image_id, f5.rotation, f5.x AS fx, f5.y AS fy, p.x AS px, p.y AS py, 3 * fs + 4 * (3 * greatest(0, least(1, (p.cy - f5.cy) * 4)) + 3 * (1 - greatest(0, least(1, p.cx / 0.68))) + 2 * greatest(0, least(1, (p.wr + p.hr) * 4)) + 2 * (1 - greatest(0, least(1, abs(p.asp - 1))))) AS total
+  FROM f5 JOIN p ON p.image_id = f5.image_id AND p.rotation = f5.rotation AND p.cy - f5.cy >= 0.06 AND NOT (abs(p.x - f5.x) <= 5 AND abs(p.y - f5.y) <= 5))
+SELECT image_id, rotation, round(total, 6) AS total FROM j QUALIFY row_number() OVER (PARTITION BY image_id, rotation ORDER BY total DESC, fy, fx, py, px) = 1""")
+def marker_layouts(spark, sf_dir):
+    p = F.col("p_partkey")
+    a, b, fold = ((p * 13) % 100) / 100.0, ((p * 29) % 100) / 100.0, p % 2 == 0
+    c = read(spark, sf_dir, "part").select(
+        F.floor(p / 40).alias("image_id"), (F.floor(p / 2) % 4).cast("int").alias("rotation"), (p % 37).alias("x"), (p % 41).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"),
+        F.when(fold, 0.3 + 0.5 * a).otherwise(0.14 + 0.5 * a).alias("width_ratio"), F.when(fold, 0.02).otherwise(0.2).alias("height_ratio"), (0.1 + 0.6 * b).alias("center_x_ratio"),
+        F.when(fold, 0.3 + 0.4 * b).otherwise(0.5 + 0.4 * b).alias("center_y_ratio"), F.when(fold, 5.5 + 10 * a).otherwise(0.5 + 3 * b).alias("aspect"),
+    )
+    return candidates.marker_layouts(c).select("image_id", "rotation", F.round("total", 6).alias("total"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::int AS position FROM events")
+def fifo_order(spark, sf_dir):
+    return queue.fifo(read(spark, sf_dir, "events"), ("ts", "event_id"), "user_id").select("event_id", "position")
+
+
+@query("""
+SELECT user_id, count(*) AS processed, count(*) FILTER (event_type = 'error') AS errors, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at, arg_max(event_id, (ts, event_id)) AS last_request_id FROM events GROUP BY user_id""")
+def service_status(spark, sf_dir):
+    log = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("finished_at"), F.when(F.col("event_type") == "error", "pipeline_error").otherwise("ok").alias("outcome"))
+    s = queue.service_status(log, "user_id")
+    return s.select("user_id", "processed", "errors", F.date_format("last_finished_at", "yyyy-MM-dd HH:mm:ss").alias("last_at"), "last_request_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate::date < (SELECT max(o_orderdate)::date FROM orders) - 30")
+def retention_days(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    today = o.agg(F.max(F.to_date("o_orderdate")).alias("today"))
+    listing = o.select("o_orderkey", F.to_date("o_orderdate").alias("day")).crossJoin(F.broadcast(today))  # one row
+    return queue.expired_by_days(listing, F.col("today"), 30).select("o_orderkey")
+
+
+@query("""
+SELECT o_orderkey FROM (SELECT o_orderkey, sum(o_totalprice::bigint) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS kept FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders)) WHERE kept > 500000""")
+def archive_eviction(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    listing = o.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("day"), F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("path"), F.floor("o_totalprice").alias("size_bytes"))
+    return queue.expired_by_size(listing, 500_000, "o_custkey").select("o_orderkey")
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'r' || page_id ELSE 'p' || page_id END AS request_id, CASE WHEN page_id % 2 = 0 THEN '/in/' || page_id || '.png' ELSE page_id || '.jpg' END AS image,
+  CASE WHEN page_id % 3 = 0 THEN 'r' || page_id ELSE 'p' || page_id END || '.json' AS output FROM pages""")
+def resolve_commands(spark, sf_dir):
+    p = F.col("page_id")
+    c = read(spark, sf_dir, "pages").select("page_id", F.when(p % 3 == 0, F.concat(F.lit("r"), p)).otherwise("").alias("request_id"), F.when(p % 2 == 0, F.concat(F.lit("/in/"), p, F.lit(".png"))).alias("image_path"), F.concat(p, F.lit(".jpg")).alias("image_file"), F.lit("").alias("output_path"), F.lit(None).cast("string").alias("output_file"), F.concat(F.lit("p"), p, F.lit(".json")).alias("file_name"))
+    return resolve_command(c).select("page_id", "request_id", "image", "output")
+
+
+@query("""
+SELECT c_custkey AS case_id, 'sex' AS field, CASE WHEN c_custkey % 3 <> 0 THEN 'A' END AS actual, CASE WHEN c_custkey % 5 <> 0 THEN 'A' END AS expected, (c_custkey % 3 = 0) = (c_custkey % 5 = 0) AS ok FROM customer""")
+def compare_cases(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("sex").alias("field"))
+    a, e = (c.withColumn("value", F.when(F.col("case_id") % n != 0, "A")) for n in (3, 5))
+    return validate.compare_fields(a, e).select("case_id", "field", "actual", "expected", "ok")
