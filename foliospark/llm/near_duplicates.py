@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +87,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _table_keys(reps: DataFrame) -> DataFrame:
-    """rep and one row per table: key names the table and its two collections."""
+    """rep and one row per table: key names the table and its two collections, one and two say which these are."""
     pairs = combinations(range(COLLECTIONS), 2)
-    keys = F.array(*[F.xxhash64(F.lit(t), f"c{i}", f"c{j}") for t, (i, j) in enumerate(pairs)])
-    return reps.select("rep", "n_shingles", F.explode(keys).alias("key"))
+    keys = [F.struct(F.xxhash64(F.lit(t), f"c{i}", f"c{j}").alias("key"), F.lit(i).alias("one"), F.lit(j).alias("two")) for t, (i, j) in enumerate(pairs)]
+    return reps.select("rep", "n_shingles", F.inline(F.array(*keys)))
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,14 +149,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     label = table(components(candidates.select(F.col("rep").alias("node")), linked), "label")
 
     # What the star left apart: members of one bucket in different components, each pair once.
-    placed = members.join(label.withColumnRenamed("node", "rep"), "rep").select("key", "rep", "n_shingles", "comp")
+    placed = members.join(label.withColumnRenamed("node", "rep"), "rep").select("key", "one", "two", "rep", "n_shingles", "comp")
     sketch = [f"k{i}" for i in range(SKETCH_BITS // 64)]
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = table(placed.join(mixed, "key").join(sets.select("rep", *sketch), "rep"), "open")
+    open_ = table(placed.join(mixed, "key").join(sets.select("rep", *sketch), "rep").join(reps.select("rep", *names), "rep"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     differ = reduce(add, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in sketch])
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & (differ <= SKETCH_DIFFER))
-    rest = apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    # Two documents meet in every table of collections they share; only the first of these tables compares them.
+    is_first = reduce(and_, [(F.col("x.two") <= k) | (F.col("x.one") == k) | (F.col(f"x.c{k}") != F.col(f"y.c{k}")) for k in range(COLLECTIONS)])
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+    apart = x.join(y, meet & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & is_first & (differ <= SKETCH_DIFFER))
+    rest = apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(star, ["a", "b"], "left_anti")
     more = table(_confirm(rest, sets, percent), "rest")
     label = components(candidates.select(F.col("rep").alias("node")), linked.union(more))
 
