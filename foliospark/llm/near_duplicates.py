@@ -161,7 +161,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     apart = x.join(y, meet & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & is_first & (differ <= SKETCH_DIFFER))
     rest = apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(star, ["a", "b"], "left_anti")
     more = table(_confirm(rest, sets, percent), "rest")
-    label = components(candidates.select(F.col("rep").alias("node")), linked.union(more))
+    # Only the components that these links touch are joined; the others keep their label.
+    to = lambda end: label.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    merged = more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
+    joined = components(label.select(F.col("comp").alias("node")).distinct(), merged).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    label = label.join(joined, "comp").select("node", F.col("whole").alias("comp"))
 
     classes = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = signed.join(classes, ["d1", "d2"], "left")
