@@ -20,11 +20,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8); of repeated rows one stays."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8).
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
+    """
     marked = near_duplicates.near_duplicates(docs, k=5)
-    kept = marked.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.expr("doc_id <=> _kept"), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    kept = marked.where("kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_kept")).distinct()
+    one = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id IS NULL"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
