@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 #: About how many bytes of text the numpy kernels work on at once.
 CHUNK_BYTES = 1 << 20
+#: Spark bounds an Arrow batch by rows only, unless this setting of the session says so; long texts need the bytes.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,13 @@ def text_bytes(docs: DataFrame, *more) -> DataFrame:
     )
 
 
+def in_batches(df: DataFrame, schema, function) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes: the session's bound, which becomes BATCH_BYTES where it is unset."""
+    if not df.sparkSession.conf.get(BATCH_SETTING, None):
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def arrow_map(df: DataFrame, schema: str, function) -> DataFrame:
     """``mapInArrow`` with a function from one RecordBatch to one dict of columns (or None)."""
 
@@ -61,7 +70,7 @@ def arrow_map(df: DataFrame, schema: str, function) -> DataFrame:
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, schema, run)
 
 
 def split_batch(batch: pa.RecordBatch):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, byte_prefix, flat, mix, seeds, span_hash, table, text_bytes, windows, words
+from .common import U64, arrow_map, byte_prefix, flat, in_batches, mix, seeds, span_hash, table, text_bytes, windows, words
 
 COLLECTIONS, ROWS = 12, 2
 #: One-bit minhashes of candidates, and how many may differ: sets of similarity 0.8 differ in a tenth of
@@ -110,7 +110,7 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return in_batches(both.select("a", "b", "sa", "sb"), "a long, b long", check)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

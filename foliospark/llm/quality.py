@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_bytes
+from .common import arrow_map, in_batches, text_bytes
 from .textstats import QUALITY_NAMES, TextStats
 
 #: Bound on labelled rows, and on unlabelled documents, that a fit takes.
@@ -132,4 +132,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
             good = np.concatenate([model(measure(text.slice(i, 64))) for i in range(0, len(text), 64)]) if len(text) else np.zeros(0)
             yield batch.filter(pa.array(good >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_batches(docs, docs.schema, keep)
