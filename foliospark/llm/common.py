@@ -15,9 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 U64 = np.uint64
 #: About how many bytes of text the numpy kernels work on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Spark bounds an Arrow batch by rows only, unless this setting of the session says so; long texts need the bytes.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:

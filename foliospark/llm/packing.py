@@ -26,7 +26,7 @@ from .common import arrow_map, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries that a worker's word cache holds before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 # ASCII and the letters of Latin-1 and Latin Extended-A that have a one-letter lower case: there the
 # tokenizer's normalisation is lower() and its pieces are these; other words go through the tokenizer itself.
