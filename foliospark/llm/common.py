@@ -21,15 +21,14 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only tests fall back to a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="folio-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder that driver and executors share, as the session names it; only a local session may lack one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="folio-shared-"))
+    return found or context.getCheckpointDir()
 
 
 def table(df: DataFrame, tag: str) -> DataFrame:
@@ -117,37 +116,56 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix((np.arange(n, dtype=U64) + U64(1 + salt * 1_000_003)) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
-_BASE = 0xD1342543DE82EF95
-_BYTE = seeds(256, 7)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Fingerprints are polynomials over two prime fields: no two contents collide by construction, as they would modulo a power of two.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1270543223, 833047117)
+_BYTE = seeds(256, 7) >> U64(2)
+_BYTE_LANES = tuple(_BYTE % U64(p) for p in _PRIMES)
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64)) for _ in _PRIMES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i <= n."""
-    if len(_powers[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size + 1, U64(b))
-            p[0] = U64(1)
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field base**i and base**-i for i <= n."""
+    for lane, (p, base) in enumerate(zip(_PRIMES, _BASES, strict=True)):
+        while len(_powers[lane][0]) <= n:
+            size = len(_powers[lane][0])
+            further = [pow(b, size, p) for b in (base, pow(base, -1, p))]
+            _powers[lane] = tuple(np.concatenate((old, old * U64(f) % U64(p))) for old, f in zip(_powers[lane], further, strict=True))
+    return _powers
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span; codes are 64-bit."""
-    out = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * powers(len(codes))[0][: len(codes)], out=out[1:])
+def _sums(lanes) -> np.ndarray:
+    n = len(lanes[0])
+    out = np.zeros((2, n + 1), U64)
+    for row, (residue, p, (up, _)) in enumerate(zip(lanes, _PRIMES, powers(n), strict=True)):
+        np.cumsum(residue * up[:n] % U64(p), out=out[row, 1:])
     return out
 
 
+def prefix_hash(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums (a row per field) from which ``span_hash`` takes the hash of any span."""
+    return _sums([codes % U64(p) for p in _PRIMES])
+
+
 def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix_hash(_BYTE[data])
+    return _sums([lane[data] for lane in _BYTE_LANES])
+
+
+def _joined(lanes: list[np.ndarray], length) -> np.ndarray:
+    return mix(lanes[0] + (lanes[1] << U64(32)) + np.multiply(length, U64(0xA24BAED4963EE407)))
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of each span [start, stop); equal contents give equal hashes."""
-    inverse = powers(len(prefix))[1]
-    return mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(U64) * U64(0xA24BAED4963EE407))
+    lanes = [(row[stop] - row[start]) % U64(p) * down[start] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(prefix.shape[1]), strict=True)]
+    return _joined(lanes, (stop - start).astype(U64))
+
+
+def sliding_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of every span of ``width`` elements."""
+    n = max(prefix.shape[1] - width, 0)
+    lanes = [(row[width:] - row[:n]) % U64(p) * down[:n] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(n), strict=True)]
+    return _joined(lanes, np.full(1, width, U64))
 
 
 def is_space(data: np.ndarray) -> np.ndarray:

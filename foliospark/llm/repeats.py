@@ -1,26 +1,30 @@
-"""Repeated windows of a fixed length over all documents: the engine of operators 8 and 9.
+"""Repeated windows of a fixed length over all documents: what operators 8 and 9 share.
 
-A document is a sequence of elements (bytes or words); a window is ``width``
+Documents with one text are one text here: ``distinct_texts`` names texts by
+content and keeps the rows (id, text, how often) beside them, so a large group
+of exact copies is one text from the start.
+
+A text is a sequence of elements (bytes or words); a window is ``width``
 consecutive ones.  Every window is assigned to an anchor, the position of least
 priority among some inside the window; priorities depend only on what stands
 near the position inside the window, so equal windows have anchors at the same
 place and every window can be named relative to its anchor.  The windows of one
 anchor are consecutive.
 
-Each level names groups of windows by two fingerprints: ``k`` of the elements
-that all windows of the group share, and ``f`` of all elements they cover.
-Equal ``f`` in two documents settles the whole group; a group whose ``k`` is in
-no other document is settled too; groups with a common ``k`` but several ``f``
-go to the next, finer level, each distinct ``f`` once, from the first document
-that has it.  The last level is single windows.  So long repeats are settled by
-one row, and only the ends of repeats are looked at window by window; counts
-are partial before every shuffle, so a passage in very many documents is one
-row per task.  Fingerprints have 64 bits.
+``Candidates`` drops what cannot be repeated and says where the rest is.  Each
+level names groups of windows by two fingerprints: ``k`` of the elements that
+all windows of the group share, and ``f`` of all elements they cover.  A group
+whose ``k`` is in no other text is dropped; a group whose ``f`` is in another
+text is a candidate as a whole; groups with a common ``k`` but several ``f`` go
+to the next, finer level, each distinct ``f`` once, from the first text that
+has it.  The last level is single windows.  Equal contents always have equal
+fingerprints, so nothing repeated is dropped; that candidates are equal is then
+verified on their content by the operators.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, arrow_map, mix, span_hash, table
 
-#: Stands for a null doc_id among keys.
-NO_ID = -(2**63)
-
 
 @dataclass(frozen=True)
 class Elements:
-    """The elements of a chunk of documents: prefix sums for span hashes, document bounds, priorities."""
+    """The elements of a chunk of texts: prefix sums for span hashes, text bounds, priorities."""
 
     prefix: np.ndarray
     at: np.ndarray
@@ -51,15 +52,18 @@ class Plan:
     low: int
     high: int
     block: int
-    first_stays: bool
+
+
+#: Fingerprints and the row of the text that each belongs to.
+Pairs = tuple[np.ndarray, np.ndarray]
 
 
 class Groups:
-    """Anchors of a chunk with their windows: position, document, first and last window start."""
+    """Anchors of a chunk with their windows: position, text, first and last window start."""
 
     def __init__(self, elements: Elements, plan: Plan):
         self.e, self.plan = elements, plan
-        at, n = elements.at, len(elements.prefix) - 1
+        at, n = elements.at, elements.prefix.shape[1] - 1
         total = n - plan.width + 1
         if total <= 0:
             self.a = self.doc = self.s0 = self.s1 = np.zeros(0, np.int64)
@@ -96,10 +100,56 @@ class Groups:
         return row, np.maximum(smin, self.s0[row]), np.minimum(smax, self.s1[row]), *self._named(row, smin, smax)
 
     def windows(self, row: np.ndarray, s0: np.ndarray, s1: np.ndarray):
-        """Start, document and fingerprint of every window s0..s1 of the anchors ``row``."""
+        """Start, text and fingerprint of every window s0..s1 of the anchors ``row``."""
         which, s = expand(np.arange(len(row)), s0, s1)
         return s, self.doc[row[which]], span_hash(self.e.prefix, s, s + self.plan.width)
 
+    def claimed(self, wanted: Pairs, opened: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first and last window of the groups and windows wanted; those opened are looked into."""
+        row, s0, s1, _, f = self.anchors()
+        out = []
+        for block in range(2 if self.plan.block else 1):
+            if block:
+                row, s0, s1, _, f = self.blocks(row)
+            hit, further = within(f, self.doc[row], *wanted), within(f, self.doc[row], *opened)
+            out.append((self.doc[row[hit]], s0[hit], s1[hit]))
+            row, s0, s1 = row[further], s0[further], s1[further]
+        s, doc, w = self.windows(row, s0, s1)
+        hit = within(w, doc, *wanted)
+        out.append((doc[hit], s[hit], s[hit]))
+        return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+    def own_repeats(self, equal: Callable[[int, int, int], bool]) -> list[tuple[int, int, int]]:
+        """Runs (s, t, n): the n windows from s on equal those from t > s on in the same text.
+
+        Windows meet where an anchor's k comes twice in a text; of equal windows each meets the next.
+        ``equal(s, t, n)`` verifies n elements on their content.
+        """
+        row, s0, s1, k, _ = self.anchors()
+        key = k ^ mix(self.doc.astype(U64) + U64(1))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        suspect = np.zeros(len(key), bool)
+        suspect[order[1:][same]] = suspect[order[:-1][same]] = True
+        s, doc, w = self.windows(row[suspect], s0[suspect], s1[suspect])
+        key = w ^ mix(doc.astype(U64) + U64(1))
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order][1:] == key[order][:-1])
+        one, two = s[order[same]], s[order[same + 1]]
+        if not len(one):
+            return []
+        by = np.lexsort((one, two - one))
+        one, two = one[by], two[by]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(one) != 1) | (np.diff(two) != 1))))
+        out = []
+        for first, stop in zip(new.tolist(), [*new[1:].tolist(), len(one)], strict=True):
+            a, b, n = int(one[first]), int(two[first]), stop - first
+            if equal(a, b, n + self.plan.width - 1):
+                out.append((a, b, n))
+            else:  # a fingerprint of some window deceives: each window by itself
+                out += [(a + j, b + j, 1) for j in range(n) if equal(a + j, b + j, self.plan.width)]
+        return out
+
 
 def expand(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row repeated for every number first..last, with the number."""
@@ -122,147 +172,109 @@ def least_places(priority: np.ndarray, span: int) -> np.ndarray:
 
 
 def within(keys: np.ndarray, doc: np.ndarray, wanted: np.ndarray, wanted_doc: np.ndarray) -> np.ndarray:
-    """Which (document, key) pairs are among the wanted ones."""
+    """Which (text, key) pairs are among the wanted ones."""
     return np.isin(keys ^ mix(doc.astype(U64) + U64(1)), wanted ^ mix(wanted_doc.astype(U64) + U64(1)))
 
 
 def lists(column) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a list column and the row of each (a null list is empty)."""
     sizes = np.array([0 if x is None else len(x) for x in column.to_pylist()], np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).view(U64), np.repeat(np.arange(len(sizes)), sizes)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def with_list(texts: DataFrame, rows: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """Texts (id, text) with a list of what ``rows`` has for their id."""
+    per = rows.groupBy("id").agg(F.collect_list(column).alias(column))
+    return texts.join(per, "id", how)
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, id, first, total) of the distinct rows and (id, text) of the distinct texts.
 
+    n counts the rows with this doc_id and text.  A text's ``id`` is in the order of the smallest doc_id
+    that has it (``first``; null, so last, if none has an id), then of its content; ``total`` counts its rows.
+    """
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    blob = F.unhex(F.sha2(text, 256)).alias("blob")
+    members = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob).groupBy("doc_id", "blob").agg(F.count("*").alias("n")), "members")
+    firsts = members.groupBy("blob").agg(F.min("doc_id").alias("first"), F.sum("n").alias("total"))
+    ids = table(firsts.orderBy(F.col("first").asc_nulls_last(), "blob").withColumn("id", F.monotonically_increasing_id()), "ids")
+    texts = docs.select(blob, text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    texts = table(texts.join(ids.select("blob", "id"), "blob").select("id", "text"), "texts")
+    return table(members.join(ids, "blob").drop("blob"), "rows"), texts
 
-class Repeats:
-    """``read`` makes Elements from a binary column; ``finish(column, elements, removed)`` gives the digest columns."""
 
-    def __init__(self, plan: Plan, read, finish, digest_schema: str):
-        self.plan, self.read, self.finish, self.digest_schema = plan, read, finish, digest_schema
+class Candidates:
+    """``read`` makes Elements from a binary column."""
 
-    def _rows(self, docs: DataFrame, emit, extra=()) -> DataFrame:
+    def __init__(self, plan: Plan, read: Callable[..., Elements]):
+        self.plan, self.read = plan, read
+
+    def groups(self, column) -> Groups:
+        return Groups(self.read(column), self.plan)
+
+    def _rows(self, texts: DataFrame, emit) -> DataFrame:
         def run(batch):
-            groups = Groups(self.read(batch.column(1)), self.plan)
+            groups = self.groups(batch.column(1))
             k, f, doc = emit(groups, batch)
-            # A document that repeats a group has one row of it.
+            # A text that repeats a group has one row of it.
             once = np.unique(mix(f) ^ mix(doc.astype(U64) + U64(1)), return_index=True)[1]
             ids = batch.column(0).to_numpy()
-            return {"k": pa.array(k[once].view(np.int64)), "f": pa.array(f[once].view(np.int64)), "doc": pa.array(ids[doc[once]])}
+            return {"k": pa.array(k[once].view(np.int64)), "f": pa.array(f[once].view(np.int64)), "id": pa.array(ids[doc[once]])}
 
-        return arrow_map(docs, "k long, f long, doc long", run)
+        return arrow_map(texts, "k long, f long, id long", run)
 
     def _settle(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(doc, f) of groups that other documents hold whole, and (doc, f) of those to look into."""
-        # As a table of its own the join's two sides both shuffle, and Spark can split a frequent k.
-        shared = table(rows.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("k"), "keys")
+        """(id, f) of groups that other texts hold whole, and (id, f) of those to look into."""
+        # Tables of their own: a join's two sides both shuffle then, and Spark can split a frequent key.
+        rows = table(rows, "groups")
+        shared = table(rows.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k"), "keys")
         live = table(rows.join(shared, "k"), "shared")
-        whole = table(live.groupBy("k", "f").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "whole")
-        return self._found(live, whole), self._open(whole)
-
-    def _found(self, live: DataFrame, whole: DataFrame) -> DataFrame:
-        hits = live.select("f", "doc").join(whole.where("first <> last").select("f", "first"), "f")
-        return (hits.where("doc <> first") if self.plan.first_stays else hits).select("doc", "f")
-
-    def _open(self, whole: DataFrame) -> DataFrame:
-        several = whole.groupBy("k").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x <> y").select("k")
-        return whole.join(several, "k").select(F.col("first").alias("doc"), "f")
+        whole = table(live.groupBy("k", "f").agg(F.min("id").alias("first"), F.max("id").alias("last")), "whole")
+        several = table(whole.groupBy("k").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x <> y").select("k"), "several")
+        found = live.select("f", "id").join(whole.where("first <> last").select("f"), "f").select("id", "f")
+        return table(found, "found"), table(whole.join(several, "k").select(F.col("first").alias("id"), "f"), "open")
 
-    @staticmethod
-    def _with_text(docs: DataFrame, chosen: DataFrame, how: str = "inner") -> DataFrame:
-        per = chosen.groupBy("doc").agg(F.collect_set("f").alias("fs"))
-        return docs.join(per.withColumnRenamed("doc", "id"), "id", how)
-
-    def run(self, docs: DataFrame) -> DataFrame:
-        """docs has id (long, not null) and text (binary)."""
+    def find(self, texts: DataFrame) -> DataFrame:
+        """(id, f, opened): the groups and windows that seem to be in another text too, and those looked into for smaller ones."""
         plan = self.plan
 
         def first_level(groups, batch):
             row, _, _, k, f = groups.anchors()
             return k, f, groups.doc[row]
 
-        def chosen(groups, batch, f):
-            return within(f, groups.doc, *lists(batch.column(2)))
-
         def middle_level(groups, batch):
             row, _, _, _, f = groups.anchors()
-            row, _, _, k, f = groups.blocks(row[chosen(groups, batch, f)])
+            row, _, _, k, f = groups.blocks(row[within(f, groups.doc, *wanted_of(batch))])
             return k, f, groups.doc[row]
 
         def last_level(groups, batch):
-            row, s0, s1, _, f = groups.anchors()
-            wanted, of = lists(batch.column(2))
-            if plan.block:
-                row, s0, s1, _, f = groups.blocks(row)
-            keep = within(f, groups.doc[row], wanted, of)
+            row, s0, s1, _, f = groups.blocks(np.arange(len(groups.a))) if plan.block else groups.anchors()
+            keep = within(f, groups.doc[row], *wanted_of(batch))
             _, doc, w = groups.windows(row[keep], s0[keep], s1[keep])
             return w, w, doc
 
-        found, open_ = self._settle(self._rows(docs, first_level))
-        found = [table(found, "found")]
-        open_ = table(open_, "open")
+        found, open_ = self._settle(self._rows(texts, first_level))
+        opened = open_
         if plan.block:
-            more, open_ = self._settle(self._rows(self._with_text(docs, open_), middle_level))
-            found.append(table(more, "found"))
-            open_ = table(open_, "open")
-        rows = table(self._rows(self._with_text(docs, open_), last_level).select("f", "doc"), "windows")
-        twice = rows.groupBy("f").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        found.append(table(self._found(rows, twice), "found"))
-        every = found[0]
-        for more in found[1:]:
-            every = every.union(more)
-
-        def finish(batch):
-            elements = self.read(batch.column(1))
-            removed = self._removed(Groups(elements, plan), *lists(batch.column(2)))
-            return {"id": batch.column(0)} | self.finish(batch.column(1), elements, removed)
-
-        return arrow_map(self._with_text(docs, every, "left"), f"id long, {self.digest_schema}", finish)
-
-    def _removed(self, groups: Groups, wanted: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Which elements a repeated window covers."""
-        plan, n = self.plan, len(groups.e.prefix) - 1
-        cover = np.zeros(n + 1, np.int64)
-
-        def mark(s0, s1):
-            np.add.at(cover, s0, 1)
-            np.add.at(cover, s1 + plan.width, -1)
-
-        row, s0, s1, k, f = groups.anchors()
-        hit = within(f, groups.doc, wanted, of)
-        mark(s0[hit], s1[hit])
-        rest = row[~hit & np.isin(groups.doc, of)]
-        if plan.block:
-            brow, b0, b1, _, bf = groups.blocks(rest)
-            hit = within(bf, groups.doc[brow], wanted, of)
-            mark(b0[hit], b1[hit])
-            brow, b0, b1 = brow[~hit], b0[~hit], b1[~hit]
-        else:
-            brow, b0, b1 = rest, s0[rest], s1[rest]
-        s, doc, w = groups.windows(brow, b0, b1)
-        hit = within(w, doc, wanted, of)
-        mark(s[hit], s[hit])
-        # Repeats inside a document: only where an anchor's k comes twice.
-        key = k ^ mix(groups.doc.astype(U64) + U64(1))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        suspect = np.zeros(len(key), bool)
-        suspect[order[1:][same]] = suspect[order[:-1][same]] = True
-        s, doc, w = groups.windows(row[suspect], s0[suspect], s1[suspect])
-        key = w ^ mix(doc.astype(U64) + U64(1))
-        order = np.argsort(key, kind="stable")
-        same = np.flatnonzero(key[order][1:] == key[order][:-1])
-        mark(s[order[same + 1]], s[order[same + 1]])
-        if not plan.first_stays:
-            mark(s[order[same]], s[order[same]])
-        return np.cumsum(cover[:-1]) > 0
+            more, open_ = self._settle(self._rows(with_list(texts, open_, "f"), middle_level))
+            found, opened = found.union(more), opened.union(open_)
+        rows = table(self._rows(with_list(texts, open_, "f"), last_level).select("f", "id"), "windows")
+        twice = table(rows.groupBy("f").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f"), "twice")
+        found = found.union(rows.join(twice, "f").select("id", "f"))
+        return found.withColumn("opened", F.lit(False)).union(opened.withColumn("opened", F.lit(True)))
 
+    def spans(self, texts: DataFrame, schema: str, emit) -> DataFrame:
+        """What ``emit(batch, groups, text, first and last window)`` makes of the candidates, wherever they stand."""
 
-def sha256(parts) -> pa.Array:
-    return pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
-
+        def run(batch):
+            groups = self.groups(batch.column(1))
+            return emit(batch, groups, *groups.claimed(wanted_of(batch), wanted_of(batch, 3)))
 
-def run_on(docs: DataFrame, repeats: Repeats) -> DataFrame:
-    """Documents by doc_id (null kept as one document), with the digest columns."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    out = repeats.run(keyed)
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), *[c for c in out.columns if c != "id"])
+        per = self.find(texts).groupBy("id").agg(F.collect_list(F.when(~F.col("opened"), F.col("f"))).alias("f"), F.collect_list(F.when(F.col("opened"), F.col("f"))).alias("open"))
+        return arrow_map(texts.join(per.where(F.size("f") > 0), "id"), schema, run)
 
 
+def wanted_of(batch, column: int = 2) -> Pairs:
+    f, of = lists(batch.column(column))
+    return f.view(U64), of

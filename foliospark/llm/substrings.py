@@ -1,52 +1,72 @@
 """Substring deduplication: bytes (operator 8) and words (operator 9).
 
 ``remove_repeated_bytes`` takes out every byte that a repeated 400-byte string
-covers, all occurrences alike.  The method named for it, a suffix array over
-range-partitioned suffixes, is not used: a record for each byte position would
-shuffle some thirty times the text.  The anchored windows of ``repeats`` take
-its place (the README gives figures).
+covers, all occurrences alike, by a sparse suffix array (``suffixes``).  Only
+suffixes that may be repeated enter it: ``repeats`` drops the windows whose
+neighbourhood is in no other text and lets one suffix stand for consecutive
+windows.  Which suffixes are repeated is read off the array, from the common
+prefixes of neighbours, on the bytes themselves.
 
 ``remove_repeated_words`` takes out every word that a 20-word window covers
 whose words stand earlier (smaller doc_id, or earlier in the document).
-Recompression names the words: in each round neighbouring symbols are joined
-where a coin thrown on the left symbol's name shows one side and on the right
-symbol's the other; the pair's name is a fingerprint of its parts, so names are
-the same everywhere without a table of names.  Runs of one symbol never pair
-(equal names throw equal coins) and so are kept apart, which keeps symbols at
-four words at most after two rounds.  The bounds of high-level symbols inside
-a window depend on the words inside it alone; they are the places where anchors
-can lie, and anchors' neighbourhoods reveal repeats that are then verified.
-
-Defined cases: null text is the empty text; rows with one doc_id are one
-document only if the id is not repeated (repeated rows are treated as copies
-that do not count against each other); null ids count as one document; an
-empty table gives no rows; further columns are ignored.
+Recompression names the words: in each round runs of one symbol get a name,
+then neighbouring symbols are joined where a coin thrown on the left symbol's
+name shows one side and on the right symbol's the other.  Equal passages get
+the same symbols but for a few at their ends; shared symbols inside windows
+reveal repeats, and these are then verified on their words.
+
+Defined cases of both: null text is the empty text; every row is a document of
+its own, also rows that share a doc_id or have none; an empty table gives no
+rows; further columns are ignored.  Order for words: by doc_id, null last, then
+by content; of rows equal in both, one is the first.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import U64, byte_prefix, flat, mix, prefix_hash, seeds, span_hash, words
-from .repeats import Elements, Plan, Repeats, run_on, sha256
+from .common import U64, arrow_map, byte_prefix, flat, mix, prefix_hash, seeds, sliding_hash, span_hash, table, words
+from .repeats import Candidates, Elements, Groups, Plan, distinct_texts, expand, lists, with_list
+from .suffixes import SUFFIX, repeated_suffixes
 
 _LAST = U64(0xFFFFFFFFFFFFFFFF)
 _GRAM = 32
+_EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def sha256(parts) -> pa.Array:
+    return pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
 
 
 def _bytes(column) -> Elements:
     data, at = flat(column)
     prefix = byte_prefix(data)
-    start = np.arange(max(len(data) - _GRAM + 1, 0))
     priority = np.full(len(data), _LAST)
-    priority[: len(start)] = span_hash(prefix, start, start + _GRAM)
+    grams = sliding_hash(prefix, _GRAM)
+    priority[: len(grams)] = grams
     return Elements(prefix, at, priority)
 
 
-def _digest_bytes(column, elements: Elements, removed: np.ndarray) -> dict:
-    data, at = flat(column)
+def _packed(start: str, need: str) -> F.Column:
+    return (F.shiftleft(F.col(start), 24) + F.col(need)).alias("spans")
+
+
+def _covered(n: int, at: np.ndarray, column) -> np.ndarray:
+    """Differences of how many of the batch's spans (start << 24 | length, from the text's start) cover each element."""
+    spans, of = lists(column)
+    cover = np.zeros(n + 1, np.int64)
+    start = at[of] + (spans >> 24)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + (spans & 0xFFFFFF), -1)
+    return cover
+
+
+def _digest_bytes(data: np.ndarray, at: np.ndarray, removed: np.ndarray) -> dict:
     total = np.concatenate(([0], np.cumsum(removed)))
     begin = removed & ~np.concatenate(([False], removed[:-1]))
     begin[at[:-1][np.diff(at) > 0]] = removed[at[:-1][np.diff(at) > 0]]
@@ -55,22 +75,64 @@ def _digest_bytes(column, elements: Elements, removed: np.ndarray) -> dict:
     return {"n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": sha256(kept)}
 
 
-def symbol_bounds(codes: np.ndarray, first: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Flags the elements at which a symbol begins after some rounds of pair naming."""
+def repeated_byte_spans(texts: DataFrame, plan: Plan) -> DataFrame:
+    """id, start, need of strings of at least ``plan.width`` bytes that are in another text (id, text) too."""
+
+    def cut(batch, groups, doc, s0, s1):
+        data, at = flat(batch.column(1))
+        stop = s1 + plan.width
+        _, byte = expand(s0, s0, stop - 1)
+        offsets = np.concatenate(([0], np.cumsum(stop - s0)))
+        s = pa.Array.from_buffers(pa.large_binary(), len(s0), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[byte].tobytes())])
+        return {"id": pa.array(batch.column(0).to_numpy()[doc]), "start": pa.array(s0 - at[doc]), "s": s.cast(pa.binary())}
+
+    return repeated_suffixes(table(Candidates(plan, _bytes).spans(texts, SUFFIX, cut), "candidates"))
+
+
+def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    low = (width - _GRAM) // 5
+    plan = Plan(width, low, width - low, 16)
+    rows, texts = distinct_texts(docs)
+    spans = table(repeated_byte_spans(texts, plan).select("id", _packed("start", "need")), "spans")
+
+    def finish(batch):
+        data, at = flat(batch.column(1))
+        cover = _covered(len(data), at, batch.column(2))
+        groups = Groups(_bytes(batch.column(1)), plan)
+        for s, t, n in groups.own_repeats(lambda a, b, m: np.array_equal(data[a : a + m], data[b : b + m])):
+            for x in (s, t):
+                cover[x] += 1
+                cover[x + n + width - 1] -= 1
+        return {"id": batch.column(0)} | _digest_bytes(data, at, np.cumsum(cover[:-1]) > 0)
+
+    digest = arrow_map(with_list(texts, spans, "spans", "left"), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
+    # Of a text that several rows have, every string of the width is repeated.
+    copied = (F.col("total") > 1) & (F.col("n_bytes") >= width)
+    whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(_EMPTY)}
+    out = rows.join(digest, "id").withColumns({c: F.when(copied, v).otherwise(F.col(c)) for c, v in whole.items()})
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def recompressed(codes: np.ndarray, first: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Start and name of every symbol after some rounds of naming runs and pairs."""
     start, names = np.arange(len(codes)), codes
     edge = np.zeros(len(codes) + 1, bool)
     edge[first] = True
+    salt, left, right = seeds(rounds, 41), *seeds(2, 42)
     for r in range(rounds):
-        coin = (mix(names ^ seeds(rounds, 41)[r]) & U64(1)).astype(bool)
+        begin = np.concatenate(([True], (names[1:] != names[:-1]) | edge[start[1:]])) if len(names) else np.zeros(0, bool)
+        at = np.flatnonzero(begin)
+        length = np.diff(np.append(at, len(names)))
+        start, names = start[at], np.where(length > 1, mix(names[at] * left + length.astype(U64) * salt[r]), names[at])
+        coin = (mix(names ^ salt[r]) & U64(1)).astype(bool)
         pair = np.zeros(len(names), bool)  # joins with the next
         pair[:-1] = coin[:-1] & ~coin[1:] & ~edge[start[1:]]
-        second = np.concatenate(([False], pair[:-1]))
+        second = np.concatenate(([False], pair[:-1])) if len(pair) else pair
         follower = np.concatenate((names[1:], names[:1]))
-        named = np.where(pair, mix(names * seeds(2, 42)[0] + follower * seeds(2, 42)[1]), names)
+        named = np.where(pair, mix(names * left + follower * right), names)
         start, names = start[~second], named[~second]
-    out = np.zeros(len(codes), bool)
-    out[start] = True
-    return out
+    return start, names
 
 
 def _words(column) -> Elements:
@@ -80,31 +142,62 @@ def _words(column) -> Elements:
     prefix = prefix_hash(codes)
     n = len(codes)
     priority = np.full(n, _LAST)
-    place = np.flatnonzero(symbol_bounds(codes, first))
+    # A place's symbols lie at most four words to its left and right unless they are runs, which have no place inside.
+    place, _ = recompressed(codes, first)
     place = place[(place >= 2) & (place + 2 <= n)]
     priority[place] = span_hash(prefix, place - 2, place + 2)
     return Elements(prefix, first, priority)
 
 
-def _digest_words(column, elements: Elements, removed: np.ndarray) -> dict:
-    first = elements.at
+def _digest_words(texts: list[bytes], first: np.ndarray, removed: np.ndarray) -> dict:
     total = np.concatenate(([0], np.cumsum(removed)))
     kept = []
-    for row, text in enumerate(column.to_pylist()):
+    for row, text in enumerate(texts):
         own = text.split()
         gone = removed[first[row] : first[row + 1]]
         kept.append(b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g] if gone.any() else own))
     return {"n_words": pa.array(np.diff(first)), "n_removed": pa.array(total[first[1:]] - total[first[:-1]]), "kept_sha256": sha256(kept)}
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    low = (width - _GRAM) // 5
-    plan = Plan(width, low, width - low, 16, first_stays=False)
-    return run_on(docs, Repeats(plan, _bytes, _digest_bytes, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+def repeated_word_spans(texts: DataFrame, plan: Plan) -> DataFrame:
+    """id, start, need of word sequences that a text with a smaller id holds too; sequences are named by the SHA-256 of their words."""
+
+    def name(batch, groups, doc, s0, s1):
+        own = [w for t in batch.column(1).to_pylist() for w in t.split()]
+        digest = b"".join([hashlib.sha256(b" ".join(own[a:b])).digest()[:16] for a, b in zip(s0.tolist(), (s1 + plan.width).tolist(), strict=True)])
+        both = np.frombuffer(digest, np.int64).reshape(-1, 2)
+        return {"d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "id": pa.array(batch.column(0).to_numpy()[doc]), "start": pa.array(s0 - groups.e.at[doc]), "need": pa.array(s1 - s0 + plan.width)}
+
+    named = table(Candidates(plan, _words).spans(texts, "d1 long, d2 long, id long, start long, need long", name), "named")
+    firsts = table(named.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("d1", "d2", "low"), "firsts")
+    return named.join(firsts, ["d1", "d2"]).where("id <> low").select("id", "start", "need")
 
 
 def remove_repeated_words(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    plan = Plan(width, 4, width - 3, 0, first_stays=True)
-    return run_on(docs, Repeats(plan, _words, _digest_words, "n_words long, n_removed long, kept_sha256 string"))
+    plan = Plan(width, 4, width - 3, 0)
+    rows, texts = distinct_texts(docs)
+    spans = table(repeated_word_spans(texts, plan).select("id", _packed("start", "need")), "spans")
+
+    def finish(batch):
+        elements, whole = _words(batch.column(1)), batch.column(1).to_pylist()
+        first = elements.at
+        cover = _covered(int(first[-1]), first, batch.column(2))
+        own: dict[int, list[bytes]] = {}
+
+        def equal(a, b, m):
+            row = int(np.searchsorted(first, a, side="right")) - 1
+            w = own.setdefault(row, whole[row].split())
+            a, b = a - first[row], b - first[row]
+            return w[a : a + m] == w[b : b + m]
+
+        for _, t, n in Groups(elements, plan).own_repeats(equal):
+            cover[t] += 1
+            cover[t + n + width - 1] -= 1
+        return {"id": batch.column(0)} | _digest_words(whole, first, np.cumsum(cover[:-1]) > 0)
+
+    digest = arrow_map(with_list(texts, spans, "spans", "left"), "id long, n_words long, n_removed long, kept_sha256 string", finish)
+    out = rows.join(digest, "id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    # A text's first row stands; every window of its later rows stands earlier.
+    again = ((F.col("_copy") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first"))) & (F.col("n_words") >= width)
+    return out.select("doc_id", "n_words", F.when(again, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(again, _EMPTY).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
