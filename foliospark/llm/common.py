@@ -36,7 +36,16 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``table`` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,14 +69,14 @@ def in_batches(df: DataFrame, schema, function) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, schema: str, function) -> DataFrame:
-    """``mapInArrow`` with a function from one RecordBatch to one dict of columns (or None)."""
+    """``mapInArrow`` with a function from one RecordBatch to one dict of columns, or to a generator of such."""
 
     def run(batches):
         for batch in batches:
             for piece in split_batch(batch):
                 out = function(piece)
-                if out is not None:
-                    yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+                for one in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_pydict(one)
 
     return in_batches(df, schema, run)
 

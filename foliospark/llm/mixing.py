@@ -66,15 +66,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80, tolerance: float = 1e-7) -> DataFrame:
     """goal with lam, the multiplier of each source; counts is (skey, size, n) over the corpus.
 
-    One row per source is kept between rounds, in the shared folder.
+    One row per source is kept between rounds, in the shared folder.  Raises if ``rounds`` do not meet the constraints.
     """
-    mean = F.col("source_size") / F.col("n")
-    ratio = F.col("target") / F.col("source_size")
+    mean = F.try_divide("source_size", "n")
+    ratio = F.try_divide("target", "source_size")
     open_ = (F.col("source_size") > 0) & (ratio < most * (1 - 1e-9)) & (ratio > 0)
     state = goal.withColumns({"mean": mean, "open": F.coalesce(open_, F.lit(False)), "lam": F.coalesce(F.when(open_, F.log(ratio)), F.lit(0.0)), "low": F.lit(-1e5), "high": F.lit(1e5)})
     state = table(state.coalesce(1), "state")
     for _ in range(rounds):
-        x = F.col("size") / F.col("mean")
+        x = F.try_divide("size", "mean")
         tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
         value = F.col("m") * F.col("size") * F.least(F.lit(float(most)), tilt)
         slope = F.when(tilt < most, F.col("m") * F.col("size") * x * tilt).otherwise(0.0)
@@ -87,40 +87,49 @@ def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80,
         moved = state.join(sums, "skey", "left").select("skey", "source_size", "n", "target", "mean", (F.col("open") & ~done).alias("open"), F.when(done, F.col("lam")).otherwise(step).alias("lam"), F.when(F.col("open"), low).otherwise(F.col("low")).alias("low"), F.when(F.col("open"), high).otherwise(F.col("high")).alias("high"))
         state = table(moved.coalesce(1), "state")
         if state.where("open").isEmpty():
-            break
-    return state.select("skey", "source_size", "n", "target", "mean", F.round("lam", 9).alias("lam"))
+            return state.select("skey", "source_size", "n", "target", "mean", F.round("lam", 9).alias("lam"))
+    raise RuntimeError(f"entropy balancing did not converge in {rounds} rounds")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_rows: int = 512) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every document."""
-    sized = table(docs.select("doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size")), "sized")
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_rows: int = 512, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every document.
+
+    ``row`` names a column that tells apart rows with one doc_id; it comes first in the result.
+    """
+    key = [row or "doc_id"]
+    sized = table(docs.select(*key, source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size")), "sized")
     counts = table(sized.groupBy("skey", "size").agg(F.count("*").alias("m")), "counts")
     sizes = counts.groupBy("skey").agg(F.sum(F.col("m") * F.col("size")).alias("source_size"), F.sum("m").alias("n"))
     state = balance(counts, targets(sizes, weights, most), most)
 
-    ratio = F.col("target") / F.col("source_size")
-    tilt = F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))))
+    ratio = F.try_divide("target", "source_size")
+    tilt = F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.try_divide("size", "mean"), F.lit(50.0))))
     rate = F.when(ratio >= most * (1 - 1e-9), F.lit(float(most))).when(ratio <= 0, 0.0).otherwise(tilt)
-    rated = sized.join(state, "skey").withColumn("rate", F.coalesce(rate, F.lit(1.0)))
-    blocks = F.ceil(F.col("n") / block_rows)
-    rated = rated.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), blocks))
-    one = F.struct((-F.col("size")).alias("order"), "doc_id", "size", "rate")
+    # Rows that agree in source, id and size are one entry of m rows, so no block grows with them.
+    entries = sized.groupBy("skey", *key, "size").agg(F.count("*").alias("m"))
+    rated = entries.join(state, "skey").withColumn("rate", F.coalesce(rate, F.lit(1.0)))
+    rated = rated.withColumn("block", F.pmod(F.xxhash64(*key, "size"), F.ceil(F.col("n") / block_rows)))
+    one = F.struct((-F.col("size")).alias("order"), F.col(key[0]).alias("key"), "size", "rate", "m")
     grouped = rated.groupBy("skey", "block").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(one)).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        want = x["rate"] * x["size"] + acc["carry"]
-        copies = F.when(x["size"] > 0, F.greatest(F.lit(0), F.least(F.lit(most), F.floor(want / x["size"] + 0.5)))).otherwise(1).cast("int")
-        row = F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), copies.alias("copies"))
-        return F.struct((want - copies * x["size"]).alias("carry"), F.concat(acc["out"], F.array(row)).alias("out"))
+        want = x["rate"] * x["size"] * x["m"] + acc["carry"]
+        copies = F.when(x["size"] > 0, F.greatest(F.lit(0), F.least(most * x["m"], F.floor(want / x["size"] + 0.5)))).otherwise(x["m"])
+        entry = F.struct(x["key"].alias("key"), x["size"].alias("size"), x["m"].alias("m"), copies.cast("bigint").alias("copies"))
+        return F.struct((want - copies * x["size"]).alias("carry"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    doc_type = dict(sized.dtypes)["doc_id"]
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast(f"array<struct<doc_id:{doc_type},size:bigint,copies:int>>").alias("out"))
+    kind = dict(sized.dtypes)[key[0]]
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast(f"array<struct<key:{kind},size:bigint,m:bigint,copies:bigint>>").alias("out"))
     placed = grouped.select("source_size", "target", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("x"))
-    return placed.select("x.doc_id", "x.size", "source_size", "target", "x.copies", (F.col("x.copies") * F.col("x.size")).cast("long").alias("taken"))
+    # The entry's copies go round its m rows.
+    each = placed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.m"))).alias("i"))
+    own = F.floor(F.col("x.copies") / F.col("x.m")) + F.when(F.col("i") <= F.col("x.copies") % F.col("x.m"), 1).otherwise(0)
+    return each.select(F.col("x.key").alias(key[0]), "x.size", "source_size", "target", own.cast("int").alias("copies"), (own * F.col("x.size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; the input's columns stay."""
-    copies = mix_sources(docs, weights, most).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    chosen = docs.alias("d").join(copies.withColumnRenamed("doc_id", "_doc_id").where("_copies > 0"), F.expr("d.doc_id <=> _doc_id"))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    """The documents themselves, each row as often as the mix takes it; the input's columns stay, null and repeated ids included."""
+    held = table(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    copies = mix_sources(held, weights, most, row="_row").where("copies > 0").select("_row", "copies")
+    times = copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return held.join(times.select("_row"), "_row").select(*[F.col(f"`{c}`") for c in docs.columns])

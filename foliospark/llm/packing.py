@@ -4,8 +4,8 @@ Documents become token ids, ids become pieces of at most ``capacity`` tokens
 (only longer documents are cut), and pieces are placed one after another into
 the open bin that leaves the sum of squared counts of open bins per residual
 gap smallest.  Pieces are dealt by hash to shards of about ``shard_rows``
-pieces, so a shard's rows and open bins have a fixed bound at any input size;
-each shard leaves at most a few bins open.
+pieces, so a shard's rows and open bins stay about the same at any input size;
+each shard leaves at most a few bins open (the README states the loss).
 
 Defined cases: a null or empty text is the single id 0; a null doc_id is kept
 as it is; repeated rows are packed as often as they occur; an empty table gives
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_bytes
+from .common import arrow_map, table, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries that a worker's word cache holds before it starts anew.
@@ -137,9 +137,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offset
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int, shard_rows: int = 8192) -> DataFrame:
-    """Adds sequence_id and offset.  ``n_docs`` only sets the number of shards."""
-    shards = max(1, -(-n_docs // shard_rows))
+def pack(pieces: DataFrame, capacity: int, shard_rows: int = 8192) -> DataFrame:
+    """Adds sequence_id and offset to the rows of ``pieces``, which should be a table: they are counted first."""
+    shards = max(1, -(-pieces.count() // shard_rows))
     schema = PIECES + ", sequence_id long, offset long"
 
     def place(key, rows):
@@ -148,10 +148,12 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int, shard_rows: int = 8192)
         rows = rows.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32)))
         return rows.append_column("offset", pa.array(offset))
 
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(shards))).drop("_row")
     return keyed.groupBy("shard").applyInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(token_pieces(docs, tokenizer_path, capacity), docs.count(), capacity)
+    pieces = token_pieces(docs, tokenizer_path, capacity)
+    # A number of its own deals rows that agree in everything to all shards.
+    return pack(table(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)

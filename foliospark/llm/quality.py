@@ -2,18 +2,21 @@
 
 A logistic model over dense text features minimises the non-negative unbiased
 risk  pi * E_p[l(+)] + max(0, E_u[l(-)] - pi * E_p[l(-)])  of trusted positives
-(label 1) and unlabelled documents; where the second part turns negative, the
-step goes against it.  The class prior pi is the share of positives among the
-labelled training rows.  Scores are the model's probabilities.
+(label 1) and unlabelled documents.  Of the logistic loss l(+) - l(-) is linear,
+so the risk is convex and Newton rounds minimise it: each is one pass over the
+features of all documents, which adds up gradient and Hessian where the rows
+are.  Where the second part turns negative, the step goes against it.  The
+class prior pi is estimated as the share of positives among the labelled
+training rows.
 
-The fit takes at most ``SAMPLE`` labelled training rows and as many unlabelled
-documents (those with the smallest hash of doc_id); scoring covers all
-documents in one pass without a shuffle.
+The fit takes at most ``SAMPLE`` labelled training rows (those with the smallest
+hash of doc_id) and every document as unlabelled; scoring covers all documents.
 
 Defined cases: null text is the empty text; a null doc_id is never held out and
-never trains; labels that are null or without a document do not count; repeated
-rows are scored alike; without a trusted positive every score is the prior (0.5
-without labels); an empty table gives no rows; further columns are ignored.
+never trains as a positive; labels that are null or without a document do not
+count; repeated rows are scored alike; without a trusted positive every score is
+the prior (0.5 without labels); an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_batches, text_bytes
+from .common import arrow_map, forget, in_batches, table, text_bytes
 from .textstats import QUALITY_NAMES, TextStats
 
-#: Bound on labelled rows, and on unlabelled documents, that a fit takes.
+#: Bound on the labelled rows that a fit takes.
 SAMPLE = 12_000
 FOLDS = 5
 
@@ -36,12 +39,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int = SAMPLE) -> DataFrame:
-    """Texts and labels of at most ``bound`` training rows: those with the smallest hash of doc_id."""
+def chosen_labels(labels: DataFrame, column: str, bound: int = SAMPLE) -> DataFrame:
+    """doc_id and label of at most ``bound`` training rows: those with the smallest hash of doc_id."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out(F.col("doc_id")))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
-    return text_bytes(docs).join(F.broadcast(chosen), "doc_id")  # at most ``bound`` rows of two numbers
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int = SAMPLE) -> DataFrame:
+    """doc_id, text (binary) and label of the training rows."""
+    return text_bytes(docs).join(F.broadcast(chosen_labels(labels, column, bound)), "doc_id")  # at most ``bound`` rows of two numbers
 
 
 def features_of(sample: DataFrame, names: tuple[str, ...], measure, *more: str) -> pa.Table:
@@ -60,70 +67,120 @@ def matrix(got: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     return np.column_stack([got[c].to_numpy() for c in names]) if len(got) else np.zeros((0, len(names)))
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features, their squares and a constant."""
+    z = np.clip((x - mean) / scale, -4, 4)
+    return np.column_stack((z, z * z / 4, np.ones(len(z))))
+
+
+def risk_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows of the loss as a negative, of its gradient and of its Hessian, one after another."""
+    z = x @ w
+    s = logistic(z)
+    return np.concatenate(([np.logaddexp(0, z).sum()], x.T @ s, ((x * (s * (1 - s))[:, None]).T @ x).ravel()))
+
+
 class PUModel:
-    """Standardised features with squares, a linear score and its logistic probability."""
+    """A linear score of expanded features and its logistic probability.
+
+    ``unlabelled(w)`` gives the ``risk_sums`` of all documents and ``n`` is their number.
+    """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4):
-        self.prior = prior
-        self.usable = len(positive) > 0 and len(unlabelled) > 0 and 0 < prior < 1
+    def __init__(self, positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, unlabelled, n: int, prior: float, rounds: int = 12, decay: float = 1e-3):
+        self.prior, self.mean, self.scale = prior, mean, scale
+        self.usable = len(positive) > 0 and n > 0 and 0 < prior < 1
         if not self.usable:
             return
-        self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-        p, u = self._expand(positive), self._expand(unlabelled)
-        w = np.zeros(p.shape[1])
+        p = expand(positive, mean, scale)
+        d = p.shape[1]
+        w = np.zeros(d)
         w[-1] = np.log(prior / (1 - prior))
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        grow = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        for t in range(1, steps + 1):
-            sp, su = grow(p @ w), grow(u @ w)
-            down_u, down_p = (u.T @ su) / len(u), (p.T @ sp) / len(p)  # gradients of the loss as a negative
-            rest = np.mean(-np.log1p(-np.minimum(su, 1 - 1e-12))) - prior * np.mean(-np.log1p(-np.minimum(sp, 1 - 1e-12)))
-            g = prior * (p.T @ (sp - 1)) / len(p) + (down_u - prior * down_p) if rest >= 0 else -(down_u - prior * down_p)
-            g = g + decay * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.weights = w
-
-    def _expand(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -4, 4)
-        return np.column_stack((z, z * z / 4, np.ones(len(z))))
+        best = np.inf
+        for _ in range(rounds):
+            u, q = unlabelled(w) / n, risk_sums(p, w) / len(p)
+            rest = u[0] - prior * q[0]
+            risk = prior * np.logaddexp(0, -(p @ w)).mean() + max(0.0, rest) + decay / 2 * (w @ w)
+            if risk < best:
+                best, self.weights = risk, w
+            down = u[1 : d + 1] - prior * q[1 : d + 1]  # gradient of the second part
+            g = down + prior * (p.T @ (logistic(p @ w) - 1)) / len(p) + decay * w if rest >= 0 else decay * w - down
+            step = np.linalg.solve(u[d + 1 :].reshape(d, d) + decay * np.eye(d), g)
+            w = w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+            w = np.round(w, 9)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if not self.usable:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self._expand(x) @ self.weights, -30, 30)))
+        return logistic(expand(x, self.mean, self.scale) @ self.weights)
 
 
 def measure(column) -> np.ndarray:
     return TextStats(column).quality_features()
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> PUModel:
-    got = features_of(labelled_sample(docs, labels, "quality", bound), QUALITY_NAMES, measure, "label")
-    x, y = matrix(got, QUALITY_NAMES), got["label"].to_numpy()
-    web = docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(bound)
-    unlabelled = text_bytes(docs).join(F.broadcast(web.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()), "doc_id")  # at most ``bound`` ids
-    u = matrix(features_of(unlabelled, QUALITY_NAMES, measure), QUALITY_NAMES)
-    return PUModel(x[y == 1], u, float(y.mean()) if len(y) else 0.5)
+def quality_features(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and the features of every document, as a table."""
+
+    def rows(batch):
+        x = measure(batch.column(1))
+        return {"doc_id": batch.column(0), "held_out": batch.column(2)} | {c: pa.array(x[:, i]) for i, c in enumerate(QUALITY_NAMES)}
 
+    schema = "doc_id long, held_out boolean, " + ", ".join(f"`{c}` double" for c in QUALITY_NAMES)
+    return table(arrow_map(text_bytes(docs, held_out(F.col("doc_id")).alias("held_out")), schema, rows), "features")
 
-def score_quality(docs: DataFrame, model: PUModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
 
-    def score(batch):
-        return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": pa.array(model(measure(batch.column(1))))}
+def _rows_of(batch) -> np.ndarray:
+    return matrix(pa.Table.from_batches([batch]), QUALITY_NAMES)
+
+
+def _summed(features: DataFrame, sums) -> np.ndarray:
+    """``sums(feature rows)`` added up over all of them; one value of each task's vector is a row of the shuffle."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            part = sums(_rows_of(batch))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"j": np.arange(len(total)), "v": total})
+
+    got = in_batches(features.select(*[f"`{c}`" for c in QUALITY_NAMES]), "j long, v double", run)
+    return got.groupBy("j").agg(F.sum("v").alias("v")).toArrow().sort_by("j")["v"].to_numpy()
+
 
-    scored = arrow_map(text_bytes(docs, held_out(F.col("doc_id")).alias("held_out")), "doc_id long, held_out boolean, score double", score)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def fit_features(features: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> PUModel:
+    labelled = features.join(F.broadcast(chosen_labels(labels, "quality", bound)), "doc_id").toArrow()  # at most ``bound`` rows and their repeats
+    labelled = labelled.sort_by([(c, "ascending") for c in ("doc_id", "label", *QUALITY_NAMES)])
+    x, y = matrix(labelled, QUALITY_NAMES), labelled["label"].to_numpy()
+    k = len(QUALITY_NAMES)
+    moments = _summed(features, lambda rows: np.concatenate(([len(rows)], rows.sum(0), (rows**2).sum(0))))
+    n = moments[0] if len(moments) else 0.0
+    mean = moments[1 : k + 1] / n if n else np.zeros(k)
+    scale = np.sqrt(np.maximum(moments[k + 1 :] / n - mean**2, 0)) + 1e-3 if n else np.ones(k)
+    return PUModel(x[y == 1], mean, scale, lambda w: _summed(features, lambda rows: risk_sums(expand(rows, mean, scale), w)), n, float(y.mean()) if len(y) else 0.5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    return score_quality(docs, fit_quality(docs, labels), threshold)
+    """doc_id, held_out, score, predicted for every document."""
+    features = quality_features(docs)
+    model = fit_features(features, labels)
+
+    def score(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": model(_rows_of(batch))})
+
+    return in_batches(features, "doc_id long, held_out boolean, score double", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier keeps, with their columns."""
-    model = fit_quality(docs, labels)
+    features = quality_features(docs)
+    model = fit_features(features, labels)
+    forget(features)
     at = docs.columns.index("text")
 
     def keep(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, mix, span_hash, table
+from .common import U64, arrow_map, forget, mix, span_hash, table
 
 
 @dataclass(frozen=True)
@@ -201,7 +201,9 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = table(firsts.orderBy(F.col("first").asc_nulls_last(), "blob").withColumn("id", F.monotonically_increasing_id()), "ids")
     texts = docs.select(blob, text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     texts = table(texts.join(ids.select("blob", "id"), "blob").select("id", "text"), "texts")
-    return table(members.join(ids, "blob").drop("blob"), "rows"), texts
+    rows = table(members.join(ids, "blob").drop("blob"), "rows")
+    forget(members, ids)
+    return rows, texts
 
 
 class Candidates:
@@ -232,8 +234,10 @@ class Candidates:
         live = table(rows.join(shared, "k"), "shared")
         whole = table(live.groupBy("k", "f").agg(F.min("id").alias("first"), F.max("id").alias("last")), "whole")
         several = table(whole.groupBy("k").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x <> y").select("k"), "several")
-        found = live.select("f", "id").join(whole.where("first <> last").select("f"), "f").select("id", "f")
-        return table(found, "found"), table(whole.join(several, "k").select(F.col("first").alias("id"), "f"), "open")
+        found = table(live.select("f", "id").join(whole.where("first <> last").select("f"), "f").select("id", "f"), "found")
+        open_ = table(whole.join(several, "k").select(F.col("first").alias("id"), "f"), "open")
+        forget(rows, shared, live, whole, several)
+        return found, open_
 
     def find(self, texts: DataFrame) -> DataFrame:
         """(id, f, opened): the groups and windows that seem to be in another text too, and those looked into for smaller ones."""
@@ -261,7 +265,8 @@ class Candidates:
             found, opened = found.union(more), opened.union(open_)
         rows = table(self._rows(with_list(texts, open_, "f"), last_level).select("f", "id"), "windows")
         twice = table(rows.groupBy("f").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f"), "twice")
-        found = found.union(rows.join(twice, "f").select("id", "f"))
+        found = found.union(table(rows.join(twice, "f").select("id", "f"), "found"))
+        forget(rows, twice)
         return found.withColumn("opened", F.lit(False)).union(opened.withColumn("opened", F.lit(True)))
 
     def spans(self, texts: DataFrame, schema: str, emit) -> DataFrame:

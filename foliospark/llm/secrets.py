@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -51,6 +51,17 @@ RULES = (
 )
 
 _SPANS = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
+LEDGER = f"blob string, rules array<string>, spans {_SPANS}"
+
+
+#: Matches that are folded at once.
+PART = 256
+
+
+def in_parts(array: Column) -> Column:
+    """The array cut into arrays of PART elements."""
+    starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(PART))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(array, i, F.lit(PART)))
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -69,7 +80,15 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         return F.struct(stop.cast("bigint").alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     none = F.array().cast(_SPANS)
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
+
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["spans"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), (x["stop"] + acc["at"]).alias("stop")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    # A fold copies its list at each step, so matches are folded by the part and the parts after that.
+    folded = F.transform(in_parts(parts), lambda part: F.aggregate(part, zero, step))
+    found = F.aggregate(folded, zero, join, lambda acc: acc["spans"])
     there = text.rlike(rule.pattern)
     if rule.literal:
         there = text.contains(rule.literal) & there
@@ -99,10 +118,23 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 
 def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Each document (path) with its blob and all spans that the ledger has for it; the input's columns stay."""
-    per_blob = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    paths = docs.withColumn("blob", blob_of(F.col("text")))
-    return paths.join(per_blob, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    """Each document (path) with all spans that the ledger has for its blob, as ``_found``; the input's columns stay."""
+    per_blob = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_found"))
+    paths = docs.withColumn("_blob", blob_of(F.col("text")))
+    return paths.join(per_blob, "_blob", "left").withColumn("_found", F.coalesce("_found", F.array().cast(_SPANS))).drop("_blob")
+
+
+def keep_ledger(spark: SparkSession, path: str, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger kept at ``path`` lacks of ``docs``, adds it there, and returns the whole ledger.
+
+    ``docs`` may hold any number of versions of a path; a version that any run has scanned under a rule's
+    present version is not scanned again, whatever path it had then.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+    new = table(scan(docs, spark.read.schema(LEDGER).parquet(path) if there else None, rules), "ledger")
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def _listed(spans: Column) -> Column:
@@ -114,24 +146,34 @@ def secret_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tup
     new = table(scan(docs, ledger, rules), "ledger")
     found = findings(docs.select("doc_id", "text"), new if ledger is None else ledger.unionByName(new))
     base = [r.kind for r in rules if r.base]
-    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    of_kind = lambda kind: F.filter("_found", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed(F.filter("_found", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_found")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``[<kind>]``; overlapping spans are replaced as one, after the first's kind."""
     new = table(scan(docs, None, rules), "ledger")
     found = findings(docs, new)
+    rest = lambda text, at: F.substring(text, (at + 1).cast("int"), F.length(text))
+    between = lambda text, a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+    def step(acc: Column, s: Column, text: Column, begin: Column) -> Column:
+        """acc: how far the text is done, and the pieces so far; ``text`` begins at ``begin``."""
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = found.select(*columns)
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.array(between(text, acc["at"] - begin, s["start"] - begin), mark)).alias("out"))
+
+    def join(acc: Column, part: Column) -> Column:
+        stop = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["stop"])))
+        # A one-element array binds the part's own text, so that it is cut out once.
+        bound = F.array(F.struct(between(F.col("_text"), acc["at"], stop).alias("text"), acc["at"].alias("at"), acc["out"].alias("out")))
+        done = F.transform(bound, lambda b: F.struct(stop.alias("at"), F.concat(b["out"], F.array(F.array_join(F.aggregate(part, F.struct(b["at"].alias("at"), F.array().cast("array<string>").alias("out")), lambda c, s: step(c, s, b["text"], b["at"]), lambda c: c["out"]), ""))).alias("out")))
+        return F.element_at(done, 1)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(in_parts(F.col("_spans")), start, join, lambda acc: F.concat(F.array_join(acc["out"], ""), rest(F.col("_text"), acc["at"])))
+    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col("_text"))
+    held = found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("_text"), F.col("_found").alias("_spans"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = held.select(*columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

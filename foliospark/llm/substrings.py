@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, byte_prefix, flat, mix, prefix_hash, seeds, sliding_hash, span_hash, table, words
-from .repeats import Candidates, Elements, Groups, Plan, distinct_texts, expand, lists, with_list
+from .common import CHUNK_BYTES, U64, arrow_map, byte_prefix, flat, mix, prefix_hash, seeds, sliding_hash, span_hash, table, words
+from .repeats import Candidates, Elements, Groups, Plan, distinct_texts, lists, with_list
 from .suffixes import SUFFIX, repeated_suffixes
 
 _LAST = U64(0xFFFFFFFFFFFFFFFF)
@@ -80,11 +80,14 @@ def repeated_byte_spans(texts: DataFrame, plan: Plan) -> DataFrame:
 
     def cut(batch, groups, doc, s0, s1):
         data, at = flat(batch.column(1))
+        ids, whole = batch.column(0).to_numpy(), memoryview(data)
         stop = s1 + plan.width
-        _, byte = expand(s0, s0, stop - 1)
-        offsets = np.concatenate(([0], np.cumsum(stop - s0)))
-        s = pa.Array.from_buffers(pa.large_binary(), len(s0), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[byte].tobytes())])
-        return {"id": pa.array(batch.column(0).to_numpy()[doc]), "start": pa.array(s0 - at[doc]), "s": s.cast(pa.binary())}
+        size = np.cumsum(stop - s0)
+        for first in range(0, int(size[-1]) if len(size) else 0, CHUNK_BYTES):
+            a, b = np.searchsorted(size, [first, first + CHUNK_BYTES], side="right")
+            if a < b:
+                s = [bytes(whole[i:j]) for i, j in zip(s0[a:b].tolist(), stop[a:b].tolist(), strict=True)]
+                yield {"id": pa.array(ids[doc[a:b]]), "start": pa.array(s0[a:b] - at[doc[a:b]]), "s": pa.array(s, pa.binary())}
 
     return repeated_suffixes(table(Candidates(plan, _bytes).spans(texts, SUFFIX, cut), "candidates"))
 

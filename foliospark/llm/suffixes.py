@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, flat, in_batches, table
+from .common import U64, flat, forget, in_batches, table
 
 SUFFIX = "id long, start long, s binary"
 #: About how many bytes a bucket holds, and how many suffixes are sampled for each.
@@ -112,7 +112,7 @@ def splitters(suffixes: DataFrame) -> list[tuple[bytes, int, int]]:
 
 
 def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
-    """id, start, need of the suffixes (a table with SUFFIX's columns) that stand somewhere else too."""
+    """id, start, need of the suffixes (a table with SUFFIX's columns, deleted then) that stand somewhere else too."""
     bounds = splitters(suffixes)
 
     def deal(batches):
@@ -148,6 +148,7 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
 
     dealt = in_batches(suffixes.select("id", "start", "s"), SUFFIX + ", bucket int", deal)
     done = table(dealt.groupBy("bucket").applyInArrow(sort, "id long, start long, need long, seen boolean, bucket int, side long, edge binary"), "suffixes")
+    forget(suffixes)
     # Two rows for each bucket, as many as there are splitters.
     ends = done.where("edge IS NOT NULL").orderBy("bucket", "side").toArrow().to_pylist()
     more = []

@@ -1,23 +1,25 @@
 """Exact top-k inner products by no-random-access aggregation (operator 2).
 
-Vectors are dealt to blocks.  A block keeps, for each dimension, the list of
-its vectors sorted by that component.  A query reads every list from the end
-that its own component's sign makes the better one, all lists to one depth,
-and never looks up a component out of turn.  What has been read of a vector
-gives bounds on its score: for an unread component the best is the value where
-its list stands, the worst the list's other end.  A query stops when no vector
-outside its k best can still reach the k-th best lower bound; the scores of
-those that may are then resolved by reading on.  Each block returns its k best
-for each query and the blocks' answers are merged.
-
-Queries go in blocks of ``query_rows`` against blocks of ``block_rows``
-vectors, so a task's memory has a bound and no task sees all of either side.
+Vectors are read in blocks, each where it lies.  A block keeps, for each
+dimension, the list of its vectors sorted by that component.  A query reads
+every list from the end that its own component's sign makes the better one, all
+lists to one depth, and never looks up a component out of turn.  What has been
+read of a vector gives bounds on its score: for an unread component the best is
+the value where its list stands, the worst the list's other end.  A query stops
+when no vector outside its k best can still reach the k-th best lower bound, or
+the k-th best score of the blocks that its task has read before; the scores of
+those that may are then resolved by reading on.
+
+Queries go to the vectors in blocks of ``query_numbers`` numbers, which the
+driver reads one after another from a table and sends with the tasks; vectors
+are not shuffled, and a task returns its k best for each query.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, nor do null ids or empty vectors; only vectors of the query's length
-are its candidates; candidates with the query's own vec_id are left out;
-further repeated rows each count; an empty table gives no rows.  Scores must
-fit 64 bits.
+are its candidates; candidates with the query's own vec_id are left out; of
+query rows that share a vec_id the smallest vector asks; further repeated rows
+each count as candidates; an empty table gives no rows.  Scores must fit 64
+bits.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_batches, table
+
 
 def integer_vector(vector: Column) -> Column:
     """floor(1024 * x) of every component as long; null if the vector takes no part."""
@@ -34,11 +38,13 @@ def integer_vector(vector: Column) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 1024)))
 
 
-def best_of_block(queries: np.ndarray, vectors: np.ndarray, barred: np.ndarray, ids: np.ndarray, k: int, depth: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows and scores of its k best vectors, higher scores and then smaller ids first.
+def best_of_block(queries: np.ndarray, vectors: np.ndarray, barred: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None, depth: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows and scores of its k best vectors of at least the score ``least``, higher scores and then smaller ids first.
 
     barred[q, v]: v is no candidate of q.  ``depth`` is how far the lists are read at first; it doubles.
     """
+    if least is None:
+        least = np.full(len(queries), -np.inf)
     n, d = vectors.shape
     big = float(d) * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0))
     kind = np.float64 if big < 2**53 else np.int64  # products of whole numbers, exact in either
@@ -69,7 +75,7 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, barred: np.ndarray,
             if m <= 0:
                 out[one] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 continue
-            kth = np.partition(lower[row], n - m)[n - m]
+            kth = max(np.partition(lower[row], n - m)[n - m], least[one])
             rivals = np.flatnonzero((upper[row] >= kth) & ~barred[one])
             # Resolved once every rival's bounds meet; an equal outsider may win by its id, so it is a rival too.
             if depth == n or (lower[row][rivals] == upper[row][rivals]).all():
@@ -83,32 +89,77 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, barred: np.ndarray,
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+class _Best:
+    """The k best that a task has seen of each query: higher scores, then smaller ids."""
+
+    def __init__(self, asks: np.ndarray, queries: np.ndarray, k: int):
+        self.asks, self.queries, self.k = asks, queries, k
+        self.ids = [np.zeros(0, np.int64) for _ in asks]
+        self.scores = [np.zeros(0, np.int64) for _ in asks]
+        self.least = np.full(len(asks), -np.inf)
+
+    def read(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        got = best_of_block(self.queries, vectors, self.asks[:, None] == ids[None, :], ids, self.k, self.least)
+        for q, (rows, scores) in enumerate(got):
+            if len(rows):
+                every, score = np.concatenate((self.ids[q], ids[rows])), np.concatenate((self.scores[q], scores))
+                first = np.lexsort((every, -score))[: self.k]
+                self.ids[q], self.scores[q] = every[first], score[first]
+                if len(first) == self.k:
+                    self.least[q] = score[first[-1]]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, query_numbers: int = 1 << 18) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and x, an array of longs."""
-    n_vectors, n_queries = vectors.count(), queries.count()
-    v_blocks, q_blocks = max(1, -(-n_vectors // block_rows)), max(1, -(-n_queries // query_rows))
-    of = lambda blocks: F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vectors.select("vec_id", "x", F.size("x").alias("d"), of(v_blocks).alias("vb")).withColumn("qb", each(q_blocks))
-    right = queries.select("vec_id", "x", F.size("x").alias("d"), of(q_blocks).alias("qb")).withColumn("vb", each(v_blocks))
-
-    def search(key, v, q):
-        if not len(v) or not len(q):
-            return pa.Table.from_pydict({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        mat = lambda t: t["x"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        ids, asks = v["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-        got = best_of_block(mat(q), mat(v), asks[:, None] == ids[None, :], ids, k)
-        counts = [len(rows) for rows, _ in got]
-        rows, scores = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        return pa.Table.from_pydict({"query_id": np.repeat(asks, counts), "vec_id": ids[rows], "score": scores})
-
-    keys = ["vb", "qb", "d"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+    asked = table(queries.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("d", F.size("x")), "queries")
+    schema = "query_id long, vec_id long, score long"
+    found = None
+    for d, n in sorted(map(tuple, asked.groupBy("d").count().collect())):  # one row for each length of vectors
+        blocks = max(1, -(-n * d // query_numbers))
+        for block in range(blocks):
+            mine = asked.where((F.col("d") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
+            got = mine.select("vec_id", "x").toArrow().sort_by("vec_id")  # about ``query_numbers`` numbers
+            if not len(got):
+                continue
+            part = in_batches(vectors.where(F.size("x") == d).select("vec_id", "x"), schema, _search(got["vec_id"].to_numpy(), _matrix(got["x"]), k, block_rows))
+            part = table(part, "best") if blocks > 1 else part
+            found = part if found is None else found.union(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _matrix(lists) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _search(asks: np.ndarray, queries: np.ndarray, k: int, block_rows: int):
+    def run(batches):
+        best, held, count = _Best(asks, queries, k), [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
+                held.append(part)
+                count += part.num_rows
+                if count >= block_rows:
+                    best.read(*_joined(held))
+                    held, count = [], 0
+        if count:
+            best.read(*_joined(held))
+        counts = [len(x) for x in best.ids]
+        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asks, counts), "vec_id": np.concatenate(best.ids), "score": np.concatenate(best.scores)})
+
+    return run
+
+
+def _joined(batches) -> tuple[np.ndarray, np.ndarray]:
+    whole = pa.Table.from_batches(batches)
+    return whole["vec_id"].to_numpy(), _matrix(whole["x"])
+
+
 def embedding_top_k(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """The k best of all vectors for each vector whose id is divisible by ``every``."""
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding")).alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL")
-    return top_k(usable, usable.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k)
+    return top_k(usable, usable.where(F.col("vec_id") % every == 0), k)

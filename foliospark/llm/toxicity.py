@@ -29,7 +29,9 @@ from .textstats import BANG, PIPE, STOP, SYMBOL, UPPER, TextStats
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "vous", "votre", "tus", "usted", "ustedes", "vosotros")
 #: Look-alike characters and the letters they stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-LEXICON_WORDS, LEXICON_RATIO = 400, 4.0
+#: Bounds of the lexicon, all parameters of ``learn_lexicon`` (the README states their effect): most words, how much
+#: oftener toxic training rows hold a word, and in how many and which share of them it must be.
+LEXICON_WORDS, LEXICON_RATIO, LEXICON_ROWS, LEXICON_SHARE = 400, 4.0, 3, 0.005
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
@@ -102,8 +104,8 @@ def dense_features(column, lexicon: np.ndarray) -> np.ndarray:
     return np.column_stack([hits / words * 100, np.log1p(hits), np.log1p(hidden), hidden / words * 100, np.log1p(kinds), np.log1p(count(doc, close)), count(doc, pronoun) / words, capital, c[:, BANG] / chars, c[:, STOP] / chars, c[:, SYMBOL] / chars, c[:, PIPE] / chars, np.log1p(stats.n_words), hits / words * 100 * capital]).astype(np.float64)
 
 
-def learn_lexicon(sample: DataFrame) -> np.ndarray:
-    """Sorted hashes of the at most LEXICON_WORDS words that toxic training rows hold much oftener; counted by document in Spark."""
+def learn_lexicon(sample: DataFrame, most: int = LEXICON_WORDS, ratio: float = LEXICON_RATIO, rows: int = LEXICON_ROWS, share: float = LEXICON_SHARE) -> np.ndarray:
+    """Sorted hashes of at most ``most`` words that toxic training rows hold much oftener; counted by document in Spark."""
 
     def per_document(batch):
         data, at = flat(batch.column(1))
@@ -118,16 +120,19 @@ def learn_lexicon(sample: DataFrame) -> np.ndarray:
     if not bad or bad == every:
         return np.zeros(0, U64)
     share_bad, share_rest = F.col("bad") / bad, (F.col("all") - F.col("bad") + 0.5) / (every - bad)
-    top = words.where((F.col("bad") >= 3) & (share_bad >= LEXICON_RATIO * share_rest)).withColumn("gain", share_bad - share_rest)
-    # A word of the lexicon is seen in at least a two-hundredth of toxic rows; rarer ones are chance.
-    top = top.where(share_bad >= 0.005).orderBy(F.desc("gain"), "code").limit(LEXICON_WORDS).select("code").collect()
+    top = words.where((F.col("bad") >= rows) & (share_bad >= ratio * share_rest)).withColumn("gain", share_bad - share_rest)
+    # Rarer words are chance.
+    top = top.where(share_bad >= share).orderBy(F.desc("gain"), "code").limit(most).select("code").collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(U64))
 
 
 class BoostedTrees:
-    """Histogram gradient boosting of depth-limited trees on the logistic loss."""
+    """Histogram gradient boosting of depth-limited trees on the logistic loss.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 20, ridge: float = 1.0):
+    ``least`` is the weight (sum of second derivatives) that both sides of a split must have.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 2.0, ridge: float = 1.0):
         self.edges = [np.unique(np.quantile(f, np.linspace(0, 1, bins + 1)[1:-1])) for f in x.T]
         self.base = float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
         self.rate, self.trees = rate, []
@@ -147,14 +152,14 @@ class BoostedTrees:
     def _grow(self, tree, node, b, g, h, rows, depth, bins, least, ridge):
         gs, hs = g[rows].sum(), h[rows].sum()
         tree[node] = (-gs / (hs + ridge), None, None)
-        if depth == 0 or len(rows) < 2 * least:
+        if depth == 0:
             return
         best = (1e-6, None, None)
         for f in range(b.shape[1]):
             at = b[rows, f]
-            cg, ch, cn = (np.cumsum(np.bincount(at, weights=v, minlength=bins))[:-1] for v in (g[rows], h[rows], None))
+            cg, ch = (np.cumsum(np.bincount(at, weights=v, minlength=bins))[:-1] for v in (g[rows], h[rows]))
             gain = cg**2 / (ch + ridge) + (gs - cg) ** 2 / (hs - ch + ridge) - gs**2 / (hs + ridge)
-            gain[(cn < least) | (len(rows) - cn < least)] = -1
+            gain[(ch < least) | (hs - ch < least)] = -1
             k = int(gain.argmax())
             if gain[k] > best[0]:
                 best = (gain[k], f, k)
@@ -204,12 +209,13 @@ class Isotonic:
 class ToxicityModel:
     def __init__(self, x: np.ndarray, y: np.ndarray, lexicon: np.ndarray):
         self.lexicon, self.share = lexicon, float(y.mean()) if len(y) else 0.0
-        self.usable = 0 < self.share < 1 and len(y) >= 40
+        self.usable = 0 < self.share < 1
         if not self.usable:
             return
-        fold = np.arange(len(y)) % 3  # rows are in an order that the labels do not set
+        folds = min(3, len(y))  # both labels are there, so at least two
+        fold = np.arange(len(y)) % folds  # rows are in an order that the labels do not set
         held = np.zeros(len(y))
-        for k in range(3):
+        for k in range(folds):
             held[fold == k] = BoostedTrees(x[fold != k], y[fold != k])(x[fold == k])
         self.trees, self.calibrate = BoostedTrees(x, y), Isotonic(held, y)
 

@@ -1,6 +1,7 @@
 """Operators against brute force, and their defined results on odd input."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import lines, mixing, near_duplicates, packing, quality, registry, secrets, substrings, topk, toxicity
+from foliospark.llm import lines, mixing, near_duplicates, packing, quality, registry, secrets, substrings, suffixes, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "a"), (4, "x " * 3000), (4, "x " * 3000), (5, "ab cd ef gh ij kl " * 40), (6, "ab cd ef gh ij kl " * 40), (None, "some words here that nobody else has at all"), (7, "é ü ß " * 300)]
@@ -37,23 +38,27 @@ def pairs(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
+def listed(found):
+    return sorted(map(tuple, found), key=lambda r: tuple(map(str, r)))
+
+
 def brute_bytes(docs, width=400):
-    texts = {i: t.encode() for i, t in docs}
-    seen = Counter(b[s : s + width] for b in texts.values() for s in range(len(b) - width + 1))
-    out = {}
-    for i, b in texts.items():
+    texts = [(i, t.encode()) for i, t in docs]
+    seen = Counter(b[s : s + width] for _, b in texts for s in range(len(b) - width + 1))
+    out = []
+    for i, b in texts:
         gone = bytearray(len(b))
         for s in range(len(b) - width + 1):
             if seen[b[s : s + width]] > 1:
                 gone[s : s + width] = b"\1" * width
         spans = sum(1 for p in range(len(b)) if gone[p] and (p == 0 or not gone[p - 1]))
-        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
-    return out
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return listed(out)
 
 
 def brute_words(docs, width=20):
-    seen, out = set(), {}
-    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0])):
+    seen, out = set(), []
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, hashlib.sha256(d[1].encode()).digest())):
         w = t.encode().split()
         gone = [False] * len(w)
         for s in range(len(w) - width + 1):
@@ -61,23 +66,50 @@ def brute_words(docs, width=20):
             if key in seen:
                 gone[s : s + width] = [True] * width
             seen.add(key)
-        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
-    return out
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    return listed(out)
+
+
+def morse(n):
+    """Thue-Morse word of n letters and its complement: equal under polynomial hashes modulo powers of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ("".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits))
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Texts that differ only in one Thue-Morse word, among shared words."""
+    one, two = morse(1024)
+    words = " ".join(f"w{i}" for i in range(10))
+    return spark.createDataFrame([(1, f"{words} {one} {words}"), (2, f"{words} {two} {words}"), (3, f"{one}\n{two}\nend")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("bucket", [16 << 20, 1 << 15])
+def test_repeated_bytes(docs, odd, alike, monkeypatch, bucket):
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", bucket)
+    for d in (docs, odd, alike, odd.limit(0)):
+        assert listed(substrings.remove_repeated_bytes(d).collect()) == brute_bytes(pairs(d))
 
 
-def test_repeated_bytes(docs, odd):
-    for d in (docs, odd.dropDuplicates(["doc_id"])):
-        got = rows(substrings.remove_repeated_bytes(d), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-        assert got == brute_bytes(pairs(d))
+def test_repeated_words(docs, odd, alike):
+    for d in (docs, odd, alike, odd.limit(0)):
+        assert listed(substrings.remove_repeated_words(d).collect()) == brute_words(pairs(d))
 
 
-def test_repeated_words(docs, odd):
-    for d in (docs, odd.dropDuplicates(["doc_id"])):
-        assert rows(substrings.remove_repeated_words(d), "n_words", "n_removed", "kept_sha256") == brute_words(pairs(d))
+def test_suffix_order():
+    rng = np.random.default_rng(0)
+    found = [bytes(rng.integers(97, 99, rng.integers(0, 40)).astype(np.uint8)) for _ in range(2000)] + [b"a" * k for k in range(30)] + [b"", b"\0", b"\0\0"] * 3
+    strings = suffixes.Strings(np.frombuffer(b"".join(found), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in found]))))
+    order = suffixes.multikey_quicksort(strings)
+    assert [found[i] for i in order] == sorted(found)
+    common = suffixes.common_prefix(strings, order)
+    for a, b, n in zip(order[:-1], order[1:], common.tolist()):
+        x, y = found[a], found[b]
+        assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
 
 
-def test_near_duplicates(docs, odd):
-    for d in (docs, odd.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")):
+def test_near_duplicates(docs, odd, alike):
+    for d in (docs, alike, odd.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")):
         sets = {}
         for i, t in pairs(d):
             w = t.encode().lower().split()
@@ -140,6 +172,27 @@ def test_secrets_ledger_is_incremental(spark, odd):
     assert secrets.secret_findings(odd).count() == len(ODD)
 
 
+def test_ledger_is_kept_and_long_texts_are_whole(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    versions = [("a", 1, "token=abcdef"), ("a", 2, "token=abcdefgh"), ("b", 1, "token=abcdef")]
+    d = spark.createDataFrame(versions, "path string, version int, text string")
+    first = secrets.keep_ledger(spark, path, d.where("version = 1"))
+    assert first.count() == 1
+    whole = secrets.keep_ledger(spark, path, d)
+    assert whole.count() == 2 and secrets.keep_ledger(spark, path, d).count() == 2
+    got = {(r.path, r.version): len(r._found) for r in secrets.findings(d, whole).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 1, ("b", 1): 1}
+    newer = secrets.RULES[:1] + (secrets.Rule("access", 2, "AKIA[A-Z]{2,}"),)
+    assert secrets.keep_ledger(spark, path, d, newer).count() == 4  # both texts again, for the newer rule only
+
+    long = "".join(f"é{i} token=secret{i:06d} AKIA{'Q' * 16} " for i in range(3000))
+    found = secrets.secret_findings(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    base = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"token=secret\d{6}", long)] + [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIAQ+", long)]
+    assert found.spans == ",".join(t for _, _, t in sorted(base)) and found.n_assign == found.n_access == 3000
+    clean = secrets.redact(spark.createDataFrame([(1, long, "clash", "clash")], "doc_id long, text string, spans string, blob string")).first()
+    assert clean.text == re.sub("AKIAQ+", "[access]", re.sub(r"token=secret\d{6}", "[assign]", long)) and clean.spans == clean.blob == "clash"
+
+
 def test_mixing_meets_targets(spark, docs, odd):
     one = mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
     assert (one.taken <= 3 * one["size"]).all()
@@ -150,6 +203,21 @@ def test_mixing_meets_targets(spark, docs, odd):
     assert mixing.mix_sources(odd).count() == len(ODD) and mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_without_or_with_one_id(spark):
+    texts = [(None, "w " * (1 + i % 7), "a") for i in range(300)] + [(5, "v " * 9, "b")] * 100 + [(None, None, None), (6, "", "b")]
+    d = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    one = mixing.mix_sources(d).toPandas()
+    assert len(one) == len(texts) and (one.copies <= 3).all()
+    per = one.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((per.taken - per.target).abs() <= 9).all()
+    many = mixing.mixed_documents(d.withColumn("copies", F.lit("clash"))).toPandas()
+    size = many.text.fillna("").str.split().str.len()
+    assert list(many.columns) == ["doc_id", "text", "source", "copies"]
+    for source, n in (("a", 7), ("b", 9)):
+        target = one[one.source_size == sum(len((t or "").split()) for _, t, s in texts if s == source)].target.iloc[0]
+        assert abs(size[many.source == source].sum() - target) <= n
+
+
 def test_targets_reshare(spark):
     d = spark.createDataFrame([("sa", 10, 1), ("sb", 100, 1), ("sc", 1000, 1), ("t", 0, 1)], "skey string, source_size long, n long")
     got = {r.skey: r.target for r in mixing.targets(d).collect()}
@@ -171,22 +239,26 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).round(2)
     x[50:120] = x[50]
-    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, [])]
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(20, [9.0] * 8), (1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, [])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     got = defaultdict(list)
     usable = df.select("vec_id", topk.integer_vector(F.col("embedding")).alias("x")).where("x IS NOT NULL")
-    for r in topk.top_k(usable, usable.where("vec_id % 20 = 0"), 10, block_rows=64, query_rows=4).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(usable, usable.where("vec_id % 20 = 0"), 10, block_rows=64, query_numbers=32).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    whole = np.floor(1024 * x).astype(np.int64)
+    ids = [*range(300), 20]
+    whole = np.floor(1024 * np.vstack((x, np.full((1, 8), 9.0)))).astype(np.int64)
     for q in range(0, 300, 20):
-        score = whole @ whole[q]
-        want = sorted(((int(s), v) for v, s in enumerate(score.tolist()) if v != q), key=lambda p: (-p[0], p[1]))[:10]
+        score = whole @ min((whole[k] for k in range(301) if ids[k] == q), key=list)  # id 20 comes twice
+        want = sorted(((s, v) for v, s in zip(ids, score.tolist()) if v != q), key=lambda p: (-p[0], p[1]))[:10]
         assert got[q] == [(v, s) for s, v in want]
+    assert topk.embedding_top_k(df.limit(0)).count() == 0
+    assert topk.embedding_top_k(df.withColumns({"rank": F.lit(1), "score": F.lit("clash"), "x": F.lit(0)}), every=20).count() == 150
 
 
-def test_line_rules_base(docs, labels, odd):
-    for d in (docs, odd.where("doc_id <> 4 OR doc_id IS NULL")):
-        got = rows(lines.quality_rules(d, labels), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+def test_line_rules_base(docs, labels, odd, alike):
+    for d in (docs, odd, alike):
+        got = Counter(tuple(r) for r in lines.quality_rules(d, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
+        want = Counter()
         for i, t in pairs(d):
             w, places, repeat, seen, again = t.encode().split(), defaultdict(list), set(), set(), 0
             for s in range(len(w) - 7):
@@ -198,8 +270,8 @@ def test_line_rules_base(docs, labels, odd):
                 if line.encode().split():
                     again += line in seen
                     seen.add(line)
-            want = (len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), again, len(repeat), len(w) < 20 or 100 * len(repeat) > 30 * len(w))
-            assert got[i] == want
+            want[i, len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), again, len(repeat), len(w) < 20 or 100 * len(repeat) > 30 * len(w)] += 1
+        assert got == want
 
 
 def test_viterbi_is_the_best_path():
@@ -233,6 +305,74 @@ def test_classifiers_on_odd_input(labels, odd):
         assert f(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_toxicity_with_few_labels(spark):
+    texts = [(i, ("you stupid fool " if i % 3 == 0 else "a calm and kind text ") * (1 + i % 4)) for i in range(60)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    train = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 5]
+    for n in (5, 39, 41):
+        l = spark.createDataFrame([(i, int(i % 3 == 0)) for i in train[:n]], "doc_id long, toxic int")
+        p = toxicity.toxicity_scores(d, l).toPandas()
+        assert p.score.between(0, 1).all()
+        if n > 5:
+            assert (p.predicted == (p.doc_id % 3 == 0)).mean() > 0.9
+
+
+def test_isotonic_is_the_least_squares_fit():
+    rng = np.random.default_rng(2)
+    score, y = rng.normal(size=9), rng.integers(0, 2, 9).astype(float)
+    got = toxicity.Isotonic(score, y)(score)
+    order = np.argsort(score)
+    # The best non-decreasing fit is at each place the largest over starts of the least mean over ends.
+    sorted_ = y[order]
+    want = [max(min(sorted_[a : b + 1].mean() for b in range(k, 9)) for a in range(k + 1)) for k in range(9)]
+    fit = toxicity.Isotonic(score, y)
+    blocks = [float(v) for v, n in zip(fit.value, np.diff(np.searchsorted(score[order], [*((fit.at[1:] + fit.at[:-1]) / 2), np.inf], side="right"), prepend=0)) for _ in range(n)]
+    assert (np.diff(got[order]) >= -1e-12).all() and len(blocks) == 9
+    assert sorted(set(np.round(blocks, 9))) == sorted(set(np.round(want, 9)))
+
+
+def test_first_tree_takes_the_best_split():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 6, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float)
+    model = toxicity.BoostedTrees(x, y, trees=1, depth=1, least=2.0)
+    g, h = y.mean() - y, np.full(80, y.mean() * (1 - y.mean()))
+    every = []
+    for f in range(3):
+        for cut in np.unique(x[:, f])[:-1]:
+            low = x[:, f] <= cut
+            if h[low].sum() >= 2 and h[~low].sum() >= 2:
+                every.append(sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (low, ~low)) - g.sum() ** 2 / (h.sum() + 1))
+    got = model(x)
+    sides = [got == v for v in np.unique(got)]
+    assert sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in sides) - g.sum() ** 2 / (h.sum() + 1) == pytest.approx(max(every))
+    for m in sides:
+        assert got[m][0] == pytest.approx(model.base - 0.15 * g[m].sum() / (h[m].sum() + 1))
+
+
+def test_risk_sums_are_the_loss_and_its_derivatives():
+    rng = np.random.default_rng(5)
+    x, w, e = rng.normal(size=(20, 3)), rng.normal(size=3), 1e-5
+    loss = lambda v: np.log1p(np.exp(x @ v)).sum()
+    got, unit = quality.risk_sums(x, w), np.eye(3) * e
+    assert got[0] == pytest.approx(loss(w))
+    assert got[1:4] == pytest.approx([(loss(w + u) - loss(w - u)) / (2 * e) for u in unit], rel=1e-5)
+    assert got[4:].reshape(3, 3) == pytest.approx(np.array([(quality.risk_sums(x, w + u)[1:4] - quality.risk_sums(x, w - u)[1:4]) / (2 * e) for u in unit]), rel=1e-5)
+
+
+def test_positive_unlabelled_risk_is_least():
+    """Against a plain search: no small step from the fitted weights lowers the risk."""
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(1, 1, (60, 2)), np.vstack((rng.normal(1, 1, (40, 2)), rng.normal(-1, 1, (160, 2))))
+    mean, scale = u.mean(0), u.std(0)
+    xu, xp = quality.expand(u, mean, scale), quality.expand(p, mean, scale)
+    model = quality.PUModel(p, mean, scale, lambda w: quality.risk_sums(xu, w), len(u), 0.1)
+    loss = lambda z: np.logaddexp(0, z)
+    risk = lambda w: 0.1 * loss(-(xp @ w)).mean() + max(0, loss(xu @ w).mean() - 0.1 * loss(xp @ w).mean()) + 5e-4 * w @ w
+    here = risk(model.weights)
+    assert all(risk(model.weights + s) >= here - 1e-6 for s in rng.normal(0, 0.02, (200, xu.shape[1])))
+    assert (model(u[40:]) < 0.5).mean() > 0.8 and model(p).mean() > 3 * model(u[40:]).mean()
+
+
 def test_empty_tables(odd, labels):
     none = odd.limit(0)
     assert near_duplicates.near_duplicates(none).count() == substrings.remove_repeated_words(none).count() == substrings.remove_repeated_bytes(none).count() == 0
