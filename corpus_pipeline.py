@@ -1,6 +1,8 @@
 """From raw documents to packed token sequences: five stages, each written and read again.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever
+columns those are.  An empty table passes through; null texts count as empty ones, null sources as one
+source; rows that repeat, or lack, a doc_id are documents of their own but for the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from foliospark.llm import mixing, near_duplicates, packing, quality, secrets
 from foliospark.llm.common import read, shared_dir
@@ -22,11 +25,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8).
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
+    Of rows that repeat a doc_id the one with the least text (then other columns) stays; rows without a
+    doc_id all stay.
     """
     marked = near_duplicates.near_duplicates(docs, k=5)
     kept = marked.where("kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_kept")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    mine = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    order = ["text", *[f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name != "text"]]
+    one = mine.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")
     return one.union(docs.where("doc_id IS NULL"))
 
 
