@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +120,13 @@ class Groups:
         out.append((doc[hit], s[hit], s[hit]))
         return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
+    def with_own_repeats(self) -> np.ndarray:
+        """Texts in which some anchor's k comes twice."""
+        _, _, _, k, _ = self.anchors()
+        key = k ^ mix(self.doc.astype(U64) + U64(1))
+        order = np.argsort(key)
+        return np.unique(self.doc[order[1:][key[order][1:] == key[order][:-1]]])
+
     def own_repeats(self, equal: Callable[[int, int, int], bool]) -> list[tuple[int, int, int]]:
         """Runs (s, t, n): the n windows from s on equal those from t > s on in the same text.
 
@@ -178,7 +186,7 @@ def within(keys: np.ndarray, doc: np.ndarray, wanted: np.ndarray, wanted_doc: np
 
 def lists(column) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a list column and the row of each (a null list is empty)."""
-    sizes = np.array([0 if x is None else len(x) for x in column.to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
@@ -222,14 +230,16 @@ class Candidates:
             # A text that repeats a group has one row of it.
             once = np.unique(mix(f) ^ mix(doc.astype(U64) + U64(1)), return_index=True)[1]
             ids = batch.column(0).to_numpy()
-            return {"k": pa.array(k[once].view(np.int64)), "f": pa.array(f[once].view(np.int64)), "id": pa.array(ids[doc[once]])}
+            yield {"k": pa.array(k[once].view(np.int64)), "f": pa.array(f[once].view(np.int64)), "id": pa.array(ids[doc[once]])}
+            if batch.num_columns == 2:  # the first level: texts that repeat something of their own have a row without k
+                own = ids[groups.with_own_repeats()]
+                yield {"k": pa.nulls(len(own), pa.int64()), "f": pa.nulls(len(own), pa.int64()), "id": pa.array(own)}
 
         return arrow_map(texts, "k long, f long, id long", run)
 
     def _settle(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, f) of groups that other texts hold whole, and (id, f) of those to look into."""
+        """(id, f) of groups that other texts hold whole, and (id, f) of those to look into; ``rows`` is deleted."""
         # Tables of their own: a join's two sides both shuffle then, and Spark can split a frequent key.
-        rows = table(rows, "groups")
         shared = table(rows.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k"), "keys")
         live = table(rows.join(shared, "k"), "shared")
         whole = table(live.groupBy("k", "f").agg(F.min("id").alias("first"), F.max("id").alias("last")), "whole")
@@ -239,8 +249,8 @@ class Candidates:
         forget(rows, shared, live, whole, several)
         return found, open_
 
-    def find(self, texts: DataFrame) -> DataFrame:
-        """(id, f, opened): the groups and windows that seem to be in another text too, and those looked into for smaller ones."""
+    def find(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, f, opened): the groups and windows that seem to be in another text too, and those looked into for smaller ones; (id) of texts that may repeat something of their own."""
         plan = self.plan
 
         def first_level(groups, batch):
@@ -258,26 +268,29 @@ class Candidates:
             _, doc, w = groups.windows(row[keep], s0[keep], s1[keep])
             return w, w, doc
 
-        found, open_ = self._settle(self._rows(texts, first_level))
+        groups = table(self._rows(texts, first_level), "groups")
+        own = table(groups.where("k IS NULL").select("id"), "own")
+        found, open_ = self._settle(groups)
         opened = open_
         if plan.block:
-            more, open_ = self._settle(self._rows(with_list(texts, open_, "f"), middle_level))
+            more, open_ = self._settle(table(self._rows(with_list(texts, open_, "f"), middle_level), "groups"))
             found, opened = found.union(more), opened.union(open_)
         rows = table(self._rows(with_list(texts, open_, "f"), last_level).select("f", "id"), "windows")
         twice = table(rows.groupBy("f").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("f"), "twice")
         found = found.union(table(rows.join(twice, "f").select("id", "f"), "found"))
         forget(rows, twice)
-        return found.withColumn("opened", F.lit(False)).union(opened.withColumn("opened", F.lit(True)))
+        return found.withColumn("opened", F.lit(False)).union(opened.withColumn("opened", F.lit(True))), own
 
-    def spans(self, texts: DataFrame, schema: str, emit) -> DataFrame:
-        """What ``emit(batch, groups, text, first and last window)`` makes of the candidates, wherever they stand."""
+    def spans(self, texts: DataFrame, schema: str, emit) -> tuple[DataFrame, DataFrame]:
+        """What ``emit(batch, groups, text, first and last window)`` makes of the candidates, wherever they stand; (id) as of ``find``."""
 
         def run(batch):
             groups = self.groups(batch.column(1))
             return emit(batch, groups, *groups.claimed(wanted_of(batch), wanted_of(batch, 3)))
 
-        per = self.find(texts).groupBy("id").agg(F.collect_list(F.when(~F.col("opened"), F.col("f"))).alias("f"), F.collect_list(F.when(F.col("opened"), F.col("f"))).alias("open"))
-        return arrow_map(texts.join(per.where(F.size("f") > 0), "id"), schema, run)
+        claims, own = self.find(texts)
+        per = claims.groupBy("id").agg(F.collect_list(F.when(~F.col("opened"), F.col("f"))).alias("f"), F.collect_list(F.when(F.col("opened"), F.col("f"))).alias("open"))
+        return arrow_map(texts.join(per.where(F.size("f") > 0), "id"), schema, run), own
 
 
 def wanted_of(batch, column: int = 2) -> Pairs:

@@ -52,18 +52,45 @@ def _bytes(column) -> Elements:
     return Elements(prefix, at, priority)
 
 
-def _packed(start: str, need: str) -> F.Column:
-    return (F.shiftleft(F.col(start), 24) + F.col(need)).alias("spans")
+#: Among a text's spans: it may repeat something of its own.
+_OWN = -1
 
 
-def _covered(n: int, at: np.ndarray, column) -> np.ndarray:
-    """Differences of how many of the batch's spans (start << 24 | length, from the text's start) cover each element."""
-    spans, of = lists(column)
-    cover = np.zeros(n + 1, np.int64)
+def _spans(found: DataFrame, own: DataFrame) -> DataFrame:
+    """id and spans (start << 24 | length, elements from the text's start, or _OWN) as a table."""
+    packed = found.select("id", (F.shiftleft(F.col("start"), 24) + F.col("need")).alias("spans"))
+    return table(packed.union(own.select("id", F.lit(_OWN).cast("long"))), "spans")
+
+
+def _removed(batch, at: np.ndarray, width: int, own_repeats, both: bool) -> np.ndarray:
+    """Which elements go: those of the batch's spans, and those of ``own_repeats(rows)`` in texts that may have them.
+
+    at: where each text's elements begin (one more for the end).  ``both``: the first of equal windows goes too.
+    """
+    spans, of = lists(batch.column(2))
+    own = np.unique(of[spans == _OWN])
+    spans, of = spans[spans >= 0], of[spans >= 0]
+    cover = np.zeros(int(at[-1]) + 1, np.int64)
     start = at[of] + (spans >> 24)
     np.add.at(cover, start, 1)
     np.add.at(cover, start + (spans & 0xFFFFFF), -1)
-    return cover
+    for row, s, t, n in own_repeats(own) if len(own) else ():
+        for x in (s, t) if both else (t,):
+            cover[at[row] + x] += 1
+            cover[at[row] + x + n + width - 1] -= 1
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _own(batch, rows: np.ndarray, read, plan: Plan, equal) -> list[tuple[int, int, int, int]]:
+    """Row, s, t, n of the windows that the texts of ``rows`` repeat; places from the text's start."""
+    part = batch.column(1).take(pa.array(rows))
+    elements = read(part)
+    at = elements.at
+    out = []
+    for s, t, n in Groups(elements, plan).own_repeats(equal(part, at)):
+        k = int(np.searchsorted(at, s, side="right")) - 1
+        out.append((int(rows[k]), s - int(at[k]), t - int(at[k]), n))
+    return out
 
 
 def _digest_bytes(data: np.ndarray, at: np.ndarray, removed: np.ndarray) -> dict:
@@ -75,8 +102,8 @@ def _digest_bytes(data: np.ndarray, at: np.ndarray, removed: np.ndarray) -> dict
     return {"n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": sha256(kept)}
 
 
-def repeated_byte_spans(texts: DataFrame, plan: Plan) -> DataFrame:
-    """id, start, need of strings of at least ``plan.width`` bytes that are in another text (id, text) too."""
+def repeated_byte_spans(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """id, start, need of strings of at least ``plan.width`` bytes that are in another text (id, text) too; (id) of texts that may repeat their own."""
 
     def cut(batch, groups, doc, s0, s1):
         data, at = flat(batch.column(1))
@@ -89,7 +116,8 @@ def repeated_byte_spans(texts: DataFrame, plan: Plan) -> DataFrame:
                 s = [bytes(whole[i:j]) for i, j in zip(s0[a:b].tolist(), stop[a:b].tolist(), strict=True)]
                 yield {"id": pa.array(ids[doc[a:b]]), "start": pa.array(s0[a:b] - at[doc[a:b]]), "s": pa.array(s, pa.binary())}
 
-    return repeated_suffixes(table(Candidates(plan, _bytes).spans(texts, SUFFIX, cut), "candidates"))
+    candidates, own = Candidates(plan, _bytes).spans(texts, SUFFIX, cut)
+    return repeated_suffixes(table(candidates, "candidates")), own
 
 
 def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
@@ -97,17 +125,16 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
     low = (width - _GRAM) // 5
     plan = Plan(width, low, width - low, 16)
     rows, texts = distinct_texts(docs)
-    spans = table(repeated_byte_spans(texts, plan).select("id", _packed("start", "need")), "spans")
+    spans = _spans(*repeated_byte_spans(texts, plan))
+
+    def equal(part, _):
+        data, _ = flat(part)
+        return lambda a, b, m: np.array_equal(data[a : a + m], data[b : b + m])
 
     def finish(batch):
         data, at = flat(batch.column(1))
-        cover = _covered(len(data), at, batch.column(2))
-        groups = Groups(_bytes(batch.column(1)), plan)
-        for s, t, n in groups.own_repeats(lambda a, b, m: np.array_equal(data[a : a + m], data[b : b + m])):
-            for x in (s, t):
-                cover[x] += 1
-                cover[x + n + width - 1] -= 1
-        return {"id": batch.column(0)} | _digest_bytes(data, at, np.cumsum(cover[:-1]) > 0)
+        removed = _removed(batch, at, width, lambda rows: _own(batch, rows, _bytes, plan, equal), both=True)
+        return {"id": batch.column(0)} | _digest_bytes(data, at, removed)
 
     digest = arrow_map(with_list(texts, spans, "spans", "left"), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
     # Of a text that several rows have, every string of the width is repeated.
@@ -152,18 +179,17 @@ def _words(column) -> Elements:
     return Elements(prefix, first, priority)
 
 
-def _digest_words(texts: list[bytes], first: np.ndarray, removed: np.ndarray) -> dict:
+def _digest_words(texts: list[list[bytes]], first: np.ndarray, removed: np.ndarray) -> dict:
     total = np.concatenate(([0], np.cumsum(removed)))
     kept = []
-    for row, text in enumerate(texts):
-        own = text.split()
+    for row, own in enumerate(texts):
         gone = removed[first[row] : first[row + 1]]
         kept.append(b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g] if gone.any() else own))
     return {"n_words": pa.array(np.diff(first)), "n_removed": pa.array(total[first[1:]] - total[first[:-1]]), "kept_sha256": sha256(kept)}
 
 
-def repeated_word_spans(texts: DataFrame, plan: Plan) -> DataFrame:
-    """id, start, need of word sequences that a text with a smaller id holds too; sequences are named by the SHA-256 of their words."""
+def repeated_word_spans(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """id, start, need of word sequences that a text with a smaller id holds too, named by the SHA-256 of their words; (id) of texts that may repeat their own."""
 
     def name(batch, groups, doc, s0, s1):
         own = [w for t in batch.column(1).to_pylist() for w in t.split()]
@@ -171,33 +197,28 @@ def repeated_word_spans(texts: DataFrame, plan: Plan) -> DataFrame:
         both = np.frombuffer(digest, np.int64).reshape(-1, 2)
         return {"d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "id": pa.array(batch.column(0).to_numpy()[doc]), "start": pa.array(s0 - groups.e.at[doc]), "need": pa.array(s1 - s0 + plan.width)}
 
-    named = table(Candidates(plan, _words).spans(texts, "d1 long, d2 long, id long, start long, need long", name), "named")
+    candidates, own = Candidates(plan, _words).spans(texts, "d1 long, d2 long, id long, start long, need long", name)
+    named = table(candidates, "named")
     firsts = table(named.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("d1", "d2", "low"), "firsts")
-    return named.join(firsts, ["d1", "d2"]).where("id <> low").select("id", "start", "need")
+    return named.join(firsts, ["d1", "d2"]).where("id <> low").select("id", "start", "need"), own
 
 
 def remove_repeated_words(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     plan = Plan(width, 4, width - 3, 0)
     rows, texts = distinct_texts(docs)
-    spans = table(repeated_word_spans(texts, plan).select("id", _packed("start", "need")), "spans")
+    spans = _spans(*repeated_word_spans(texts, plan))
+
+    def equal(part, at):
+        own = [w for t in part.to_pylist() for w in t.split()]
+        return lambda a, b, m: own[a : a + m] == own[b : b + m]
 
     def finish(batch):
-        elements, whole = _words(batch.column(1)), batch.column(1).to_pylist()
-        first = elements.at
-        cover = _covered(int(first[-1]), first, batch.column(2))
-        own: dict[int, list[bytes]] = {}
-
-        def equal(a, b, m):
-            row = int(np.searchsorted(first, a, side="right")) - 1
-            w = own.setdefault(row, whole[row].split())
-            a, b = a - first[row], b - first[row]
-            return w[a : a + m] == w[b : b + m]
-
-        for _, t, n in Groups(elements, plan).own_repeats(equal):
-            cover[t] += 1
-            cover[t + n + width - 1] -= 1
-        return {"id": batch.column(0)} | _digest_words(whole, first, np.cumsum(cover[:-1]) > 0)
+        whole = batch.column(1).to_pylist()
+        own = [t.split() for t in whole]
+        first = np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)
+        removed = _removed(batch, first, width, lambda rows: _own(batch, rows, _words, plan, equal), both=False)
+        return {"id": batch.column(0)} | _digest_words(own, first, removed)
 
     digest = arrow_map(with_list(texts, spans, "spans", "left"), "id long, n_words long, n_removed long, kept_sha256 string", finish)
     out = rows.join(digest, "id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))

@@ -147,7 +147,7 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
         return pa.Table.from_pydict(out | {"edge": pa.array([edge[k] for k in kept], pa.binary())})
 
     dealt = in_batches(suffixes.select("id", "start", "s"), SUFFIX + ", bucket int", deal)
-    done = table(dealt.groupBy("bucket").applyInArrow(sort, "id long, start long, need long, seen boolean, bucket int, side long, edge binary"), "suffixes")
+    done = table(dealt.repartition(len(bounds) + 1, "bucket").groupBy("bucket").applyInArrow(sort, "id long, start long, need long, seen boolean, bucket int, side long, edge binary"), "suffixes")
     forget(suffixes)
     # Two rows for each bucket, as many as there are splitters.
     ends = done.where("edge IS NOT NULL").orderBy("bucket", "side").toArrow().to_pylist()
