@@ -17,8 +17,9 @@ LOOKALIKE_TO = "АВСЕНКМОРТХУАВСЕНКМОРТХУДДЛЛ"
 SERVICE_LABELS = (r"РОССИЙСКАЯ\s*ФЕДЕРАЦИЯ", r"ПАСПОРТ\s*ВЫДАН", r"ДАТА\s*ВЫДАЧИ", r"КОД\s*ПОДРАЗДЕЛЕНИЯ", "ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", r"ДАТА\s*РОЖДЕНИЯ", r"МЕСТО\s*РОЖДЕНИЯ", r"ЛИЧНАЯ\s*ПОДПИСЬ")
 # What each cleaner takes out, in order.
 ISSUER_LABELS = (r"РОССИЙСКАЯ\s*ФЕДЕРАЦИЯ", r"ПАСПОРТ\s*ВЫДАН", "ПАСПОРТ", "ВЫДАН", r"ДАТА\s*ВЫДАЧИ", "ДАТА", "ВЫДАЧИ", r"КОД\s*ПОДРАЗДЕЛЕНИЯ", "КОД", "ПОДРАЗДЕЛЕНИЯ")
-PERSON_LABELS = ("ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", r"ДАТА\s*РОЖДЕНИЯ", "ДАТА", "РОЖДЕНИЯ", r"МЕСТО\s*РОЖДЕНИЯ", "МЕСТО", r"ЛИЧНАЯ\s*ПОДПИСЬ", r"[АЛ]ИЧНАЯ\s*ПОД[ПН]ИСЬ", "ПОДПИСЬ", "ПОДНИСЬ", r"МУЖ\.?", r"ЖЕН\.?")
-PLACE_LABELS = (r"МЕСТО\s*РОЖДЕНИЯ", r"МЕС\s*Т?\s*О", r"МЕСТ\s*О", "МЕСТО", "РОЖДЕНИЯ", r"ДАТА\s*РОЖДЕНИЯ", "ДАТА", "ПОЛ", r"МУЖ\.?", r"ЖЕН\.?", r"ЛИЧНАЯ\s*ПОДПИСЬ", r"[АЛ]ИЧНАЯ\s*ПОД[ПН]ИСЬ", "ПОДПИСЬ", "ПОДНИСЬ")
+PERSON_LABELS = ("ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", r"ДАТА\s*РОЖДЕНИЯ", "ДАТА", "РОЖДЕНИЯ", r"МЕСТО\s*РОЖДЕНИЯ", "МЕСТО", r"МУЖ\.?", r"ЖЕН\.?")
+PLACE_LABELS = (r"МЕСТО\s*РОЖДЕНИЯ", r"МЕС\s*Т?\s*О", r"МЕСТ\s*О", "МЕСТО", "РОЖДЕНИЯ", r"ДАТА\s*РОЖДЕНИЯ", "ДАТА", "ПОЛ", r"МУЖ\.?", r"ЖЕН\.?")
+SIGNATURE_LABELS = (r"ЛИЧНАЯ\s*ПОДПИСЬ", r"[АЛ]ИЧНАЯ\s*ПОД[ПН]ИСЬ", "ПОДПИСЬ", "ПОДНИСЬ")
 # Compact texts that carry no value.
 ISSUER_NOISE = ("РОССИЙСКАЯФЕДЕРАЦИЯ", "ПАСПОРТ", "ВЫДАН", "ПАСПОРТВЫДАН", "ДАТА", "ВЫДАЧИ", "ДАТАВЫДАЧИ", "КОД", "ПОДРАЗДЕЛЕНИЯ", "КОДПОДРАЗДЕЛЕНИЯ")
 PERSON_NOISE = ("ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", "ДАТА", "РОЖДЕНИЯ", "ДАТАРОЖДЕНИЯ", "МЕСТО", "МЕСТОРОЖДЕНИЯ", "ЛИЧНАЯПОДПИСЬ", "АИЧНАЯПОДНИСЬ", "ПОДПИСЬ", "ПОДНИСЬ", "МУЖ", "ЖЕН")
@@ -30,35 +31,60 @@ DATE = r"(?U)\b(\d{2})[.\-/](\d{2})[.\-/](\d{4})\b"
 CODE = r"(?U)\b\d{3}[-\s]?\d{3}\b"
 
 
+#: Characters that NFKC leaves alone wherever they stand, but for combining marks, which are not among them.
+_STABLE = r"\x00-\x7FÀ-ÖØ-öø-ÿ\u0391-\u03A1\u03A3-\u03A9\u03B1-\u03C9\u0400-\u0482\u048A-\u04FF«»\u2013\u2014\u2018\u2019\u201C-\u201E"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
+    if text.notna().any():
+        return text.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
+    return text
 
 
 def compatible(text: Column) -> Column:
-    """NFKC of texts that are not ASCII; Spark has no such function, so only those reach Python."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """NFKC, which Spark lacks: texts of stable characters stay in the JVM, for the others a column of them goes to Python."""
+    other = text.rlike(f"[^{_STABLE}]")
+    return F.when(other, _nfkc(F.when(other, text))).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Every run of blanks as one space, trimmed; a single space is not replaced."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def strip(text: Column, chars: str) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
+#: Broken abbreviations and their repair.  The literal comes first, so that the search skips from letter to letter.
+ABBREVIATIONS = ((r"ФОП(?<!\wФОП)(?:\.|\b)", "ГОР."), (r"Г(?<!\wГ)\s*О\s*Р\s*\.", "ГОР."), (r"ГОР\.(?<!\wГОР\.)\s*", "ГОР. "), (r"Р(?<!\wР)\s*О\s*В\s*Д\b", "РОВД"))
+
+
 def normalize_text(text: Column, nfkc: bool = True) -> Column:
     """One spelling for each text: look-alikes, case, quotes, dashes, blanks and broken abbreviations; null is ''."""
     out = F.coalesce(text, F.lit(""))
     out = compatible(out) if nfkc else out
     out = F.upper(F.translate(out, "Ёё" + LOOKALIKE_FROM, "Ее" + LOOKALIKE_TO))
-    out = squeeze(F.translate(F.translate(out, "–—", "--"), "«»\"`'’", ""))
-    for pattern, to in ((r"\bФОП(?:\.|\b)", "ГОР."), (r"\bГ\s*О\s*Р\s*\.", "ГОР."), (r"\bГОР\.\s*", "ГОР. "), (r"\bР\s*О\s*В\s*Д\b", "РОВД")):
+    return repaired(squeeze(F.translate(out, "–—«»\"`'’", "--")))
+
+
+def repaired(norm: Column) -> Column:
+    """Repairs the broken abbreviations of a text that is normalised but for them."""
+    out = norm
+    for pattern, to in ABBREVIATIONS:
         out = F.regexp_replace(out, "(?U)" + pattern, to)
     return squeeze(out)
 
 
+def joined(parts: Column, chars: str) -> Column:
+    """Normalised parts in one text, which is normalised again: an abbreviation may have been broken over parts."""
+    whole = F.array_join(parts, " ")
+    # A one-element array binds the text, so that it is made once.
+    fixed = F.transform(F.array(whole), lambda t: F.when(t.rlike(r"(?U)ФОП|Г\s*О\s*Р\s*\.|Р\s*О\s*В\s*Д"), repaired(t)).otherwise(t))
+    return strip(F.element_at(fixed, 1), chars)
+
+
 def compact_text(norm: Column) -> Column:
     return F.regexp_replace(norm, "[^А-ЯA-Z0-9]+", "")
 
@@ -78,10 +104,11 @@ def find_department_codes(norm: Column) -> Column:
     return F.transform(F.regexp_extract_all(norm, F.lit(CODE), F.lit(0)), lambda c: F.concat_ws("-", F.substring(digits(c), 1, 3), F.substring(digits(c), 4, 3)))
 
 
-def without(norm: Column, labels: Iterable[str]) -> Column:
+def without(norm: Column, *labels: Iterable[str]) -> Column:
+    """Dates, codes and labels as blanks.  Each group of labels is taken out at once, one group after another."""
     out = F.regexp_replace(F.regexp_replace(norm, DATE, " "), CODE, " ")
-    for label in labels:
-        out = F.regexp_replace(out, rf"(?U)\b{label}\b", " ")
+    for group in labels:
+        out = F.regexp_replace(out, rf"(?U)\b(?:{'|'.join(group)})\b", " ")
     return out
 
 
@@ -90,18 +117,22 @@ def clean_issued_by_line(norm: Column) -> Column:
 
 
 def clean_person_line(norm: Column) -> Column:
-    return strip(squeeze(F.regexp_replace(without(norm, PERSON_LABELS), r"[^А-Я \-]", " ")), " -")
+    return strip(squeeze(F.regexp_replace(without(norm, PERSON_LABELS, SIGNATURE_LABELS), r"[^А-Я \-]", " ")), " -")
+
+
+#: Repairs of a birth place only; elsewhere these letters may be something else.
+_PLACE_REPAIRS = ((r"(?:ФОП|ГОП|Г0Р|ГОР)(?<!\w(?:ФОП|ГОП|Г0Р|ГОР))\s*\.\s*", "ГОР. "), (r"(?:ФОП|ГОП|Г0Р)(?<!\w(?:ФОП|ГОП|Г0Р))\b", "ГОР."), (r"Г(?<!\wГ)\s*[О0]\s*[РП]\s*\.\s*", "ГОР. "), (r"ГОР\.(?<!\wГОР\.)\s*", "ГОР. "))
 
 
 def normalize_birth_place_value(norm: Column) -> Column:
     out = norm
-    for pattern, to in ((r"\b(?:ФОП|ГОП|Г0Р|ГОР)\s*\.\s*", "ГОР. "), (r"\b(?:ФОП|ГОП|Г0Р)\b", "ГОР."), (r"\bГ\s*[О0]\s*[РП]\s*\.\s*", "ГОР. "), (r"\bГОР\.\s*", "ГОР. ")):
+    for pattern, to in _PLACE_REPAIRS:
         out = F.regexp_replace(out, "(?U)" + pattern, to)
     return strip(squeeze(out), " .,-")
 
 
 def clean_birth_place_line(norm: Column) -> Column:
-    return normalize_birth_place_value(squeeze(F.regexp_replace(without(norm, PLACE_LABELS), r"[^А-Я0-9 .\-]", " ")))
+    return normalize_birth_place_value(squeeze(F.regexp_replace(without(norm, PLACE_LABELS, SIGNATURE_LABELS), r"[^А-Я0-9 .\-]", " ")))
 
 
 def _noise(norm: Column, words: tuple[str, ...], least: int) -> Column:
@@ -122,6 +153,7 @@ def is_empty_birth_place(norm: Column) -> Column:
 
 
 def join_person_parts(parts: Column) -> Column:
+    """Parts of a name cleaned once more and joined; null if nothing is left."""
     clean = F.filter(F.transform(parts, clean_person_line), lambda p: ~is_empty_person_value(p))
     return F.nullif(strip(squeeze(F.array_join(clean, " ")), " -"), F.lit(""))
 
@@ -169,7 +201,8 @@ def classify_font(ratio: Column) -> Column:
 
 
 def document_number_digits(text: Column) -> Column:
-    return F.regexp_replace(F.translate(F.upper(F.coalesce(text, F.lit(""))), DIGIT_FROM, DIGIT_TO), "[^0-9]", "")
+    """The digits of a text, with the letters that are read for digits; any script's digits count."""
+    return F.regexp_replace(F.translate(F.upper(compatible(F.coalesce(text, F.lit("")))), DIGIT_FROM, DIGIT_TO), r"(?U)\D", "")
 
 
 def format_document_number(digits: Column) -> Column:
@@ -177,7 +210,7 @@ def format_document_number(digits: Column) -> Column:
 
 
 def is_iso_date(text: Column) -> Column:
-    return text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return text.rlike(r"(?U)^\d{4}-\d{2}-\d{2}\z")
 
 
 def sanitize_archive_name(name: Column) -> Column:

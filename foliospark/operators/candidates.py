@@ -29,9 +29,10 @@ def is_fold() -> Column:
 
 
 def fold_score() -> Column:
+    """Near the middle, wide, long and thin."""
     center = 1.0 - F.least(F.abs(F.col("center_y_ratio") - 0.5) / 0.15, F.lit(1.0))
-    width = F.least(F.col("width_ratio") / 0.8, F.lit(1.0))
-    shape = F.least(F.col("aspect") / 20.0, F.lit(1.0))
+    width = F.least((F.col("width_ratio") - 0.30) / 0.45, F.lit(1.0))
+    shape = F.least((F.col("aspect") - 6.0) / 12.0, F.lit(1.0))
     return center * 4.0 + width * 3.0 + shape * 2.0 - F.col("height_ratio") * 2.0
 
 
@@ -41,10 +42,11 @@ def is_photo() -> Column:
 
 
 def photo_score(fold_y: Column) -> Column:
-    below = clamp((F.col("p.center_y_ratio") - fold_y) * 4.0)
-    left = 1.0 - clamp(F.col("p.center_x_ratio") / 0.68)
-    size = clamp((F.col("p.width_ratio") + F.col("p.height_ratio")) * 4.0)
-    shape = 1.0 - clamp(F.abs(F.col("p.aspect") - 1.0))
+    """Below the fold, left of the middle, large, nearly square; ``p`` is the marker."""
+    below = F.least((F.col("p.center_y_ratio") - fold_y) * 4.0, F.lit(2.0))
+    left = 1.0 - F.least(F.abs(F.col("p.center_x_ratio") - 0.28) / 0.45, F.lit(1.0))
+    size = F.least((F.col("p.width_ratio") + F.col("p.height_ratio")) * 4.0, F.lit(2.5))
+    shape = 1.0 - F.least(F.abs(F.col("p.aspect") - 1.2) / 3.0, F.lit(1.0))
     return below * 3.0 + left * 3.0 + size * 2.0 + shape * 2.0
 
 
@@ -52,7 +54,7 @@ def marker_layouts(components: DataFrame, folds: int = 5) -> DataFrame:
     """The best fold and photo marker of each image and rotation: total = 3 fold + 4 photo.
 
     The ``folds`` best folds meet the image's photo markers (an equi-join on image and rotation); a marker
-    is at least 0.06 below the fold and is not the fold itself (all four numbers within 5 pixels).
+    is more than 0.06 below the fold and is not the fold itself (all four numbers within less than 5 pixels).
     """
     key = ["image_id", "rotation"]
     best = Window.partitionBy(*key).orderBy(F.desc("fold_score"), "y", "x")
@@ -61,8 +63,8 @@ def marker_layouts(components: DataFrame, folds: int = 5) -> DataFrame:
     photo = components.where(is_photo()).alias("p")
     same = F.lit(True)
     for c in "xywh":
-        same = same & (F.abs(F.col(f"p.{c}") - F.col(f"fold_{c}")) <= 5)
-    pair = fold.join(photo, [F.col("p.image_id") == fold.image_id, F.col("p.rotation") == fold.rotation, F.col("p.center_y_ratio") - F.col("fold_center_y_ratio") >= 0.06, ~same])
+        same = same & (F.abs(F.col(f"p.{c}") - F.col(f"fold_{c}")) < 5)
+    pair = fold.join(photo, [F.col("p.image_id") == fold.image_id, F.col("p.rotation") == fold.rotation, F.col("p.center_y_ratio") > F.col("fold_center_y_ratio") + 0.06, ~same])
     pair = pair.select(fold.image_id, fold.rotation, "fold_x", "fold_y", "fold_w", "fold_h", "fold_score", F.col("p.x").alias("photo_x"), F.col("p.y").alias("photo_y"), photo_score(F.col("fold_center_y_ratio")).alias("photo_score"))
     pair = pair.withColumn("total", 3.0 * F.col("fold_score") + 4.0 * F.col("photo_score"))
     order = Window.partitionBy(*key).orderBy(F.desc("total"), "fold_y", "fold_x", "photo_y", "photo_x")
@@ -76,13 +78,27 @@ def best_orientation(layouts: DataFrame) -> DataFrame:
 
 
 def crop_interval(fold_x: Column, fold_w: Column, width: Column) -> Column:
-    """left and right of the crop: 1.10 times the fold about its centre, clipped; null for short folds and near-whole crops."""
-    centre, half = fold_x + fold_w / 2, fold_w * 1.10 / 2
-    left, right = F.greatest(F.lit(0), F.floor(centre - half)), F.least(width, F.ceil(centre + half))
-    use = (fold_w >= 0.30 * width) & (right - left <= 0.98 * width)
+    """left and right of the crop: 1.10 times the fold about its centre, edges rounded half to even, then clipped; null for short folds and near-whole crops."""
+    centre, half = fold_x + fold_w / 2, F.rint(fold_w * 1.10) / 2
+    left, right = F.greatest(F.lit(0), F.rint(centre - half).cast("int")), F.least(width, F.rint(centre + half).cast("int"))
+    use = (fold_w >= 0.30 * width) & (right - left > 0) & (right - left <= 0.98 * width)
     return F.when(use, F.struct(left.cast("int").alias("left"), right.cast("int").alias("right")))
 
 
+def red_fold_lines(components: DataFrame, k: int = 8) -> DataFrame:
+    """The k best red lines of an image over all rotations, with score, rank and the best one's confidence.
+
+    Components have image_id, rotation, area_ratio, the four ratios and aspect; lines are at least 0.0001 of
+    the image, wide, long and not too high.
+    """
+    line = (F.col("area_ratio") >= 0.0001) & (F.col("width_ratio") >= 0.18) & (F.col("aspect") >= 2.5) & (F.col("height_ratio") <= 0.25)
+    middle = 1.0 - F.least(F.abs(F.col("center_y_ratio") - 0.5) * 2.0, F.lit(1.0))
+    score = F.col("width_ratio") * 4.0 + F.least(F.col("aspect") / 10.0, F.lit(2.0)) + F.least(F.col("area_ratio") * 150.0, F.lit(2.0)) + middle * 0.75 - F.col("height_ratio") * 2.0
+    order = Window.partitionBy("image_id").orderBy(F.desc("score"), "rotation", "y", "x")
+    ranked = components.where(line).withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).withColumn("confidence", F.when(F.col("rank") == 1, clamp(F.col("score") / 7.0)))
+
+
 def corner_order(points: Column) -> Column:
     """Four corners as top left, top right, bottom right, bottom left, by sum and difference of coordinates."""
     pick = lambda key, most: F.element_at(F.array_sort(F.transform(points, lambda p: F.struct((key(p) * (-1 if most else 1)).alias("k"), p.alias("p")))), 1)["p"]

@@ -24,8 +24,9 @@ def group_lines(items: Column) -> Column:
     """Lines in the order they begin: an item joins the first line whose running mean of cy is near, else begins one."""
     tol = tolerance(items)
 
-    def place(lines: Column, item: Column) -> Column:
-        near = F.array_position(F.transform(lines, lambda line: F.abs(line["cy"] - item["cy"]) <= tol), F.lit(True))
+    def place(state: Column, item: Column) -> Column:
+        lines, near = state["lines"], state["tol"]
+        at = F.array_position(F.transform(lines, lambda line: F.abs(line["cy"] - item["cy"]) <= near), F.lit(True))
         new = F.struct(item["cy"].alias("cy"), F.lit(1).alias("n"), F.array(item).alias("items"))
 
         def joined(at: Column) -> Column:
@@ -33,9 +34,11 @@ def group_lines(items: Column) -> Column:
             return F.transform(lines, lambda line, i: F.when(i + 1 == at, grown(line)).otherwise(line))
 
         # A one-element array binds the position, so it is searched for once.
-        return F.element_at(F.transform(F.array(near), lambda at: F.when(at == 0, F.concat(lines, F.array(new))).otherwise(joined(at)).cast(f"array<{LINE}>")), 1)
+        after = F.element_at(F.transform(F.array(at), lambda at: F.when(at == 0, F.concat(lines, F.array(new))).otherwise(joined(at)).cast(f"array<{LINE}>")), 1)
+        return F.struct(near.alias("tol"), after.alias("lines"))
 
-    return F.aggregate(sort_items(items), F.array().cast(f"array<{LINE}>"), place)
+    # The tolerance is part of the state, so it is worked out once.
+    return F.aggregate(sort_items(items), F.struct(tol.alias("tol"), F.array().cast(f"array<{LINE}>").alias("lines")), place, lambda state: state["lines"])
 
 
 def across(items: Column) -> Column:
@@ -48,23 +51,42 @@ def line_text(line: Column) -> Column:
     return F.array_join(F.transform(across(line["items"]), lambda i: i["norm"]), " ")
 
 
+def along(line: Column) -> Column:
+    """A line's items by (x1, cx), as annotation and values take them."""
+    keyed = F.transform(across(line["items"]), lambda i, k: F.struct(i["x1"].alias("x1"), i["cx"].alias("cx"), k.alias("k"), i.alias("item")))
+    return F.transform(F.array_sort(keyed), lambda x: x["item"])
+
+
+def tallest(line: Column) -> Column:
+    return F.array_max(F.transform(line["items"], lambda i: i["h"]))
+
+
+def height_ratio(item: Column, most: Column) -> Column:
+    return F.when((item["h"] > 0) & (most > 0), item["h"] / most)
+
+
 def annotate(line: Column) -> Column:
-    """Each item of the line by (x1, cx): norm, height ratio, font class, label types, whether it is a value."""
-    keyed = F.transform(line["items"], lambda i, k: F.struct(i["x1"].alias("x1"), i["cx"].alias("cx"), k.alias("k"), i.alias("item")))
-    row = F.transform(F.array_sort(keyed), lambda x: x["item"])
-    tallest, whole, many = F.array_max(F.transform(line["items"], lambda i: i["h"])), line_text(line), F.size(line["items"]) >= 2
+    """Each item of the line by (x1, cx): norm, height ratio (to three decimals), font class, label types, why it is a label, whether it is a value."""
+    whole, many, most = line_text(line), F.size(line["items"]) >= 2, tallest(line)
 
     def note(i: Column, k: Column) -> Column:
-        ratio = F.when(tallest > 0, F.round(i["h"] / tallest, 3))
+        ratio = height_ratio(i, most)
         font = T.classify_font(ratio)
         types = T.refine_label_types(T.detect_label_types(i["norm"]), i["norm"], whole)
-        label = (F.size(types) > 0) | ((font == "small") & (k == 0) & many)
-        return F.struct(i["norm"].alias("norm"), i["cy"].alias("cy"), i["cx"].alias("cx"), ratio.alias("height_ratio"), font.alias("font_class"), types.alias("label_types"), label.alias("label"), (~label).alias("value"))
+        by_text, by_font = F.size(types) > 0, (font == "small") & (k == 0) & many
+        return F.struct(i["norm"].alias("norm"), i["cy"].alias("cy"), i["cx"].alias("cx"), (F.rint(ratio * 1000) / 1000).alias("height_ratio"), font.alias("font_class"), types.alias("label_types"), by_text.alias("by_text"), by_font.alias("by_font"), (~(by_text | by_font)).alias("value"))
+
+    return F.transform(along(line), note)
+
 
-    return F.transform(row, note)
+def value_items(line: Column) -> Column:
+    """The items of a line that are values: no labels by their text, nor small first ones of several."""
+    # Bound once: how many items there are and the tallest of them.
+    bound = F.array(F.struct(along(line).alias("row"), tallest(line).alias("most")))
+    chosen = lambda b: F.filter(b["row"], lambda i, k: ~(i["label"] | F.coalesce((T.classify_font(height_ratio(i, b["most"])) == "small") & (k == 0) & (F.size(b["row"]) >= 2), F.lit(False))))
+    return F.flatten(F.transform(bound, chosen))
 
 
-def value_text(notes: Column, clean: Callable[[Column], Column], empty: Callable[[Column], Column], chars: str = " .,-") -> Column:
-    """The cleaned value items of an annotated line, joined; '' if none."""
-    parts = F.filter(F.transform(F.filter(notes, lambda n: n["value"]), lambda n: clean(n["norm"])), lambda p: ~empty(p))
-    return T.strip(T.squeeze(F.array_join(parts, " ")), chars)
+def value_text(values: Column, part: Callable[[Column], Column], chars: str = " .,-") -> Column:
+    """What the value items have cleaned, joined; '' if nothing."""
+    return T.joined(F.filter(F.transform(values, part), lambda p: p != ""), chars)

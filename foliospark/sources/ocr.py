@@ -2,37 +2,143 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import json
+from collections.abc import Iterator
 
-_ITEM = "struct<id:int,page_index:int,text:string,rec_text:string,label:string,value:string,score:double,confidence:double,conf:double,rec_score:double,bbox:array<double>,poly:array<array<double>>>"
-PAGE = f"image_shape array<int>, shape array<int>, input_shape array<int>, metadata struct<image_shape:array<int>,shape:array<int>,input_shape:array<int>>, items array<{_ITEM}>, rec_texts array<string>, rec_scores array<double>, dt_polys array<array<array<double>>>, rec_polys array<array<array<double>>>, raw_text string, lang string, _corrupt_record string"
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from foliospark.operators.items import box_from_json
+
+#: The names under which engines put a text, a box, a confidence, a list of boxes and a page's size.
+TEXTS = ("text", "rec_text", "label", "value")
+BOXES = ("bbox", "box", "poly", "points", "dt_poly")
+CONFIDENCES = ("confidence", "conf", "score", "rec_score")
+BOX_LISTS = ("dt_polys", "rec_polys", "boxes", "dt_boxes")
+SHAPES = ("image_shape", "shape", "input_shape")
+#: JSON that counts as nothing given.
+EMPTY = ("", "[]", "{}", "0", "0.0", "false", "null")
+
+_ITEM = f"struct<{','.join(f'{n}:string' for n in (*TEXTS, *BOXES, *CONFIDENCES))}>"
+_SHAPES = ",".join(f"{n}:array<double>" for n in SHAPES)
+PAGE = f"struct<{_SHAPES},metadata:struct<{_SHAPES}>,items:array<{_ITEM}>,rec_texts:array<string>,rec_scores:array<string>,{','.join(f'{n}:array<string>' for n in BOX_LISTS)},raw_text:string,lang:string,_corrupt_record:string>"
+#: What a reader makes of an item before its box is understood.
+RAW = ArrayType(StructType([StructField(n, StringType()) for n in ("text", "confidence", "box")]))
 COMMAND = "request_id string, image_file string, image_path string, output_file string, output_path string, _corrupt_record string"
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
+#: Kinds that a command's own name is tried with, in order.
+COMMAND_IMAGES = (".jpg", ".jpeg", ".png")
+
+
+def first_shape(columns: list[Column]) -> Column:
+    """The first array of two numbers or more, as whole numbers: height and width."""
+    pair = lambda c: F.array(F.try_element_at(c, F.lit(1)).cast("int"), F.try_element_at(c, F.lit(2)).cast("int"))
+    return F.coalesce(*[F.when((F.size(c) >= 2) & F.try_element_at(c, F.lit(1)).isNotNull() & F.try_element_at(c, F.lit(2)).isNotNull(), pair(c)) for c in columns])
+
+
+def given(value: Column) -> Column:
+    """The JSON value unless it is nothing."""
+    return F.when(~value.isin(*EMPTY), value)
+
+
+def direct_items(items: Column) -> Column:
+    """Text, confidence and box of item objects, each by the first of its names that says something."""
+
+    def one(i: Column) -> Column:
+        text = F.coalesce(*[F.nullif(i[n], F.lit("")) for n in TEXTS[:-1]], i[TEXTS[-1]])
+        return F.struct(text.alias("text"), F.coalesce(*[given(i[n]) for n in CONFIDENCES]).alias("confidence"), F.coalesce(*[given(i[n]) for n in BOXES]).alias("box"))
+
+    return F.transform(items, one)
+
+
+def boxed(raw: Column) -> Column:
+    """RAW items with their box understood; those without text or box are dropped."""
+    whole = F.transform(raw, lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), box_from_json(r["box"]).alias("box")))
+    return F.filter(whole, lambda r: r["text"].isNotNull() & r["box"].isNotNull())
+
 
+def _plain(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
-def first_shape(columns: list[str]) -> Column:
-    """The first array of two positive numbers."""
-    return F.coalesce(*[F.when((F.size(c) >= 2) & (F.try_element_at(F.col(c), F.lit(1)) > 0) & (F.try_element_at(F.col(c), F.lit(2)) > 0), F.col(c)) for c in columns])
 
+def _some(node: dict, names: tuple[str, ...]) -> object:
+    """The first value that says something, else the last name's."""
+    found = [node.get(n) for n in names]
+    return next((v for v in found if v), found[-1])
 
-def parallel_items(texts: str, scores: str, polys: str) -> Column:
-    """Items from parallel arrays, as many as there are boxes; the rest of each item is null."""
-    zipped = F.slice(F.arrays_zip(F.col(texts).alias("t"), F.col(scores).alias("s"), F.col(polys).alias("p")), F.lit(1), F.size(polys))
-    names = ("id int", "page_index int", "text string", "rec_text string", "label string", "value string", "score double", "confidence double", "conf double", "rec_score double", "bbox array<double>", "poly array<array<double>>")
-    given = {"text": "t", "score": "s", "poly": "p"}
-    fields = lambda z: F.struct(*[(z[given[n]] if (n := x.split(" ", 1)[0]) in given else F.lit(None)).cast(x.split(" ", 1)[1]).alias(n) for x in names])
-    return F.transform(zipped, fields)
+
+def loose_items(node: object) -> Iterator[tuple[str | None, str | None, str | None]]:
+    """Items anywhere in decoded JSON, outer before inner: objects with a text, parallel lists, and pairs of a box and [text, score]."""
+    if isinstance(node, dict):
+        text = _some(node, TEXTS)
+        if text is not None:
+            yield _plain(text), _plain(_some(node, CONFIDENCES)), _plain(_some(node, BOXES) or None)
+        texts, boxes = node.get("rec_texts"), next((node[n] for n in BOX_LISTS if node.get(n)), None)
+        if isinstance(texts, list) and isinstance(boxes, list):
+            scores = node["rec_scores"] if isinstance(node.get("rec_scores"), list) else []
+            scores = scores + [None] * len(texts)
+            yield from ((_plain(t), _plain(s), _plain(b)) for t, s, b in zip(texts, scores, boxes))
+        inner = node.values()
+    elif isinstance(node, list):
+        for row in node:
+            if isinstance(row, list) and len(row) > 1 and isinstance(row[1], list) and row[1]:
+                yield _plain(row[1][0]), _plain(row[1][1]) if len(row[1]) > 1 else None, _plain(row[0])
+        inner = node
+    else:
+        return
+    for value in inner:
+        yield from loose_items(value)
+
+
+@F.pandas_udf(RAW)
+def _loose(pages: pd.Series) -> pd.Series:
+    def found(page):
+        try:
+            return None if page is None else [{"text": t, "confidence": c, "box": b} for t, c, b in loose_items(json.loads(page))]
+        except ValueError:
+            return None
+
+    return pages.map(found)
+
+
+def parse_pages(documents: DataFrame) -> DataFrame:
+    """doc_id, image_shape, items, _corrupt_record from documents (doc_id, value: their JSON).
+
+    Items come from ``items``; only where these give none the whole document is searched, which takes Python.
+    """
+    whole = documents.select("doc_id", F.regexp_replace("value", "^﻿", "").alias("value"))
+    read = whole.select("doc_id", "value", F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+    places = [F.col(f"p.{n}") for n in SHAPES] + [F.col(f"p.metadata.{n}") for n in SHAPES]
+    read = read.select("doc_id", "value", first_shape(places).alias("image_shape"), F.col("p._corrupt_record").alias("_corrupt_record"), boxed(direct_items(F.col("p.items"))).alias("items"))
+    none = F.col("items").isNull() | (F.size("items") == 0)
+    read = read.withColumn("_more", _loose(F.when(none, F.col("value"))))
+    items = F.when(none, F.coalesce(boxed(F.col("_more")), F.col("items"))).otherwise(F.col("items"))
+    broken = F.when(F.col("items").isNull() & F.col("_more").isNull(), F.col("_corrupt_record"))
+    return read.select("doc_id", "image_shape", items.alias("items"), broken.alias("_corrupt_record"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per OCR document: doc_id (file name), image_shape, items; a broken file has _corrupt_record."""
-    raw = spark.read.schema(PAGE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("doc_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1))
-    places = ["image_shape", "shape", "input_shape", "metadata.image_shape", "metadata.shape", "metadata.input_shape"]
-    polys = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in ("dt_polys", "rec_polys")])
-    other = raw.withColumn("_polys", polys)
-    items = F.when(F.size("items") > 0, F.col("items")).otherwise(parallel_items("rec_texts", "rec_scores", "_polys"))
-    return other.select("doc_id", first_shape(places).alias("image_shape"), items.alias("items"), "_corrupt_record")
+    raw = spark.read.text(path, wholetext=True)
+    return parse_pages(raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]*$", 1).alias("doc_id"), "value"))
+
+
+def engine_items(result: DataFrame) -> DataFrame:
+    """doc_id, id (running over a document's pages), page_index, text, score, bbox of whole pixels and poly of an engine's pages.
+
+    result: doc_id, page_index, rec_texts, rec_scores, rec_boxes, rec_polys.  A box that is missing is taken
+    from its polygon; coordinates are cut to whole numbers.
+    """
+    zipped = F.arrays_zip(F.col("rec_texts").alias("t"), F.col("rec_scores").alias("s"), F.col("rec_boxes").alias("b"), F.col("rec_polys").alias("p"))
+    one = result.select("doc_id", "page_index", F.posexplode(F.slice(zipped, F.lit(1), F.size("rec_texts"))).alias("place", "z"))
+    whole = lambda a: F.transform(a, lambda v: v.cast("int"))
+    axis = lambda k: F.transform(F.col("z.p"), lambda q: q[k])
+    around = whole(F.array(F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1))))
+    box = F.when(F.size("z.b") >= 4, whole(F.slice("z.b", 1, 4))).when(F.size("z.p") > 0, around)
+    earlier = Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, -1)
+    return one.select("doc_id", F.count("*").over(earlier).cast("int").alias("id"), "page_index", F.coalesce("z.t", F.lit("")).alias("text"), F.col("z.s").alias("score"), box.alias("bbox"), F.col("z.p").alias("poly"))
 
 
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +150,27 @@ def stem(name: Column) -> Column:
 
 
 def resolve_command(commands: DataFrame) -> DataFrame:
-    """request_id, image and output with their fallbacks; empty strings count as missing."""
-    given = lambda c: F.nullif(F.col(c), F.lit(""))
-    request = F.coalesce(given("request_id"), stem(F.col("file_name")))
-    image = F.coalesce(given("image_path"), given("image_file"))
-    output = F.coalesce(given("output_path"), given("output_file"), F.concat(request, F.lit(".json")))
+    """request_id, image and output with their fallbacks; what counts as nothing in JSON counts as missing."""
+    given_ = lambda c: F.nullif(F.col(c), F.lit(""))
+    request = F.coalesce(given(F.col("request_id")), stem(F.col("file_name")))
+    image = F.coalesce(given_("image_path"), given_("image_file"))
+    output = F.coalesce(given_("output_path"), given_("output_file"), F.concat(request, F.lit(".json")))
     return commands.withColumns({"request_id": request, "image": image, "output": output})
 
 
+def resolve_images(commands: DataFrame, listing: DataFrame) -> DataFrame:
+    """Resolved commands with ``image``, also found by the command's own name, and whether it ``exists``.
+
+    listing: name of every input file.  Equi-joins on names, so neither side has to fit anywhere.
+    """
+    tried = commands.select("file_name", F.posexplode(F.array(*[F.concat(stem(F.col("file_name")), F.lit(e)) for e in COMMAND_IMAGES])).alias("place", "name"))
+    names = listing.select("name").distinct()
+    own = tried.join(names, "name").groupBy("file_name").agg(F.min_by("name", "place").alias("_own"))
+    out = commands.join(own, "file_name", "left").withColumn("image", F.coalesce("image", "_own")).drop("_own")
+    there = names.select(F.col("name").alias("image"), F.lit(True).alias("exists"))
+    return out.join(there, "image", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
 def collect_images(spark: SparkSession, *paths: str) -> DataFrame:
     """Image files below the paths, each once, with content only if it is selected."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))

@@ -19,9 +19,19 @@ def read_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFra
     return resolve_command(named)
 
 
-def outcome(status: Column, corrupt: Column, has_image: Column, failed: Column) -> Column:
-    """One of OUTCOMES; only a result without any issue is ok."""
-    return F.when(corrupt, "command_error").when(~has_image, "input_error").when(failed, "pipeline_error").when(status == "ok", "ok").otherwise("validation_error")
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
+#: Folders of the log: a batch reads only those of its requests.
+BUCKETS = 256
+LOG = "request_id string, state string, outcome string, batch long, bucket int"
+
+
+def outcome(status: Column, corrupt: Column, named: Column, there: Column, failed: Column) -> Column:
+    """One of OUTCOMES; ``named``: the command says which image, ``there``: it exists.  Only a result without any issue is ok."""
+    return F.when(corrupt | ~named, "command_error").when(~there, "input_error").when(failed, "pipeline_error").when(status == "ok", "ok").otherwise("validation_error")
 
 
 def run(commands: DataFrame, process: Callable[[DataFrame], DataFrame], log_path: str, checkpoint: str, once: bool = True):
@@ -32,36 +42,41 @@ def run(commands: DataFrame, process: Callable[[DataFrame], DataFrame], log_path
     as stale instead of repeating it.
     """
 
+    def note(rows: DataFrame, state: str, outcome: Column, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).cast("int")
+        row = rows.select("request_id", F.lit(state).alias("state"), outcome.cast("string").alias("outcome"), F.lit(batch_id).cast("long").alias("batch"), bucket.alias("bucket"))
+        row.write.mode("append").partitionBy("bucket").parquet(log_path)
+
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        schema = "request_id string, state string, outcome string, batch long"
-        try:
-            log = spark.read.schema(schema).parquet(log_path)
-        except Exception:  # no log yet
-            log = spark.createDataFrame([], schema)
-        seen = log.select("request_id").distinct()
-        again = rows.join(seen, "request_id", "left_semi").join(log.where("state = 'done'").select("request_id"), "request_id", "left_anti")
-        again.select("request_id", F.lit("done").alias("state"), F.lit("stale").alias("outcome"), F.lit(batch_id).cast("long").alias("batch")).write.mode("append").parquet(log_path)
-        # Claims are a table of their own: what reads the log would change as the log is written.
-        claims = f"{log_path}-claims/{batch_id}"
-        rows.join(seen, "request_id", "left_anti").dropDuplicates(["request_id"]).write.mode("overwrite").parquet(claims)
-        new = spark.read.schema(rows.schema).parquet(claims)
-        new.select("request_id", F.lit("started").alias("state"), F.lit(None).cast("string").alias("outcome"), F.lit(batch_id).cast("long").alias("batch")).write.mode("append").parquet(log_path)
-        process(new).select("request_id", F.lit("done").alias("state"), "outcome", F.lit(batch_id).cast("long").alias("batch")).write.mode("append").parquet(log_path)
+        asked = rows.select(F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct().collect()
+        log = spark.read.schema(LOG).parquet(log_path) if exists(spark, log_path) else spark.createDataFrame([], LOG)
+        mine = log.where(F.col("bucket").isin([r.bucket for r in asked]))
+        seen = mine.select("request_id").distinct()
+        again = rows.select("request_id").distinct().join(seen, "request_id", "left_semi").join(mine.where("state = 'done'").select("request_id"), "request_id", "left_anti")
+        # Tables of their own: what reads the log would change as the log is written.
+        parts = {"stale": again, "new": rows.join(seen, "request_id", "left_anti").dropDuplicates(["request_id"])}
+        for name, part in parts.items():
+            part.write.mode("overwrite").parquet(f"{log_path}-claims/{batch_id}/{name}")
+            parts[name] = spark.read.schema(part.schema).parquet(f"{log_path}-claims/{batch_id}/{name}")
+        note(parts["stale"], "done", F.lit("stale"), batch_id)
+        note(parts["new"], "started", F.lit(None), batch_id)
+        note(process(parts["new"]), "done", F.col("outcome"), batch_id)
 
     writer = commands.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def fifo(commands: DataFrame, keys: tuple[str, str] = ("arrived_at", "file_name"), owner: str | None = None) -> DataFrame:
-    """The place of each command in its owner's queue."""
-    by = Window.partitionBy(owner) if owner else Window.partitionBy(F.lit(0))
-    return commands.withColumn("position", F.row_number().over(by.orderBy(*keys)))
+def fifo(commands: DataFrame, keys: tuple[str, str] = ("arrived_at", "file_name"), owner: str = "owner") -> DataFrame:
+    """The place of each command in its owner's queue; a file without a time comes first."""
+    return commands.withColumn("position", F.row_number().over(Window.partitionBy(owner).orderBy(*[F.col(k).asc_nulls_first() for k in keys])))
 
 
 def service_status(log: DataFrame, key: str | None = None) -> DataFrame:
     """Counters and the last request of the log (request_id, finished_at, outcome)."""
-    aggs = [F.count("*").alias("processed"), F.count_if(F.col("outcome") != "ok").alias("errors"), F.max("finished_at").alias("last_finished_at"), F.max_by("request_id", F.struct("finished_at", "request_id")).alias("last_request_id")]
+    ok, when = F.col("outcome") == "ok", F.struct("finished_at", "request_id")
+    last = {"last_success_at": F.max(F.when(ok, F.col("finished_at"))), "last_error_at": F.max(F.when(~ok, F.col("finished_at"))), "last_error_status": F.max_by(F.when(~ok, F.col("outcome")), F.when(~ok, when))}
+    aggs = [F.count_if(ok).alias("processed"), F.count_if(~ok).alias("errors"), *[v.alias(n) for n, v in last.items()], F.max("finished_at").alias("last_finished_at"), F.max_by("request_id", F.struct("finished_at", "request_id")).alias("last_request_id")]
     return log.groupBy(*([key] if key else [])).agg(*aggs)
 
 
@@ -76,6 +91,14 @@ def expired_by_size(listing: DataFrame, most: int, key: str) -> DataFrame:
     return listing.withColumn("kept_bytes", F.sum("size_bytes").over(newer)).where(F.col("kept_bytes") > most)
 
 
+def archive_removals(listing: DataFrame, today: Column, days: int, most: int, key: str) -> DataFrame:
+    """What goes from each archive: cases older than ``days``, then the oldest of the others until ``most`` bytes are left; 0 or less turns either off."""
+    old = F.lit(days > 0) & (F.col("day") < F.date_sub(today, days))
+    left = listing.where(~old)
+    big = expired_by_size(left, most, key).drop("kept_bytes") if most > 0 else left.limit(0)
+    return listing.where(old).withColumn("reason", F.lit("days")).unionByName(big.withColumn("reason", F.lit("size")))
+
+
 def expired_results(listing: DataFrame, now: Column, days: int) -> DataFrame:
     return listing.where(F.lit(days > 0) & (F.col("mtime") < now - F.expr(f"interval {days} days")))
 
