@@ -16,10 +16,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import fields, items, validate
+from foliospark.functions.text import sanitize_archive_name
+from foliospark.operators import fields, items, pixels, validate
 from foliospark.sources import ocr, vision
 from foliospark.streaming import files, queue
-from foliospark.functions.text import sanitize_archive_name
 
 
 def session() -> SparkSession:
@@ -100,15 +100,16 @@ def run_photo(a: argparse.Namespace) -> int:
 
 
 def run_crop(a: argparse.Namespace) -> int:
-    from foliospark.operators import pixels
-
     if not Path(a.input).exists():
         return 2
-    crop, report = pixels.crop_document(pixels.load_image(Path(a.input).read_bytes()))
-    Path(a.output).write_bytes(pixels.save_image(crop))
+    images = session().read.format("binaryFile").load(a.input).select(F.col("path").alias("image_id"), "content")
+    done = pixels.crop_images(images).collect()
+    for row in done:
+        Path(a.output).parent.mkdir(parents=True, exist_ok=True)
+        Path(a.output).write_bytes(row.content)
     if a.debug_dir:
-        files.save_json(Path(a.debug_dir) / "crop.json", report)
-    return 0
+        files.save_json(Path(a.debug_dir) / "crop.json", [json.loads(x) for x in pixels.crop_report(images).toJSON().collect()])
+    return 0 if done else 1
 
 
 def run_compare(a: argparse.Namespace) -> int:
