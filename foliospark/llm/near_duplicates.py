@@ -23,7 +23,6 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 from operator import add, and_
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, byte_prefix, flat, in_batches, mix, seeds, span_hash, table, text_bytes, windows, words
+from .common import U64, arrow_map, byte_prefix, flat, forget, in_batches, mix, seeds, span_hash, table, text_bytes, windows, words
 
 COLLECTIONS, ROWS = 12, 2
 #: One-bit minhashes of candidates, and how many may differ: sets of similarity 0.8 differ in a tenth of
@@ -87,10 +86,19 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _table_keys(reps: DataFrame) -> DataFrame:
-    """rep and one row per table: key names the table and its two collections, one and two say which these are."""
-    pairs = combinations(range(COLLECTIONS), 2)
-    keys = [F.struct(F.xxhash64(F.lit(t), f"c{i}", f"c{j}").alias("key"), F.lit(i).alias("one"), F.lit(j).alias("two")) for t, (i, j) in enumerate(pairs)]
-    return reps.select("rep", "n_shingles", F.inline(F.array(*keys)))
+    """rep, n_shingles and one row per table that may hold a second member: key names the table and its two collections, one and two say which these are.
+
+    Two documents share a table only if they share both its collections, so collections (i, name) that
+    one document has alone are left out before the tables are formed: 12 short rows a document instead of 66.
+    """
+    names = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("name")) for i in range(COLLECTIONS)]))
+    every = table(reps.select("rep", "n_shingles", names), "collections")
+    often = table(every.groupBy("i", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("i", "name"), "often")
+    held = every.join(often, ["i", "name"]).groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("i", "name"))).alias("c")).where(F.size("c") > 1)
+    pairs = F.flatten(F.transform("c", lambda x, k: F.transform(F.slice("c", k + 2, F.size("c")), lambda y: F.struct(F.xxhash64(x["i"], y["i"], x["name"], y["name"]).alias("key"), x["i"].alias("one"), y["i"].alias("two")))))
+    out = table(held.select("rep", "n_shingles", F.inline(pairs)), "tables")
+    forget(every, often)
+    return out
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,13 +125,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node reachable: least-label rounds with pointer jumping, cut after each."""
     both = table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     label = table(both.select(F.col("a").alias("node")).union(both.select("b")).groupBy("node").agg(F.min("node").alias("comp")), "label")
+    held = label
     while True:
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
         lower = label.join(seen, "node").select("node", "comp", F.least("comp", "least").alias("next"))
         # Pointer jumping: a node whose least label is itself labelled lower takes that label.
         up = label.select(F.col("node").alias("next"), F.col("comp").alias("further"))
         lower = table(lower.join(up, "next").select("node", F.col("comp").alias("was"), F.least("next", "further").alias("comp")), "label")
-        label = lower.select("node", "comp")
+        forget(held)
+        held, label = lower, lower.select("node", "comp")
         if lower.where("was <> comp").isEmpty():
             return nodes.join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
@@ -138,7 +148,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
 
     keys = _table_keys(reps)
     shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last").select("key", "centre")
-    members = table(keys.join(shared, "key"), "members")
+    members = table(keys.join(table(shared, "shared"), "key"), "members")
+    forget(keys)
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     candidates = members.select("rep").distinct()

@@ -53,3 +53,51 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) A
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """
+
+ORACLES["op8_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, unnest(range(0, length(x) // 2)) AS i, x FROM d),
+w AS (SELECT r, i, substr(x, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 800 <= length(x) THEN md5(substr(x, 2 * i + 1, 800)) END AS h FROM p),
+c AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+m AS (SELECT w.r, w.i, w.b, max(CASE WHEN c.h IS NOT NULL THEN w.i END) OVER (PARTITION BY w.r ORDER BY w.i) AS last FROM w LEFT JOIN c USING (h)),
+g AS (SELECT r, i, b, coalesce(last > i - 400, false) AS gone FROM m),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM g),
+n AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM s GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN n USING (r)
+"""
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(t)) AS r FROM d),
+p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, ws FROM o),
+w AS (SELECT r, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i+19], ' ') END AS x FROM p),
+f AS (SELECT x, min((r, i)) AS first FROM w WHERE x IS NOT NULL GROUP BY x),
+m AS (SELECT w.r, w.i, w.word, max(CASE WHEN f.first < (w.r, w.i) THEN w.i END) OVER (PARTITION BY w.r ORDER BY w.i) AS last FROM w LEFT JOIN f USING (x)),
+n AS (SELECT r, count(*) FILTER (last > i - 20) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT coalesce(last > i - 20, false)), '') AS kept FROM m GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN n USING (r)
+"""
+
+ORACLES["quality_base"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+w AS (SELECT r, i, CASE WHEN i + 7 <= len(ws) THEN array_to_string(ws[i:i+7], ' ') END AS x FROM p),
+m AS (SELECT r, i, max(CASE WHEN x IS NOT NULL AND again > 1 THEN i END) OVER (PARTITION BY r ORDER BY i) AS last FROM (SELECT *, count(*) OVER (PARTITION BY r, x) AS again FROM w)),
+n AS (SELECT r, count(*) FILTER (last > i - 8) AS n FROM m GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
+  len(ws) < 20 OR 100 * coalesce(n.n, 0) > 30 * len(ws) AS base_failed
+FROM d LEFT JOIN dup USING (r) LEFT JOIN n USING (r)
+"""
+
+#: The level at which all tokens are shared out, found by halving an interval: independent of the operator's closed form.
+ORACLES["mixing_targets"] = r"""
+WITH RECURSIVE d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+s AS (SELECT source, sum(n)::double AS size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::int]::double AS w FROM d GROUP BY source),
+l AS (SELECT list(struct_pack(size := size, w := w)) AS ls, sum(size) AS whole, max(3 * size / w) AS most FROM s),
+b AS (SELECT 0 AS k, 0.0::double AS lo, most AS hi, ls, whole FROM l
+  UNION ALL SELECT k + 1, CASE WHEN v < whole THEN (lo + hi) / 2 ELSE lo END, CASE WHEN v < whole THEN hi ELSE (lo + hi) / 2 END, ls, whole
+  FROM (SELECT *, list_sum(list_transform(ls, lambda x: least(3 * x.size, (lo + hi) / 2 * x.w))) AS v FROM b WHERE k < 100))
+SELECT source, size::bigint AS source_size, round(least(3 * size, (SELECT hi FROM b WHERE k = 100) * w), 3) AS target FROM s
+"""
