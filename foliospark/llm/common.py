@@ -129,35 +129,49 @@ def seeds(n: int, salt: int) -> np.ndarray:
 _PRIMES = (2147483647, 2147483629)
 _BASES = (1270543223, 833047117)
 _BYTE = seeds(256, 7) >> U64(2)
-_BYTE_LANES = tuple(_BYTE % U64(p) for p in _PRIMES)
-_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64)) for _ in _PRIMES]
+_BYTE_LANES = tuple((_BYTE % U64(p)).astype(np.uint32) for p in _PRIMES)
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint32), np.ones(1, np.uint32)) for _ in _PRIMES]
+#: Elements that the sums take at once, so that a very long text needs little beside its own sums.
+_BLOCK = 1 << 18
 
 
 def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each field base**i and base**-i for i <= n."""
+    """For each field base**i and base**-i for i <= n, four bytes each."""
     for lane, (p, base) in enumerate(zip(_PRIMES, _BASES, strict=True)):
-        while len(_powers[lane][0]) <= n:
-            size = len(_powers[lane][0])
-            further = [pow(b, size, p) for b in (base, pow(base, -1, p))]
-            _powers[lane] = tuple(np.concatenate((old, old * U64(f) % U64(p))) for old, f in zip(_powers[lane], further, strict=True))
+        size = len(_powers[lane][0])
+        if size <= n:
+            both = []
+            for old, b in zip(_powers[lane], (base, pow(base, -1, p)), strict=True):
+                new = np.empty(n + 1, np.uint32)
+                new[:size] = old
+                at = size
+                while at <= n:
+                    step = min(at, n + 1 - at, _BLOCK)
+                    new[at : at + step] = new[:step].astype(U64) * U64(pow(b, at, p)) % U64(p)
+                    at += step
+                both.append(new)
+            _powers[lane] = tuple(both)
     return _powers
 
 
-def _sums(lanes) -> np.ndarray:
-    n = len(lanes[0])
+def _sums(n: int, residues) -> np.ndarray:
+    """Prefix sums, a row per field, of ``residues(field, first, stop)`` times the powers."""
     out = np.zeros((2, n + 1), U64)
-    for row, (residue, p, (up, _)) in enumerate(zip(lanes, _PRIMES, powers(n), strict=True)):
-        np.cumsum(residue * up[:n] % U64(p), out=out[row, 1:])
+    for row, (p, (up, _)) in enumerate(zip(_PRIMES, powers(n), strict=True)):
+        for at in range(0, n, _BLOCK):
+            stop = min(at + _BLOCK, n)
+            out[row, at + 1 : stop + 1] = residues(row, at, stop) * up[at:stop].astype(U64) % U64(p)
+        np.cumsum(out[row], out=out[row])
     return out
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Prefix sums (a row per field) from which ``span_hash`` takes the hash of any span."""
-    return _sums([codes % U64(p) for p in _PRIMES])
+    return _sums(len(codes), lambda row, a, b: codes[a:b] % U64(_PRIMES[row]))
 
 
 def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return _sums([lane[data] for lane in _BYTE_LANES])
+    return _sums(len(data), lambda row, a, b: _BYTE_LANES[row][data[a:b]].astype(U64))
 
 
 def _joined(lanes: list[np.ndarray], length) -> np.ndarray:
@@ -173,8 +187,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
 def sliding_hash(prefix: np.ndarray, width: int) -> np.ndarray:
     """``span_hash`` of every span of ``width`` elements."""
     n = max(prefix.shape[1] - width, 0)
-    lanes = [(row[width:] - row[:n]) % U64(p) * down[:n] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(n), strict=True)]
-    return _joined(lanes, np.full(1, width, U64))
+    out, length = np.empty(n, U64), np.full(1, width, U64)
+    for at in range(0, n, _BLOCK):
+        stop = min(at + _BLOCK, n)
+        lanes = [(row[at + width : stop + width] - row[at:stop]) % U64(p) * down[at:stop] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(n), strict=True)]
+        out[at:stop] = _joined(lanes, length)
+    return out
 
 
 def is_space(data: np.ndarray) -> np.ndarray:

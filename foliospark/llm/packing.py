@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries that a worker's word cache holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Entries that a worker's word cache takes before its older half goes; words in use move to the newer half.
+CACHE_WORDS = 200_000
 
 # ASCII and the letters of Latin-1 and Latin Extended-A that have a one-letter lower case: there the
 # tokenizer's normalisation is lower() and its pieces are these; other words go through the tokenizer itself.
@@ -48,6 +48,7 @@ class WordTokenizer:
         rest = (chr(256 + k) for k in range(256))
         self.byte_char = [chr(b) if b in printable else next(rest) for b in range(256)]
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -59,13 +60,16 @@ class WordTokenizer:
         return found
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not ("<" in text and self.special.search(text)):
-            known = self.pieces
-            found = b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
-        else:
-            found = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and not ("<" in text and self.special.search(text)):
+                known = self.pieces
+                found = b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
+            else:
+                found = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) >= CACHE_WORDS:
+            self.older = dict(self.words)
             self.words.clear()
         self.words[word] = found
         return found

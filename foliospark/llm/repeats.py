@@ -11,15 +11,17 @@ near the position inside the window, so equal windows have anchors at the same
 place and every window can be named relative to its anchor.  The windows of one
 anchor are consecutive.
 
-``Candidates`` drops what cannot be repeated and says where the rest is.  Each
-level names groups of windows by two fingerprints: ``k`` of the elements that
-all windows of the group share, and ``f`` of all elements they cover.  A group
-whose ``k`` is in no other text is dropped; a group whose ``f`` is in another
-text is a candidate as a whole; groups with a common ``k`` but several ``f`` go
-to the next, finer level, each distinct ``f`` once, from the first text that
-has it.  The last level is single windows.  Equal contents always have equal
-fingerprints, so nothing repeated is dropped; that candidates are equal is then
-verified on their content by the operators.
+``Candidates.live`` drops what cannot be repeated: an anchor whose ``k``, the
+fingerprint of the elements that any window of it has, comes nowhere else.  What
+is left of a text are its live segments, a small part of it, and all that
+follows works on these.  ``Candidates.find`` says where repeats are.  Each level
+names groups of windows by ``k`` and by ``f``, the fingerprint of all elements
+that the group covers: a group whose ``k`` is in no other segment is dropped; a
+group whose ``f`` is in another segment is a candidate as a whole; groups with a
+common ``k`` but several ``f`` go to the next, finer level, each distinct ``f``
+once, from the first segment that has it.  The last level is single windows.
+Equal contents always have equal fingerprints, so nothing repeated is dropped;
+that candidates are equal is then verified on their content by the operators.
 """
 
 from __future__ import annotations
@@ -79,17 +81,15 @@ class Groups:
         last = np.append(first[1:], len(start)) - 1
         self.a, self.doc, self.s0, self.s1 = a[first], d[first], start[first], start[last] if len(first) else start[:0]
 
-    def _named(self, row, smin, smax):
-        """k and f of the windows starting in smin..smax, for the anchors ``row``."""
-        p, at, a, doc = self.e.prefix, self.e.at, self.a[row], self.doc[row]
-        k = span_hash(p, smax, smin + self.plan.width)
-        left, right = np.maximum(smin, at[doc]), np.minimum(smax + self.plan.width, at[doc + 1])
-        f = mix(span_hash(p, left, right) + (a - left).astype(U64) * U64(0x9E3779B97F4A7C15) + (right - a).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        return k, f
+    def _named(self, row, smin, smax, s0, s1):
+        """k of any windows that start in smin..smax and f of the windows s0..s1, for the anchors ``row``."""
+        p, a, stop = self.e.prefix, self.a[row], s1 + self.plan.width
+        f = mix(span_hash(p, s0, stop) + (a - s0).astype(U64) * U64(0x9E3779B97F4A7C15) + (stop - a).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        return span_hash(p, smax, smin + self.plan.width), f
 
     def anchors(self):
         row = np.arange(len(self.a))
-        return row, self.s0, self.s1, *self._named(row, self.a - self.plan.high + 1, self.a - self.plan.low)
+        return row, self.s0, self.s1, *self._named(row, self.a - self.plan.high + 1, self.a - self.plan.low, self.s0, self.s1)
 
     def blocks(self, chosen: np.ndarray):
         """The chosen anchors' groups of ``block`` starts, counted from the anchor: anchor, first and last window, k, f."""
@@ -98,7 +98,8 @@ class Groups:
         row, b = expand(chosen, b0, b1)
         smax = self.a[row] - self.plan.low - size * b
         smin = smax - size + 1
-        return row, np.maximum(smin, self.s0[row]), np.minimum(smax, self.s1[row]), *self._named(row, smin, smax)
+        s0, s1 = np.maximum(smin, self.s0[row]), np.minimum(smax, self.s1[row])
+        return row, s0, s1, *self._named(row, smin, smax, s0, s1)
 
     def windows(self, row: np.ndarray, s0: np.ndarray, s1: np.ndarray):
         """Start, text and fingerprint of every window s0..s1 of the anchors ``row``."""
@@ -120,12 +121,12 @@ class Groups:
         out.append((doc[hit], s[hit], s[hit]))
         return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
-    def with_own_repeats(self) -> np.ndarray:
-        """Texts in which some anchor's k comes twice."""
+    def repeated_anchors(self) -> np.ndarray:
+        """Anchors whose k comes twice in their text, but for the first of each."""
         _, _, _, k, _ = self.anchors()
         key = k ^ mix(self.doc.astype(U64) + U64(1))
-        order = np.argsort(key)
-        return np.unique(self.doc[order[1:][key[order][1:] == key[order][:-1]]])
+        order = np.argsort(key, kind="stable")
+        return order[1:][key[order][1:] == key[order][:-1]]
 
     def own_repeats(self, equal: Callable[[int, int, int], bool]) -> list[tuple[int, int, int]]:
         """Runs (s, t, n): the n windows from s on equal those from t > s on in the same text.
@@ -215,14 +216,54 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Candidates:
-    """``read`` makes Elements from a binary column."""
+    """``read`` makes Elements from a binary column; ``cut(text, first, last)`` gives elements first..last-1 of a text as a text."""
 
-    def __init__(self, plan: Plan, read: Callable[..., Elements]):
-        self.plan, self.read = plan, read
+    def __init__(self, plan: Plan, read: Callable[..., Elements], cut: Callable[[bytes, np.ndarray], list[bytes]]):
+        self.plan, self.read, self.cut = plan, read, cut
 
     def groups(self, column) -> Groups:
         return Groups(self.read(column), self.plan)
 
+    def live(self, texts: DataFrame) -> DataFrame:
+        """sid, id, start, text: the stretches of texts (id, text) that windows cover whose k comes twice; sid is in the order of id and start."""
+
+        def keys(batch):
+            groups, ids = self.groups(batch.column(1)), batch.column(0).to_numpy()
+            _, _, _, k, _ = groups.anchors()
+            once = np.unique(k ^ mix(groups.doc.astype(U64) + U64(1)), return_index=True)[1]
+            again = groups.repeated_anchors()
+            # A k that a text has twice counts as if another text had it too.
+            every, of = np.concatenate((k[once], k[again])), np.concatenate((ids[groups.doc[once]], -1 - ids[groups.doc[again]]))
+            return {"k": pa.array(every.view(np.int64)), "id": pa.array(of)}
+
+        rows = table(arrow_map(texts, "k long, id long", keys), "keys")
+        shared = table(rows.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k"), "shared")
+        held = table(rows.where("id >= 0").join(shared, "k"), "live")
+
+        def segments(batch):
+            groups, ids = self.groups(batch.column(1)), batch.column(0).to_numpy()
+            _, s0, s1, k, _ = groups.anchors()
+            hit = within(k, groups.doc, *wanted_of(batch))
+            cover, at = np.zeros(groups.e.prefix.shape[1], np.int64), groups.e.at
+            np.add.at(cover, s0[hit], 1)
+            np.add.at(cover, s1[hit] + self.plan.width, -1)
+            on = np.cumsum(cover[:-1]) > 0
+            inner = np.ones(len(on) + 1, bool)
+            inner[at] = False  # segments end with their text
+            first = np.flatnonzero(on & ~(np.concatenate(([False], on[:-1])) & inner[:-1]))
+            last = np.flatnonzero(on & ~(np.concatenate((on[1:], [False])) & inner[1:])) + 1
+            doc = np.searchsorted(at, first, side="right") - 1
+            parts = []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                here = doc == row if batch.num_rows > 1 else slice(None)
+                parts += self.cut(text, np.column_stack((first[here], last[here])) - at[row])
+            return {"id": pa.array(ids[doc]), "start": pa.array(first - at[doc]), "text": pa.array(parts, pa.binary())}
+
+        cut = arrow_map(with_list(texts, held.withColumnRenamed("k", "f"), "f"), "id long, start long, text binary", segments)
+        out = table(cut.orderBy("id", "start").select(F.monotonically_increasing_id().alias("sid"), "id", "start", "text"), "segments")
+        forget(rows, shared, held)
+        return out
+
     def _rows(self, texts: DataFrame, emit) -> DataFrame:
         def run(batch):
             groups = self.groups(batch.column(1))
@@ -232,7 +273,7 @@ class Candidates:
             ids = batch.column(0).to_numpy()
             yield {"k": pa.array(k[once].view(np.int64)), "f": pa.array(f[once].view(np.int64)), "id": pa.array(ids[doc[once]])}
             if batch.num_columns == 2:  # the first level: texts that repeat something of their own have a row without k
-                own = ids[groups.with_own_repeats()]
+                own = ids[np.unique(groups.doc[groups.repeated_anchors()])]
                 yield {"k": pa.nulls(len(own), pa.int64()), "f": pa.nulls(len(own), pa.int64()), "id": pa.array(own)}
 
         return arrow_map(texts, "k long, f long, id long", run)
@@ -282,7 +323,7 @@ class Candidates:
         return found.withColumn("opened", F.lit(False)).union(opened.withColumn("opened", F.lit(True))), own
 
     def spans(self, texts: DataFrame, schema: str, emit) -> tuple[DataFrame, DataFrame]:
-        """What ``emit(batch, groups, text, first and last window)`` makes of the candidates, wherever they stand; (id) as of ``find``."""
+        """What ``emit(batch, groups, text, first and last window)`` makes of the candidates in texts (id, text), wherever they stand; (id) as of ``find``."""
 
         def run(batch):
             groups = self.groups(batch.column(1))

@@ -24,13 +24,14 @@ by content; of rows equal in both, one is the first.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, U64, arrow_map, byte_prefix, flat, mix, prefix_hash, seeds, sliding_hash, span_hash, table, words
+from .common import CHUNK_BYTES, U64, arrow_map, byte_prefix, flat, forget, mix, prefix_hash, seeds, sliding_hash, span_hash, table, words
 from .repeats import Candidates, Elements, Groups, Plan, distinct_texts, lists, with_list
 from .suffixes import SUFFIX, repeated_suffixes
 
@@ -52,47 +53,45 @@ def _bytes(column) -> Elements:
     return Elements(prefix, at, priority)
 
 
-#: Among a text's spans: it may repeat something of its own.
-_OWN = -1
+#: Longest span that one packed number says.
+_LONGEST = 1 << 23
 
 
-def _spans(found: DataFrame, own: DataFrame) -> DataFrame:
-    """id and spans (start << 24 | length, elements from the text's start, or _OWN) as a table."""
-    packed = found.select("id", (F.shiftleft(F.col("start"), 24) + F.col("need")).alias("spans"))
-    return table(packed.union(own.select("id", F.lit(_OWN).cast("long"))), "spans")
+def _own_spans(segments: DataFrame, own: DataFrame, plan: Plan, read, equal, both: bool) -> DataFrame:
+    """id, start, need of what segments repeat within themselves; ``both``: the first of equal windows too."""
 
+    def run(batch):
+        elements, ids, start, need = read(batch.column(1)), [], [], []
+        at, of = elements.at, batch.column(0).to_numpy()
+        for s, t, n in Groups(elements, plan).own_repeats(equal(batch.column(1))):
+            row = int(np.searchsorted(at, s, side="right")) - 1
+            for x in (s, t) if both else (t,):
+                for k in range(0, n, _LONGEST // 2):
+                    ids.append(of[row])
+                    start.append(x - at[row] + k)
+                    need.append(min(n - k, _LONGEST // 2) + plan.width - 1)
+        return {"id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "need": pa.array(need, pa.int64())}
 
-def _removed(batch, at: np.ndarray, width: int, own_repeats, both: bool) -> np.ndarray:
-    """Which elements go: those of the batch's spans, and those of ``own_repeats(rows)`` in texts that may have them.
+    return arrow_map(segments.select(F.col("sid").alias("id"), "text").join(own, "id", "left_semi"), "id long, start long, need long", run)
 
-    at: where each text's elements begin (one more for the end).  ``both``: the first of equal windows goes too.
-    """
+
+def _removed(texts: DataFrame, segments: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts with the list ``spans`` (start << 24 | length, elements from the text's start) of what goes, given as (id, start, need) of segments."""
+    placed = found.withColumnRenamed("start", "at").join(segments.select(F.col("sid"), F.col("id").alias("text_id"), "start"), F.col("id") == F.col("sid"))
+    packed = placed.select(F.col("text_id").alias("id"), (F.shiftleft(F.col("start") + F.col("at"), 24) + F.col("need")).alias("spans"))
+    return with_list(texts, table(packed, "spans"), "spans", "left")
+
+
+def _covered(batch, at: np.ndarray) -> np.ndarray:
+    """Which elements the batch's spans cover; ``at``: where each text's elements begin (one more for the end)."""
     spans, of = lists(batch.column(2))
-    own = np.unique(of[spans == _OWN])
-    spans, of = spans[spans >= 0], of[spans >= 0]
     cover = np.zeros(int(at[-1]) + 1, np.int64)
     start = at[of] + (spans >> 24)
     np.add.at(cover, start, 1)
     np.add.at(cover, start + (spans & 0xFFFFFF), -1)
-    for row, s, t, n in own_repeats(own) if len(own) else ():
-        for x in (s, t) if both else (t,):
-            cover[at[row] + x] += 1
-            cover[at[row] + x + n + width - 1] -= 1
     return np.cumsum(cover[:-1]) > 0
 
 
-def _own(batch, rows: np.ndarray, read, plan: Plan, equal) -> list[tuple[int, int, int, int]]:
-    """Row, s, t, n of the windows that the texts of ``rows`` repeat; places from the text's start."""
-    part = batch.column(1).take(pa.array(rows))
-    elements = read(part)
-    at = elements.at
-    out = []
-    for s, t, n in Groups(elements, plan).own_repeats(equal(part, at)):
-        k = int(np.searchsorted(at, s, side="right")) - 1
-        out.append((int(rows[k]), s - int(at[k]), t - int(at[k]), n))
-    return out
-
-
 def _digest_bytes(data: np.ndarray, at: np.ndarray, removed: np.ndarray) -> dict:
     total = np.concatenate(([0], np.cumsum(removed)))
     begin = removed & ~np.concatenate(([False], removed[:-1]))
@@ -102,8 +101,13 @@ def _digest_bytes(data: np.ndarray, at: np.ndarray, removed: np.ndarray) -> dict
     return {"n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": sha256(kept)}
 
 
-def repeated_byte_spans(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """id, start, need of strings of at least ``plan.width`` bytes that are in another text (id, text) too; (id) of texts that may repeat their own."""
+def _cut_bytes(text: bytes, bounds: np.ndarray) -> list[bytes]:
+    return [text[a:b] for a, b in bounds.tolist()]
+
+
+def repeated_byte_spans(segments: DataFrame, candidates: Candidates) -> DataFrame:
+    """id, start, need of strings of at least the plan's width in segments (sid, text) that stand somewhere else too."""
+    plan = candidates.plan
 
     def cut(batch, groups, doc, s0, s1):
         data, at = flat(batch.column(1))
@@ -116,27 +120,27 @@ def repeated_byte_spans(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFr
                 s = [bytes(whole[i:j]) for i, j in zip(s0[a:b].tolist(), stop[a:b].tolist(), strict=True)]
                 yield {"id": pa.array(ids[doc[a:b]]), "start": pa.array(s0[a:b] - at[doc[a:b]]), "s": pa.array(s, pa.binary())}
 
-    candidates, own = Candidates(plan, _bytes).spans(texts, SUFFIX, cut)
-    return repeated_suffixes(table(candidates, "candidates")), own
+    def equal(column):
+        data, _ = flat(column)
+        return lambda a, b, m: np.array_equal(data[a : a + m], data[b : b + m])
+
+    found, own = candidates.spans(segments.select(F.col("sid").alias("id"), "text"), SUFFIX, cut)
+    return repeated_suffixes(table(found, "candidates")).union(_own_spans(segments, own, plan, candidates.read, equal, both=True))
 
 
 def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``width`` is at least 48."""
     low = (width - _GRAM) // 5
-    plan = Plan(width, low, width - low, 16)
+    candidates = Candidates(Plan(width, low, width - max(low, _GRAM - 1), 16), _bytes, _cut_bytes)
     rows, texts = distinct_texts(docs)
-    spans = _spans(*repeated_byte_spans(texts, plan))
-
-    def equal(part, _):
-        data, _ = flat(part)
-        return lambda a, b, m: np.array_equal(data[a : a + m], data[b : b + m])
+    segments = candidates.live(texts)
+    spanned = _removed(texts, segments, repeated_byte_spans(segments, candidates))
 
     def finish(batch):
         data, at = flat(batch.column(1))
-        removed = _removed(batch, at, width, lambda rows: _own(batch, rows, _bytes, plan, equal), both=True)
-        return {"id": batch.column(0)} | _digest_bytes(data, at, removed)
+        return {"id": batch.column(0)} | _digest_bytes(data, at, _covered(batch, at))
 
-    digest = arrow_map(with_list(texts, spans, "spans", "left"), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
+    digest = arrow_map(spanned, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
     # Of a text that several rows have, every string of the width is repeated.
     copied = (F.col("total") > 1) & (F.col("n_bytes") >= width)
     whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(_EMPTY)}
@@ -144,41 +148,116 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def recompressed(codes: np.ndarray, first: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Start and name of every symbol after some rounds of naming runs and pairs."""
-    start, names = np.arange(len(codes)), codes
-    edge = np.zeros(len(codes) + 1, bool)
-    edge[first] = True
-    salt, left, right = seeds(rounds, 41), *seeds(2, 42)
-    for r in range(rounds):
-        begin = np.concatenate(([True], (names[1:] != names[:-1]) | edge[start[1:]])) if len(names) else np.zeros(0, bool)
-        at = np.flatnonzero(begin)
-        length = np.diff(np.append(at, len(names)))
-        start, names = start[at], np.where(length > 1, mix(names[at] * left + length.astype(U64) * salt[r]), names[at])
-        coin = (mix(names ^ salt[r]) & U64(1)).astype(bool)
-        pair = np.zeros(len(names), bool)  # joins with the next
-        pair[:-1] = coin[:-1] & ~coin[1:] & ~edge[start[1:]]
-        second = np.concatenate(([False], pair[:-1])) if len(pair) else pair
-        follower = np.concatenate((names[1:], names[:1]))
-        named = np.where(pair, mix(names * left + follower * right), names)
-        start, names = start[~second], named[~second]
-    return start, names
+@dataclass(frozen=True)
+class Symbols:
+    """Symbols of a chunk after a round: their first word, their name and, of a run or pair, what it is made of."""
 
+    start: np.ndarray
+    name: np.ndarray
+    kind: np.ndarray  # 0 taken over, 1 a run (left: the symbol, right: how often), 2 a pair (left, right)
+    left: np.ndarray
+    right: np.ndarray
 
-def _words(column) -> Elements:
+
+def recompress(symbols: Symbols, edge: np.ndarray, salt: int, pairs: bool) -> Symbols:
+    """One round: runs of a symbol get a name, or neighbours are paired where a coin thrown on their names shows one side, then the other.
+
+    Names are fingerprints of the parts, so a run or pair has one name wherever it is named.
+    """
+    start, names = symbols.start, symbols.name
+    n = len(names)
+    fits = ~edge[start[1:]]
+    a, b, c = seeds(3, salt)
+    if pairs:
+        coin = (mix(names ^ a) & U64(1)).astype(bool)
+        first = np.zeros(n, bool)
+        first[:-1] = coin[:-1] & ~coin[1:] & fits
+        kept = ~np.concatenate(([False], first[:-1])) if n else first
+        right = np.concatenate((names[1:], names[:1]))
+    else:
+        kept = np.concatenate(([True], (names[1:] != names[:-1]) | ~fits)) if n else np.zeros(0, bool)
+        size = np.diff(np.append(np.flatnonzero(kept), n))
+        first, right = np.zeros(n, bool), np.zeros(n, U64)
+        first[kept], right[kept] = size > 1, size
+    new = np.where(first, mix(names * b + right * c + a), names)[kept]
+    return Symbols(start[kept], new, (1 + pairs) * first[kept], names[kept], right[kept])
+
+
+#: Words before and after an anchor that settle it.
+_QUIET = 6
+#: Rounds over words: runs and pairs, then runs and pairs of what these made.
+ROUNDS = ((False, 51), (True, 52), (False, 53), (True, 54))
+
+
+def _parsed(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Symbols]]:
+    """Word names, their prefix sums, where each text's words begin and the symbols after each round."""
     data, at = flat(column)
     start, stop, first = words(data, at)
     codes = span_hash(byte_prefix(data), start, stop)
-    prefix = prefix_hash(codes)
+    edge = np.zeros(len(codes) + 1, bool)
+    edge[first] = True
+    zero = np.zeros(len(codes), np.int64)
+    rounds = [Symbols(np.arange(len(codes)), codes, zero, codes, codes)]
+    for pairs, salt in ROUNDS:
+        rounds.append(recompress(rounds[-1], edge, salt, pairs))
+    return codes, prefix_hash(codes), first, rounds
+
+
+def _words(column) -> Elements:
+    """Anchors are where a last symbol begins, unless words or symbols near it repeat.
+
+    A run may go on outside a window and its name says how long it is.  Where none of the ``_QUIET`` words
+    before and after a place equals its neighbour, nor any of the two symbols before and after it after the
+    second round, all that decides whether a symbol begins there stands in these words.
+    """
+    codes, prefix, first, rounds = _parsed(column)
     n = len(codes)
+    near = np.zeros(n + 1, np.int64)
+    near[1:] = np.cumsum(np.concatenate((codes[1:] == codes[:-1], [False]))) if n else 0
+    place = rounds[-1].start
+    place = place[(place >= _QUIET) & (place + _QUIET <= n)]
+    quiet = near[place + _QUIET - 1] == near[place - _QUIET]
+    second = rounds[2]
+    same = np.concatenate(([0], np.cumsum(np.concatenate((second.name[1:] == second.name[:-1], [False]))))) if n else np.zeros(1, np.int64)
+    j = np.searchsorted(second.start, place)
+    quiet &= same[np.minimum(j + 1, len(same) - 1)] == same[np.maximum(j - 2, 0)]
+    place = place[quiet]
     priority = np.full(n, _LAST)
-    # A place's symbols lie at most four words to its left and right unless they are runs, which have no place inside.
-    place, _ = recompressed(codes, first)
-    place = place[(place >= 2) & (place + 2 <= n)]
     priority[place] = span_hash(prefix, place - 2, place + 2)
     return Elements(prefix, first, priority)
 
 
+def symbol_names(segments: DataFrame, round_: int) -> DataFrame:
+    """The global names of a round over all segments (sid, text), as a table: name, its kind and parts (min_ and max_, which are equal), and how often it was given.
+
+    Raises if one name stands for different parts (round 0: words), so names can be taken for what they name.
+    """
+
+    def named(batch):
+        codes, _, first, rounds = _parsed(batch.column(1))
+        x = rounds[round_]
+        if round_ == 0:
+            found = {c: w for c, w in zip(codes.tolist(), (w for t in batch.column(1).to_pylist() for w in t.split()), strict=True)}
+            name, digest = np.array(list(found), U64), np.array([int.from_bytes(hashlib.sha256(w).digest()[:16], "little") for w in found.values()], object)
+            kind, left, right = np.zeros(len(name), np.int64), np.array([d & (2**64 - 1) for d in digest], U64), np.array([d >> 64 for d in digest], U64)
+        else:
+            made = x.kind > 0
+            once = np.unique(x.name[made], return_index=True)[1]
+            name, kind, left, right = (v[made][once] for v in (x.name, x.kind, x.left, x.right))
+        return {"name": pa.array(name.view(np.int64)), "kind": pa.array(kind.astype(np.int64)), "left": pa.array(left.view(np.int64)), "right": pa.array(right.view(np.int64))}
+
+    rows = arrow_map(segments.select("sid", "text"), "name long, kind long, left long, right long", named)
+    names = table(rows.groupBy("name").agg(*[g(c).alias(f"{g.__name__}_{c}") for c in ("kind", "left", "right") for g in (F.min, F.max)], F.count("*").alias("n")), "names")
+    if not names.where(" OR ".join(f"min_{c} <> max_{c}" for c in ("kind", "left", "right"))).isEmpty():
+        raise RuntimeError(f"a name of round {round_} stands for different parts")
+    return names
+
+
+def _cut_words(text: bytes, bounds: np.ndarray) -> list[bytes]:
+    own = text.split()
+    return [b" ".join(own[a:b]) for a, b in bounds.tolist()]
+
+
 def _digest_words(texts: list[list[bytes]], first: np.ndarray, removed: np.ndarray) -> dict:
     total = np.concatenate(([0], np.cumsum(removed)))
     kept = []
@@ -188,8 +267,12 @@ def _digest_words(texts: list[list[bytes]], first: np.ndarray, removed: np.ndarr
     return {"n_words": pa.array(np.diff(first)), "n_removed": pa.array(total[first[1:]] - total[first[:-1]]), "kept_sha256": sha256(kept)}
 
 
-def repeated_word_spans(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """id, start, need of word sequences that a text with a smaller id holds too, named by the SHA-256 of their words; (id) of texts that may repeat their own."""
+def repeated_word_spans(segments: DataFrame, candidates: Candidates) -> DataFrame:
+    """id, start, need of word sequences in segments (sid, text) that a segment with a smaller sid, or the same one earlier, holds too.
+
+    Sequences are compared by the SHA-256 of their words.
+    """
+    plan = candidates.plan
 
     def name(batch, groups, doc, s0, s1):
         own = [w for t in batch.column(1).to_pylist() for w in t.split()]
@@ -197,30 +280,32 @@ def repeated_word_spans(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFr
         both = np.frombuffer(digest, np.int64).reshape(-1, 2)
         return {"d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "id": pa.array(batch.column(0).to_numpy()[doc]), "start": pa.array(s0 - groups.e.at[doc]), "need": pa.array(s1 - s0 + plan.width)}
 
-    candidates, own = Candidates(plan, _words).spans(texts, "d1 long, d2 long, id long, start long, need long", name)
-    named = table(candidates, "named")
+    def equal(column):
+        own = [w for t in column.to_pylist() for w in t.split()]
+        return lambda a, b, m: own[a : a + m] == own[b : b + m]
+
+    found, own = candidates.spans(segments.select(F.col("sid").alias("id"), "text"), "d1 long, d2 long, id long, start long, need long", name)
+    named = table(found, "named")
     firsts = table(named.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("d1", "d2", "low"), "firsts")
-    return named.join(firsts, ["d1", "d2"]).where("id <> low").select("id", "start", "need"), own
+    later = named.join(firsts, ["d1", "d2"]).where("id <> low").select("id", "start", "need")
+    return later.union(_own_spans(segments, own, plan, candidates.read, equal, both=False))
 
 
 def remove_repeated_words(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    plan = Plan(width, 4, width - 3, 0)
+    candidates = Candidates(Plan(width, _QUIET, width - _QUIET + 1, 0), _words, _cut_words)
     rows, texts = distinct_texts(docs)
-    spans = _spans(*repeated_word_spans(texts, plan))
-
-    def equal(part, at):
-        own = [w for t in part.to_pylist() for w in t.split()]
-        return lambda a, b, m: own[a : a + m] == own[b : b + m]
+    segments = candidates.live(texts)
+    for round_ in range(len(ROUNDS) + 1):
+        forget(symbol_names(segments, round_))
+    spanned = _removed(texts, segments, repeated_word_spans(segments, candidates))
 
     def finish(batch):
-        whole = batch.column(1).to_pylist()
-        own = [t.split() for t in whole]
+        own = [t.split() for t in batch.column(1).to_pylist()]
         first = np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)
-        removed = _removed(batch, first, width, lambda rows: _own(batch, rows, _words, plan, equal), both=False)
-        return {"id": batch.column(0)} | _digest_words(own, first, removed)
+        return {"id": batch.column(0)} | _digest_words(own, first, _covered(batch, first))
 
-    digest = arrow_map(with_list(texts, spans, "spans", "left"), "id long, n_words long, n_removed long, kept_sha256 string", finish)
+    digest = arrow_map(spanned, "id long, n_words long, n_removed long, kept_sha256 string", finish)
     out = rows.join(digest, "id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     # A text's first row stands; every window of its later rows stands earlier.
     again = ((F.col("_copy") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first"))) & (F.col("n_words") >= width)

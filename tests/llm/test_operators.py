@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,36 @@ def test_repeated_words(docs, odd, alike):
         assert listed(substrings.remove_repeated_words(d).collect()) == brute_words(pairs(d))
 
 
+def test_repeats_among_runs_and_few_words(spark):
+    """Texts of two to four words with runs, cut and joined anew, so that repeats begin and end everywhere."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(150):
+        vocabulary = "a b c d".split()[: 2 + k % 3]
+        w = [x for x in rng.choice(vocabulary, 60) for _ in range(rng.integers(1, 4 if k % 2 else 2))]
+        if texts and k % 3:
+            old = texts[rng.integers(len(texts))][1].split()
+            a, b = sorted(rng.integers(0, len(old) + 1, 2))
+            w = w[: rng.integers(0, 30)] + old[a:b] + w[30 : 30 + rng.integers(0, 30)]
+        texts.append((k, " ".join(w)))
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    assert listed(substrings.remove_repeated_words(d).collect()) == brute_words(texts)
+    assert listed(substrings.remove_repeated_bytes(d, 60).collect()) == brute_bytes(texts, 60)
+
+
+def test_recompression_names(spark):
+    d = spark.createDataFrame([(0, "x x x a b c a b c q"), (1, "y x x x a b c a b c")], "sid long, text binary")
+    words = {(r.name, r.n) for r in substrings.symbol_names(d, 0).collect()}
+    assert len(words) == 6
+    runs = [r for r in substrings.symbol_names(d, 1).collect()]
+    assert [(r.min_kind, r.min_right) for r in runs] == [(1, 3)] and runs[0].min_left in {n for n, _ in words}
+    column = pa.array([b"p q r s t u v w x a b c a b c d e f g h", b"x a b c a b c d e f g h"], pa.binary())
+    *_, first, rounds = substrings._parsed(column)
+    last = rounds[-1]
+    one, two = (last.name[(last.start >= a) & (last.start < b)].tolist() for a, b in zip(first[:-1], first[1:]))
+    assert one[-2:] == two[-2:] and len(last.name) < len(rounds[0].name)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     found = [bytes(rng.integers(97, 99, rng.integers(0, 40)).astype(np.uint8)) for _ in range(2000)] + [b"a" * k for k in range(30)] + [b"", b"\0", b"\0\0"] * 3
