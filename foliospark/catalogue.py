@@ -207,8 +207,10 @@ SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey)::double AS x1, grea
 def bbox_normalize(spark, sf_dir):
     x, y, u, v = F.col("l_partkey").cast("double"), F.col("l_linenumber").cast("double"), F.col("l_suppkey").cast("double"), F.col("l_linenumber") + F.col("l_quantity")
     shape = F.col("l_orderkey") % 3
-    b = F.when(shape == 0, items.box(x, v, u, y)).when(shape == 1, items.box_from_list(F.array(u, y, x, v))).otherwise(items.box_from_points(F.array(F.array(x, y), F.array(u, y), F.array(u, v), F.array(x, v))))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.x1", "b.x2", "b.y1", "b.y2", "b.cx", "b.w", "b.h")
+    # The shapes are columns, as a reader gives them.
+    given = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), shape.alias("shape"), F.when(shape == 1, F.array(u, y, x, v)).alias("numbers"), F.when(shape == 2, F.array(F.array(x, y), F.array(u, y), F.array(u, v), F.array(x, v))).alias("points"))
+    b = F.when(F.col("shape") == 0, items.box(F.col("x"), F.col("v"), F.col("u"), F.col("y"))).when(F.col("shape") == 1, items.box_from_list(F.col("numbers"))).otherwise(items.box_from_points(F.col("points")))
+    return given.select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.x1", "b.x2", "b.y1", "b.y2", "b.cx", "b.w", "b.h")
 
 
 @query("""
