@@ -180,7 +180,9 @@ def _joined(lanes: list[np.ndarray], length) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of each span [start, stop); equal contents give equal hashes."""
-    lanes = [(row[stop] - row[start]) % U64(p) * down[start] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(prefix.shape[1]), strict=True)]
+    lanes = [
+        (row[stop] - row[start]) % U64(p) * down[start] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(prefix.shape[1]), strict=True)
+    ]
     return _joined(lanes, (stop - start).astype(U64))
 
 
@@ -190,7 +192,11 @@ def sliding_hash(prefix: np.ndarray, width: int) -> np.ndarray:
     out, length = np.empty(n, U64), np.full(1, width, U64)
     for at in range(0, n, _BLOCK):
         stop = min(at + _BLOCK, n)
-        lanes = [(row[at + width : stop + width] - row[at:stop]) % U64(p) * down[at:stop] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(n), strict=True)]
+        lanes = [
+            (
+                row[at + width : stop + width] - row[at:stop]
+            ) % U64(p) * down[at:stop] % U64(p) for row, p, (_, down) in zip(prefix, _PRIMES, powers(n), strict=True)
+        ]
         out[at:stop] = _joined(lanes, length)
     return out
 

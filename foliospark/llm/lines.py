@@ -42,7 +42,12 @@ def line_features(stats: TextStats) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(stats.repeated_words)))
     repeated = total[at + stats.line_words] - total[at]
     share = [counts[:, k] / chars for k in (SYMBOL, PIPE, BANG, DIGIT, STOP, PUNCT)]
-    return np.column_stack([*share, counts[:, UPPER] / letters, repeated / count, stats.repeated_lines, np.log1p(stats.line_words) / 4, (stop - start) / count / 10, stats.line_words == 0, np.ones(n)]).astype(np.float64)
+    return np.column_stack(
+        [
+            *share, counts[:, UPPER] / letters, repeated / count, stats.repeated_lines, np.log1p(stats.line_words) / 4,
+            (stop - start) / count / 10, stats.line_words == 0, np.ones(n)
+        ]
+    ).astype(np.float64)
 
 
 class LineCRF:
@@ -123,9 +128,14 @@ def fit_lines(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> LineCR
         x, first = line_features(stats), stats.lines[3]
         parts = [(d, x[a : min(a + SEQUENCE, first[d + 1])]) for d in range(stats.n) for a in range(first[d], first[d + 1], SEQUENCE)]
         label = batch.column(2).to_numpy()
-        return {"label": pa.array([int(label[d]) for d, _ in parts], pa.int32()), "x": pa.array([p.astype("<f8").tobytes() for _, p in parts], pa.binary())}
-
-    got = arrow_map(labelled_sample(docs, labels, "quality", bound), "label int, x binary", rows).toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
+        return {
+            "label": pa.array([int(label[d]) for d, _ in parts], pa.int32()),
+            "x": pa.array([p.astype("<f8").tobytes() for _, p in parts], pa.binary())
+        }
+
+    got = arrow_map(
+        labelled_sample(docs, labels, "quality", bound), "label int, x binary", rows
+    ).toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
     y = got["label"].to_numpy()
     if not 0 < y.sum() < len(y):
         return None
@@ -149,6 +159,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, share: float = 0.5) -> Dat
             label = crf.viterbi(line_features(stats), stats.lines[3])
             content = np.bincount(stats.lines[2], weights=label * stats.line_words, minlength=stats.n) / np.maximum(stats.n_words, 1)
         long = lambda a: pa.array(a.astype(np.int64))
-        return {"doc_id": batch.column(0), "n_words": long(stats.n_words), "word_chars": long(stats.word_chars), "n_symbols": long(stats.n_symbols), "n_dup_lines": long(stats.n_dup_lines), "n_repeat_words": long(repeat), "base_failed": pa.array(failed), "kept": pa.array(~failed & (content >= share)), "content_share": pa.array(content)}
-
-    return arrow_map(text_bytes(docs), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double", judge)
+        return {
+            "doc_id": batch.column(0), "n_words": long(stats.n_words), "word_chars": long(stats.word_chars),
+            "n_symbols": long(stats.n_symbols), "n_dup_lines": long(stats.n_dup_lines), "n_repeat_words": long(repeat),
+            "base_failed": pa.array(failed), "kept": pa.array(~failed & (content >= share)),
+            "content_share": pa.array(content)
+        }
+
+    return arrow_map(
+        text_bytes(docs),
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double",
+        judge
+    )

@@ -71,7 +71,12 @@ def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80,
     mean = F.try_divide("source_size", "n")
     ratio = F.try_divide("target", "source_size")
     open_ = (F.col("source_size") > 0) & (ratio < most * (1 - 1e-9)) & (ratio > 0)
-    state = goal.withColumns({"mean": mean, "open": F.coalesce(open_, F.lit(False)), "lam": F.coalesce(F.when(open_, F.log(ratio)), F.lit(0.0)), "low": F.lit(-1e5), "high": F.lit(1e5)})
+    state = goal.withColumns(
+        {
+            "mean": mean, "open": F.coalesce(open_, F.lit(False)),
+            "lam": F.coalesce(F.when(open_, F.log(ratio)), F.lit(0.0)), "low": F.lit(-1e5), "high": F.lit(1e5)
+        }
+    )
     state = table(state.coalesce(1), "state")
     for _ in range(rounds):
         x = F.try_divide("size", "mean")
@@ -84,7 +89,12 @@ def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80,
         newton = F.col("lam") - miss / F.nullif("slope", F.lit(0.0))
         step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         done = F.coalesce((F.abs(miss) <= F.greatest(tolerance * F.col("target"), F.lit(0.01))) | (F.col("high") - F.col("low") < 1e-10), F.lit(True))
-        moved = state.join(sums, "skey", "left").select("skey", "source_size", "n", "target", "mean", (F.col("open") & ~done).alias("open"), F.when(done, F.col("lam")).otherwise(step).alias("lam"), F.when(F.col("open"), low).otherwise(F.col("low")).alias("low"), F.when(F.col("open"), high).otherwise(F.col("high")).alias("high"))
+        moved = state.join(sums, "skey", "left").select(
+            "skey", "source_size", "n", "target", "mean", (F.col("open") & ~done).alias("open"),
+            F.when(done, F.col("lam")).otherwise(step).alias("lam"),
+            F.when(F.col("open"), low).otherwise(F.col("low")).alias("low"),
+            F.when(F.col("open"), high).otherwise(F.col("high")).alias("high")
+        )
         state = table(moved.coalesce(1), "state")
         if state.where("open").isEmpty():
             return state.select("skey", "source_size", "n", "target", "mean", F.round("lam", 9).alias("lam"))
@@ -110,7 +120,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     rated = entries.join(state, "skey").withColumn("rate", F.coalesce(rate, F.lit(1.0)))
     rated = rated.withColumn("block", F.pmod(F.xxhash64(*key, "size"), F.ceil(F.col("n") / block_rows)))
     one = F.struct((-F.col("size")).alias("order"), F.col(key[0]).alias("key"), "size", "rate", "m")
-    grouped = rated.groupBy("skey", "block").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(one)).alias("rows"))
+    grouped = rated.groupBy("skey", "block").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.array_sort(F.collect_list(one)).alias("rows")
+    )
 
     def step(acc: Column, x: Column) -> Column:
         want = x["rate"] * x["size"] * x["m"] + acc["carry"]
@@ -124,7 +137,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # The entry's copies go round its m rows.
     each = placed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.m"))).alias("i"))
     own = F.floor(F.col("x.copies") / F.col("x.m")) + F.when(F.col("i") <= F.col("x.copies") % F.col("x.m"), 1).otherwise(0)
-    return each.select(F.col("x.key").alias(key[0]), "x.size", "source_size", "target", own.cast("int").alias("copies"), (own * F.col("x.size")).cast("long").alias("taken"))
+    return each.select(
+        F.col("x.key").alias(key[0]), "x.size", "source_size", "target", own.cast("int").alias("copies"),
+        (own * F.col("x.size")).cast("long").alias("taken")
+    )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:

@@ -70,7 +70,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             n.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()))
             if len(s):
-                least = np.array([((s ^ b) * a).min() for a, b in zip(_A, _B, strict=True)]) if len(s) > 4096 else ((s[:, None] ^ _B) * _A).min(axis=0)
+                least = np.array(
+                    [((s ^ b) * a).min() for a, b in zip(_A, _B, strict=True)]
+                ) if len(s) > 4096 else ((s[:, None] ^ _B) * _A).min(axis=0)
             else:
                 least = np.zeros(COLLECTIONS * ROWS, U64)
             sig.append(least)
@@ -93,9 +95,22 @@ def _table_keys(reps: DataFrame) -> DataFrame:
     """
     names = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("name")) for i in range(COLLECTIONS)]))
     every = table(reps.select("rep", "n_shingles", names), "collections")
-    often = table(every.groupBy("i", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("i", "name"), "often")
-    held = every.join(often, ["i", "name"]).groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("i", "name"))).alias("c")).where(F.size("c") > 1)
-    pairs = F.flatten(F.transform("c", lambda x, k: F.transform(F.slice("c", k + 2, F.size("c")), lambda y: F.struct(F.xxhash64(x["i"], y["i"], x["name"], y["name"]).alias("key"), x["i"].alias("one"), y["i"].alias("two")))))
+    often = table(
+        every.groupBy("i", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("i", "name"),
+        "often"
+    )
+    held = every.join(often, ["i", "name"]).groupBy("rep").agg(
+        F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("i", "name"))).alias("c")
+    ).where(F.size("c") > 1)
+    pairs = F.flatten(
+        F.transform(
+            "c",
+            lambda x, k: F.transform(
+                F.slice("c", k + 2, F.size("c")),
+                lambda y: F.struct(F.xxhash64(x["i"], y["i"], x["name"], y["name"]).alias("key"), x["i"].alias("one"), y["i"].alias("two"))
+            )
+        )
+    )
     out = table(held.select("rep", "n_shingles", F.inline(pairs)), "tables")
     forget(every, often)
     return out
@@ -175,13 +190,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     # Only the components that these links touch are joined; the others keep their label.
     to = lambda end: label.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
     merged = more.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
-    joined = components(label.select(F.col("comp").alias("node")).distinct(), merged).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    joined = components(
+        label.select(F.col("comp").alias("node")).distinct(), merged
+    ).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
     label = label.join(joined, "comp").select("node", F.col("whole").alias("comp"))
 
     classes = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = signed.join(classes, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    )
 
 
 def _sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:

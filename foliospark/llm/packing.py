@@ -103,7 +103,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFra
                 start.append(at // 4)
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
-        return {"doc_id": pa.array(ids, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+        return {
+            "doc_id": pa.array(ids, pa.int64()), "piece": pa.array(piece, pa.int32()),
+            "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+            "ids_crc32": pa.array(crc, pa.int64())
+        }
 
     return arrow_map(text_bytes(docs), PIECES, cut)
 
@@ -147,7 +151,9 @@ def pack(pieces: DataFrame, capacity: int, shard_rows: int = 8192) -> DataFrame:
     schema = PIECES + ", sequence_id long, offset long"
 
     def place(key, rows):
-        rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.drop_columns(["shard"]).sort_by(
+            [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        )
         bins, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
         rows = rows.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32)))
         return rows.append_column("offset", pa.array(offset))

@@ -90,7 +90,10 @@ class PUModel:
     ``unlabelled(w)`` gives the ``risk_sums`` of all documents and ``n`` is their number.
     """
 
-    def __init__(self, positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, unlabelled, n: int, prior: float, rounds: int = 12, decay: float = 1e-3):
+    def __init__(
+        self, positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, unlabelled, n: int, prior: float,
+        rounds: int = 12, decay: float = 1e-3
+    ):
         self.prior, self.mean, self.scale = prior, mean, scale
         self.usable = len(positive) > 0 and n > 0 and 0 < prior < 1
         if not self.usable:
@@ -161,7 +164,10 @@ def fit_features(features: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     n = moments[0] if len(moments) else 0.0
     mean = moments[1 : k + 1] / n if n else np.zeros(k)
     scale = np.sqrt(np.maximum(moments[k + 1 :] / n - mean**2, 0)) + 1e-3 if n else np.ones(k)
-    return PUModel(x[y == 1], mean, scale, lambda w: _summed(features, lambda rows: risk_sums(expand(rows, mean, scale), w)), n, float(y.mean()) if len(y) else 0.5)
+    return PUModel(
+        x[y == 1], mean, scale, lambda w: _summed(features, lambda rows: risk_sums(expand(rows, mean, scale), w)), n,
+        float(y.mean()) if len(y) else 0.5
+    )
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -173,7 +179,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": model(_rows_of(batch))})
 
-    return in_batches(features, "doc_id long, held_out boolean, score double", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return in_batches(
+        features, "doc_id long, held_out boolean, score double", score
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -72,7 +72,10 @@ def mixing_targets(spark, sf_dir):
 
 
 def queries():
-    found = (op1_secret_scan, op2_exact_top_k, op3_minhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing_sources, op7_toxicity, op8_suffix_array_dedup, op9_substring_dedup, op10_quality_classifier)
+    found = (
+        op1_secret_scan, op2_exact_top_k, op3_minhash_near_dedup, op4_best_fit_packing, op5_quality_rules,
+        op6_mixing_sources, op7_toxicity, op8_suffix_array_dedup, op9_substring_dedup, op10_quality_classifier
+    )
     return {f.__name__: f for f in (*found, quality_base, mixing_targets)} | {"pipeline": corpus_pipeline.run}
 
 

@@ -330,7 +330,10 @@ class Candidates:
             return emit(batch, groups, *groups.claimed(wanted_of(batch), wanted_of(batch, 3)))
 
         claims, own = self.find(texts)
-        per = claims.groupBy("id").agg(F.collect_list(F.when(~F.col("opened"), F.col("f"))).alias("f"), F.collect_list(F.when(F.col("opened"), F.col("f"))).alias("open"))
+        per = claims.groupBy("id").agg(
+            F.collect_list(F.when(~F.col("opened"), F.col("f"))).alias("f"),
+            F.collect_list(F.when(F.col("opened"), F.col("f"))).alias("open")
+        )
         return arrow_map(texts.join(per.where(F.size("f") > 0), "id"), schema, run), own
 
 

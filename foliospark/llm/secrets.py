@@ -75,7 +75,10 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         stop = start + F.length(x["whole"])
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.cast("bigint").alias("stop"))
+        span = F.struct(
+            start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
+            stop.cast("bigint").alias("stop")
+        )
         good = F.length(x["judged"]) >= rule.least
         return F.struct(stop.cast("bigint").alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
@@ -83,7 +86,13 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
 
     def join(acc: Column, part: Column) -> Column:
-        moved = F.transform(part["spans"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), (x["stop"] + acc["at"]).alias("stop")))
+        moved = F.transform(
+            part["spans"],
+            lambda x: F.struct(
+                (x["start"] + acc["at"]).alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"),
+                (x["stop"] + acc["at"]).alias("stop")
+            )
+        )
         return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
 
     # A fold copies its list at each step, so matches are folded by the part and the parts after that.
@@ -119,7 +128,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each document (path) with all spans that the ledger has for its blob, as ``_found``; the input's columns stay."""
-    per_blob = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_found"))
+    per_blob = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_found")
+    )
     paths = docs.withColumn("_blob", blob_of(F.col("text")))
     return paths.join(per_blob, "_blob", "left").withColumn("_found", F.coalesce("_found", F.array().cast(_SPANS))).drop("_blob")
 
@@ -148,7 +159,11 @@ def secret_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tup
     base = [r.kind for r in rules if r.base]
     of_kind = lambda kind: F.filter("_found", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.filter("_found", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_found")).alias("spans"))
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(_listed(F.filter("_found", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("_found")).alias("spans")
+    )
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -161,13 +176,33 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def step(acc: Column, s: Column, text: Column, begin: Column) -> Column:
         """acc: how far the text is done, and the pieces so far; ``text`` begins at ``begin``."""
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.array(between(text, acc["at"] - begin, s["start"] - begin), mark)).alias("out"))
+        return F.struct(
+            F.greatest(acc["at"], s["stop"]).alias("at"),
+            F.concat(acc["out"], F.array(between(text, acc["at"] - begin, s["start"] - begin), mark)).alias("out")
+        )
 
     def join(acc: Column, part: Column) -> Column:
         stop = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["stop"])))
         # A one-element array binds the part's own text, so that it is cut out once.
         bound = F.array(F.struct(between(F.col("_text"), acc["at"], stop).alias("text"), acc["at"].alias("at"), acc["out"].alias("out")))
-        done = F.transform(bound, lambda b: F.struct(stop.alias("at"), F.concat(b["out"], F.array(F.array_join(F.aggregate(part, F.struct(b["at"].alias("at"), F.array().cast("array<string>").alias("out")), lambda c, s: step(c, s, b["text"], b["at"]), lambda c: c["out"]), ""))).alias("out")))
+        done = F.transform(
+            bound,
+            lambda b: F.struct(
+                stop.alias("at"),
+                F.concat(
+                    b["out"],
+                    F.array(
+                        F.array_join(
+                            F.aggregate(
+                                part, F.struct(b["at"].alias("at"), F.array().cast("array<string>").alias("out")),
+                                lambda c, s: step(c, s, b["text"], b["at"]), lambda c: c["out"]
+                            ),
+                            ""
+                        )
+                    )
+                ).alias("out")
+            )
+        )
         return F.element_at(done, 1)
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))

@@ -77,7 +77,9 @@ def _own_spans(segments: DataFrame, own: DataFrame, plan: Plan, read, equal, bot
 
 def _removed(texts: DataFrame, segments: DataFrame, found: DataFrame) -> DataFrame:
     """Texts with the list ``spans`` (start << 24 | length, elements from the text's start) of what goes, given as (id, start, need) of segments."""
-    placed = found.withColumnRenamed("start", "at").join(segments.select(F.col("sid"), F.col("id").alias("text_id"), "start"), F.col("id") == F.col("sid"))
+    placed = found.withColumnRenamed("start", "at").join(
+        segments.select(F.col("sid"), F.col("id").alias("text_id"), "start"), F.col("id") == F.col("sid")
+    )
     packed = placed.select(F.col("text_id").alias("id"), (F.shiftleft(F.col("start") + F.col("at"), 24) + F.col("need")).alias("spans"))
     return with_list(texts, table(packed, "spans"), "spans", "left")
 
@@ -98,7 +100,10 @@ def _digest_bytes(data: np.ndarray, at: np.ndarray, removed: np.ndarray) -> dict
     begin[at[:-1][np.diff(at) > 0]] = removed[at[:-1][np.diff(at) > 0]]
     spans = np.concatenate(([0], np.cumsum(begin)))
     kept = [data[a:b][~removed[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return {"n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]), "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": sha256(kept)}
+    return {
+        "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(total[at[1:]] - total[at[:-1]]),
+        "n_spans": pa.array(spans[at[1:]] - spans[at[:-1]]), "kept_sha256": sha256(kept)
+    }
 
 
 def _cut_bytes(text: bytes, bounds: np.ndarray) -> list[bytes]:
@@ -238,16 +243,29 @@ def symbol_names(segments: DataFrame, round_: int) -> DataFrame:
         x = rounds[round_]
         if round_ == 0:
             found = {c: w for c, w in zip(codes.tolist(), (w for t in batch.column(1).to_pylist() for w in t.split()), strict=True)}
-            name, digest = np.array(list(found), U64), np.array([int.from_bytes(hashlib.sha256(w).digest()[:16], "little") for w in found.values()], object)
-            kind, left, right = np.zeros(len(name), np.int64), np.array([d & (2**64 - 1) for d in digest], U64), np.array([d >> 64 for d in digest], U64)
+            name, digest = np.array(list(found), U64), np.array(
+                [int.from_bytes(hashlib.sha256(w).digest()[:16], "little") for w in found.values()], object
+            )
+            kind, left, right = np.zeros(len(name), np.int64), np.array(
+                [d & (2**64 - 1) for d in digest], U64
+            ), np.array([d >> 64 for d in digest], U64)
         else:
             made = x.kind > 0
             once = np.unique(x.name[made], return_index=True)[1]
             name, kind, left, right = (v[made][once] for v in (x.name, x.kind, x.left, x.right))
-        return {"name": pa.array(name.view(np.int64)), "kind": pa.array(kind.astype(np.int64)), "left": pa.array(left.view(np.int64)), "right": pa.array(right.view(np.int64))}
+        return {
+            "name": pa.array(name.view(np.int64)), "kind": pa.array(kind.astype(np.int64)),
+            "left": pa.array(left.view(np.int64)), "right": pa.array(right.view(np.int64))
+        }
 
     rows = arrow_map(segments.select("sid", "text"), "name long, kind long, left long, right long", named)
-    names = table(rows.groupBy("name").agg(*[g(c).alias(f"{g.__name__}_{c}") for c in ("kind", "left", "right") for g in (F.min, F.max)], F.count("*").alias("n")), "names")
+    names = table(
+        rows.groupBy("name").agg(
+            *[g(c).alias(f"{g.__name__}_{c}") for c in ("kind", "left", "right") for g in (F.min, F.max)],
+            F.count("*").alias("n")
+        ),
+        "names"
+    )
     if not names.where(" OR ".join(f"min_{c} <> max_{c}" for c in ("kind", "left", "right"))).isEmpty():
         raise RuntimeError(f"a name of round {round_} stands for different parts")
     return names
@@ -278,7 +296,10 @@ def repeated_word_spans(segments: DataFrame, candidates: Candidates) -> DataFram
         own = [w for t in batch.column(1).to_pylist() for w in t.split()]
         digest = b"".join([hashlib.sha256(b" ".join(own[a:b])).digest()[:16] for a, b in zip(s0.tolist(), (s1 + plan.width).tolist(), strict=True)])
         both = np.frombuffer(digest, np.int64).reshape(-1, 2)
-        return {"d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "id": pa.array(batch.column(0).to_numpy()[doc]), "start": pa.array(s0 - groups.e.at[doc]), "need": pa.array(s1 - s0 + plan.width)}
+        return {
+            "d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "id": pa.array(batch.column(0).to_numpy()[doc]),
+            "start": pa.array(s0 - groups.e.at[doc]), "need": pa.array(s1 - s0 + plan.width)
+        }
 
     def equal(column):
         own = [w for t in column.to_pylist() for w in t.split()]
@@ -286,7 +307,10 @@ def repeated_word_spans(segments: DataFrame, candidates: Candidates) -> DataFram
 
     found, own = candidates.spans(segments.select(F.col("sid").alias("id"), "text"), "d1 long, d2 long, id long, start long, need long", name)
     named = table(found, "named")
-    firsts = table(named.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("d1", "d2", "low"), "firsts")
+    firsts = table(
+        named.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("d1", "d2", "low"),
+        "firsts"
+    )
     later = named.join(firsts, ["d1", "d2"]).where("id <> low").select("id", "start", "need")
     return later.union(_own_spans(segments, own, plan, candidates.read, equal, both=False))
 
@@ -309,4 +333,7 @@ def remove_repeated_words(docs: DataFrame, width: int = 20) -> DataFrame:
     out = rows.join(digest, "id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     # A text's first row stands; every window of its later rows stands earlier.
     again = ((F.col("_copy") > 1) | ~F.col("doc_id").eqNullSafe(F.col("first"))) & (F.col("n_words") >= width)
-    return out.select("doc_id", "n_words", F.when(again, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(again, _EMPTY).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_words", F.when(again, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(again, _EMPTY).otherwise(F.col("kept_sha256")).alias("kept_sha256")
+    )

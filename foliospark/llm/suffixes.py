@@ -92,7 +92,10 @@ def common_prefix(strings: Strings, order: np.ndarray) -> np.ndarray:
         differ = x ^ y
         # The highest bit that differs tells the byte; a float's exponent finds it once the low half is masked away.
         high = differ >> U64(32)
-        byte = np.where(high > 0, 3 - (np.log2(np.maximum(high, 1).astype(np.float64)).astype(np.int64) >> 3), 7 - (np.log2(np.maximum(differ & U64(0xFFFFFFFF), 1).astype(np.float64)).astype(np.int64) >> 3))
+        byte = np.where(
+            high > 0, 3 - (np.log2(np.maximum(high, 1).astype(np.float64)).astype(np.int64) >> 3),
+            7 - (np.log2(np.maximum(differ & U64(0xFFFFFFFF), 1).astype(np.float64)).astype(np.int64) >> 3)
+        )
         same = np.minimum(np.where(differ == 0, 8, byte), np.minimum(nx, ny))
         out[open_] += same
         open_ = open_[same == 8]
@@ -143,11 +146,20 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
         take[[0, -1]] = True
         take |= seen
         kept = np.flatnonzero(take)
-        out = {"id": rows["id"].to_numpy()[order][kept], "start": rows["start"].to_numpy()[order][kept], "need": need[kept], "seen": seen[kept], "bucket": np.full(len(kept), key[0].as_py(), np.int32), "side": rank[kept]}
+        out = {
+            "id": rows["id"].to_numpy()[order][kept], "start": rows["start"].to_numpy()[order][kept],
+            "need": need[kept], "seen": seen[kept], "bucket": np.full(len(kept), key[0].as_py(), np.int32),
+            "side": rank[kept]
+        }
         return pa.Table.from_pydict(out | {"edge": pa.array([edge[k] for k in kept], pa.binary())})
 
     dealt = in_batches(suffixes.select("id", "start", "s"), SUFFIX + ", bucket int", deal)
-    done = table(dealt.repartition(len(bounds) + 1, "bucket").groupBy("bucket").applyInArrow(sort, "id long, start long, need long, seen boolean, bucket int, side long, edge binary"), "suffixes")
+    done = table(
+        dealt.repartition(len(bounds) + 1, "bucket").groupBy("bucket").applyInArrow(
+            sort, "id long, start long, need long, seen boolean, bucket int, side long, edge binary"
+        ),
+        "suffixes"
+    )
     forget(suffixes)
     # Two rows for each bucket, as many as there are splitters.
     ends = done.where("edge IS NOT NULL").orderBy("bucket", "side").toArrow().to_pylist()
@@ -157,5 +169,7 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
             more += [x for x, y in ((a, b), (b, a)) if not x["seen"] and y["edge"].startswith(x["edge"])]
     found = done.where("seen").select("id", "start", "need")
     if more:
-        found = found.union(found.sparkSession.createDataFrame([(x["id"], x["start"], x["need"]) for x in more], "id long, start long, need long").distinct())
+        found = found.union(
+            found.sparkSession.createDataFrame([(x["id"], x["start"], x["need"]) for x in more], "id long, start long, need long").distinct()
+        )
     return found

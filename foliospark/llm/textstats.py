@@ -143,11 +143,18 @@ class TextStats:
         odd = np.isin(_CLASS[self.data[self.stop - 1]], (SYMBOL, BANG, PIPE)) if len(self.start) else cap
         columns = [c[:, k] / chars for k in (DIGIT, SPACE, SYMBOL, BANG, STOP, PUNCT, LEAD, PIPE)]
         columns += [c[:, UPPER] / letters, self.per_doc(cap) / n, self.per_doc(odd) / n, self.per_doc(length) / n / 10, self.per_doc(length <= 3) / n]
-        columns += [self.n_distinct / n, self.per_doc(self.repeated_words) / n, self.n_dup_lines / self.n_lines, np.log1p(self.n_words) / 10, np.log1p(self.n_words / self.n_lines) / 5]
+        columns += [
+            self.n_distinct / n, self.per_doc(self.repeated_words) / n, self.n_dup_lines / self.n_lines,
+            np.log1p(self.n_words) / 10, np.log1p(self.n_words / self.n_lines) / 5
+        ]
         columns += [(self.n_words == 0).astype(float), (self.n_words < 20).astype(float)]
         return np.column_stack(columns).astype(np.float64)
 
 
-QUALITY_NAMES = ("digits", "space", "symbols", "bangs", "stops", "punctuation", "accents", "pipes", "capitals", "capital_words", "odd_ends", "word_length", "short_words", "distinct", "repeated", "repeated_lines", "log_words", "log_line_words", "empty", "short")
+QUALITY_NAMES = (
+    "digits", "space", "symbols", "bangs", "stops", "punctuation", "accents", "pipes", "capitals", "capital_words",
+    "odd_ends", "word_length", "short_words", "distinct", "repeated", "repeated_lines", "log_words", "log_line_words",
+    "empty", "short"
+)
 
 

@@ -38,7 +38,10 @@ def integer_vector(vector: Column) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 1024)))
 
 
-def best_of_block(queries: np.ndarray, vectors: np.ndarray, barred: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None, depth: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+def best_of_block(
+    queries: np.ndarray, vectors: np.ndarray, barred: np.ndarray, ids: np.ndarray, k: int,
+    least: np.ndarray | None = None, depth: int = 64
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the rows and scores of its k best vectors of at least the score ``least``, higher scores and then smaller ids first.
 
     barred[q, v]: v is no candidate of q.  ``depth`` is how far the lists are read at first; it doubles.
@@ -121,7 +124,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
             got = mine.select("vec_id", "x").toArrow().sort_by("vec_id")  # about ``query_numbers`` numbers
             if not len(got):
                 continue
-            part = in_batches(vectors.where(F.size("x") == d).select("vec_id", "x"), schema, _search(got["vec_id"].to_numpy(), _matrix(got["x"]), k, block_rows))
+            part = in_batches(
+                vectors.where(F.size("x") == d).select("vec_id", "x"), schema,
+                _search(got["vec_id"].to_numpy(), _matrix(got["x"]), k, block_rows)
+            )
             part = table(part, "best") if blocks > 1 else part
             found = part if found is None else found.union(part)
     if found is None:
@@ -149,7 +155,9 @@ def _search(asks: np.ndarray, queries: np.ndarray, k: int, block_rows: int):
         if count:
             best.read(*_joined(held))
         counts = [len(x) for x in best.ids]
-        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asks, counts), "vec_id": np.concatenate(best.ids), "score": np.concatenate(best.scores)})
+        yield pa.RecordBatch.from_pydict(
+            {"query_id": np.repeat(asks, counts), "vec_id": np.concatenate(best.ids), "score": np.concatenate(best.scores)}
+        )
 
     return run
 
@@ -161,5 +169,7 @@ def _joined(batches) -> tuple[np.ndarray, np.ndarray]:
 
 def embedding_top_k(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """The k best of all vectors for each vector whose id is divisible by ``every``."""
-    usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding")).alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL")
+    usable = embeddings.select(
+        F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding")).alias("x")
+    ).where("vec_id IS NOT NULL AND x IS NOT NULL")
     return top_k(usable, usable.where(F.col("vec_id") % every == 0), k)

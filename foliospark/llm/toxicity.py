@@ -26,7 +26,10 @@ from .quality import SAMPLE, features_of, held_out, labelled_sample, matrix
 from .textstats import BANG, PIPE, STOP, SYMBOL, UPPER, TextStats
 
 #: Second-person words of English, German, French and Spanish (fixed values).
-SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "vous", "votre", "tus", "usted", "ustedes", "vosotros")
+SECOND_PERSON = (
+    "you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te",
+    "toi", "ton", "ta", "vous", "votre", "tus", "usted", "ustedes", "vosotros"
+)
 #: Look-alike characters and the letters they stand for (fixed values).
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: Bounds of the lexicon, all parameters of ``learn_lexicon`` (the README states their effect): most words, how much
@@ -74,7 +77,10 @@ def _member(codes: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, codes), len(sorted_) - 1)] == codes
 
 
-NAMES = ("hits", "log_hits", "hidden", "hidden_rate", "distinct_hits", "near_you", "you", "capitals", "bangs", "stops", "symbols", "pipes", "log_words", "shouted_hits")
+NAMES = (
+    "hits", "log_hits", "hidden", "hidden_rate", "distinct_hits", "near_you", "you", "capitals", "bangs", "stops",
+    "symbols", "pipes", "log_words", "shouted_hits"
+)
 
 
 def dense_features(column, lexicon: np.ndarray) -> np.ndarray:
@@ -101,10 +107,19 @@ def dense_features(column, lexicon: np.ndarray) -> np.ndarray:
     words, chars = np.maximum(np.bincount(doc, minlength=n), 1), np.maximum(stats.n_chars, 1)
     c = stats.classes
     capital = c[:, UPPER] / chars
-    return np.column_stack([hits / words * 100, np.log1p(hits), np.log1p(hidden), hidden / words * 100, np.log1p(kinds), np.log1p(count(doc, close)), count(doc, pronoun) / words, capital, c[:, BANG] / chars, c[:, STOP] / chars, c[:, SYMBOL] / chars, c[:, PIPE] / chars, np.log1p(stats.n_words), hits / words * 100 * capital]).astype(np.float64)
-
-
-def learn_lexicon(sample: DataFrame, most: int = LEXICON_WORDS, ratio: float = LEXICON_RATIO, rows: int = LEXICON_ROWS, share: float = LEXICON_SHARE) -> np.ndarray:
+    return np.column_stack(
+        [
+            hits / words * 100, np.log1p(hits), np.log1p(hidden), hidden / words * 100, np.log1p(kinds),
+            np.log1p(count(doc, close)), count(doc, pronoun) / words, capital, c[:, BANG] / chars, c[:, STOP] / chars,
+            c[:, SYMBOL] / chars, c[:, PIPE] / chars, np.log1p(stats.n_words), hits / words * 100 * capital
+        ]
+    ).astype(np.float64)
+
+
+def learn_lexicon(
+    sample: DataFrame, most: int = LEXICON_WORDS, ratio: float = LEXICON_RATIO, rows: int = LEXICON_ROWS,
+    share: float = LEXICON_SHARE
+) -> np.ndarray:
     """Sorted hashes of at most ``most`` words that toxic training rows hold much oftener; counted by document in Spark."""
 
     def per_document(batch):
@@ -132,7 +147,10 @@ class BoostedTrees:
     ``least`` is the weight (sum of second derivatives) that both sides of a split must have.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 2.0, ridge: float = 1.0):
+    def __init__(
+        self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32,
+        least: float = 2.0, ridge: float = 1.0
+    ):
         self.edges = [np.unique(np.quantile(f, np.linspace(0, 1, bins + 1)[1:-1])) for f in x.T]
         self.base = float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
         self.rate, self.trees = rate, []
@@ -147,7 +165,9 @@ class BoostedTrees:
             raw += rate * self._leaf(tree, b)
 
     def _bin(self, x):
-        return np.column_stack([np.searchsorted(e, f, side="right") for e, f in zip(self.edges, x.T, strict=True)]).astype(np.int64) if len(x) else np.zeros((0, len(self.edges)), np.int64)
+        return np.column_stack(
+            [np.searchsorted(e, f, side="right") for e, f in zip(self.edges, x.T, strict=True)]
+        ).astype(np.int64) if len(x) else np.zeros((0, len(self.edges)), np.int64)
 
     def _grow(self, tree, node, b, g, h, rows, depth, bins, least, ridge):
         gs, hs = g[rows].sum(), h[rows].sum()

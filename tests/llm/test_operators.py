@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from foliospark.llm import lines, mixing, near_duplicates, packing, quality, registry, secrets, substrings, suffixes, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
-ODD = [(1, None), (2, ""), (3, "a"), (4, "x " * 3000), (4, "x " * 3000), (5, "ab cd ef gh ij kl " * 40), (6, "ab cd ef gh ij kl " * 40), (None, "some words here that nobody else has at all"), (7, "é ü ß " * 300)]
+ODD = [
+    (1, None), (2, ""), (3, "a"), (4, "x " * 3000), (4, "x " * 3000), (5, "ab cd ef gh ij kl " * 40),
+    (6, "ab cd ef gh ij kl " * 40), (None, "some words here that nobody else has at all"), (7, "é ü ß " * 300)
+]
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +31,10 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(i, t, "s", "en", 0, "clash") for i, t in ODD], "doc_id long, text string, source string, lang string, n_chars long, k string")
+    return spark.createDataFrame(
+        [(i, t, "s", "en", 0, "clash") for i, t in ODD],
+        "doc_id long, text string, source string, lang string, n_chars long, k string"
+    )
 
 
 def rows(df, *columns):
@@ -82,7 +88,10 @@ def alike(spark):
     """Texts that differ only in one Thue-Morse word, among shared words."""
     one, two = morse(1024)
     words = " ".join(f"w{i}" for i in range(10))
-    return spark.createDataFrame([(1, f"{words} {one} {words}"), (2, f"{words} {two} {words}"), (3, f"{one}\n{two}\nend")], "doc_id long, text string")
+    return spark.createDataFrame(
+        [(1, f"{words} {one} {words}"), (2, f"{words} {two} {words}"), (3, f"{one}\n{two}\nend")],
+        "doc_id long, text string"
+    )
 
 
 @pytest.mark.parametrize("bucket", [16 << 20, 1 << 15])
@@ -129,7 +138,9 @@ def test_recompression_names(spark):
 
 def test_suffix_order():
     rng = np.random.default_rng(0)
-    found = [bytes(rng.integers(97, 99, rng.integers(0, 40)).astype(np.uint8)) for _ in range(2000)] + [b"a" * k for k in range(30)] + [b"", b"\0", b"\0\0"] * 3
+    found = [
+        bytes(rng.integers(97, 99, rng.integers(0, 40)).astype(np.uint8)) for _ in range(2000)
+    ] + [b"a" * k for k in range(30)] + [b"", b"\0", b"\0\0"] * 3
     strings = suffixes.Strings(np.frombuffer(b"".join(found), np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in found]))))
     order = suffixes.multikey_quicksort(strings)
     assert [found[i] for i in order] == sorted(found)
@@ -191,7 +202,10 @@ def test_packing_round_trip(docs, odd):
 
 
 def test_secrets_ledger_is_incremental(spark, odd):
-    texts = [(1, 'Password: "hunter22"'), (2, "AKIA" + "Z" * 16 + " " + "0f" * 12), (3, 'Password: "hunter22"'), (4, "token=abc"), (5, None), (6, "secret=token: abcdefgh é AKIA")]
+    texts = [
+        (1, 'Password: "hunter22"'), (2, "AKIA" + "Z" * 16 + " " + "0f" * 12), (3, 'Password: "hunter22"'),
+        (4, "token=abc"), (5, None), (6, "secret=token: abcdefgh é AKIA")
+    ]
     d = spark.createDataFrame(texts, "doc_id long, text string")
     first = secrets.table(secrets.scan(d.where("doc_id < 3")), "first")
     assert secrets.scan(d, first).count() == 3  # texts 4, 5 and 6; text 3 is known
@@ -218,7 +232,9 @@ def test_ledger_is_kept_and_long_texts_are_whole(spark, tmp_path):
 
     long = "".join(f"é{i} token=secret{i:06d} AKIA{'Q' * 16} " for i in range(3000))
     found = secrets.secret_findings(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
-    base = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"token=secret\d{6}", long)] + [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIAQ+", long)]
+    base = [
+        (m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"token=secret\d{6}", long)
+    ] + [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIAQ+", long)]
     assert found.spans == ",".join(t for _, _, t in sorted(base)) and found.n_assign == found.n_access == 3000
     clean = secrets.redact(spark.createDataFrame([(1, long, "clash", "clash")], "doc_id long, text string, spans string, blob string")).first()
     assert clean.text == re.sub("AKIAQ+", "[access]", re.sub(r"token=secret\d{6}", "[assign]", long)) and clean.spans == clean.blob == "clash"
@@ -270,7 +286,9 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).round(2)
     x[50:120] = x[50]
-    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(20, [9.0] * 8), (1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, [])]
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [
+        (20, [9.0] * 8), (1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, [])
+    ]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     got = defaultdict(list)
     usable = df.select("vec_id", topk.integer_vector(F.col("embedding")).alias("x")).where("x IS NOT NULL")
@@ -288,7 +306,11 @@ def test_top_k(spark):
 
 def test_line_rules_base(docs, labels, odd, alike):
     for d in (docs, odd, alike):
-        got = Counter(tuple(r) for r in lines.quality_rules(d, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
+        got = Counter(
+            tuple(r) for r in lines.quality_rules(d, labels).select(
+                "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+            ).collect()
+        )
         want = Counter()
         for i, t in pairs(d):
             w, places, repeat, seen, again = t.encode().split(), defaultdict(list), set(), set(), 0
@@ -301,7 +323,10 @@ def test_line_rules_base(docs, labels, odd, alike):
                 if line.encode().split():
                     again += line in seen
                     seen.add(line)
-            want[i, len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), again, len(repeat), len(w) < 20 or 100 * len(repeat) > 30 * len(w)] += 1
+            want[
+                i, len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), again, len(repeat),
+                len(w) < 20 or 100 * len(repeat) > 30 * len(w)
+            ] += 1
         assert got == want
 
 
@@ -357,7 +382,12 @@ def test_isotonic_is_the_least_squares_fit():
     sorted_ = y[order]
     want = [max(min(sorted_[a : b + 1].mean() for b in range(k, 9)) for a in range(k + 1)) for k in range(9)]
     fit = toxicity.Isotonic(score, y)
-    blocks = [float(v) for v, n in zip(fit.value, np.diff(np.searchsorted(score[order], [*((fit.at[1:] + fit.at[:-1]) / 2), np.inf], side="right"), prepend=0)) for _ in range(n)]
+    blocks = [
+        float(v) for v, n in zip(
+            fit.value,
+            np.diff(np.searchsorted(score[order], [*((fit.at[1:] + fit.at[:-1]) / 2), np.inf], side="right"), prepend=0)
+        ) for _ in range(n)
+    ]
     assert (np.diff(got[order]) >= -1e-12).all() and len(blocks) == 9
     assert sorted(set(np.round(blocks, 9))) == sorted(set(np.round(want, 9)))
 
@@ -387,7 +417,10 @@ def test_risk_sums_are_the_loss_and_its_derivatives():
     got, unit = quality.risk_sums(x, w), np.eye(3) * e
     assert got[0] == pytest.approx(loss(w))
     assert got[1:4] == pytest.approx([(loss(w + u) - loss(w - u)) / (2 * e) for u in unit], rel=1e-5)
-    assert got[4:].reshape(3, 3) == pytest.approx(np.array([(quality.risk_sums(x, w + u)[1:4] - quality.risk_sums(x, w - u)[1:4]) / (2 * e) for u in unit]), rel=1e-5)
+    assert got[4:].reshape(3, 3) == pytest.approx(
+        np.array([(quality.risk_sums(x, w + u)[1:4] - quality.risk_sums(x, w - u)[1:4]) / (2 * e) for u in unit]),
+        rel=1e-5
+    )
 
 
 def test_positive_unlabelled_risk_is_least():

@@ -55,7 +55,9 @@ def test_stages_on_odd_rows(spark):
         kept = [tuple(r) for r in got.collect()]
         if name == "minhash near-dedup":
             # Of the rows that share number 1 the one with the least text stays; those without a number all stay.
-            assert sorted((r[0] or 0, (r[1] or "")[:5]) for r in kept) == [(0, "a doc"), (0, "anoth"), (1, "other"), (2, ""), (3, ""), (4, "setti"), (5, "very ")]
+            assert sorted((r[0] or 0, (r[1] or "")[:5]) for r in kept) == [
+                (0, "a doc"), (0, "anoth"), (1, "other"), (2, ""), (3, ""), (4, "setti"), (5, "very ")
+            ]
         elif name == "secret scans":
             assert len(kept) == len(ODD) and sum("hunter" in (r[1] or "") for r in kept) == 0
             assert [r[4] for r in kept if r[0] == 2] == [None] and all(r[5:] == ("x", "y") for r in kept if r[0] == 4)
