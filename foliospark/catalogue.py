@@ -51,21 +51,41 @@ def layouts(k: str) -> list[tuple]:
     """
     key = LETTERS.format(s="string")
     return [
-        ("'ПАСПОРТ ВЫДАН'", 50, 40, 200, 60, f"{k} <> 5"), ("'ОТДЕЛОМ MBД ГОР.ТЕСТОВСКА'", 250, 35, 700, 65, f"{k} <> 5"), ("'ПАСПОРТ ВЫДАН ОТДЕЛОМ MBД ГОР.ТЕСТОВСКА'", 50, 35, 700, 65, f"{k} = 5"),
+        ("'ПАСПОРТ ВЫДАН'", 50, 40, 200, 60, f"{k} <> 5"), ("'ОТДЕЛОМ MBД ГОР.ТЕСТОВСКА'", 250, 35, 700, 65, f"{k} <> 5"), (
+            "'ПАСПОРТ ВЫДАН ОТДЕЛОМ MBД ГОР.ТЕСТОВСКА'", 50, 35, 700, 65, f"{k} = 5"
+        ),
         ("'ДАТА ВЫДАЧИ'", 50, 190, 180, 205, "true"), ("'28.02.' || (1990 + c_custkey % 30)", 200, 185, 340, 215, f"{k} <> 4"),
-        ("'КОД ПОДРАЗДЕЛЕНИЯ'", 360, 190, 520, 205, "true"), ("lpad(c_nationkey, 3, '0') || '-' || lpad(c_custkey % 1000, 3, '0')", 540, 185, 700, 215, f"{k} <> 4"),
-        ("'ФАМИЛИЯ'", 300, 795, 380, 810, f"{k} <> 1"), (f"'ТЕСТОВ' || {key}", 400, 785, 600, 815, "true"), ("'ИМЯ'", 300, 855, 340, 870, f"{k} <> 1"), (f"'TECT' || {key}", 400, 845, 560, 875, "true"),
-        ("'ОТЧЕСТВО'", 300, 915, 390, 930, "true"), ("'ТЕСТОВИЧ'", 400, 905, 560, 935, "true"), ("'ПОЛ'", 300, 975, 330, 990, "true"), ("CASE WHEN c_custkey % 2 = 0 THEN 'МУЖ.' ELSE 'ЖЕН.' END", 350, 965, 420, 995, "true"),
-        ("'ДАТА РОЖДЕНИЯ'", 440, 975, 560, 990, "true"), ("'31.01.' || (1950 + c_custkey % 50)", 600, 965, 760, 995, f"{k} <> 2"), ("'МЕСТО РОЖДЕНИЯ'", 300, 1035, 420, 1050, "true"), ("'ГОП.ТЕСТОВСК'", 440, 1025, 640, 1055, "true"),
-        ("lpad(c_custkey, 10, '4')", 940, 200, 960, 500, f"{k} <> 5"), (f"translate(lpad(c_custkey, 10, CASE WHEN {k} = 3 THEN '5' ELSE '4' END), '0', 'О')", 940, 900, 960, 1200, f"{k} <> 5"),
+        ("'КОД ПОДРАЗДЕЛЕНИЯ'", 360, 190, 520, 205, "true"), (
+            "lpad(c_nationkey, 3, '0') || '-' || lpad(c_custkey % 1000, 3, '0')", 540, 185, 700, 215, f"{k} <> 4"
+        ),
+        ("'ФАМИЛИЯ'", 300, 795, 380, 810, f"{k} <> 1"), (
+            f"'ТЕСТОВ' || {key}", 400, 785, 600, 815, "true"
+        ), ("'ИМЯ'", 300, 855, 340, 870, f"{k} <> 1"), (f"'TECT' || {key}", 400, 845, 560, 875, "true"),
+        ("'ОТЧЕСТВО'", 300, 915, 390, 930, "true"), ("'ТЕСТОВИЧ'", 400, 905, 560, 935, "true"), ("'ПОЛ'", 300, 975, 330, 990, "true"), (
+            "CASE WHEN c_custkey % 2 = 0 THEN 'МУЖ.' ELSE 'ЖЕН.' END", 350, 965, 420, 995, "true"
+        ),
+        ("'ДАТА РОЖДЕНИЯ'", 440, 975, 560, 990, "true"), (
+            "'31.01.' || (1950 + c_custkey % 50)", 600, 965, 760, 995, f"{k} <> 2"
+        ), ("'МЕСТО РОЖДЕНИЯ'", 300, 1035, 420, 1050, "true"), ("'ГОП.ТЕСТОВСК'", 440, 1025, 640, 1055, "true"),
+        ("lpad(c_custkey, 10, '4')", 940, 200, 960, 500, f"{k} <> 5"), (
+            f"translate(lpad(c_custkey, 10, CASE WHEN {k} = 3 THEN '5' ELSE '4' END), '0', 'О')", 940, 900, 960, 1200,
+            f"{k} <> 5"
+        ),
     ]
 
 
 def customer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a recognised page of 1000 by 1400 pixels for each customer."""
-    each = [f"CASE WHEN {there} THEN named_struct('text', {t}, 'x1', {a}D, 'y1', {b}D, 'x2', {c}D, 'y2', {d}D) END" for t, a, b, c, d, there in layouts("c_custkey % 6")]
-    ocr_ = read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "array(1400, 1000) AS image_shape", f"array_compact(array({', '.join(each)})) AS raw")
-    one = lambda r: F.struct(r["text"].alias("text"), F.lit(None).cast("double").alias("confidence"), items.box(r["x1"], r["y1"], r["x2"], r["y2"]).alias("box"))
+    each = [
+        f"CASE WHEN {there} THEN named_struct('text', {t}, 'x1', {a}D, 'y1', {b}D, 'x2', {c}D, 'y2', {d}D) END" for t, a, b, c, d, there in layouts("c_custkey % 6")
+    ]
+    ocr_ = read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS doc_id", "array(1400, 1000) AS image_shape", f"array_compact(array({', '.join(each)})) AS raw"
+    )
+    one = lambda r: F.struct(
+        r["text"].alias("text"), F.lit(None).cast("double").alias("confidence"),
+        items.box(r["x1"], r["y1"], r["x2"], r["y2"]).alias("box")
+    )
     return items.item_rows(ocr_.withColumn("items", F.transform("raw", one)))
 
 
@@ -109,13 +129,22 @@ def result_summaries(spark, sf_dir):
     v = validate.validate(extract_fields(spark, sf_dir))
     asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("r"), "c_custkey").alias("request_id"))
     told = validate.add_request_id(validate.summaries(v), asked)
-    return told.select("doc_id", "request_id", "status", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "fields_found")
+    return told.select(
+        "doc_id", "request_id", "status", F.array_join("errors", ",").alias("errors"),
+        F.array_join("warnings", ",").alias("warnings"), "fields_found"
+    )
 
 
 def _broken(spark, sf_dir):
     """Fields of customers with one fault each, by key modulo 6."""
     k = F.col("c_custkey") % 6
-    whole = {"last_name": F.when(k == 1, "X1").otherwise("ТЕСТОВ"), "first_name": F.lit("ТЕСТ"), "middle_name": F.lit(None).cast("string"), "birth_date": F.when(k == 2, "31.01.2099").otherwise("2099-01-31"), "sex": F.when(k == 3, "X").otherwise("МУЖ"), "birth_place": F.when(k == 4, "  ").otherwise("С. НОВОЕ"), "issue_date": F.lit("2099-02-28"), "department_code": F.when(k == 5, "12-3").otherwise("999-999"), "issued_by": F.lit("ОТДЕЛОМ"), "document_number": F.when(k == 0, "9999 999999").when(k == 5, "9999-99999")}
+    whole = {
+        "last_name": F.when(k == 1, "X1").otherwise("ТЕСТОВ"), "first_name": F.lit("ТЕСТ"),
+        "middle_name": F.lit(None).cast("string"), "birth_date": F.when(k == 2, "31.01.2099").otherwise("2099-01-31"),
+        "sex": F.when(k == 3, "X").otherwise("МУЖ"), "birth_place": F.when(k == 4, "  ").otherwise("С. НОВОЕ"),
+        "issue_date": F.lit("2099-02-28"), "department_code": F.when(k == 5, "12-3").otherwise("999-999"),
+        "issued_by": F.lit("ОТДЕЛОМ"), "document_number": F.when(k == 0, "9999 999999").when(k == 5, "9999-99999")
+    }
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[v.alias(n) for n, v in whole.items()])
 
 
@@ -198,7 +227,11 @@ def classify_and_clean(spark, sf_dir):
     raw = F.element_at(F.array(*[F.lit(r[0]) for r in GOLDEN]), (F.col("c_custkey") % len(GOLDEN) + 1).cast("int"))
     n = F.col("norm")
     c = read(spark, sf_dir, "customer").select("c_custkey", T.normalize_text(raw).alias("norm"))
-    return c.select("c_custkey", F.array_join(T.detect_label_types(n), ",").alias("types"), T.is_service_label(n).alias("service"), T.extract_sex(n).alias("sex"), T.clean_issued_by_line(n).alias("issuer"), T.clean_person_line(n).alias("person"), T.clean_birth_place_line(n).alias("place"))
+    return c.select(
+        "c_custkey", F.array_join(T.detect_label_types(n), ",").alias("types"), T.is_service_label(n).alias("service"),
+        T.extract_sex(n).alias("sex"), T.clean_issued_by_line(n).alias("issuer"),
+        T.clean_person_line(n).alias("person"), T.clean_birth_place_line(n).alias("place")
+    )
 
 
 @query("""
@@ -208,25 +241,42 @@ def bbox_normalize(spark, sf_dir):
     x, y, u, v = F.col("l_partkey").cast("double"), F.col("l_linenumber").cast("double"), F.col("l_suppkey").cast("double"), F.col("l_linenumber") + F.col("l_quantity")
     shape = F.col("l_orderkey") % 3
     # The shapes are columns, as a reader gives them.
-    given = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), shape.alias("shape"), F.when(shape == 1, F.array(u, y, x, v)).alias("numbers"), F.when(shape == 2, F.array(F.array(x, y), F.array(u, y), F.array(u, v), F.array(x, v))).alias("points"))
-    b = F.when(F.col("shape") == 0, items.box(F.col("x"), F.col("v"), F.col("u"), F.col("y"))).when(F.col("shape") == 1, items.box_from_list(F.col("numbers"))).otherwise(items.box_from_points(F.col("points")))
-    return given.select("l_orderkey", "l_linenumber", b.alias("b")).select("l_orderkey", "l_linenumber", "b.x1", "b.x2", "b.y1", "b.y2", "b.cx", "b.w", "b.h")
+    given = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"), shape.alias("shape"),
+        F.when(shape == 1, F.array(u, y, x, v)).alias("numbers"),
+        F.when(shape == 2, F.array(F.array(x, y), F.array(u, y), F.array(u, v), F.array(x, v))).alias("points")
+    )
+    b = F.when(
+        F.col("shape") == 0, items.box(F.col("x"), F.col("v"), F.col("u"), F.col("y"))
+    ).when(F.col("shape") == 1, items.box_from_list(F.col("numbers"))).otherwise(items.box_from_points(F.col("points")))
+    return given.select("l_orderkey", "l_linenumber", b.alias("b")).select(
+        "l_orderkey", "l_linenumber", "b.x1", "b.x2", "b.y1", "b.y2", "b.cx", "b.w", "b.h"
+    )
 
 
 @query("""
 SELECT l_orderkey AS doc_id, l_returnflag AS norm, min(l_linenumber) AS ord FROM lineitem GROUP BY l_orderkey, l_returnflag, floor(l_quantity / 10)""")
 def dedup_first_wins(spark, sf_dir):
     q = F.floor(F.col("l_quantity") / 10).cast("double")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("norm"), q.alias("x1"), (q + 0.04).alias("y1"), q.alias("x2"), q.alias("y2"), F.col("l_linenumber").alias("ord"))
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("norm"), q.alias("x1"), (q + 0.04).alias("y1"),
+        q.alias("x2"), q.alias("y2"), F.col("l_linenumber").alias("ord")
+    )
     return items.deduplicate(rows, "doc_id", "ord").select("doc_id", "norm", "ord")
 
 
 def turn_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversation turns laid out as items: a line each newline, jittered so that lines come near each other."""
-    t = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    t = read(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.posexplode(F.split("text", "\n")).alias("ln", "line")
+    )
     w = t.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("wn", "word")).where("word <> ''")
     long, cy = F.length("word"), (40 * F.col("ln") + (7 * F.col("doc_id") + 5 * F.col("wn")) % 27 + 12).cast("double")
-    return w.select("doc_id", "word", (60 * F.col("wn") + 5 * long).cast("double").alias("cx"), cy.alias("cy"), (10.0 * long).alias("w"), F.lit(24.0).alias("h"), (F.col("ln") * 100000 + F.col("wn")).cast("int").alias("ord"))
+    return w.select(
+        "doc_id", "word", (60 * F.col("wn") + 5 * long).cast("double").alias("cx"), cy.alias("cy"),
+        (10.0 * long).alias("w"), F.lit(24.0).alias("h"), (F.col("ln") * 100000 + F.col("wn")).cast("int").alias("ord")
+    )
 
 
 _LAYOUT = r"""
@@ -250,7 +300,9 @@ def group_lines(spark, sf_dir):
     i = turn_items(spark, sf_dir)
     one = items.item(text=F.col("word"), norm=F.col("word"), **{c: F.col(c) for c in ("cx", "cy", "w", "h", "ord")})
     page = i.groupBy("doc_id").agg(F.collect_list(one).alias("all"))
-    return page.select("doc_id", F.posexplode(lines.group_lines(F.col("all"))).alias("p", "g")).select("doc_id", (F.col("p") + 1).cast("int").alias("line"), "g.cy", "g.n")
+    return page.select(
+        "doc_id", F.posexplode(lines.group_lines(F.col("all"))).alias("p", "g")
+    ).select("doc_id", (F.col("p") + 1).cast("int").alias("line"), "g.cy", "g.n")
 
 
 @query(f"""
@@ -271,11 +323,16 @@ def font_class(spark, sf_dir):
     return i.select("doc_id", F.col("ord").cast("long").alias("ord"), T.classify_font(ratio).alias("font_class"))
 
 
-@query(f"WITH {_LAYOUT} SELECT doc_id, arg_min(word, (cy, cx, ord)) AS first_word, string_agg(word, chr(10) ORDER BY cy::int, cx::int, ord) AS raw_text FROM item GROUP BY doc_id")
+@query(
+    f"WITH {_LAYOUT} SELECT doc_id, arg_min(word, (cy, cx, ord)) AS first_word, string_agg(word, chr(10) ORDER BY cy::int, cx::int, ord) AS raw_text FROM item GROUP BY doc_id"
+)
 def first_geo_and_raw_text(spark, sf_dir):
     i = turn_items(spark, sf_dir)
     one = F.struct("cy", "cx", "ord", F.col("word").alias("text"))
-    return i.groupBy("doc_id").agg(F.min_by("word", F.struct("cy", "cx", "ord")).alias("first_word"), items.raw_text(F.collect_list(one)).alias("raw_text"))
+    return i.groupBy("doc_id").agg(
+        F.min_by("word", F.struct("cy", "cx", "ord")).alias("first_word"),
+        items.raw_text(F.collect_list(one)).alias("raw_text")
+    )
 
 
 @query("""
@@ -284,7 +341,11 @@ s AS (SELECT *, fill * 2.0::double - abs(aspect - 0.7::double) - distance * 0.5:
 SELECT image_id, p_partkey AS label_id, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, p_partkey)::int AS rank FROM s QUALIFY rank <= 8""")
 def component_topk(spark, sf_dir):
     p = F.col("p_partkey")
-    c = read(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("image_id"), p.alias("label_id"), (F.col("p_size") / 100.0).alias("fill"), ((p % 97) / 97.0).alias("aspect"), ((p % 31) / 31.0).alias("distance"), F.when(p % 20 == 0, 0.01).otherwise(0.5).alias("area_share"))
+    c = read(spark, sf_dir, "part").select(
+        (F.col("p_size") % 10).alias("image_id"), p.alias("label_id"), (F.col("p_size") / 100.0).alias("fill"),
+        ((p % 97) / 97.0).alias("aspect"), ((p % 31) / 31.0).alias("distance"),
+        F.when(p % 20 == 0, 0.01).otherwise(0.5).alias("area_share")
+    )
     return candidates.top_components(c, 8).select("image_id", "label_id", "rank")
 
 
@@ -317,10 +378,16 @@ def fifo_order(spark, sf_dir):
 SELECT user_id, count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS errors, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at, arg_max(event_id, (ts, event_id)) AS last_request_id,
   strftime(max(ts) FILTER (event_type <> 'error'), '%Y-%m-%d %H:%M:%S') AS last_ok, strftime(max(ts) FILTER (event_type = 'error'), '%Y-%m-%d %H:%M:%S') AS last_error, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'pipeline_error' END AS last_error_status FROM events GROUP BY user_id""")
 def service_status(spark, sf_dir):
-    log = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("finished_at"), F.when(F.col("event_type") == "error", "pipeline_error").otherwise("ok").alias("outcome"))
+    log = read(spark, sf_dir, "events").select(
+        "user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("finished_at"),
+        F.when(F.col("event_type") == "error", "pipeline_error").otherwise("ok").alias("outcome")
+    )
     s = queue.service_status(log, "user_id")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return s.select("user_id", "processed", "errors", at("last_finished_at").alias("last_at"), "last_request_id", at("last_success_at").alias("last_ok"), at("last_error_at").alias("last_error"), "last_error_status")
+    return s.select(
+        "user_id", "processed", "errors", at("last_finished_at").alias("last_at"), "last_request_id",
+        at("last_success_at").alias("last_ok"), at("last_error_at").alias("last_error"), "last_error_status"
+    )
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate::date < (SELECT max(o_orderdate)::date FROM orders) - 30")
@@ -335,7 +402,10 @@ def retention_days(spark, sf_dir):
 SELECT o_orderkey FROM (SELECT o_orderkey, sum(o_totalprice::bigint) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS kept FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders)) WHERE kept > 500000""")
 def archive_eviction(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    listing = o.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("day"), F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("path"), F.floor("o_totalprice").alias("size_bytes"))
+    listing = o.select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").alias("day"), F.col("o_orderdate").alias("mtime"),
+        F.col("o_orderkey").alias("path"), F.floor("o_totalprice").alias("size_bytes")
+    )
     return queue.expired_by_size(listing, 500_000, "o_custkey").select("o_orderkey")
 
 
@@ -344,7 +414,12 @@ SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'r' || page_id ELSE 'p' || page_i
   CASE WHEN page_id % 3 = 0 THEN 'r' || page_id ELSE 'p' || page_id END || '.json' AS output FROM pages""")
 def resolve_commands(spark, sf_dir):
     p = F.col("page_id")
-    c = read(spark, sf_dir, "pages").select("page_id", F.when(p % 3 == 0, F.concat(F.lit("r"), p)).otherwise("").alias("request_id"), F.when(p % 2 == 0, F.concat(F.lit("/in/"), p, F.lit(".png"))).alias("image_path"), F.concat(p, F.lit(".jpg")).alias("image_file"), F.lit("").alias("output_path"), F.lit(None).cast("string").alias("output_file"), F.concat(F.lit("p"), p, F.lit(".json")).alias("file_name"))
+    c = read(spark, sf_dir, "pages").select(
+        "page_id", F.when(p % 3 == 0, F.concat(F.lit("r"), p)).otherwise("").alias("request_id"),
+        F.when(p % 2 == 0, F.concat(F.lit("/in/"), p, F.lit(".png"))).alias("image_path"),
+        F.concat(p, F.lit(".jpg")).alias("image_file"), F.lit("").alias("output_path"),
+        F.lit(None).cast("string").alias("output_file"), F.concat(F.lit("p"), p, F.lit(".json")).alias("file_name")
+    )
     return ocr.resolve_command(c).select("page_id", "request_id", "image", "output")
 
 
@@ -364,13 +439,18 @@ _CORNERS = "least(l_partkey, l_suppkey)::double AS x1, greatest(l_partkey, l_sup
 def _line_json(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """A document for each order: its line items as JSON items whose box has the shape (SQL over l_partkey, l_suppkey, l_linenumber, l_quantity)."""
     one = f"struct(l_linenumber, {shape} AS item)"
-    grouped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.expr(f"array_sort(collect_list({one}))").alias("rows"))
+    grouped = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+        F.expr(f"array_sort(collect_list({one}))").alias("rows")
+    )
     return grouped.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["item"]), ","), F.lit("]")).alias("list"))
 
 
 def _line_boxes(documents: DataFrame) -> DataFrame:
     got = ocr.parse_pages(documents).select("doc_id", F.explode("items").alias("i"))
-    return got.select(F.col("doc_id").alias("l_orderkey"), F.col("i.text").cast("int").alias("l_linenumber"), "i.confidence", *[f"i.box.{c}" for c in ("x1", "x2", "y1", "y2")])
+    return got.select(
+        F.col("doc_id").alias("l_orderkey"), F.col("i.text").cast("int").alias("l_linenumber"), "i.confidence",
+        *[f"i.box.{c}" for c in ("x1", "x2", "y1", "y2")]
+    )
 
 
 _P, _S, _N = "l_partkey", "l_suppkey", "l_linenumber"
@@ -406,18 +486,34 @@ WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linen
 SELECT l_orderkey, l_linenumber, CASE WHEN place = 1 THEN 0.75 END AS confidence, {_CORNERS} FROM n WHERE place <= 3""")
 def parallel_arrays(spark, sf_dir):
     """Texts, scores and boxes side by side; texts beyond the boxes, here three, are dropped and scores may end early."""
-    l = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber", f"format_string('[%d,%d,%d,%s]', {_P}, {_N}, {_S}, string({_LOW})) AS b")
+    l = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS doc_id", "l_linenumber", f"format_string('[%d,%d,%d,%s]', {_P}, {_N}, {_S}, string({_LOW})) AS b"
+    )
     g = l.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "b"))).alias("r"))
     listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
-    texts, boxes = listed(F.transform("r", lambda x: F.concat(F.lit('"'), x["l_linenumber"], F.lit('"')))), listed(F.transform(F.slice("r", 1, 3), lambda x: x["b"]))
-    return _line_boxes(g.select("doc_id", F.concat(F.lit('{"result":{"rec_texts":'), texts, F.lit(',"rec_scores":[0.75],"dt_polys":[],"dt_boxes":'), boxes, F.lit("}}")).alias("value")))
-
-
-@query("SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 10 WHEN 2 THEN p_size END AS page_h, CASE p_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 20 WHEN 2 THEN 9 END AS page_w FROM part")
+    texts, boxes = listed(
+        F.transform("r", lambda x: F.concat(F.lit('"'), x["l_linenumber"], F.lit('"')))
+    ), listed(F.transform(F.slice("r", 1, 3), lambda x: x["b"]))
+    return _line_boxes(
+        g.select(
+            "doc_id",
+            F.concat(
+                F.lit('{"result":{"rec_texts":'), texts, F.lit(',"rec_scores":[0.75],"dt_polys":[],"dt_boxes":'), boxes,
+                F.lit("}}")
+            ).alias("value")
+        )
+    )
+
+
+@query(
+    "SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 10 WHEN 2 THEN p_size END AS page_h, CASE p_partkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 20 WHEN 2 THEN 9 END AS page_w FROM part"
+)
 def page_shapes(spark, sf_dir):
     """A page's size from the first of six places that has two numbers."""
     n, size = F.col("p_partkey") % 4, F.col("p_size")
-    value = F.when(n == 0, F.format_string('{"image_shape":[%d,7,3],"shape":[1,2]}', size)).when(n == 1, F.lit('{"image_shape":[5],"metadata":{"shape":[10,20]}}')).when(n == 2, F.format_string('{"shape":null,"input_shape":[%d,9]}', size)).otherwise(F.lit('{"metadata":{}}'))
+    value = F.when(
+        n == 0, F.format_string('{"image_shape":[%d,7,3],"shape":[1,2]}', size)
+    ).when(n == 1, F.lit('{"image_shape":[5],"metadata":{"shape":[10,20]}}')).when(n == 2, F.format_string('{"shape":null,"input_shape":[%d,9]}', size)).otherwise(F.lit('{"metadata":{}}'))
     got = ocr.parse_pages(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), value.alias("value")))
     return got.select("doc_id", F.try_element_at("image_shape", F.lit(1)).alias("page_h"), F.try_element_at("image_shape", F.lit(2)).alias("page_w"))
 
@@ -426,10 +522,16 @@ def page_shapes(spark, sf_dir):
 SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_tax, l_returnflag, floor(l_discount * 100), l_quantity) - 1)::int AS id, l_linenumber AS page_index, l_returnflag AS text, l_tax AS score, floor(l_discount * 100)::int AS left_, (floor(l_discount * 100) + l_quantity)::int AS right_ FROM lineitem""")
 def engine_items(spark, sf_dir):
     """An engine's pages, here a page for each line number: ids run on over a document's pages, boxes come from polygons where they are missing."""
-    l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_index"), F.struct("l_tax", "l_returnflag", F.floor(F.col("l_discount") * 100).cast("double").alias("d"), F.col("l_quantity").alias("q")).alias("r"))
+    l = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_index"),
+        F.struct("l_tax", "l_returnflag", F.floor(F.col("l_discount") * 100).cast("double").alias("d"), F.col("l_quantity").alias("q")).alias("r")
+    )
     rows = l.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     box = lambda r: F.when(F.col("page_index") % 2 == 0, F.array(r["d"], F.lit(0.9), r["d"] + r["q"] + 0.5, F.lit(4.0)))
-    poly = lambda r: F.array(F.array(r["d"] + 0.25, F.lit(0.0)), F.array(r["d"] + r["q"], F.lit(0.0)), F.array(r["d"] + r["q"] + 0.75, F.lit(3.5)), F.array(r["d"], F.lit(3.0)))
+    poly = lambda r: F.array(
+        F.array(r["d"] + 0.25, F.lit(0.0)), F.array(r["d"] + r["q"], F.lit(0.0)),
+        F.array(r["d"] + r["q"] + 0.75, F.lit(3.5)), F.array(r["d"], F.lit(3.0))
+    )
     each = {"rec_texts": lambda r: r["l_returnflag"], "rec_scores": lambda r: r["l_tax"], "rec_boxes": box, "rec_polys": poly}
     got = ocr.engine_items(rows.select("doc_id", "page_index", *[F.transform("rows", f).alias(n) for n, f in each.items()]))
     return got.select("doc_id", "id", "page_index", "text", "score", F.get("bbox", F.lit(0)).alias("left_"), F.get("bbox", F.lit(2)).alias("right_"))
@@ -456,7 +558,10 @@ UNION ALL SELECT c_custkey, 4, 4, '31.01.' || (1950 + c_custkey % 50), 1.0, 'lar
 def layout_analysis(spark, sf_dir):
     """The annotation of the line with the birth date."""
     l = fields.layout(customer_pages(spark, sf_dir)).where("zone = 'bottom' AND line = 4")
-    return l.select("doc_id", "line", "item", "norm", "height_ratio", "font_class", F.array_join("label_types", ",").alias("label_types"), "by_text", "by_font", "value")
+    return l.select(
+        "doc_id", "line", "item", "norm", "height_ratio", "font_class",
+        F.array_join("label_types", ",").alias("label_types"), "by_text", "by_font", "value"
+    )
 
 
 @query("""
@@ -472,7 +577,9 @@ def public_items(spark, sf_dir):
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ТЕСТ ОВ' WHEN 1 THEN 'ОВ' WHEN 2 THEN 'А-Б' END AS name FROM customer")
 def person_parts(spark, sf_dir):
     n = F.col("c_custkey") % 4
-    parts = F.when(n == 0, F.array(F.lit("ТЕСТ 12"), F.lit("ИМЯ"), F.lit("ОВ"))).when(n == 1, F.array(F.lit("МУЖ."), F.lit("-ОВ-"))).when(n == 2, F.array(F.lit(" А-Б "), F.lit("7"))).otherwise(F.array(F.lit("ПОЛ"), F.lit("X")))
+    parts = F.when(
+        n == 0, F.array(F.lit("ТЕСТ 12"), F.lit("ИМЯ"), F.lit("ОВ"))
+    ).when(n == 1, F.array(F.lit("МУЖ."), F.lit("-ОВ-"))).when(n == 2, F.array(F.lit(" А-Б "), F.lit("7"))).otherwise(F.array(F.lit("ПОЛ"), F.lit("X")))
     return read(spark, sf_dir, "customer").select("c_custkey", T.join_person_parts(parts).alias("name"))
 
 
@@ -486,7 +593,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ro
 SELECT image_id, rank, round(score, 6) AS score, CASE WHEN rank = 1 THEN round(greatest(least(score / 7, 1), 0), 6) END AS confidence FROM r""")
 def red_fold_lines(spark, sf_dir):
     p = F.col("p_partkey")
-    c = read(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("image_id"), (p % 4).cast("int").alias("rotation"), (p % 37).alias("x"), (p % 41).alias("y"), ((p * 7) % 100 / 100.0).alias("width_ratio"), ((p * 11) % 30 / 100.0).alias("height_ratio"), ((p * 13) % 100 / 100.0).alias("center_y_ratio"), ((p * 17) % 300 / 10.0).alias("aspect"), ((p * 19) % 40 / 10000.0).alias("area_ratio"))
+    c = read(spark, sf_dir, "part").select(
+        (F.col("p_size") % 10).alias("image_id"), (p % 4).cast("int").alias("rotation"), (p % 37).alias("x"),
+        (p % 41).alias("y"), ((p * 7) % 100 / 100.0).alias("width_ratio"),
+        ((p * 11) % 30 / 100.0).alias("height_ratio"), ((p * 13) % 100 / 100.0).alias("center_y_ratio"),
+        ((p * 17) % 300 / 10.0).alias("aspect"), ((p * 19) % 40 / 10000.0).alias("area_ratio")
+    )
     got = candidates.red_fold_lines(c)
     return got.select("image_id", "rank", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
@@ -497,24 +609,39 @@ t AS (SELECT *, round_even(bw * 1.10, 0) / 2 AS half, x + bw / 2 AS mid FROM c),
 e AS (SELECT *, greatest(0, round_even(mid - half, 0))::int AS l, least(1000, round_even(mid + half, 0))::int AS r FROM t)
 SELECT p_partkey, CASE WHEN bw >= 300 AND r > l AND r - l <= 980 THEN l END AS left_, CASE WHEN bw >= 300 AND r > l AND r - l <= 980 THEN r END AS right_ FROM e""")
 def crop_intervals(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 300).cast("double").alias("x"), (F.col("p_size") * 20).cast("double").alias("bw"))
+    p = read(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_partkey") % 300).cast("double").alias("x"),
+        (F.col("p_size") * 20).cast("double").alias("bw")
+    )
     got = candidates.crop_interval(F.col("x"), F.col("bw"), F.lit(1000))
     return p.select("p_partkey", got["left"].alias("left_"), got["right"].alias("right_"))
 
 
-@query("SELECT image_id, rotation, round(total, 6) AS total FROM (SELECT p_size % 20 AS image_id, (p_partkey % 4)::int AS rotation, ((p_partkey * 31) % 50)::double AS total FROM part) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY total DESC, rotation) = 1")
+@query(
+    "SELECT image_id, rotation, round(total, 6) AS total FROM (SELECT p_size % 20 AS image_id, (p_partkey % 4)::int AS rotation, ((p_partkey * 31) % 50)::double AS total FROM part) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY total DESC, rotation) = 1"
+)
 def best_orientation(spark, sf_dir):
     p = F.col("p_partkey")
-    return candidates.best_orientation(read(spark, sf_dir, "part").select((F.col("p_size") % 20).alias("image_id"), (p % 4).cast("int").alias("rotation"), ((p * 31) % 50).cast("double").alias("total")))
+    return candidates.best_orientation(
+        read(spark, sf_dir, "part").select(
+            (F.col("p_size") % 20).alias("image_id"), (p % 4).cast("int").alias("rotation"),
+            ((p * 31) % 50).cast("double").alias("total")
+        )
+    )
 
 
-@query("SELECT p_partkey, 0.0::double AS tlx, (p_size + 1)::double AS tr_x, (p_partkey + 5)::double AS bry, 1.0::double AS blx, CASE WHEN greatest(p_size, p_partkey) > 100 THEN 100.0::double / greatest(p_size, p_partkey) ELSE 1.0 END AS scale FROM part")
+@query(
+    "SELECT p_partkey, 0.0::double AS tlx, (p_size + 1)::double AS tr_x, (p_partkey + 5)::double AS bry, 1.0::double AS blx, CASE WHEN greatest(p_size, p_partkey) > 100 THEN 100.0::double / greatest(p_size, p_partkey) ELSE 1.0 END AS scale FROM part"
+)
 def corners_and_scale(spark, sf_dir):
     w, h = F.col("p_size").cast("double"), F.col("p_partkey").cast("double")
     point = lambda x, y: F.array(x, y)
     zero = F.lit(0.0)
     o = candidates.corner_order(F.array(point(w + 1, h + 5), point(zero, zero), point(F.lit(1.0), h + 5), point(w + 1, F.lit(0.5))))
-    return read(spark, sf_dir, "part").select("p_partkey", o[0][0].alias("tlx"), o[1][0].alias("tr_x"), o[2][1].alias("bry"), o[3][0].alias("blx"), candidates.resize_scale(F.col("p_size"), F.col("p_partkey"), 100).alias("scale"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", o[0][0].alias("tlx"), o[1][0].alias("tr_x"), o[2][1].alias("bry"), o[3][0].alias("blx"),
+        candidates.resize_scale(F.col("p_size"), F.col("p_partkey"), 100).alias("scale")
+    )
 
 
 # The queue.
@@ -526,8 +653,16 @@ def image_fallback(spark, sf_dir):
     """Images found by the command's own name, in the order of kinds; one named by the command need not exist."""
     p, n = F.col("page_id"), F.col("page_id") % 4
     none = F.lit(None).cast("string")
-    c = ocr.resolve_command(read(spark, sf_dir, "pages").select("page_id", F.lit("").alias("request_id"), none.alias("image_path"), F.when(n == 0, "given.png").alias("image_file"), none.alias("output_path"), none.alias("output_file"), F.concat(F.lit("c"), p, F.lit(".json")).alias("file_name")))
-    kinds = F.when(n == 1, F.array(F.lit(".png"), F.lit(".jpeg"))).when(n == 2, F.array(F.lit(".jpg"), F.lit(".png"), F.lit(".jpeg"))).otherwise(F.array(F.lit(".bmp")))
+    c = ocr.resolve_command(
+        read(spark, sf_dir, "pages").select(
+            "page_id", F.lit("").alias("request_id"), none.alias("image_path"),
+            F.when(n == 0, "given.png").alias("image_file"), none.alias("output_path"), none.alias("output_file"),
+            F.concat(F.lit("c"), p, F.lit(".json")).alias("file_name")
+        )
+    )
+    kinds = F.when(n == 1, F.array(F.lit(".png"), F.lit(".jpeg"))).when(
+        n == 2, F.array(F.lit(".jpg"), F.lit(".png"), F.lit(".jpeg"))
+    ).otherwise(F.array(F.lit(".bmp")))
     listing = read(spark, sf_dir, "pages").select(F.explode(F.transform(kinds, lambda k: F.concat(F.lit("c"), p, k))).alias("name"))
     return ocr.resolve_images(c, listing).select("page_id", "image", F.col("exists").alias("exists_"))
 
@@ -536,7 +671,10 @@ def image_fallback(spark, sf_dir):
 SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 THEN 'command_error' WHEN event_id % 5 = 0 THEN 'input_error' WHEN event_id % 3 = 0 THEN 'pipeline_error' WHEN event_id % 2 = 0 THEN 'ok' ELSE 'validation_error' END AS outcome FROM events""")
 def route_outcomes(spark, sf_dir):
     e = F.col("event_id")
-    return read(spark, sf_dir, "events").select("event_id", queue.outcome(F.when(e % 2 == 0, "ok").otherwise("warning"), e % 11 == 0, e % 7 != 0, e % 5 != 0, e % 3 == 0).alias("outcome"))
+    return read(spark, sf_dir, "events").select(
+        "event_id",
+        queue.outcome(F.when(e % 2 == 0, "ok").otherwise("warning"), e % 11 == 0, e % 7 != 0, e % 5 != 0, e % 3 == 0).alias("outcome")
+    )
 
 
 @query("""
@@ -547,7 +685,11 @@ def cleanup_archive(spark, sf_dir):
     """What retention takes from each customer's archive: by days first, then by size."""
     o = read(spark, sf_dir, "orders")
     today = o.agg(F.max(F.to_date("o_orderdate")).alias("today"))
-    listing = o.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("path"), F.floor("o_totalprice").alias("size_bytes")).crossJoin(F.broadcast(today))  # one row
+    # one row
+    listing = o.select(
+        "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("mtime"),
+        F.col("o_orderkey").alias("path"), F.floor("o_totalprice").alias("size_bytes")
+    ).crossJoin(F.broadcast(today))
     return queue.archive_removals(listing, F.col("today"), 400, 300_000, "o_custkey").select("o_orderkey", "reason")
 
 
@@ -555,10 +697,15 @@ def cleanup_archive(spark, sf_dir):
 def expired_results(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     now = o.agg(F.max("o_orderdate").alias("now"))
-    return queue.expired_results(o.select("o_orderkey", F.col("o_orderdate").alias("mtime")).crossJoin(F.broadcast(now)), F.col("now"), 7).select("o_orderkey")  # one row
+    # one row
+    return queue.expired_results(
+        o.select("o_orderkey", F.col("o_orderdate").alias("mtime")).crossJoin(F.broadcast(now)), F.col("now"), 7
+    ).select("o_orderkey")
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || CASE WHEN o_orderkey % 3 = 0 THEN 'request' WHEN o_orderkey % 3 = 1 THEN 'a_b-' || o_orderkey ELSE 'Заказ.' || o_orderkey END AS path FROM orders")
+@query(
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || CASE WHEN o_orderkey % 3 = 0 THEN 'request' WHEN o_orderkey % 3 = 1 THEN 'a_b-' || o_orderkey ELSE 'Заказ.' || o_orderkey END AS path FROM orders"
+)
 def archive_paths(spark, sf_dir):
     k = F.col("o_orderkey")
     name = F.when(k % 3 == 0, "..").when(k % 3 == 1, F.concat(F.lit("_a/b-"), k)).otherwise(F.concat(F.lit("Заказ."), k, F.lit(".")))
@@ -575,8 +722,14 @@ UNION ALL SELECT c_custkey, 'validation.summary.errors_count', '0', '2' FROM cus
 def compare_validation(spark, sf_dir):
     k = F.col("case_id")
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
-    v = F.struct(F.when(k % 3 == 0, "error").otherwise("ok").alias("status"), F.struct(F.when(k % 3 == 0, 2).otherwise(0).alias("errors_count"), F.lit(7).alias("warnings_count")).alias("summary"))
-    return validate.compare_validation(c.where(k % 5 != 0).withColumn("validation", v), c.select("case_id", F.lit("ok").alias("status"), F.lit(0).alias("errors_count"), F.lit(None).cast("int").alias("warnings_count")))
+    v = F.struct(
+        F.when(k % 3 == 0, "error").otherwise("ok").alias("status"),
+        F.struct(F.when(k % 3 == 0, 2).otherwise(0).alias("errors_count"), F.lit(7).alias("warnings_count")).alias("summary")
+    )
+    return validate.compare_validation(
+        c.where(k % 5 != 0).withColumn("validation", v),
+        c.select("case_id", F.lit("ok").alias("status"), F.lit(0).alias("errors_count"), F.lit(None).cast("int").alias("warnings_count"))
+    )
 
 
 @query("""
@@ -587,14 +740,28 @@ def run_cases(spark, sf_dir):
     got = validate.validate(extract_fields(spark, sf_dir)).where("doc_id % 6 <> 4").withColumnRenamed("doc_id", "case_id")
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
     none = F.lit(None).cast("string")
-    want = c.select("case_id", F.lit("birth_place").alias("field"), F.lit("ГОР. ТЕСТОВСК").alias("value"), none.alias("pattern")).union(c.select("case_id", F.lit("document_number"), none, F.lit(r"\d{4} \d{6}")))
-    checks = c.select("case_id", F.lit("ok").alias("status"), F.lit(None).cast("int").alias("errors_count"), F.lit(None).cast("int").alias("warnings_count"))
-    return validate.run_cases(got, want, checks).select("case_id", "status", F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("fields"))
+    want = c.select(
+        "case_id", F.lit("birth_place").alias("field"), F.lit("ГОР. ТЕСТОВСК").alias("value"), none.alias("pattern")
+    ).union(c.select("case_id", F.lit("document_number"), none, F.lit(r"\d{4} \d{6}")))
+    checks = c.select(
+        "case_id", F.lit("ok").alias("status"), F.lit(None).cast("int").alias("errors_count"),
+        F.lit(None).cast("int").alias("warnings_count")
+    )
+    return validate.run_cases(got, want, checks).select(
+        "case_id", "status", F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("fields")
+    )
 
 
 @query("""
 SELECT 'r' || c_custkey AS request_id, CAST(NULL AS VARCHAR) AS last_name, 'error' AS status, '__service__' AS field, 'service_failed' AS code, 'no image' AS message, 'input' AS value, 1 AS errors_count, 'input' AS failed_stage FROM customer""")
 def error_results(spark, sf_dir):
-    r = validate.error_results(read(spark, sf_dir, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("request_id")), F.lit("no image"), F.lit("input"))
+    r = validate.error_results(
+        read(spark, sf_dir, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("request_id")),
+        F.lit("no image"), F.lit("input")
+    )
     e = F.get("validation.errors", F.lit(0))
-    return r.select("request_id", "last_name", "validation.status", e["field"].alias("field"), e["code"].alias("code"), e["message"].alias("message"), e["value"].alias("value"), "validation.summary.errors_count", "pipeline.failed_stage")
+    return r.select(
+        "request_id", "last_name", "validation.status", e["field"].alias("field"), e["code"].alias("code"),
+        e["message"].alias("message"), e["value"].alias("value"), "validation.summary.errors_count",
+        "pipeline.failed_stage"
+    )

@@ -44,7 +44,9 @@ def engine(name: str):
 
 def recognised(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
     images = spark.read.format("binaryFile").load(paths)
-    return vision.ocr(images, engine(name), name).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("doc_id"), F.col("ocr_json").alias("value"), "error")
+    return vision.ocr(images, engine(name), name).select(
+        F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("doc_id"), F.col("ocr_json").alias("value"), "error"
+    )
 
 
 def print_results(rows: list) -> None:
@@ -117,9 +119,14 @@ def run_compare(a: argparse.Namespace) -> int:
     spark, cases = session(), json.loads(Path(a.cases).read_text("utf-8"))
     raw = [(name, Path(c["input"]).read_text("utf-8")) for name, c in cases.items() if Path(c["input"]).exists()]
     results = parsed(spark.createDataFrame(raw, "doc_id string, value string")).withColumnRenamed("doc_id", "case_id")
-    want = [(n, f, v, None) for n, c in cases.items() for f, v in c.get("expected", {}).items()] + [(n, f, None, p) for n, c in cases.items() for f, p in c.get("expected_format", {}).items()]
+    want = [(n, f, v, None) for n, c in cases.items() for f, v in c.get("expected", {}).items()] + [
+        (n, f, None, p) for n, c in cases.items() for f, p in c.get("expected_format", {}).items()
+    ]
     checks = [(n, *(c.get("expected_validation", {}).get(k) for k in ("status", "errors_count", "warnings_count"))) for n, c in cases.items()]
-    done = validate.run_cases(results, spark.createDataFrame(want, "case_id string, field string, value string, pattern string"), spark.createDataFrame(checks, "case_id string, status string, errors_count int, warnings_count int")).orderBy("case_id").collect()
+    done = validate.run_cases(
+        results, spark.createDataFrame(want, "case_id string, field string, value string, pattern string"),
+        spark.createDataFrame(checks, "case_id string, status string, errors_count int, warnings_count int")
+    ).orderBy("case_id").collect()
     for row in done:
         print(row.case_id, row.status)
         for e in row.errors:
@@ -141,18 +148,33 @@ def run_service(a: argparse.Namespace) -> int:
     def process(claimed: DataFrame) -> DataFrame:
         names = spark.createDataFrame([(p.name,) for p in Path(a.input).iterdir()], "name string")
         resolved = ocr.resolve_images(claimed, names)
-        full = resolved.withColumns({c: F.when(F.col(c).startswith("/"), F.col(c)).otherwise(F.concat(F.lit(f"{folder}/"), c)) for c, folder in (("image", a.input), ("output", a.output))})
+        full = resolved.withColumns(
+            {
+                c: F.when(F.col(c).startswith("/"), F.col(c)).otherwise(F.concat(F.lit(f"{folder}/"), c)) for c, folder in (
+                    ("image", a.input), ("output", a.output)
+                )
+            }
+        )
         there = [r.image for r in full.where("exists").select("image").collect()]
         got = recognised(spark, there, a.engine) if there else spark.createDataFrame([], "doc_id string, value string, error string")
         results = parsed(got.select("doc_id", "value")).join(got.select("doc_id", "error"), "doc_id").withColumn("result_json", result_json())
         named = full.withColumn("doc_id", ocr.stem(F.element_at(F.split("image", "/"), -1)))
         rows = named.join(results.select("doc_id", "validation", "result_json", "error"), "doc_id", "left")
         status = F.col("validation.status")
-        outcome = queue.outcome(status, F.col("_corrupt_record").isNotNull(), F.col("image").isNotNull(), F.col("exists"), F.col("error").isNotNull() | status.isNull())
-        rows = rows.select("request_id", outcome.alias("outcome"), sanitize_archive_name(F.col("request_id")).alias("archive_name"), "image", F.concat(F.lit(f"{a.commands}/"), "file_name").alias("command"), F.col("output").alias("result"), "result_json")
+        outcome = queue.outcome(
+            status, F.col("_corrupt_record").isNotNull(), F.col("image").isNotNull(), F.col("exists"),
+            F.col("error").isNotNull() | status.isNull()
+        )
+        rows = rows.select(
+            "request_id", outcome.alias("outcome"), sanitize_archive_name(F.col("request_id")).alias("archive_name"),
+            "image", F.concat(F.lit(f"{a.commands}/"), "file_name").alias("command"), F.col("output").alias("result"),
+            "result_json"
+        )
         rows = spark.createDataFrame(rows.collect(), rows.schema)  # the files of one trigger
         for row in rows.collect():
-            body = json.loads(row.result_json) if row.result_json else {"validation": {"status": "error"}, "pipeline": {"status": "error", "failed_stage": row.outcome}}
+            body = json.loads(row.result_json) if row.result_json else {
+                "validation": {"status": "error"}, "pipeline": {"status": "error", "failed_stage": row.outcome}
+            }
             files.save_json(row.result, {"request_id": row.request_id, **body})
         files.route(rows, a.error, a.archive, a.keep_input)
         if a.archive:
@@ -189,9 +211,22 @@ def main(arguments: list[str] | None = None) -> int:
     command("crop", run_crop, source, out, (("--debug-dir",), {}))
     command("compare", run_compare, (("cases",), {}))
     folders = [((f"--{n}",), {"required": True}) for n in ("commands", "input", "output", "error", "state")]
-    numbers = [((f"--{n}",), {"type": t, "default": d}) for n, t, d in (("archive-days", int, 30), ("archive-max-gb", float, 5.0), ("out-days", int, 7), ("log-total-max-mb", int, 100), ("log-files-count", int, 5), ("heartbeat-sec", float, 10.0))]
-    named = [((f"--{n}",), {"default": d}) for n, d in (("archive", None), ("lock-file", "service.lock"), ("status-file", "service_status.json"), ("log-file", "logs/service.log"))]
-    command("service", run_service, with_engine, *folders, *numbers, *named, (("--once",), {"action": "store_true"}), (("--keep-input",), {"action": "store_true"}))
+    numbers = [
+        ((f"--{n}",), {"type": t, "default": d}) for n, t, d in (
+            ("archive-days", int, 30), ("archive-max-gb", float, 5.0), ("out-days", int, 7),
+            ("log-total-max-mb", int, 100), ("log-files-count", int, 5), ("heartbeat-sec", float, 10.0)
+        )
+    ]
+    named = [
+        ((f"--{n}",), {"default": d}) for n, d in (
+            ("archive", None), ("lock-file", "service.lock"), ("status-file", "service_status.json"),
+            ("log-file", "logs/service.log")
+        )
+    ]
+    command(
+        "service", run_service, with_engine, *folders, *numbers, *named, (("--once",), {"action": "store_true"}),
+        (("--keep-input",), {"action": "store_true"})
+    )
     a = top.parse_args(arguments)
     return a.run(a)
 

@@ -14,16 +14,28 @@ from pyspark.sql.types import StringType
 LOOKALIKE_FROM = "ABCEHKMOPTXYabcehkmoptxyΔδΛλ"
 LOOKALIKE_TO = "АВСЕНКМОРТХУАВСЕНКМОРТХУДДЛЛ"
 # Headings and field labels.
-SERVICE_LABELS = (r"РОССИЙСКАЯ\s*ФЕДЕРАЦИЯ", r"ПАСПОРТ\s*ВЫДАН", r"ДАТА\s*ВЫДАЧИ", r"КОД\s*ПОДРАЗДЕЛЕНИЯ", "ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", r"ДАТА\s*РОЖДЕНИЯ", r"МЕСТО\s*РОЖДЕНИЯ", r"ЛИЧНАЯ\s*ПОДПИСЬ")
+SERVICE_LABELS = (
+    r"РОССИЙСКАЯ\s*ФЕДЕРАЦИЯ", r"ПАСПОРТ\s*ВЫДАН", r"ДАТА\s*ВЫДАЧИ", r"КОД\s*ПОДРАЗДЕЛЕНИЯ", "ФАМИЛИЯ", "ИМЯ",
+    "ОТЧЕСТВО", "ПОЛ", r"ДАТА\s*РОЖДЕНИЯ", r"МЕСТО\s*РОЖДЕНИЯ", r"ЛИЧНАЯ\s*ПОДПИСЬ"
+)
 # What each cleaner takes out, in order.
-ISSUER_LABELS = (r"РОССИЙСКАЯ\s*ФЕДЕРАЦИЯ", r"ПАСПОРТ\s*ВЫДАН", "ПАСПОРТ", "ВЫДАН", r"ДАТА\s*ВЫДАЧИ", "ДАТА", "ВЫДАЧИ", r"КОД\s*ПОДРАЗДЕЛЕНИЯ", "КОД", "ПОДРАЗДЕЛЕНИЯ")
+ISSUER_LABELS = (
+    r"РОССИЙСКАЯ\s*ФЕДЕРАЦИЯ", r"ПАСПОРТ\s*ВЫДАН", "ПАСПОРТ", "ВЫДАН", r"ДАТА\s*ВЫДАЧИ", "ДАТА", "ВЫДАЧИ",
+    r"КОД\s*ПОДРАЗДЕЛЕНИЯ", "КОД", "ПОДРАЗДЕЛЕНИЯ"
+)
 PERSON_LABELS = ("ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", r"ДАТА\s*РОЖДЕНИЯ", "ДАТА", "РОЖДЕНИЯ", r"МЕСТО\s*РОЖДЕНИЯ", "МЕСТО", r"МУЖ\.?", r"ЖЕН\.?")
 PLACE_LABELS = (r"МЕСТО\s*РОЖДЕНИЯ", r"МЕС\s*Т?\s*О", r"МЕСТ\s*О", "МЕСТО", "РОЖДЕНИЯ", r"ДАТА\s*РОЖДЕНИЯ", "ДАТА", "ПОЛ", r"МУЖ\.?", r"ЖЕН\.?")
 SIGNATURE_LABELS = (r"ЛИЧНАЯ\s*ПОДПИСЬ", r"[АЛ]ИЧНАЯ\s*ПОД[ПН]ИСЬ", "ПОДПИСЬ", "ПОДНИСЬ")
 # Compact texts that carry no value.
 ISSUER_NOISE = ("РОССИЙСКАЯФЕДЕРАЦИЯ", "ПАСПОРТ", "ВЫДАН", "ПАСПОРТВЫДАН", "ДАТА", "ВЫДАЧИ", "ДАТАВЫДАЧИ", "КОД", "ПОДРАЗДЕЛЕНИЯ", "КОДПОДРАЗДЕЛЕНИЯ")
-PERSON_NOISE = ("ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", "ДАТА", "РОЖДЕНИЯ", "ДАТАРОЖДЕНИЯ", "МЕСТО", "МЕСТОРОЖДЕНИЯ", "ЛИЧНАЯПОДПИСЬ", "АИЧНАЯПОДНИСЬ", "ПОДПИСЬ", "ПОДНИСЬ", "МУЖ", "ЖЕН")
-PLACE_NOISE = ("МЕСТО", "РОЖДЕНИЯ", "МЕСТОРОЖДЕНИЯ", "ДАТА", "ДАТАРОЖДЕНИЯ", "ПОЛ", "ЛИЧНАЯПОДПИСЬ", "АИЧНАЯПОДНИСЬ", "ПОДПИСЬ", "ПОДНИСЬ", "МУЖ", "ЖЕН")
+PERSON_NOISE = (
+    "ФАМИЛИЯ", "ИМЯ", "ОТЧЕСТВО", "ПОЛ", "ДАТА", "РОЖДЕНИЯ", "ДАТАРОЖДЕНИЯ", "МЕСТО", "МЕСТОРОЖДЕНИЯ", "ЛИЧНАЯПОДПИСЬ",
+    "АИЧНАЯПОДНИСЬ", "ПОДПИСЬ", "ПОДНИСЬ", "МУЖ", "ЖЕН"
+)
+PLACE_NOISE = (
+    "МЕСТО", "РОЖДЕНИЯ", "МЕСТОРОЖДЕНИЯ", "ДАТА", "ДАТАРОЖДЕНИЯ", "ПОЛ", "ЛИЧНАЯПОДПИСЬ", "АИЧНАЯПОДНИСЬ", "ПОДПИСЬ",
+    "ПОДНИСЬ", "МУЖ", "ЖЕН"
+)
 # Letters read as digits in a document number.
 DIGIT_FROM, DIGIT_TO = "OОQIL|!ЗSБBВ", "000111135688"
 
@@ -58,7 +70,10 @@ def strip(text: Column, chars: str) -> Column:
 
 
 #: Broken abbreviations and their repair.  The literal comes first, so that the search skips from letter to letter.
-ABBREVIATIONS = ((r"ФОП(?<!\wФОП)(?:\.|\b)", "ГОР."), (r"Г(?<!\wГ)\s*О\s*Р\s*\.", "ГОР."), (r"ГОР\.(?<!\wГОР\.)\s*", "ГОР. "), (r"Р(?<!\wР)\s*О\s*В\s*Д\b", "РОВД"))
+ABBREVIATIONS = (
+    (r"ФОП(?<!\wФОП)(?:\.|\b)", "ГОР."), (r"Г(?<!\wГ)\s*О\s*Р\s*\.", "ГОР."), (r"ГОР\.(?<!\wГОР\.)\s*", "ГОР. "),
+    (r"Р(?<!\wР)\s*О\s*В\s*Д\b", "РОВД")
+)
 
 
 def normalize_text(text: Column, nfkc: bool = True) -> Column:
@@ -95,13 +110,19 @@ def is_service_label(norm: Column) -> Column:
 
 def find_dates(norm: Column) -> Column:
     """Every dd.mm.yyyy as yyyy-mm-dd, in order; days and months are not checked."""
-    return F.transform(F.regexp_extract_all(norm, F.lit(DATE), F.lit(0)), lambda d: F.concat_ws("-", F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2)))
+    return F.transform(
+        F.regexp_extract_all(norm, F.lit(DATE), F.lit(0)),
+        lambda d: F.concat_ws("-", F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2))
+    )
 
 
 def find_department_codes(norm: Column) -> Column:
     """Every group of six digits, as ddd-ddd."""
     digits = lambda c: F.regexp_replace(c, r"\D", "")
-    return F.transform(F.regexp_extract_all(norm, F.lit(CODE), F.lit(0)), lambda c: F.concat_ws("-", F.substring(digits(c), 1, 3), F.substring(digits(c), 4, 3)))
+    return F.transform(
+        F.regexp_extract_all(norm, F.lit(CODE), F.lit(0)),
+        lambda c: F.concat_ws("-", F.substring(digits(c), 1, 3), F.substring(digits(c), 4, 3))
+    )
 
 
 def without(norm: Column, *labels: Iterable[str]) -> Column:
@@ -121,7 +142,11 @@ def clean_person_line(norm: Column) -> Column:
 
 
 #: Repairs of a birth place only; elsewhere these letters may be something else.
-_PLACE_REPAIRS = ((r"(?:ФОП|ГОП|Г0Р|ГОР)(?<!\w(?:ФОП|ГОП|Г0Р|ГОР))\s*\.\s*", "ГОР. "), (r"(?:ФОП|ГОП|Г0Р)(?<!\w(?:ФОП|ГОП|Г0Р))\b", "ГОР."), (r"Г(?<!\wГ)\s*[О0]\s*[РП]\s*\.\s*", "ГОР. "), (r"ГОР\.(?<!\wГОР\.)\s*", "ГОР. "))
+_PLACE_REPAIRS = (
+    (r"(?:ФОП|ГОП|Г0Р|ГОР)(?<!\w(?:ФОП|ГОП|Г0Р|ГОР))\s*\.\s*", "ГОР. "),
+    (r"(?:ФОП|ГОП|Г0Р)(?<!\w(?:ФОП|ГОП|Г0Р))\b", "ГОР."), (r"Г(?<!\wГ)\s*[О0]\s*[РП]\s*\.\s*", "ГОР. "),
+    (r"ГОР\.(?<!\wГОР\.)\s*", "ГОР. ")
+)
 
 
 def normalize_birth_place_value(norm: Column) -> Column:

@@ -38,7 +38,9 @@ def fold_score() -> Column:
 
 def is_photo() -> Column:
     """The gates of a photo marker that don't depend on the fold."""
-    return F.col("width_ratio").between(0.14, 0.70) & F.col("height_ratio").between(0.10, 0.60) & F.col("aspect").between(0.35, 4.5) & (F.col("center_x_ratio") <= 0.68)
+    return F.col("width_ratio").between(0.14, 0.70) & F.col("height_ratio").between(0.10, 0.60) & F.col("aspect").between(0.35, 4.5) & (
+        F.col("center_x_ratio") <= 0.68
+    )
 
 
 def photo_score(fold_y: Column) -> Column:
@@ -64,8 +66,18 @@ def marker_layouts(components: DataFrame, folds: int = 5) -> DataFrame:
     same = F.lit(True)
     for c in "xywh":
         same = same & (F.abs(F.col(f"p.{c}") - F.col(f"fold_{c}")) < 5)
-    pair = fold.join(photo, [F.col("p.image_id") == fold.image_id, F.col("p.rotation") == fold.rotation, F.col("p.center_y_ratio") > F.col("fold_center_y_ratio") + 0.06, ~same])
-    pair = pair.select(fold.image_id, fold.rotation, "fold_x", "fold_y", "fold_w", "fold_h", "fold_score", F.col("p.x").alias("photo_x"), F.col("p.y").alias("photo_y"), photo_score(F.col("fold_center_y_ratio")).alias("photo_score"))
+    pair = fold.join(
+        photo,
+        [
+            F.col("p.image_id") == fold.image_id, F.col("p.rotation") == fold.rotation,
+            F.col("p.center_y_ratio") > F.col("fold_center_y_ratio") + 0.06, ~same
+        ]
+    )
+    pair = pair.select(
+        fold.image_id, fold.rotation, "fold_x", "fold_y", "fold_w", "fold_h", "fold_score",
+        F.col("p.x").alias("photo_x"), F.col("p.y").alias("photo_y"),
+        photo_score(F.col("fold_center_y_ratio")).alias("photo_score")
+    )
     pair = pair.withColumn("total", 3.0 * F.col("fold_score") + 4.0 * F.col("photo_score"))
     order = Window.partitionBy(*key).orderBy(F.desc("total"), "fold_y", "fold_x", "photo_y", "photo_x")
     return pair.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
@@ -93,7 +105,9 @@ def red_fold_lines(components: DataFrame, k: int = 8) -> DataFrame:
     """
     line = (F.col("area_ratio") >= 0.0001) & (F.col("width_ratio") >= 0.18) & (F.col("aspect") >= 2.5) & (F.col("height_ratio") <= 0.25)
     middle = 1.0 - F.least(F.abs(F.col("center_y_ratio") - 0.5) * 2.0, F.lit(1.0))
-    score = F.col("width_ratio") * 4.0 + F.least(F.col("aspect") / 10.0, F.lit(2.0)) + F.least(F.col("area_ratio") * 150.0, F.lit(2.0)) + middle * 0.75 - F.col("height_ratio") * 2.0
+    score = F.col("width_ratio") * 4.0 + F.least(F.col("aspect") / 10.0, F.lit(2.0)) + F.least(
+        F.col("area_ratio") * 150.0, F.lit(2.0)
+    ) + middle * 0.75 - F.col("height_ratio") * 2.0
     order = Window.partitionBy("image_id").orderBy(F.desc("score"), "rotation", "y", "x")
     ranked = components.where(line).withColumn("score", score).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).withColumn("confidence", F.when(F.col("rank") == 1, clamp(F.col("score") / 7.0)))
@@ -101,7 +115,10 @@ def red_fold_lines(components: DataFrame, k: int = 8) -> DataFrame:
 
 def corner_order(points: Column) -> Column:
     """Four corners as top left, top right, bottom right, bottom left, by sum and difference of coordinates."""
-    pick = lambda key, most: F.element_at(F.array_sort(F.transform(points, lambda p: F.struct((key(p) * (-1 if most else 1)).alias("k"), p.alias("p")))), 1)["p"]
+    pick = lambda key, most: F.element_at(
+        F.array_sort(F.transform(points, lambda p: F.struct((key(p) * (-1 if most else 1)).alias("k"), p.alias("p")))),
+        1
+    )["p"]
     total, diff = (lambda p: p[0] + p[1]), (lambda p: p[1] - p[0])
     return F.array(pick(total, False), pick(diff, False), pick(total, True), pick(diff, True))
 

@@ -10,12 +10,18 @@ from foliospark.functions import text as T
 from .items import hundredth
 from .lines import annotate, group_lines, line_text, value_items, value_text
 
-FIELDS = ("last_name", "first_name", "middle_name", "birth_date", "sex", "birth_place", "issue_date", "department_code", "issued_by", "document_number")
+FIELDS = (
+    "last_name", "first_name", "middle_name", "birth_date", "sex", "birth_place", "issue_date", "department_code",
+    "issued_by", "document_number"
+)
 
 
 def candidates(items: Column, values: str) -> Column:
     """Every one of the items' ``values`` as (cy, cx, ord, value), nearest the top left first."""
-    each = F.transform(items, lambda i: F.transform(i[values], lambda v: F.struct(i["cy"].alias("cy"), i["cx"].alias("cx"), i["ord"].alias("ord"), v.alias("value"))))
+    each = F.transform(
+        items,
+        lambda i: F.transform(i[values], lambda v: F.struct(i["cy"].alias("cy"), i["cx"].alias("cx"), i["ord"].alias("ord"), v.alias("value")))
+    )
     return F.array_sort(F.flatten(F.filter(each, lambda c: c.isNotNull())))
 
 
@@ -25,8 +31,14 @@ def first_value(found: Column) -> Column:
 
 def prepared(page: DataFrame) -> DataFrame:
     """The page with its zones' lines: arrays of (cy, text, and what the line's value items say)."""
-    top = lambda x, v: F.struct(hundredth(x["cy"]).alias("cy"), line_text(x).alias("text"), value_text(v, lambda i: i["issuer"], " .,-;:").alias("issuer"))
-    bottom = lambda x, v: F.struct(hundredth(x["cy"]).alias("cy"), line_text(x).alias("text"), value_text(v, lambda i: i["person"]).alias("person"), value_text(v, lambda i: i["place"]).alias("place"))
+    top = lambda x, v: F.struct(
+        hundredth(x["cy"]).alias("cy"), line_text(x).alias("text"),
+        value_text(v, lambda i: i["issuer"], " .,-;:").alias("issuer")
+    )
+    bottom = lambda x, v: F.struct(
+        hundredth(x["cy"]).alias("cy"), line_text(x).alias("text"),
+        value_text(v, lambda i: i["person"]).alias("person"), value_text(v, lambda i: i["place"]).alias("place")
+    )
 
     def lines(groups: str, shape) -> Column:
         bound = F.transform(groups, lambda x: F.struct(x.alias("line"), value_items(x).alias("values")))
@@ -50,7 +62,12 @@ def top_fields(page: DataFrame) -> DataFrame:
         return F.element_at(bound, 1)
 
     said = F.filter(F.transform(above, issuer), lambda p: p != "")
-    return out.withColumns({"issue_date": first_value(F.col("_dates")), "department_code": first_value(F.col("_codes")), "issued_by": F.nullif(T.joined(said, " .,-;:"), F.lit(""))}).drop("_dates", "_codes", "_edge")
+    return out.withColumns(
+        {
+            "issue_date": first_value(F.col("_dates")), "department_code": first_value(F.col("_codes")),
+            "issued_by": F.nullif(T.joined(said, " .,-;:"), F.lit(""))
+        }
+    ).drop("_dates", "_codes", "_edge")
 
 
 def first_line(lines: Column, word: str) -> Column:
@@ -70,14 +87,20 @@ def bottom_fields(page: DataFrame) -> DataFrame:
     """
     lines = F.col("bottom_lines")
     out = page.withColumn("_date", F.try_element_at(candidates(F.col("bottom"), "dates"), F.lit(1)))
-    at = {"_d": F.when(F.col("_date").isNotNull(), nearest_line(lines, F.col("_date")["cy"])), "_last": first_line(lines, "ФАМИЛИЯ"), "_first": first_line(lines, "ИМЯ"), "_middle": first_line(lines, "ОТЧЕСТВО")}
+    at = {
+        "_d": F.when(F.col("_date").isNotNull(), nearest_line(lines, F.col("_date")["cy"])),
+        "_last": first_line(lines, "ФАМИЛИЯ"), "_first": first_line(lines, "ИМЯ"),
+        "_middle": first_line(lines, "ОТЧЕСТВО")
+    }
     out = out.withColumns({k: v.cast("int") for k, v in at.items()})
     size, day = F.size("bottom_lines"), F.col("_d")
 
     def between(start: Column, stop: Column, otherwise: Column) -> Column:
         """Parts of the lines start..stop-1; ``otherwise`` without a start."""
         end = F.coalesce(stop, size + 1)
-        return F.when(start.isNull(), otherwise).otherwise(F.transform(F.slice("bottom_lines", F.greatest(start, F.lit(1)), F.greatest(end - start, F.lit(0))), lambda line: line["person"]))
+        return F.when(start.isNull(), otherwise).otherwise(
+            F.transform(F.slice("bottom_lines", F.greatest(start, F.lit(1)), F.greatest(end - start, F.lit(0))), lambda line: line["person"])
+        )
 
     whole = F.transform(F.slice("bottom_lines", 1, F.greatest(F.coalesce(day - 1, size), F.lit(0))), lambda line: T.clean_person_line(line["text"]))
     unlabelled = F.col("_last").isNull() | F.col("_first").isNull()
@@ -87,7 +110,13 @@ def bottom_fields(page: DataFrame) -> DataFrame:
         "_names": between(F.col("_last"), F.coalesce("_first", day), nth(1)),
         "_firsts": between(F.col("_first"), F.coalesce("_middle", day), nth(2)),
         "_middles": between(F.col("_middle"), day, F.array().cast("array<string>")),
-        "_places": F.when(day.isNotNull(), F.filter(F.transform(F.slice("bottom_lines", F.coalesce(day, F.lit(0)) + 1, F.greatest(size - day, F.lit(0))), lambda line: line["place"]), lambda p: p != "")),
+        "_places": F.when(
+            day.isNotNull(),
+            F.filter(
+                F.transform(F.slice("bottom_lines", F.coalesce(day, F.lit(0)) + 1, F.greatest(size - day, F.lit(0))), lambda line: line["place"]),
+                lambda p: p != ""
+            )
+        ),
     }
     out = out.withColumns(parts)
     return out.withColumns({
@@ -102,14 +131,18 @@ def bottom_fields(page: DataFrame) -> DataFrame:
 
 def number_candidate(items: Column) -> Column:
     """The digits of the items from the top left on; the first ten of at least ten, formatted."""
-    keyed = F.array_sort(F.transform(items, lambda i: F.struct(i["cy"].alias("cy"), i["cx"].alias("cx"), i["ord"].alias("ord"), i["digits"].alias("digits"))))
+    keyed = F.array_sort(
+        F.transform(items, lambda i: F.struct(i["cy"].alias("cy"), i["cx"].alias("cx"), i["ord"].alias("ord"), i["digits"].alias("digits")))
+    )
     return T.format_document_number(F.left(F.array_join(F.transform(keyed, lambda k: k["digits"]), ""), F.lit(10)))
 
 
 def number_consensus(top: Column, bottom: Column, none: Column) -> Column:
     """value and status of the two copies of the number; ``none``: there were no items at all."""
     value = F.when(top.isNotNull() & bottom.isNotNull(), F.when(top == bottom, top)).otherwise(F.coalesce(top, bottom))
-    status = F.when(none, "no_right_vertical_items").when(top == bottom, "matched_top_bottom").when(top.isNotNull() & bottom.isNotNull(), "conflict_top_bottom").when(value.isNotNull(), "single_candidate").otherwise("not_found")
+    status = F.when(none, "no_right_vertical_items").when(top == bottom, "matched_top_bottom").when(
+        top.isNotNull() & bottom.isNotNull(), "conflict_top_bottom"
+    ).when(value.isNotNull(), "single_candidate").otherwise("not_found")
     return F.struct(value.alias("value"), status.alias("status"))
 
 
@@ -130,9 +163,18 @@ def layout(page: DataFrame) -> DataFrame:
     """doc_id, zone, line (from 1), cy, text and each item's annotation: the diagnostic view, a row per item."""
     every = None
     for zone in ("top", "bottom", "right_vertical"):
-        lines = F.transform(group_lines(F.col(zone)), lambda x: F.struct(hundredth(x["cy"]).alias("cy"), line_text(x).alias("text"), annotate(x).alias("notes")))
-        one = page.select("doc_id", F.lit(zone).alias("zone"), F.posexplode(lines).alias("line", "l")).select("doc_id", "zone", (F.col("line") + 1).alias("line"), "l.cy", "l.text", F.posexplode("l.notes").alias("item", "n"))
-        one = one.select("doc_id", "zone", "line", "cy", "text", (F.col("item") + 1).alias("item"), "n.norm", "n.height_ratio", "n.font_class", "n.label_types", "n.by_text", "n.by_font", "n.value")
+        lines = F.transform(
+            group_lines(F.col(zone)),
+            lambda x: F.struct(hundredth(x["cy"]).alias("cy"), line_text(x).alias("text"), annotate(x).alias("notes"))
+        )
+        one = page.select("doc_id", F.lit(zone).alias("zone"), F.posexplode(lines).alias("line", "l")).select(
+            "doc_id", "zone", (F.col("line") + 1).alias("line"), "l.cy", "l.text",
+            F.posexplode("l.notes").alias("item", "n")
+        )
+        one = one.select(
+            "doc_id", "zone", "line", "cy", "text", (F.col("item") + 1).alias("item"), "n.norm", "n.height_ratio",
+            "n.font_class", "n.label_types", "n.by_text", "n.by_font", "n.value"
+        )
         every = one if every is None else every.union(one)
     return every
 
@@ -141,6 +183,11 @@ def diagnostics(page: DataFrame) -> DataFrame:
     """The page's split, zone counts, right margin and all dates and codes outside the vertical number."""
     count = lambda c: F.size(c).alias(f"{c}_items")
     rest = F.concat("top", "bottom")
-    out = page.select("doc_id", "page_h", "page_w", (F.col("page_h") * 0.5).alias("split_y"), hundredth(F.col("page_w") * 0.84).alias("right_min_cx"), *[count(z) for z in ("top", "bottom", "right_vertical")], candidates(rest, "dates").alias("_dates"), candidates(F.col("top"), "codes").alias("_codes"))
+    out = page.select(
+        "doc_id", "page_h", "page_w", (F.col("page_h") * 0.5).alias("split_y"),
+        hundredth(F.col("page_w") * 0.84).alias("right_min_cx"),
+        *[count(z) for z in ("top", "bottom", "right_vertical")], candidates(rest, "dates").alias("_dates"),
+        candidates(F.col("top"), "codes").alias("_codes")
+    )
     values = lambda c: F.transform(c, lambda x: x["value"])
     return out.select("*", values("_dates").alias("dates"), values("_codes").alias("top_codes")).drop("_dates", "_codes")

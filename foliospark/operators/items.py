@@ -76,7 +76,9 @@ def box_from_json(text: Column) -> Column:
     """Whatever shape the JSON has: a dictionary, points (also of strings) or four numbers."""
     points = F.transform(F.from_json(text, "array<array<string>>"), lambda p: F.transform(p, lambda v: v.try_cast("double")))
     fields = F.from_json(text, "x string, y string, w string, h string, x1 string, y1 string, x2 string, y2 string")
-    return F.when(text.startswith("{"), box_from_dict(fields)).when(text.rlike(r"^\[\s*\["), box_from_points(points)).otherwise(box_from_list(F.from_json(text, "array<double>")))
+    return F.when(text.startswith("{"), box_from_dict(fields)).when(text.rlike(r"^\[\s*\["), box_from_points(points)).otherwise(
+        box_from_list(F.from_json(text, "array<double>"))
+    )
 
 
 def deduplicate(items: DataFrame, document: str, order: str) -> DataFrame:
@@ -101,7 +103,10 @@ def zone(right: Column, cy: Column, height: Column) -> Column:
 
 def item_rows(ocr: DataFrame) -> DataFrame:
     """One row per usable item of OCR documents (sources.ocr.read_pages): normalised, boxed, zoned, first of equals."""
-    one = ocr.select("doc_id", F.try_element_at("image_shape", F.lit(1)).alias("page_h"), F.try_element_at("image_shape", F.lit(2)).alias("page_w"), F.posexplode("items").alias("ord", "i"))
+    one = ocr.select(
+        "doc_id", F.try_element_at("image_shape", F.lit(1)).alias("page_h"),
+        F.try_element_at("image_shape", F.lit(2)).alias("page_w"), F.posexplode("items").alias("ord", "i")
+    )
     out = one.select("doc_id", "page_h", "page_w", "ord", "i.text", "i.confidence", "i.box.*").where("text IS NOT NULL AND x1 IS NOT NULL")
     # One shuffle by document serves the window and the page.
     out = out.repartition("doc_id").withColumn("norm", T.normalize_text(F.col("text")))
@@ -137,16 +142,26 @@ def pages(items: DataFrame) -> DataFrame:
 def public_items(items: DataFrame) -> DataFrame:
     """The columns of items that are shown: text, normalised text, confidence, box, zone and the two flags."""
     bounds = F.struct("x1", "y1", "x2", "y2", "cx", "cy", "w", "h").alias("bbox")
-    return items.select("doc_id", "ord", "text", "norm", "confidence", bounds, "zone", T.is_service_label(F.col("norm")).alias("is_service_label"), (F.col("zone") == "right_vertical").alias("is_right_vertical"))
+    return items.select(
+        "doc_id", "ord", "text", "norm", "confidence", bounds, "zone",
+        T.is_service_label(F.col("norm")).alias("is_service_label"),
+        (F.col("zone") == "right_vertical").alias("is_right_vertical")
+    )
 
 
 def sort_items(items: Column) -> Column:
     """By (cy, cx, normalised text), earlier items first on ties."""
-    keyed = F.transform(items, lambda i: F.struct(i["cy"].alias("cy"), i["cx"].alias("cx"), i["norm"].alias("norm"), i["ord"].alias("ord"), i.alias("item")))
+    keyed = F.transform(
+        items,
+        lambda i: F.struct(i["cy"].alias("cy"), i["cx"].alias("cx"), i["norm"].alias("norm"), i["ord"].alias("ord"), i.alias("item"))
+    )
     return F.transform(F.array_sort(keyed), lambda k: k["item"])
 
 
 def raw_text(items: Column) -> Column:
     """Non-empty texts by whole cy, cx and order, a line each."""
-    keyed = F.transform(items, lambda i: F.struct(i["cy"].cast("int").alias("cy"), i["cx"].cast("int").alias("cx"), i["ord"].alias("ord"), i["text"].alias("text")))
+    keyed = F.transform(
+        items,
+        lambda i: F.struct(i["cy"].cast("int").alias("cy"), i["cx"].cast("int").alias("cx"), i["ord"].alias("ord"), i["text"].alias("text"))
+    )
     return F.array_join(F.transform(F.filter(F.array_sort(keyed), lambda k: k["text"] != ""), lambda k: k["text"]), "\n")

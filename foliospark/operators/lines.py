@@ -30,15 +30,24 @@ def group_lines(items: Column) -> Column:
         new = F.struct(item["cy"].alias("cy"), F.lit(1).alias("n"), F.array(item).alias("items"))
 
         def joined(at: Column) -> Column:
-            grown = lambda line: F.struct(((line["cy"] * line["n"] + item["cy"]) / (line["n"] + 1)).alias("cy"), (line["n"] + 1).cast("int").alias("n"), F.concat(line["items"], F.array(item)).alias("items"))
+            grown = lambda line: F.struct(
+                ((line["cy"] * line["n"] + item["cy"]) / (line["n"] + 1)).alias("cy"),
+                (line["n"] + 1).cast("int").alias("n"), F.concat(line["items"], F.array(item)).alias("items")
+            )
             return F.transform(lines, lambda line, i: F.when(i + 1 == at, grown(line)).otherwise(line))
 
         # A one-element array binds the position, so it is searched for once.
-        after = F.element_at(F.transform(F.array(at), lambda at: F.when(at == 0, F.concat(lines, F.array(new))).otherwise(joined(at)).cast(f"array<{LINE}>")), 1)
+        after = F.element_at(
+            F.transform(F.array(at), lambda at: F.when(at == 0, F.concat(lines, F.array(new))).otherwise(joined(at)).cast(f"array<{LINE}>")),
+            1
+        )
         return F.struct(near.alias("tol"), after.alias("lines"))
 
     # The tolerance is part of the state, so it is worked out once.
-    return F.aggregate(sort_items(items), F.struct(tol.alias("tol"), F.array().cast(f"array<{LINE}>").alias("lines")), place, lambda state: state["lines"])
+    return F.aggregate(
+        sort_items(items), F.struct(tol.alias("tol"), F.array().cast(f"array<{LINE}>").alias("lines")), place,
+        lambda state: state["lines"]
+    )
 
 
 def across(items: Column) -> Column:
@@ -74,7 +83,11 @@ def annotate(line: Column) -> Column:
         font = T.classify_font(ratio)
         types = T.refine_label_types(T.detect_label_types(i["norm"]), i["norm"], whole)
         by_text, by_font = F.size(types) > 0, (font == "small") & (k == 0) & many
-        return F.struct(i["norm"].alias("norm"), i["cy"].alias("cy"), i["cx"].alias("cx"), (F.rint(ratio * 1000) / 1000).alias("height_ratio"), font.alias("font_class"), types.alias("label_types"), by_text.alias("by_text"), by_font.alias("by_font"), (~(by_text | by_font)).alias("value"))
+        return F.struct(
+            i["norm"].alias("norm"), i["cy"].alias("cy"), i["cx"].alias("cx"),
+            (F.rint(ratio * 1000) / 1000).alias("height_ratio"), font.alias("font_class"), types.alias("label_types"),
+            by_text.alias("by_text"), by_font.alias("by_font"), (~(by_text | by_font)).alias("value")
+        )
 
     return F.transform(along(line), note)
 
@@ -83,7 +96,12 @@ def value_items(line: Column) -> Column:
     """The items of a line that are values: no labels by their text, nor small first ones of several."""
     # Bound once: how many items there are and the tallest of them.
     bound = F.array(F.struct(along(line).alias("row"), tallest(line).alias("most")))
-    chosen = lambda b: F.filter(b["row"], lambda i, k: ~(i["label"] | F.coalesce((T.classify_font(height_ratio(i, b["most"])) == "small") & (k == 0) & (F.size(b["row"]) >= 2), F.lit(False))))
+    chosen = lambda b: F.filter(
+        b["row"],
+        lambda i, k: ~(
+            i["label"] | F.coalesce((T.classify_font(height_ratio(i, b["most"])) == "small") & (k == 0) & (F.size(b["row"]) >= 2), F.lit(False))
+        )
+    )
     return F.flatten(F.transform(bound, chosen))
 
 

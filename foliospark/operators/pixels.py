@@ -196,7 +196,13 @@ def page_candidates(image: np.ndarray) -> list[dict]:
         box, a, b = least_rectangle(ends)
         centre = np.array([(size * (runs[:, 1] + runs[:, 2] - 1) / 2).sum(), (size * runs[:, 0]).sum()]) / area
         middle = np.array([width, height]) / 2
-        out.append({"label_id": label, "area": area, "area_share": area / mask.size, "aspect": min(a, b) / max(a, b, 1e-9), "fill": area / max(a * b, 1e-9), "distance": float(np.hypot(*(centre - middle)) / np.hypot(*middle)), "box": (box / scale).tolist()})
+        out.append(
+            {
+                "label_id": label, "area": area, "area_share": area / mask.size, "aspect": min(a, b) / max(a, b, 1e-9),
+                "fill": area / max(a * b, 1e-9), "distance": float(np.hypot(*(centre - middle)) / np.hypot(*middle)),
+                "box": (box / scale).tolist()
+            }
+        )
     return out
 
 
@@ -214,7 +220,13 @@ def red_components(image: np.ndarray) -> list[dict]:
         x, y = int(runs[:, 1].min()), int(runs[:, 0].min())
         w, h = int(runs[:, 2].max()) - x, int(runs[:, 0].max()) + 1 - y
         if area >= 0.00005 * mask.size:
-            out.append({"x": x, "y": y, "w": w, "h": h, "area": float(area), "area_ratio": area / mask.size, "width_ratio": w / width, "height_ratio": h / height, "center_x_ratio": (x + w / 2) / width, "center_y_ratio": (y + h / 2) / height, "aspect": w / h})
+            out.append(
+                {
+                    "x": x, "y": y, "w": w, "h": h, "area": float(area), "area_ratio": area / mask.size,
+                    "width_ratio": w / width, "height_ratio": h / height, "center_x_ratio": (x + w / 2) / width,
+                    "center_y_ratio": (y + h / 2) / height, "aspect": w / h
+                }
+            )
     return out
 
 
@@ -225,7 +237,11 @@ def warped(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
     height = max(int(np.hypot(*(tr - br))), int(np.hypot(*(tl - bl))), 2)
     target = np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], np.float64)
     # From the upright image back to the source: eight equations of the projective map.
-    rows = [r for (u, v), (x, y) in zip(target, (tl, tr, br, bl), strict=True) for r in ([u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y])]
+    rows = [
+        r for (u, v), (x, y) in zip(target, (tl, tr, br, bl), strict=True) for r in (
+            [u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]
+        )
+    ]
     m = np.append(np.linalg.solve(np.array(rows), np.array([tl, tr, br, bl]).ravel()), 1).reshape(3, 3)
     v, u = np.mgrid[:height, :width]
     x, y, z = np.tensordot(m, np.stack((u, v, np.ones_like(u))), 1)
@@ -284,12 +300,21 @@ def crop_images(images: DataFrame) -> DataFrame:
 
     An image without a page is left out; one without markers stays as it was cut out (rotation null).
     """
-    boxes = candidates.top_components(measured(images, "label_id int, area long, area_share double, aspect double, fill double, distance double, box array<array<double>>", page_candidates), 1)
+    boxes = candidates.top_components(
+        measured(
+            images,
+            "label_id int, area long, area_share double, aspect double, fill double, distance double, box array<array<double>>",
+            page_candidates
+        ),
+        1
+    )
     boxes = boxes.select("image_id", candidates.corner_order(F.col("box")).alias("corners"))
     pages = changed(images.select("image_id", "content").join(boxes, "image_id"), lambda image, row: warped(image, row["corners"]))
 
     def turned(image: np.ndarray) -> list[dict]:
-        return [{"rotation": k, "page_w": t.shape[1], **c} for k, name in enumerate(ROTATIONS) for t in [rotated(image, name)] for c in red_components(t)]
+        return [
+            {"rotation": k, "page_w": t.shape[1], **c} for k, name in enumerate(ROTATIONS) for t in [rotated(image, name)] for c in red_components(t)
+        ]
 
     red = measured(pages, f"rotation int, page_w int, {_MEASURES}", turned)
     widths = red.groupBy("image_id", "rotation").agg(F.first("page_w").alias("page_w"))
@@ -312,5 +337,7 @@ def crop_report(images: DataFrame) -> DataFrame:
     shape = lambda image: [{"height": image.shape[0], "width": image.shape[1]}]
     sized = lambda d, name: measured(d, "height int, width int", shape).select("image_id", F.array("height", "width").alias(name))
     done = crop_images(images)
-    out = images.select("image_id").join(sized(images, "shape_before"), "image_id", "left").join(sized(done, "shape_after"), "image_id", "left").join(done.select("image_id", "rotation"), "image_id", "left")
+    out = images.select("image_id").join(sized(images, "shape_before"), "image_id", "left").join(sized(done, "shape_after"), "image_id", "left").join(
+        done.select("image_id", "rotation"), "image_id", "left"
+    )
     return out.withColumn("status", F.when(F.col("shape_after").isNull(), "failed").otherwise("ok"))

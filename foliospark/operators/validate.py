@@ -16,7 +16,10 @@ ISSUE = "struct<field:string,code:string,message:string,value:string>"
 
 
 def issue(test: Column, field: str, code: str, message: str) -> Column:
-    return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"), F.lit(message).alias("message"), F.col(field).cast("string").alias("value")))
+    return F.when(
+        F.coalesce(test, F.lit(False)),
+        F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"), F.lit(message).alias("message"), F.col(field).cast("string").alias("value"))
+    )
 
 
 def blank(field: str) -> Column:
@@ -32,9 +35,24 @@ def errors() -> list[Column]:
 
 
 def warnings() -> list[Column]:
-    out = [issue(~F.col(f).rlike(r"^[А-Я][А-Я \-]*\z"), f, "suspicious_name_format", "Name field contains unexpected characters") for f in ("last_name", "first_name", "middle_name")]
-    out.append(issue(blank("document_number"), "document_number", "missing_document_number", "Document number is missing; field is currently debug/validation only"))
-    out.append(issue(~blank("document_number") & ~F.col("document_number").rlike(r"(?U)^\d{4} \d{6}\z"), "document_number", "invalid_document_number_format", "Expected 0000 000000"))
+    out = [
+        issue(
+            ~F.col(f).rlike(r"^[А-Я][А-Я \-]*\z"), f, "suspicious_name_format",
+            "Name field contains unexpected characters"
+        ) for f in ("last_name", "first_name", "middle_name")
+    ]
+    out.append(
+        issue(
+            blank("document_number"), "document_number", "missing_document_number",
+            "Document number is missing; field is currently debug/validation only"
+        )
+    )
+    out.append(
+        issue(
+            ~blank("document_number") & ~F.col("document_number").rlike(r"(?U)^\d{4} \d{6}\z"), "document_number",
+            "invalid_document_number_format", "Expected 0000 000000"
+        )
+    )
     return out
 
 
@@ -57,8 +75,14 @@ def error_results(requests: DataFrame, message: Column, stage: Column, service:
     field, code = ("__service__", "service_failed") if service else ("__pipeline__", "pipeline_failed")
     nulls = [F.lit(None).cast("string").alias(f) for f in FIELDS]
     one = F.array(F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"), message.alias("message"), stage.alias("value")))
-    check = F.struct(F.lit("error").alias("status"), one.alias("errors"), F.array().cast(f"array<{ISSUE}>").alias("warnings"), F.struct(F.lit(1).alias("errors_count"), F.lit(0).alias("warnings_count")).alias("summary"))
-    return requests.select("request_id", *nulls, check.alias("validation"), F.struct(F.lit("error").alias("status"), stage.alias("failed_stage")).alias("pipeline"))
+    check = F.struct(
+        F.lit("error").alias("status"), one.alias("errors"), F.array().cast(f"array<{ISSUE}>").alias("warnings"),
+        F.struct(F.lit(1).alias("errors_count"), F.lit(0).alias("warnings_count")).alias("summary")
+    )
+    return requests.select(
+        "request_id", *nulls, check.alias("validation"),
+        F.struct(F.lit("error").alias("status"), stage.alias("failed_stage")).alias("pipeline")
+    )
 
 
 def add_request_id(results: DataFrame, requests: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -70,7 +94,10 @@ def summaries(validated: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per result: status, issue counts, the issues' codes by severity and how many fields were found."""
     found = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
     codes = lambda s: F.transform(f"validation.{s}", lambda i: F.concat_ws(":", i["field"], i["code"])).alias(s)
-    return validated.select(key, "validation.status", "validation.summary.errors_count", "validation.summary.warnings_count", codes("errors"), codes("warnings"), found.alias("fields_found"))
+    return validated.select(
+        key, "validation.status", "validation.summary.errors_count", "validation.summary.warnings_count",
+        codes("errors"), codes("warnings"), found.alias("fields_found")
+    )
 
 
 def compare_fields(actual: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ("case_id", "field")) -> DataFrame:
@@ -79,7 +106,10 @@ def compare_fields(actual: DataFrame, expected: DataFrame, keys: tuple[str, ...]
     both = a.join(e, list(keys), "full")
     equal = F.col("actual").eqNullSafe(F.col("expected"))
     if "pattern" in e.columns:
-        equal = F.when(F.col("pattern").isNotNull(), F.coalesce(F.regexp_like("actual", F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))), F.lit(False))).otherwise(equal)
+        equal = F.when(
+            F.col("pattern").isNotNull(),
+            F.coalesce(F.regexp_like("actual", F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))), F.lit(False))
+        ).otherwise(equal)
     return both.withColumn("ok", equal)
 
 
@@ -92,10 +122,24 @@ def compare_validation(actual: DataFrame, expected: DataFrame, key: str = "case_
     both = e.join(actual.select(key, "validation"), key, "left")
     missing = F.col("validation").isNull()
     asked = F.col("_status").isNotNull() | F.col("_errors_count").isNotNull() | F.col("_warnings_count").isNotNull()
-    parts = [F.when(missing & asked, F.struct(F.lit("validation").alias("field"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual")))]
-    for field, want, got in (("validation.status", "_status", "validation.status"), ("validation.summary.errors_count", "_errors_count", "validation.summary.errors_count"), ("validation.summary.warnings_count", "_warnings_count", "validation.summary.warnings_count")):
+    parts = [
+        F.when(
+            missing & asked,
+            F.struct(F.lit("validation").alias("field"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"))
+        )
+    ]
+    for field, want, got in (
+        ("validation.status", "_status", "validation.status"),
+        ("validation.summary.errors_count", "_errors_count", "validation.summary.errors_count"),
+        ("validation.summary.warnings_count", "_warnings_count", "validation.summary.warnings_count")
+    ):
         wrong = ~missing & F.col(want).isNotNull() & ~F.col(want).cast("string").eqNullSafe(F.col(got).cast("string"))
-        parts.append(F.when(wrong, F.struct(F.lit(field).alias("field"), F.col(want).cast("string").alias("expected"), F.col(got).cast("string").alias("actual"))))
+        parts.append(
+            F.when(
+                wrong,
+                F.struct(F.lit(field).alias("field"), F.col(want).cast("string").alias("expected"), F.col(got).cast("string").alias("actual"))
+            )
+        )
     return both.select(key, F.explode(F.array_compact(F.array(*parts))).alias("x")).select(key, "x.*")
 
 

@@ -35,7 +35,9 @@ COMMAND_IMAGES = (".jpg", ".jpeg", ".png")
 def first_shape(columns: list[Column]) -> Column:
     """The first array of two numbers or more, as whole numbers: height and width."""
     pair = lambda c: F.array(F.try_element_at(c, F.lit(1)).cast("int"), F.try_element_at(c, F.lit(2)).cast("int"))
-    return F.coalesce(*[F.when((F.size(c) >= 2) & F.try_element_at(c, F.lit(1)).isNotNull() & F.try_element_at(c, F.lit(2)).isNotNull(), pair(c)) for c in columns])
+    return F.coalesce(
+        *[F.when((F.size(c) >= 2) & F.try_element_at(c, F.lit(1)).isNotNull() & F.try_element_at(c, F.lit(2)).isNotNull(), pair(c)) for c in columns]
+    )
 
 
 def given(value: Column) -> Column:
@@ -48,14 +50,20 @@ def direct_items(items: Column) -> Column:
 
     def one(i: Column) -> Column:
         text = F.coalesce(*[F.nullif(i[n], F.lit("")) for n in TEXTS[:-1]], i[TEXTS[-1]])
-        return F.struct(text.alias("text"), F.coalesce(*[given(i[n]) for n in CONFIDENCES]).alias("confidence"), F.coalesce(*[given(i[n]) for n in BOXES]).alias("box"))
+        return F.struct(
+            text.alias("text"), F.coalesce(*[given(i[n]) for n in CONFIDENCES]).alias("confidence"),
+            F.coalesce(*[given(i[n]) for n in BOXES]).alias("box")
+        )
 
     return F.transform(items, one)
 
 
 def boxed(raw: Column) -> Column:
     """RAW items with their box understood; those without text or box are dropped."""
-    whole = F.transform(raw, lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), box_from_json(r["box"]).alias("box")))
+    whole = F.transform(
+        raw,
+        lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), box_from_json(r["box"]).alias("box"))
+    )
     return F.filter(whole, lambda r: r["text"].isNotNull() & r["box"].isNotNull())
 
 
@@ -109,9 +117,15 @@ def parse_pages(documents: DataFrame) -> DataFrame:
     Items come from ``items``; only where these give none the whole document is searched, which takes Python.
     """
     whole = documents.select("doc_id", F.regexp_replace("value", "^﻿", "").alias("value"))
-    read = whole.select("doc_id", "value", F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+    read = whole.select(
+        "doc_id", "value",
+        F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p")
+    )
     places = [F.col(f"p.{n}") for n in SHAPES] + [F.col(f"p.metadata.{n}") for n in SHAPES]
-    read = read.select("doc_id", "value", first_shape(places).alias("image_shape"), F.col("p._corrupt_record").alias("_corrupt_record"), boxed(direct_items(F.col("p.items"))).alias("items"))
+    read = read.select(
+        "doc_id", "value", first_shape(places).alias("image_shape"),
+        F.col("p._corrupt_record").alias("_corrupt_record"), boxed(direct_items(F.col("p.items"))).alias("items")
+    )
     none = F.col("items").isNull() | (F.size("items") == 0)
     read = read.withColumn("_more", _loose(F.when(none, F.col("value"))))
     items = F.when(none, F.coalesce(boxed(F.col("_more")), F.col("items"))).otherwise(F.col("items"))
@@ -138,11 +152,17 @@ def engine_items(result: DataFrame) -> DataFrame:
     around = whole(F.array(F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1))))
     box = F.when(F.size("z.b") >= 4, whole(F.slice("z.b", 1, 4))).when(F.size("z.p") > 0, around)
     earlier = Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, -1)
-    return one.select("doc_id", F.count("*").over(earlier).cast("int").alias("id"), "page_index", F.coalesce("z.t", F.lit("")).alias("text"), F.col("z.s").alias("score"), box.alias("bbox"), F.col("z.p").alias("poly"))
+    return one.select(
+        "doc_id", F.count("*").over(earlier).cast("int").alias("id"), "page_index",
+        F.coalesce("z.t", F.lit("")).alias("text"), F.col("z.s").alias("score"), box.alias("bbox"),
+        F.col("z.p").alias("poly")
+    )
 
 
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMMAND).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumn("file_name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    return spark.read.schema(COMMAND).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumn(
+        "file_name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    )
 
 
 def stem(name: Column) -> Column:
@@ -163,7 +183,10 @@ def resolve_images(commands: DataFrame, listing: DataFrame) -> DataFrame:
 
     listing: name of every input file.  Equi-joins on names, so neither side has to fit anywhere.
     """
-    tried = commands.select("file_name", F.posexplode(F.array(*[F.concat(stem(F.col("file_name")), F.lit(e)) for e in COMMAND_IMAGES])).alias("place", "name"))
+    tried = commands.select(
+        "file_name",
+        F.posexplode(F.array(*[F.concat(stem(F.col("file_name")), F.lit(e)) for e in COMMAND_IMAGES])).alias("place", "name")
+    )
     names = listing.select("name").distinct()
     own = tried.join(names, "name").groupBy("file_name").agg(F.min_by("name", "place").alias("_own"))
     out = commands.join(own, "file_name", "left").withColumn("image", F.coalesce("image", "_own")).drop("_own")

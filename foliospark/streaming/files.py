@@ -137,7 +137,9 @@ def listing(archive: str | Path) -> list[tuple[dt.date, dt.datetime, str, int]]:
 def cleanup_archive(spark: SparkSession, archive: str | Path, days: int, most_gb: float, today: dt.date | None = None) -> dict[str, list[str]]:
     """Removes what ``queue.archive_removals`` names: by days first, then by size; empty folders go too."""
     cases = spark.createDataFrame(listing(archive), "day date, mtime timestamp, path string, size_bytes long").withColumn("archive", F.lit("one"))
-    gone = queue.archive_removals(cases, F.lit(today or dt.date.today()), days, int(most_gb * (1 << 30)), "archive").orderBy("day", "mtime", "path").collect()
+    gone = queue.archive_removals(
+        cases, F.lit(today or dt.date.today()), days, int(most_gb * (1 << 30)), "archive"
+    ).orderBy("day", "mtime", "path").collect()
     for row in gone:
         shutil.rmtree(row.path)
     for folder in (*Path(archive).glob("*/*"), *Path(archive).glob("*")):

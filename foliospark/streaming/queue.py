@@ -14,8 +14,12 @@ OUTCOMES = ("ok", "command_error", "input_error", "validation_error", "pipeline_
 
 def read_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     """Commands as they arrive, oldest first; files being written (.tmp) are not seen."""
-    raw = spark.readStream.schema(COMMAND).option("multiLine", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", per_trigger).json(path)
-    named = raw.withColumns({"file_name": F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), "arrived_at": F.col("_metadata.file_modification_time")})
+    raw = spark.readStream.schema(COMMAND).option("multiLine", True).option("pathGlobFilter", "*.json").option(
+        "maxFilesPerTrigger", per_trigger
+    ).json(path)
+    named = raw.withColumns(
+        {"file_name": F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), "arrived_at": F.col("_metadata.file_modification_time")}
+    )
     return resolve_command(named)
 
 
@@ -31,7 +35,9 @@ LOG = "request_id string, state string, outcome string, batch long, bucket int"
 
 def outcome(status: Column, corrupt: Column, named: Column, there: Column, failed: Column) -> Column:
     """One of OUTCOMES; ``named``: the command says which image, ``there``: it exists.  Only a result without any issue is ok."""
-    return F.when(corrupt | ~named, "command_error").when(~there, "input_error").when(failed, "pipeline_error").when(status == "ok", "ok").otherwise("validation_error")
+    return F.when(
+        corrupt | ~named, "command_error"
+    ).when(~there, "input_error").when(failed, "pipeline_error").when(status == "ok", "ok").otherwise("validation_error")
 
 
 def run(commands: DataFrame, process: Callable[[DataFrame], DataFrame], log_path: str, checkpoint: str, once: bool = True):
@@ -44,7 +50,10 @@ def run(commands: DataFrame, process: Callable[[DataFrame], DataFrame], log_path
 
     def note(rows: DataFrame, state: str, outcome: Column, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).cast("int")
-        row = rows.select("request_id", F.lit(state).alias("state"), outcome.cast("string").alias("outcome"), F.lit(batch_id).cast("long").alias("batch"), bucket.alias("bucket"))
+        row = rows.select(
+            "request_id", F.lit(state).alias("state"), outcome.cast("string").alias("outcome"),
+            F.lit(batch_id).cast("long").alias("batch"), bucket.alias("bucket")
+        )
         row.write.mode("append").partitionBy("bucket").parquet(log_path)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -53,7 +62,9 @@ def run(commands: DataFrame, process: Callable[[DataFrame], DataFrame], log_path
         log = spark.read.schema(LOG).parquet(log_path) if exists(spark, log_path) else spark.createDataFrame([], LOG)
         mine = log.where(F.col("bucket").isin([r.bucket for r in asked]))
         seen = mine.select("request_id").distinct()
-        again = rows.select("request_id").distinct().join(seen, "request_id", "left_semi").join(mine.where("state = 'done'").select("request_id"), "request_id", "left_anti")
+        again = rows.select("request_id").distinct().join(seen, "request_id", "left_semi").join(
+            mine.where("state = 'done'").select("request_id"), "request_id", "left_anti"
+        )
         # Tables of their own: what reads the log would change as the log is written.
         parts = {"stale": again, "new": rows.join(seen, "request_id", "left_anti").dropDuplicates(["request_id"])}
         for name, part in parts.items():
@@ -75,8 +86,16 @@ def fifo(commands: DataFrame, keys: tuple[str, str] = ("arrived_at", "file_name"
 def service_status(log: DataFrame, key: str | None = None) -> DataFrame:
     """Counters and the last request of the log (request_id, finished_at, outcome)."""
     ok, when = F.col("outcome") == "ok", F.struct("finished_at", "request_id")
-    last = {"last_success_at": F.max(F.when(ok, F.col("finished_at"))), "last_error_at": F.max(F.when(~ok, F.col("finished_at"))), "last_error_status": F.max_by(F.when(~ok, F.col("outcome")), F.when(~ok, when))}
-    aggs = [F.count_if(ok).alias("processed"), F.count_if(~ok).alias("errors"), *[v.alias(n) for n, v in last.items()], F.max("finished_at").alias("last_finished_at"), F.max_by("request_id", F.struct("finished_at", "request_id")).alias("last_request_id")]
+    last = {
+        "last_success_at": F.max(F.when(ok, F.col("finished_at"))),
+        "last_error_at": F.max(F.when(~ok, F.col("finished_at"))),
+        "last_error_status": F.max_by(F.when(~ok, F.col("outcome")), F.when(~ok, when))
+    }
+    aggs = [
+        F.count_if(ok).alias("processed"), F.count_if(~ok).alias("errors"), *[v.alias(n) for n, v in last.items()],
+        F.max("finished_at").alias("last_finished_at"),
+        F.max_by("request_id", F.struct("finished_at", "request_id")).alias("last_request_id")
+    ]
     return log.groupBy(*([key] if key else [])).agg(*aggs)
 
 

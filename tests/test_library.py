@@ -31,11 +31,19 @@ def test_query_equals_sql(spark, name):
     assert canonical(got.select(*columns).collect()) == canonical(want.fetchall())
 
 
-PLACES = [("ГОР.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ГОР. ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ГОP.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ГОП.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ФОП.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("Г0Р.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("Г О Р. ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("Г О П. ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("МЕСТО РОЖДЕНИЯ ГОП.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("С. НОВОЕ", "С. НОВОЕ"), ("Р-Н ТЕСТОВСКИЙ", "Р-Н ТЕСТОВСКИЙ")]
+PLACES = [
+    ("ГОР.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ГОР. ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ГОP.ТЕСТОВСК", "ГОР. ТЕСТОВСК"),
+    ("ГОП.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("ФОП.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("Г0Р.ТЕСТОВСК", "ГОР. ТЕСТОВСК"),
+    ("Г О Р. ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("Г О П. ТЕСТОВСК", "ГОР. ТЕСТОВСК"),
+    ("МЕСТО РОЖДЕНИЯ ГОП.ТЕСТОВСК", "ГОР. ТЕСТОВСК"), ("С. НОВОЕ", "С. НОВОЕ"), ("Р-Н ТЕСТОВСКИЙ", "Р-Н ТЕСТОВСКИЙ")
+]
 
 
 def test_golden_birth_places(spark):
-    rows = spark.createDataFrame(PLACES, "raw string, want string").select("raw", "want", T.clean_birth_place_line(T.normalize_text(F.col("raw"))).alias("clean"), T.normalize_birth_place_value(T.normalize_text(F.col("raw"))).alias("value")).collect()
+    rows = spark.createDataFrame(PLACES, "raw string, want string").select(
+        "raw", "want", T.clean_birth_place_line(T.normalize_text(F.col("raw"))).alias("clean"),
+        T.normalize_birth_place_value(T.normalize_text(F.col("raw"))).alias("value")
+    ).collect()
     assert [r.clean for r in rows] == [r.want for r in rows]
     assert all(r.value == r.want for r in rows if not r.raw.startswith("МЕСТО"))
     empty = spark.createDataFrame([(x,) for x in ("", "МЕСТО РОЖДЕНИЯ", "ДАТА РОЖДЕНИЯ", "ПОЛ", "МУЖ")], "raw string")
@@ -43,21 +51,45 @@ def test_golden_birth_places(spark):
 
 
 def test_normalisation_repeats_and_nulls(spark):
-    df = spark.createDataFrame([(None,), ("",), ("  Ёлка «ﬁ»  ",), ("Г О Р .ТЕСТ",), ("ΔΛ—x",)], "raw string").select(T.normalize_text(F.col("raw")).alias("n")).select("n", T.normalize_text(F.col("n")).alias("again")).collect()
+    df = spark.createDataFrame(
+        [(None,), ("",), ("  Ёлка «ﬁ»  ",), ("Г О Р .ТЕСТ",), ("ΔΛ—x",)], "raw string"
+    ).select(T.normalize_text(F.col("raw")).alias("n")).select("n", T.normalize_text(F.col("n")).alias("again")).collect()
     assert [r.n for r in df] == [r.again for r in df] and df[0].n == ""
 
 
 def test_boxes(spark):
     df = spark.sql("SELECT array(5D, 6D, 1D, 2D) AS l, array(array(1D, 2D), array(5D, 2D), array(5D, 6D), array(1D, 6D)) AS p")
-    r = df.select(items.box_from_list(F.col("l")).alias("a"), items.box_from_points(F.col("p")).alias("b"), items.box_from_size(F.lit(1.0), F.lit(2.0), F.lit(4.0), F.lit(4.0)).alias("c"), items.box_from_list(F.array(F.lit(1.0))).alias("none"), candidates.corner_order(F.col("p")).alias("o")).first()
+    r = df.select(
+        items.box_from_list(F.col("l")).alias("a"), items.box_from_points(F.col("p")).alias("b"),
+        items.box_from_size(F.lit(1.0), F.lit(2.0), F.lit(4.0), F.lit(4.0)).alias("c"),
+        items.box_from_list(F.array(F.lit(1.0))).alias("none"), candidates.corner_order(F.col("p")).alias("o")
+    ).first()
     assert r.a == r.b == r.c and r.none is None and r.o == [[1, 2], [5, 2], [5, 6], [1, 6]]
-    x = spark.range(1).select(candidates.crop_interval(F.lit(100), F.lit(500), F.lit(1000)).alias("c"), candidates.crop_interval(F.lit(0), F.lit(100), F.lit(1000)).alias("short"), candidates.resize_scale(F.lit(4000), F.lit(1000), 2000).alias("s")).first()
+    x = spark.range(1).select(
+        candidates.crop_interval(F.lit(100), F.lit(500), F.lit(1000)).alias("c"),
+        candidates.crop_interval(F.lit(0), F.lit(100), F.lit(1000)).alias("short"),
+        candidates.resize_scale(F.lit(4000), F.lit(1000), 2000).alias("s")
+    ).first()
     assert (x.c.left, x.c.right, x.short, x.s) == (75, 625, None, 0.5)
 
 
 def test_ocr_source(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"image_shape": [1400, 1000], "items": [{"text": "ИМЯ", "bbox": [1, 2, 3, 4]}, {"text": "", "label": "X", "bbox": [1, 2, 3, 4]}, {"text": "ИМЯ", "bbox": [1.01, 2, 3, 4]}]}))
-    (tmp_path / "b.json").write_text("﻿" + json.dumps({"metadata": {"shape": [10, 20]}, "rec_texts": ["A", "B"], "rec_scores": [0.5], "dt_polys": [[[0, 0], [2, 0], [2, 2], [0, 2]]]}))
+    (tmp_path / "a.json").write_text(
+        json.dumps(
+            {
+                "image_shape": [1400, 1000],
+                "items": [
+                    {"text": "ИМЯ", "bbox": [1, 2, 3, 4]}, {"text": "", "label": "X", "bbox": [1, 2, 3, 4]},
+                    {"text": "ИМЯ", "bbox": [1.01, 2, 3, 4]}
+                ]
+            }
+        )
+    )
+    (tmp_path / "b.json").write_text(
+        "﻿" + json.dumps(
+            {"metadata": {"shape": [10, 20]}, "rec_texts": ["A", "B"], "rec_scores": [0.5], "dt_polys": [[[0, 0], [2, 0], [2, 2], [0, 2]]]}
+        )
+    )
     (tmp_path / "c.json").write_text("{broken")
     pages = ocr.read_pages(spark, str(tmp_path))
     rows = items.item_rows(pages).orderBy("doc_id", "ord").collect()
@@ -91,13 +123,19 @@ def test_entry_has_all_queries():
 
 
 def component(**given):
-    whole = {"image_id": 1, "rotation": 0, "x": 0, "y": 0, "w": 10, "h": 10, "width_ratio": 0.5, "height_ratio": 0.02, "center_x_ratio": 0.5, "center_y_ratio": 0.5, "aspect": 18.0}
+    whole = {
+        "image_id": 1, "rotation": 0, "x": 0, "y": 0, "w": 10, "h": 10, "width_ratio": 0.5, "height_ratio": 0.02,
+        "center_x_ratio": 0.5, "center_y_ratio": 0.5, "aspect": 18.0
+    }
     return whole | given
 
 
 #: Worked by hand: center 4, width 3 * 0.2 / 0.45, shape 2, minus 0.04.
 FOLD = 4 + 3 * 0.2 / 0.45 + 2 - 0.04
-PHOTO = {"x": 100, "y": 700, "w": 200, "h": 300, "width_ratio": 0.3, "height_ratio": 0.3, "center_x_ratio": 0.28, "center_y_ratio": 0.8, "aspect": 1.2}
+PHOTO = {
+    "x": 100, "y": 700, "w": 200, "h": 300, "width_ratio": 0.3, "height_ratio": 0.3, "center_x_ratio": 0.28,
+    "center_y_ratio": 0.8, "aspect": 1.2
+}
 
 
 @pytest.mark.parametrize(("fold", "photo", "total"), [
@@ -137,12 +175,16 @@ def test_a_fold_is_not_its_own_photo(spark):
 
 
 def test_wide_digits_are_digits(spark):
-    got = spark.createDataFrame([("１２３４ ５６７８９０",), ("12З4 O67B9Q",), (None,)], "t string").select(T.document_number_digits(F.col("t")).alias("d")).collect()
+    got = spark.createDataFrame(
+        [("１２３４ ５６７８９０",), ("12З4 O67B9Q",), (None,)], "t string"
+    ).select(T.document_number_digits(F.col("t")).alias("d")).collect()
     assert [r.d for r in got] == ["1234567890", "1234067890", ""]
 
 
 def test_values_over_items_are_normalised_together(spark):
-    got = spark.createDataFrame([(["ОТДЕЛ Г", "О", "Р. А"],), (["ФОП", "ТЕСТ"],), ([],)], "p array<string>").select(T.joined(F.col("p"), " .,-").alias("t")).collect()
+    got = spark.createDataFrame(
+        [(["ОТДЕЛ Г", "О", "Р. А"],), (["ФОП", "ТЕСТ"],), ([],)], "p array<string>"
+    ).select(T.joined(F.col("p"), " .,-").alias("t")).collect()
     assert [r.t for r in got] == ["ОТДЕЛ ГОР. А", "ГОР. ТЕСТ", ""]
 
 
@@ -179,7 +221,9 @@ def test_files(spark, tmp_path):
     again = files.archive_case(tmp_path / "archive", "case", *paths, when=now)
     assert again.name == "case_120000" and {p.name for p in again.iterdir()} == {"input.jpg", "command.json", "result.json"}
     got = files.cleanup_archive(spark, tmp_path / "archive", 10, 700 / (1 << 30), today=now.date())
-    assert [p.split("/")[-2] for p in got["removed_by_days"]] == ["2026-05-01"] and [p.split("/")[-2] for p in got["removed_by_size"]] == ["2026-05-15", "2026-05-16"]
+    assert [
+        p.split("/")[-2] for p in got["removed_by_days"]
+    ] == ["2026-05-01"] and [p.split("/")[-2] for p in got["removed_by_size"]] == ["2026-05-15", "2026-05-16"]
     assert sorted(p.name for p in (tmp_path / "archive" / "2026-05").iterdir()) == ["2026-05-17"]
 
     old = tmp_path / "out" / "old.json"
@@ -206,7 +250,9 @@ def blank_engine():
 
 
 PAGE = {"image_shape": [1400, 1000], "items": [{"text": t, "bbox": b} for t, b in (
-    ("ПАСПОРТ ВЫДАН", [50, 40, 200, 60]), ("ОТДЕЛОМ", [250, 35, 700, 65]), ("28.02.2099", [200, 185, 340, 215]), ("999-999", [540, 185, 700, 215]), ("ФАМИЛИЯ", [300, 795, 380, 810]), ("ТЕСТОВ", [400, 785, 600, 815]),
+    (
+        "ПАСПОРТ ВЫДАН", [50, 40, 200, 60]
+    ), ("ОТДЕЛОМ", [250, 35, 700, 65]), ("28.02.2099", [200, 185, 340, 215]), ("999-999", [540, 185, 700, 215]), ("ФАМИЛИЯ", [300, 795, 380, 810]), ("ТЕСТОВ", [400, 785, 600, 815]),
     ("ИМЯ", [300, 855, 340, 870]), ("ТЕСТ", [400, 845, 560, 875]), ("МУЖ.", [350, 965, 420, 995]), ("31.01.2099", [600, 965, 760, 995]), ("ГОР.ТЕСТОВСК", [440, 1025, 640, 1055]), ("1234567890", [940, 200, 960, 500]))]}
 
 
@@ -224,20 +270,37 @@ def test_service_and_command_line(spark, tmp_path, capsys):
     for name, body in (("good", {"request_id": "g/1"}), ("part", {}), ("junk", {}), ("lost", {"image_file": "lost.jpg"}), ("none", {})):
         files.save_json(folder["commands"] / f"{name}.json", body)
     (folder["commands"] / "bad.json").write_text("{")
-    arguments = ["service", "--engine", "tests.test_library:blank_engine", "--once", "--lock-file", str(tmp_path / "lock"), "--status-file", str(tmp_path / "status.json"), "--log-file", str(tmp_path / "logs" / "s.log")]
+    arguments = [
+        "service", "--engine", "tests.test_library:blank_engine", "--once", "--lock-file", str(tmp_path / "lock"),
+        "--status-file", str(tmp_path / "status.json"), "--log-file", str(tmp_path / "logs" / "s.log")
+    ]
     assert cli.main(arguments + [x for n, p in folder.items() for x in (f"--{n}", str(p))]) == 0
     done = {r.request_id: r.outcome for r in spark.read.parquet(str(folder["state"] / "log")).where("state = 'done'").collect()}
-    assert done == {"g/1": "ok", "part": "validation_error", "junk": "pipeline_error", "lost": "input_error", "none": "command_error", "bad": "command_error"}
-    assert {p.name for p in folder["error"].iterdir()} == {"part.json", "junk.json", "lost.json", "none.json", "bad.json"} and not list(folder["commands"].glob("*"))
+    assert done == {
+        "g/1": "ok", "part": "validation_error", "junk": "pipeline_error", "lost": "input_error",
+        "none": "command_error", "bad": "command_error"
+    }
+    assert {p.name for p in folder["error"].iterdir()} == {
+        "part.json", "junk.json", "lost.json", "none.json", "bad.json"
+    } and not list(folder["commands"].glob("*"))
     assert [p.name for p in folder["archive"].glob("*/*/*")] == ["g_1"] and {p.name for p in folder["input"].iterdir()} == {"part.png", "junk.png"}
     assert files.read_json(folder["output"] / "part.json")["validation"]["status"] == "error"
 
     (tmp_path / "page.json").write_text(whole)
     assert cli.main(["parse", str(tmp_path / "page.json"), "-o", str(tmp_path / "parsed.json"), "--debug"]) == 0
     parsed = files.read_json(tmp_path / "parsed.json")
-    assert (parsed["last_name"], parsed["first_name"], parsed["sex"], parsed["document_number"], parsed["validation"]["status"]) == ("ТЕСТОВ", "ТЕСТ", "МУЖ", "1234 567890", "ok")
+    assert (
+        parsed["last_name"], parsed["first_name"], parsed["sex"], parsed["document_number"],
+        parsed["validation"]["status"]
+    ) == ("ТЕСТОВ", "ТЕСТ", "МУЖ", "1234 567890", "ok")
     assert len(files.read_json(tmp_path / "parsed.layout.json")) == len(PAGE["items"]) and cli.main(["parse", str(tmp_path / "gone"), "-o", "x"]) == 2
-    cases = {"a": {"input": str(tmp_path / "page.json"), "expected": {"sex": "МУЖ"}, "expected_format": {"document_number": r"\d{4} \d{6}"}, "expected_validation": {"status": "ok", "errors_count": 0}}}
+    cases = {
+        "a": {
+            "input": str(tmp_path / "page.json"), "expected": {"sex": "МУЖ"},
+            "expected_format": {"document_number": r"\d{4} \d{6}"},
+            "expected_validation": {"status": "ok", "errors_count": 0}
+        }
+    }
     files.save_json(tmp_path / "cases.json", cases)
     assert cli.main(["compare", str(tmp_path / "cases.json")]) == 0
     files.save_json(tmp_path / "cases.json", cases | {"b": {**cases["a"], "expected": {"sex": "ЖЕН"}}, "c": {**cases["a"], "input": "gone"}})
@@ -245,7 +308,9 @@ def test_service_and_command_line(spark, tmp_path, capsys):
     assert cli.main(["compare", str(tmp_path / "cases.json")]) == 1
     assert capsys.readouterr().out.split("\n")[:5] == ["a ok", "b failed", "  sex: expected='ЖЕН', actual='МУЖ'", "c missing_input", ""]
     (tmp_path / "photo.jpg").write_text(whole)
-    assert cli.main(["photo", str(tmp_path / "photo.jpg"), "-o", str(tmp_path / "photo.json"), "--engine", "tests.test_library:blank_engine", "--keep-input"]) == 0
+    assert cli.main(
+        ["photo", str(tmp_path / "photo.jpg"), "-o", str(tmp_path / "photo.json"), "--engine", "tests.test_library:blank_engine", "--keep-input"]
+    ) == 0
     assert cli.main(["ocr", str(tmp_path / "photo.jpg"), "-o", str(tmp_path / "ocr.json"), "--engine", "tests.test_library:blank_engine"]) == 0
     assert files.read_json(tmp_path / "ocr.json") == PAGE
 
@@ -283,7 +348,10 @@ def test_pixels(spark):
     assert sorted((round(a, 6), round(b, 6))) == [pytest.approx(2**0.5), pytest.approx(8**0.5)]
     assert pixels.otsu(np.array([[10, 12, 200, 210]], np.uint8)) in range(12, 200)
 
-    images = spark.createDataFrame([("a", bytearray(pixels.save_image(table))), ("dark", bytearray(pixels.save_image(table * 0))), ("broken", bytearray(b"x"))], "image_id string, content binary")
+    images = spark.createDataFrame(
+        [("a", bytearray(pixels.save_image(table))), ("dark", bytearray(pixels.save_image(table * 0))), ("broken", bytearray(b"x"))],
+        "image_id string, content binary"
+    )
     report = {r.image_id: r for r in pixels.crop_report(images).collect()}
     assert report["a"].status == "ok" and report["broken"].status == report["dark"].status == "failed" and report["a"].rotation == 1
     got = pixels.load_image({r.image_id: r.content for r in pixels.crop_images(images).collect()}["a"])
