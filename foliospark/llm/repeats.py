@@ -260,8 +260,9 @@ class Candidates:
             return {"id": pa.array(ids[doc]), "start": pa.array(first - at[doc]), "text": pa.array(parts, pa.binary())}
 
         cut = arrow_map(with_list(texts, held.withColumnRenamed("k", "f"), "f"), "id long, start long, text binary", segments)
+        cut = table(cut, "cut")  # the sort reads its input twice
         out = table(cut.orderBy("id", "start").select(F.monotonically_increasing_id().alias("sid"), "id", "start", "text"), "segments")
-        forget(rows, shared, held)
+        forget(rows, shared, held, cut)
         return out
 
     def _rows(self, texts: DataFrame, emit) -> DataFrame:
