@@ -20,10 +20,10 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, table
 
 WEIGHTS = (5, 2, 1)
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -43,24 +43,41 @@ def _exact(x: Column) -> Column:
     return F.sum(F.round(x, 3).cast("decimal(38,3)")).cast("double")
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` as a table with ``number``, their place from 0 in the order; no task sees all of them."""
+    held = rows.orderBy(order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    held = table(held, "numbered")
+    # As many rows as the sort had partitions.
+    counts = sorted((r["_part"], r["count"]) for r in held.groupBy("_part").count().collect())
+    before = {part: sum(n for _, n in counts[:k]) for k, (part, _) in enumerate(counts)}
+    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    # The low 33 bits count the rows of a partition.
+    inner = F.col("_place").bitwiseAND((1 << 33) - 1)
+    return held.withColumn("number", inner + F.element_at(offsets, F.col("_part"))).drop("_part", "_place")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """skey, source_size, n, target from the per-source totals (skey, source_size, n), which are few.
+    """skey, source_size, n, target from the per-source totals (skey, source_size, n).
 
-    A source stops at ``most`` times its size when the level (tokens a unit of weight gets) passes its
-    own limit; taking the sources by that limit, the level is what the earlier ones leave over.
+    All sources but those at ``most`` times their size get the same tokens a unit of weight.  Each round takes
+    this level from what the stopped sources leave and stops those that it would bring above; it rises from
+    round to round, and the rounds end when none stops.
     """
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = sizes.withColumn("w", F.element_at(cycle, ((F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1).cast("int")))
-    limit = ranked.withColumn("limit", most * F.col("source_size") / F.col("w"))
-    by_limit = Window.orderBy("limit", "skey")
-    before = F.coalesce(F.sum(most * F.col("source_size")).over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("w").over(by_limit.rowsBetween(0, Window.unboundedFollowing))
-    whole = Window.orderBy("limit", "skey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = limit.withColumn("level", (F.sum("source_size").over(whole) - before) / left).withColumn("capped", F.col("limit") <= F.col("level"))
-    # All after the first uncapped source share its level.
-    level = F.min(F.when(~F.col("capped"), F.struct("limit", "skey", "level"))).over(whole)["level"]
-    target = F.when(F.col("capped"), most * F.col("source_size")).otherwise(level * F.col("w"))
-    return levels.select("skey", "source_size", "n", F.coalesce(target, F.lit(0)).cast("double").alias("target"))
+    ranked = numbered(sizes, "skey").withColumn("w", F.element_at(cycle, (F.col("number") % len(weights) + 1).cast("int")))
+    limit, most_of = most * F.col("source_size") / F.col("w"), most * F.col("source_size")
+    level, stopped = float("-inf"), -1
+    while True:
+        full = limit <= level
+        sums = ranked.agg(
+            F.count_if(full).alias("n"), F.sum("source_size").alias("whole"), F.sum(F.when(full, most_of)).alias("taken"),
+            F.sum(F.when(~full, F.col("w"))).alias("w")
+        ).first()
+        if sums.n == stopped or not sums.w:
+            break
+        level, stopped = ((sums.whole or 0) - (sums.taken or 0)) / sums.w, sums.n
+    target = F.when(limit <= level, most_of).otherwise(F.lit(max(level, 0.0)) * F.col("w"))
+    return ranked.select("skey", "source_size", "n", target.cast("double").alias("target"))
 
 
 def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80, tolerance: float = 1e-7) -> DataFrame:
@@ -77,7 +94,7 @@ def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80,
             "lam": F.coalesce(F.when(open_, F.log(ratio)), F.lit(0.0)), "low": F.lit(-1e5), "high": F.lit(1e5)
         }
     )
-    state = table(state.coalesce(1), "state")
+    state = table(state, "state")
     for _ in range(rounds):
         x = F.try_divide("size", "mean")
         tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
@@ -89,13 +106,15 @@ def balance(counts: DataFrame, goal: DataFrame, most: int = 3, rounds: int = 80,
         newton = F.col("lam") - miss / F.nullif("slope", F.lit(0.0))
         step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         done = F.coalesce((F.abs(miss) <= F.greatest(tolerance * F.col("target"), F.lit(0.01))) | (F.col("high") - F.col("low") < 1e-10), F.lit(True))
+        before = state
         moved = state.join(sums, "skey", "left").select(
             "skey", "source_size", "n", "target", "mean", (F.col("open") & ~done).alias("open"),
             F.when(done, F.col("lam")).otherwise(step).alias("lam"),
             F.when(F.col("open"), low).otherwise(F.col("low")).alias("low"),
             F.when(F.col("open"), high).otherwise(F.col("high")).alias("high")
         )
-        state = table(moved.coalesce(1), "state")
+        state = table(moved, "state")
+        forget(before)
         if state.where("open").isEmpty():
             return state.select("skey", "source_size", "n", "target", "mean", F.round("lam", 9).alias("lam"))
     raise RuntimeError(f"entropy balancing did not converge in {rounds} rounds")

@@ -94,7 +94,7 @@ def _table_keys(reps: DataFrame) -> DataFrame:
     one document has alone are left out before the tables are formed: 12 short rows a document instead of 66.
     """
     names = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("name")) for i in range(COLLECTIONS)]))
-    every = table(reps.select("rep", "n_shingles", names), "collections")
+    every = reps.select("rep", "n_shingles", names)
     often = table(
         every.groupBy("i", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("i", "name"),
         "often"
@@ -112,7 +112,7 @@ def _table_keys(reps: DataFrame) -> DataFrame:
         )
     )
     out = table(held.select("rep", "n_shingles", F.inline(pairs)), "tables")
-    forget(every, often)
+    forget(often)
     return out
 
 
