@@ -24,6 +24,7 @@ by content; of rows equal in both, one is the first.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -208,6 +209,17 @@ def _parsed(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Symbols]]:
     return codes, prefix_hash(codes), first, rounds
 
 
+def _plain_words(column) -> Elements:
+    """Any place may be an anchor: the least by four words about it."""
+    data, at = flat(column)
+    start, stop, first = words(data, at)
+    prefix = prefix_hash(span_hash(byte_prefix(data), start, stop))
+    priority = np.full(len(start), _LAST)
+    grams = sliding_hash(prefix, 4)
+    priority[2 : 2 + len(grams)] = grams
+    return Elements(prefix, first, priority)
+
+
 def _words(column) -> Elements:
     """Anchors are where a last symbol begins, unless words or symbols near it repeat.
 
@@ -232,43 +244,34 @@ def _words(column) -> Elements:
     return Elements(prefix, first, priority)
 
 
-def symbol_names(segments: DataFrame, round_: int) -> DataFrame:
-    """The global names of a round over all segments (sid, text), as a table: name, its kind and parts (min_ and max_, which are equal), and how often it was given.
+def symbol_names(segments: DataFrame) -> DataFrame:
+    """The global names of all rounds over all segments (sid, text), as a table: round, name, low and high, and how often it was given.
 
-    Raises if one name stands for different parts (round 0: words), so names can be taken for what they name.
+    Round 0 names words.  low and high are the least and the greatest fingerprint, by other constants, of what a
+    name stands for: they are equal unless names clash.
     """
 
     def named(batch):
-        codes, _, first, rounds = _parsed(batch.column(1))
-        x = rounds[round_]
-        if round_ == 0:
-            found = {c: w for c, w in zip(codes.tolist(), (w for t in batch.column(1).to_pylist() for w in t.split()), strict=True)}
-            name, digest = np.array(list(found), U64), np.array(
-                [int.from_bytes(hashlib.sha256(w).digest()[:16], "little") for w in found.values()], object
-            )
-            kind, left, right = np.zeros(len(name), np.int64), np.array(
-                [d & (2**64 - 1) for d in digest], U64
-            ), np.array([d >> 64 for d in digest], U64)
-        else:
+        _, _, _, rounds = _parsed(batch.column(1))
+        own = list({w: None for t in batch.column(1).to_pylist() for w in t.split()})
+        word_column = pa.array([b" ".join(own)], pa.binary())
+        found = [(np.zeros(len(own), np.int64), _parsed(word_column)[0], np.frombuffer(b"".join([hashlib.sha256(w).digest()[:8] for w in own]), U64))]
+        b, c = seeds(2, 61)
+        for k, x in enumerate(rounds[1:], 1):
             made = x.kind > 0
-            once = np.unique(x.name[made], return_index=True)[1]
-            name, kind, left, right = (v[made][once] for v in (x.name, x.kind, x.left, x.right))
-        return {
-            "name": pa.array(name.view(np.int64)), "kind": pa.array(kind.astype(np.int64)),
-            "left": pa.array(left.view(np.int64)), "right": pa.array(right.view(np.int64))
-        }
+            parts = mix(x.left[made] * b + x.right[made] * c + x.kind[made].astype(U64))
+            once = np.unique(x.name[made] ^ mix(parts), return_index=True)[1]
+            found.append((np.full(len(once), k), x.name[made][once], parts[once]))
+        round_, name, parts = (np.concatenate(column) for column in zip(*found, strict=True))
+        return {"round": pa.array(round_, pa.int32()), "name": pa.array(name.view(np.int64)), "parts": pa.array(parts.view(np.int64))}
+
+    rows = arrow_map(segments.select("sid", "text"), "round int, name long, parts long", named)
+    return table(rows.groupBy("round", "name").agg(F.min("parts").alias("low"), F.max("parts").alias("high"), F.count("*").alias("n")), "names")
 
-    rows = arrow_map(segments.select("sid", "text"), "name long, kind long, left long, right long", named)
-    names = table(
-        rows.groupBy("name").agg(
-            *[g(c).alias(f"{g.__name__}_{c}") for c in ("kind", "left", "right") for g in (F.min, F.max)],
-            F.count("*").alias("n")
-        ),
-        "names"
-    )
-    if not names.where(" OR ".join(f"min_{c} <> max_{c}" for c in ("kind", "left", "right"))).isEmpty():
-        raise RuntimeError(f"a name of round {round_} stands for different parts")
-    return names
+
+def name_clashes(names: DataFrame) -> int:
+    """How many names of ``symbol_names`` stand for different things."""
+    return names.where("low <> high").count()
 
 
 def _cut_words(text: bytes, bounds: np.ndarray) -> list[bytes]:
@@ -319,9 +322,13 @@ def remove_repeated_words(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     candidates = Candidates(Plan(width, _QUIET, width - _QUIET + 1, 0), _words, _cut_words)
     rows, texts = distinct_texts(docs)
-    segments = candidates.live(texts)
-    for round_ in range(len(ROUNDS) + 1):
-        forget(symbol_names(segments, round_))
+    # Which stretches can hold repeats is told by plain words, so that only these are parsed.
+    segments = Candidates(Plan(width, 4, width - 3, 0), _plain_words, _cut_words).live(texts)
+    names = symbol_names(segments)
+    if clashes := name_clashes(names):
+        # Equal passages still have equal symbols; what a clash brings together the words tell apart.
+        warnings.warn(f"{clashes} names stand for different words, runs or pairs", stacklevel=2)
+    forget(names)
     spanned = _removed(texts, segments, repeated_word_spans(segments, candidates))
 
     def finish(batch):
