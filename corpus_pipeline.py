@@ -7,14 +7,12 @@ source; rows that repeat, or lack, a doc_id are documents of their own but for t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from foliospark.llm import mixing, near_duplicates, packing, quality, secrets
-from foliospark.llm.common import read, shared_dir
+from foliospark.llm.common import forget, read, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Each stage's documents are a table in the shared folder, deleted once the next stage's are written."""
+    docs, held = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done = table(stage(spark, docs, sf_dir), "pipeline")
+        if held is not None:
+            forget(held)
+        docs = held = done
     return STAGES[-1][1](spark, docs, sf_dir)
