@@ -54,10 +54,13 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+#: Texts are cut into overlapping stretches first, since substr walks from a text's start.
 ORACLES["op8_suffix_array_dedup"] = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT r, unnest(range(0, length(x) // 2)) AS i, x FROM d),
-w AS (SELECT r, i, substr(x, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 800 <= length(x) THEN md5(substr(x, 2 * i + 1, 800)) END AS h FROM p),
+o AS (SELECT r, x, unnest(range(0, length(x) // 2, 256)) AS o FROM d),
+y AS (SELECT r, o, length(x) // 2 AS n, substr(x, 2 * o + 1, 2 * (256 + 400)) AS x FROM o),
+p AS (SELECT r, o, n, x, o + unnest(range(0, least(256, n - o))) AS i FROM y),
+w AS (SELECT r, i, substr(x, 2 * (i - o) + 1, 2) AS b, CASE WHEN i + 400 <= n THEN md5(substr(x, 2 * (i - o) + 1, 800)) END AS h FROM p),
 c AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
 m AS (SELECT w.r, w.i, w.b, max(CASE WHEN c.h IS NOT NULL THEN w.i END) OVER (PARTITION BY w.r ORDER BY w.i) AS last FROM w LEFT JOIN c USING (h)),
 g AS (SELECT r, i, b, coalesce(last > i - 400, false) AS gone FROM m),
