@@ -446,7 +446,8 @@ def _line_json(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
 
 
 def _line_boxes(documents: DataFrame) -> DataFrame:
-    got = ocr.parse_pages(documents).select("doc_id", F.explode("items").alias("i"))
+    # Spark asks explode's array first whether it is empty, and works it out again for that; the outer form is not asked.
+    got = ocr.parse_pages(documents).select("doc_id", F.explode_outer("items").alias("i")).where("i IS NOT NULL")
     return got.select(
         F.col("doc_id").alias("l_orderkey"), F.col("i.text").cast("int").alias("l_linenumber"), "i.confidence",
         *[f"i.box.{c}" for c in ("x1", "x2", "y1", "y2")]

@@ -72,13 +72,40 @@ def box_from_dict(fields: Column) -> Column:
     return F.when(sized, box_from_size(n("x"), n("y"), n("w"), n("h"))).otherwise(box(n("x1"), n("y1"), n("x2"), n("y2")))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is named; lambdas do not share what is equal in them."""
+    return F.transform(F.array(value), use)[0]
+
+
 def box_from_json(text: Column) -> Column:
-    """Whatever shape the JSON has: a dictionary, points (also of strings) or four numbers."""
-    points = F.transform(F.from_json(text, "array<array<string>>"), lambda p: F.transform(p, lambda v: v.try_cast("double")))
+    """Whatever shape the JSON has: a dictionary, points (also of strings) or four numbers.
+
+    As ``box_from_dict``, ``box_from_points`` and ``box_from_list``, but the JSON is read once for each box.
+    """
+    corners = lambda x1, y1, x2, y2: F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    at = lambda a, i: F.try_element_at(a, F.lit(i))
+
+    def by_name(f: Column) -> Column:
+        n = lambda k: f[k].try_cast("double")
+        sized = f["x"].isNotNull() & f["y"].isNotNull() & f["w"].isNotNull() & f["h"].isNotNull()
+        return F.when(sized, once(corners(n("x"), n("y"), n("w"), n("h")), lambda c: corners(c["x1"], c["y1"], c["x1"] + c["x2"], c["y1"] + c["y2"]))).otherwise(
+            corners(n("x1"), n("y1"), n("x2"), n("y2"))
+        )
+
+    def around(points: Column) -> Column:
+        pairs = F.transform(points, lambda p: F.struct(at(p, 1).try_cast("double").alias("x"), at(p, 2).try_cast("double").alias("y")))
+        good = F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+        edges = once(good, lambda g: once(
+            F.struct(F.transform(g, lambda p: p["x"]).alias("x"), F.transform(g, lambda p: p["y"]).alias("y")),
+            lambda s: corners(F.array_min(s["x"]), F.array_min(s["y"]), F.array_max(s["x"]), F.array_max(s["y"]))
+        ))
+        return F.when(F.size(points) >= 4, edges)
+
     fields = F.from_json(text, "x string, y string, w string, h string, x1 string, y1 string, x2 string, y2 string")
-    return F.when(text.startswith("{"), box_from_dict(fields)).when(text.rlike(r"^\[\s*\["), box_from_points(points)).otherwise(
-        box_from_list(F.from_json(text, "array<double>"))
-    )
+    found = F.when(text.startswith("{"), once(fields, by_name)).when(
+        text.rlike(r"^\[\s*\["), once(F.from_json(text, "array<array<string>>"), around)
+    ).otherwise(once(F.from_json(text, "array<double>"), lambda a: F.when(F.size(a) == 4, corners(at(a, 1), at(a, 2), at(a, 3), at(a, 4)))))
+    return once(found, lambda c: box(c["x1"], c["y1"], c["x2"], c["y2"]))
 
 
 def deduplicate(items: DataFrame, document: str, order: str) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from foliospark.operators.items import box_from_json
+from foliospark.operators.items import box, box_from_json
 
 #: The names under which engines put a text, a box, a confidence, a list of boxes and a page's size.
 TEXTS = ("text", "rec_text", "label", "value")
@@ -24,8 +25,12 @@ EMPTY = ("", "[]", "{}", "0", "0.0", "false", "null")
 _ITEM = f"struct<{','.join(f'{n}:string' for n in (*TEXTS, *BOXES, *CONFIDENCES))}>"
 _SHAPES = ",".join(f"{n}:array<double>" for n in SHAPES)
 PAGE = f"struct<{_SHAPES},metadata:struct<{_SHAPES}>,items:array<{_ITEM}>,rec_texts:array<string>,rec_scores:array<string>,{','.join(f'{n}:array<string>' for n in BOX_LISTS)},raw_text:string,lang:string,_corrupt_record:string>"
-#: What a reader makes of an item before its box is understood.
-RAW = ArrayType(StructType([StructField(n, StringType()) for n in ("text", "confidence", "box")]))
+#: What a search makes of an item: its box as JSON, or as corners where these are plain numbers.
+CORNERS = ("x1", "y1", "x2", "y2")
+RAW = ArrayType(
+    StructType([*[StructField(n, StringType()) for n in ("text", "confidence", "box")], *[StructField(n, DoubleType()) for n in CORNERS]])
+)
+_RAW = pa.struct([(n, pa.string()) for n in ("text", "confidence", "box")] + [(n, pa.float64()) for n in CORNERS])
 COMMAND = "request_id string, image_file string, image_path string, output_file string, output_path string, _corrupt_record string"
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
 #: Kinds that a command's own name is tried with, in order.
@@ -58,57 +63,119 @@ def direct_items(items: Column) -> Column:
     return F.transform(items, one)
 
 
-def boxed(raw: Column) -> Column:
-    """RAW items with their box understood; those without text or box are dropped."""
+def boxed(raw: Column, searched: bool = False) -> Column:
+    """Items with their box understood; those without text or box are dropped.  searched: they are RAW, else without corners."""
+
+    def understood(r: Column) -> Column:
+        read = box_from_json(r["box"])
+        return F.when(r["x1"].isNotNull(), box(*[r[n] for n in CORNERS])).otherwise(read) if searched else read
+
     whole = F.transform(
         raw,
-        lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), box_from_json(r["box"]).alias("box"))
+        lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), understood(r).alias("box"))
     )
     return F.filter(whole, lambda r: r["text"].isNotNull() & r["box"].isNotNull())
 
 
+_encode = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def _plain(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else _encode(value)
 
 
 def _some(node: dict, names: tuple[str, ...]) -> object:
     """The first value that says something, else the last name's."""
-    found = [node.get(n) for n in names]
-    return next((v for v in found if v), found[-1])
-
-
-def loose_items(node: object) -> Iterator[tuple[str | None, str | None, str | None]]:
-    """Items anywhere in decoded JSON, outer before inner: objects with a text, parallel lists, and pairs of a box and [text, score]."""
-    if isinstance(node, dict):
-        text = _some(node, TEXTS)
-        if text is not None:
-            yield _plain(text), _plain(_some(node, CONFIDENCES)), _plain(_some(node, BOXES) or None)
-        texts, boxes = node.get("rec_texts"), next((node[n] for n in BOX_LISTS if node.get(n)), None)
-        if isinstance(texts, list) and isinstance(boxes, list):
-            scores = node["rec_scores"] if isinstance(node.get("rec_scores"), list) else []
-            scores = scores + [None] * len(texts)
-            yield from ((_plain(t), _plain(s), _plain(b)) for t, s, b in zip(texts, scores, boxes))
-        inner = node.values()
-    elif isinstance(node, list):
-        for row in node:
-            if isinstance(row, list) and len(row) > 1 and isinstance(row[1], list) and row[1]:
-                yield _plain(row[1][0]), _plain(row[1][1]) if len(row[1]) > 1 else None, _plain(row[0])
-        inner = node
-    else:
-        return
-    for value in inner:
-        yield from loose_items(value)
-
-
-@F.pandas_udf(RAW)
-def _loose(pages: pd.Series) -> pd.Series:
-    def found(page):
-        try:
-            return None if page is None else [{"text": t, "confidence": c, "box": b} for t, c, b in loose_items(json.loads(page))]
-        except ValueError:
+    found = None
+    for n in names:
+        if found := node.get(n):
+            return found
+    return found
+
+
+def loose_items(node: object) -> Iterator[tuple[object, object, object]]:
+    """Text, confidence and box anywhere in decoded JSON, outer before inner: objects with a text, parallel lists, and pairs of a box and [text, score]."""
+    open_ = [node]
+    while open_:
+        node = open_.pop()
+        if isinstance(node, dict):
+            text = _some(node, TEXTS)
+            if text is not None:
+                yield text, _some(node, CONFIDENCES), _some(node, BOXES) or None
+            texts = node.get("rec_texts")
+            if isinstance(texts, list):
+                boxes = next((node[n] for n in BOX_LISTS if node.get(n)), None)
+                if isinstance(boxes, list):
+                    scores = node["rec_scores"] if isinstance(node.get("rec_scores"), list) else []
+                    yield from zip(texts, scores + [None] * len(texts), boxes)
+            inner = [v for v in node.values() if isinstance(v, (dict, list))]
+        elif isinstance(node, list):
+            inner = [v for v in node if isinstance(v, (dict, list))]
+            for row in inner:
+                if isinstance(row, list) and len(row) > 1 and isinstance(row[1], list) and row[1]:
+                    yield row[1][0], row[1][1] if len(row[1]) > 1 else None, row[0]
+        else:
+            continue
+        inner.reverse()
+        open_ += inner
+
+
+def _number(value: object, words: bool) -> float | None:
+    """A number that is the same double to Python and to Spark; words: also one of up to 15 digits in a string."""
+    kind = type(value)
+    if kind is int:
+        return float(value) if -(1 << 53) < value < 1 << 53 else None
+    if kind is float:
+        return value if math.isfinite(value) and (value or math.copysign(1, value) > 0) else None
+    return float(value) if words and kind is str and len(value) <= 15 and value.isascii() and value.isdigit() else None
+
+
+def _corners(shape: object) -> tuple[float, float, float, float] | None:
+    """The bounds of four points or more, or four numbers, if all of them are plain; else the JSON has to be read as a whole."""
+    if type(shape) is not list or len(shape) < 4:
+        return None
+    if type(shape[0]) is not list:
+        four = [_number(v, False) for v in shape] if len(shape) == 4 else [None]
+        return None if None in four else tuple(four)
+    xs, ys = [], []
+    for p in shape:
+        if type(p) is not list or len(p) < 2:
             return None
-
-    return pages.map(found)
+        xs.append(_number(p[0], True))
+        ys.append(_number(p[1], True))
+    return None if None in xs or None in ys else (min(xs), min(ys), max(xs), max(ys))
+
+
+def _strings(values: list[str | None]) -> pa.Array:
+    """Halves of surrogate pairs, which have no UTF-8, become question marks, as in the JVM."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
+@F.arrow_udf(RAW)
+def _loose(pages: pa.Array) -> pa.Array:
+    if pages.null_count == len(pages):
+        return pa.nulls(len(pages), pa.list_(_RAW))
+    texts, scores, boxes, corners, broken, offsets = [], [], [], [], [], [0]
+    none = (None,) * 4
+    for page in pages.to_pylist():
+        try:
+            found = None if page is None else json.loads(page)
+        except (ValueError, RecursionError):
+            page = None
+        broken.append(page is None)
+        for text, score, shape in loose_items(found) if page is not None else ():
+            four = _corners(shape)
+            texts.append(_plain(text))
+            scores.append(_plain(score))
+            boxes.append(_plain(shape) if four is None else None)
+            corners.append(four or none)
+        offsets.append(len(texts))
+    sides = zip(*corners) if corners else [()] * 4
+    rows = pa.StructArray.from_arrays([_strings(texts), _strings(scores), _strings(boxes), *[pa.array(x, pa.float64()) for x in sides]], fields=list(_RAW))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array(broken))
 
 
 def parse_pages(documents: DataFrame) -> DataFrame:
@@ -117,18 +184,19 @@ def parse_pages(documents: DataFrame) -> DataFrame:
     Items come from ``items``; only where these give none the whole document is searched, which takes Python.
     """
     whole = documents.select("doc_id", F.regexp_replace("value", "^﻿", "").alias("value"))
-    read = whole.select(
-        "doc_id", "value",
-        F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p")
-    )
+    # Lists of lists hold no page; to try them costs an exception each.
+    lists = F.col("value").rlike(r"^\s*\[\s*\[")
+    page = F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    read = whole.select("doc_id", "value", lists.alias("lists"), F.when(~lists, page).alias("p"))
     places = [F.col(f"p.{n}") for n in SHAPES] + [F.col(f"p.metadata.{n}") for n in SHAPES]
     read = read.select(
         "doc_id", "value", first_shape(places).alias("image_shape"),
-        F.col("p._corrupt_record").alias("_corrupt_record"), boxed(direct_items(F.col("p.items"))).alias("items")
+        F.when(F.col("lists"), F.col("value")).otherwise(F.col("p._corrupt_record")).alias("_corrupt_record"),
+        boxed(direct_items(F.col("p.items"))).alias("items")
     )
     none = F.col("items").isNull() | (F.size("items") == 0)
     read = read.withColumn("_more", _loose(F.when(none, F.col("value"))))
-    items = F.when(none, F.coalesce(boxed(F.col("_more")), F.col("items"))).otherwise(F.col("items"))
+    items = F.when(none, F.coalesce(boxed(F.col("_more"), searched=True), F.col("items"))).otherwise(F.col("items"))
     broken = F.when(F.col("items").isNull() & F.col("_more").isNull(), F.col("_corrupt_record"))
     return read.select("doc_id", "image_shape", items.alias("items"), broken.alias("_corrupt_record"))
 
