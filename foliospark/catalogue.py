@@ -436,6 +436,12 @@ def compare_cases(spark, sf_dir):
 _CORNERS = "least(l_partkey, l_suppkey)::double AS x1, greatest(l_partkey, l_suppkey)::double AS x2, l_linenumber::double AS y1, l_linenumber + l_quantity AS y2"
 
 
+def _said(text: str, *values: str) -> str:
+    """SQL of the text with the values for each of its ~; joined in generated code, where format_string makes a formatter for each row."""
+    parts = [f"'{p}'" for p in text.split("~")]
+    return "concat(" + ", ".join(x for pair in zip(parts, [f"coalesce(string({v}), 'null')" for v in values] + ["''"]) for x in pair) + ")"
+
+
 def _line_json(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """A document for each order: its line items as JSON items whose box has the shape (SQL over l_partkey, l_suppkey, l_linenumber, l_quantity)."""
     one = f"struct(l_linenumber, {shape} AS item)"
@@ -461,8 +467,9 @@ _LOW = f"({_N} + l_quantity)"
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 0.5 END AS confidence, {_CORNERS} FROM lineitem")
 def dict_boxes(spark, sf_dir):
     """Boxes as dictionaries: corners as strings, or a corner and a size."""
-    corners = f"""format_string('{{"label":"%d","score":%s,"box":{{"x1":"%d","y1":%d,"x2":%d,"y2":%s}}}}', {_N}, CASE WHEN {_N} % 2 = 0 THEN '0.5' ELSE '0.0' END, {_P}, {_N}, {_S}, string({_LOW}))"""
-    sized = f"""format_string('{{"text":"%d","rec_score":%s,"bbox":{{"x":%d,"y":%d,"w":%d,"h":%s}}}}', {_N}, CASE WHEN {_N} % 2 = 0 THEN '0.5' ELSE 'null' END, {_S}, {_N}, {_P} - {_S}, string(l_quantity))"""
+    half = f"CASE WHEN {_N} % 2 = 0 THEN '0.5' ELSE '0.0' END", f"CASE WHEN {_N} % 2 = 0 THEN '0.5' ELSE 'null' END"
+    corners = _said('{"label":"~","score":~,"box":{"x1":"~","y1":~,"x2":~,"y2":~}}', _N, half[0], _P, _N, _S, _LOW)
+    sized = _said('{"text":"~","rec_score":~,"bbox":{"x":~,"y":~,"w":~,"h":~}}', _N, half[1], _S, _N, f"{_P} - {_S}", "l_quantity")
     d = _line_json(spark, sf_dir, f"CASE WHEN {_P} % 2 = 0 THEN {corners} ELSE {sized} END")
     return _line_boxes(d.select("doc_id", F.concat(F.lit('{"items":'), "list", F.lit("}")).alias("value")))
 
@@ -470,14 +477,14 @@ def dict_boxes(spark, sf_dir):
 @query(f"SELECT l_orderkey, l_linenumber, 0.25 AS confidence, {_CORNERS} FROM lineitem")
 def legacy_items(spark, sf_dir):
     """Pairs of a polygon and [text, score]; some coordinates are strings."""
-    pair = f"""format_string('[[["%d",%d],[%d,%d],[%d,%s],[%d,%s]],["%d",0.25]]', {_P}, {_N}, {_S}, {_N}, {_S}, string({_LOW}), {_P}, string({_LOW}), {_N})"""
+    pair = _said('[[["~",~],[~,~],[~,~],[~,~]],["~",0.25]]', _P, _N, _S, _N, _S, _LOW, _P, _LOW, _N)
     return _line_boxes(_line_json(spark, sf_dir, pair).select("doc_id", F.col("list").alias("value")))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CAST(NULL AS DOUBLE) AS confidence, {_CORNERS} FROM lineitem")
 def recursive_items(spark, sf_dir):
     """Items that only a search of the whole document finds: ``items`` is there, but says nothing."""
-    one = f"""format_string('{{"found":{{"value":"%d","dt_poly":[[%d,%d],[%d,%d],[%d,%s],[%d,%s]]}}}}', {_N}, {_P}, {_N}, {_S}, {_N}, {_S}, string({_LOW}), {_P}, string({_LOW}))"""
+    one = _said('{"found":{"value":"~","dt_poly":[[~,~],[~,~],[~,~],[~,~]]}}', _N, _P, _N, _S, _N, _S, _LOW, _P, _LOW)
     d = _line_json(spark, sf_dir, one)
     return _line_boxes(d.select("doc_id", F.concat(F.lit('{"items":[{"text":"no box"}],"pages":[{"rows":'), "list", F.lit("}]}")).alias("value")))
 

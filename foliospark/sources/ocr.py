@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_type
 
-from foliospark.operators.items import box, box_from_json
+from foliospark.operators.items import box_from_json
 
 #: The names under which engines put a text, a box, a confidence, a list of boxes and a page's size.
 TEXTS = ("text", "rec_text", "label", "value")
@@ -25,12 +27,19 @@ EMPTY = ("", "[]", "{}", "0", "0.0", "false", "null")
 _ITEM = f"struct<{','.join(f'{n}:string' for n in (*TEXTS, *BOXES, *CONFIDENCES))}>"
 _SHAPES = ",".join(f"{n}:array<double>" for n in SHAPES)
 PAGE = f"struct<{_SHAPES},metadata:struct<{_SHAPES}>,items:array<{_ITEM}>,rec_texts:array<string>,rec_scores:array<string>,{','.join(f'{n}:array<string>' for n in BOX_LISTS)},raw_text:string,lang:string,_corrupt_record:string>"
-#: What a search makes of an item: its box as JSON, or as corners where these are plain numbers.
 CORNERS = ("x1", "y1", "x2", "y2")
-RAW = ArrayType(
-    StructType([*[StructField(n, StringType()) for n in ("text", "confidence", "box")], *[StructField(n, DoubleType()) for n in CORNERS]])
+LISTS = ("rec_texts", "rec_scores", *BOX_LISTS)
+#: What Python makes of a page: whether it is plain, its shape, its items, and what a search found where Spark has to understand it.
+_RAW = pa.struct([(n, pa.string()) for n in ("text", "confidence", "box")])
+_BOX = pa.struct([(n, pa.float64()) for n in (*CORNERS, "cx", "cy", "w", "h")])
+_ITEMS = pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("box", _BOX)])
+UNDERSTOOD = from_arrow_type(
+    pa.struct([("plain", pa.bool_()), ("shape", pa.list_(pa.int32())), ("items", pa.list_(_ITEMS)), ("raw", pa.list_(_RAW))])
 )
-_RAW = pa.struct([(n, pa.string()) for n in ("text", "confidence", "box")] + [(n, pa.float64()) for n in CORNERS])
+NO_BOX = (None,) * 4
+#: Which of an item's three values a name gives, and how early it is tried.
+_PLACES = {n: (k, i) for k, names in enumerate((TEXTS, CONFIDENCES, BOXES)) for i, n in enumerate(names)}
+_DECIMAL = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
 COMMAND = "request_id string, image_file string, image_path string, output_file string, output_path string, _corrupt_record string"
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
 #: Kinds that a command's own name is tried with, in order.
@@ -63,16 +72,11 @@ def direct_items(items: Column) -> Column:
     return F.transform(items, one)
 
 
-def boxed(raw: Column, searched: bool = False) -> Column:
-    """Items with their box understood; those without text or box are dropped.  searched: they are RAW, else without corners."""
-
-    def understood(r: Column) -> Column:
-        read = box_from_json(r["box"])
-        return F.when(r["x1"].isNotNull(), box(*[r[n] for n in CORNERS])).otherwise(read) if searched else read
-
+def boxed(raw: Column) -> Column:
+    """RAW items with their box understood; those without text or box are dropped."""
     whole = F.transform(
         raw,
-        lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), understood(r).alias("box"))
+        lambda r: F.struct(r["text"].alias("text"), r["confidence"].try_cast("double").alias("confidence"), box_from_json(r["box"]).alias("box"))
     )
     return F.filter(whole, lambda r: r["text"].isNotNull() & r["box"].isNotNull())
 
@@ -120,23 +124,39 @@ def loose_items(node: object) -> Iterator[tuple[object, object, object]]:
         open_ += inner
 
 
-def _number(value: object, words: bool) -> float | None:
-    """A number that is the same double to Python and to Spark; words: also one of up to 15 digits in a string."""
+def _number(value: object, words: bool = False) -> float | None:
+    """A number that is the same double to Python and to Spark; words: also a short decimal in a string."""
     kind = type(value)
     if kind is int:
         return float(value) if -(1 << 53) < value < 1 << 53 else None
     if kind is float:
         return value if math.isfinite(value) and (value or math.copysign(1, value) > 0) else None
-    return float(value) if words and kind is str and len(value) <= 15 and value.isascii() and value.isdigit() else None
-
-
-def _corners(shape: object) -> tuple[float, float, float, float] | None:
-    """The bounds of four points or more, or four numbers, if all of them are plain; else the JSON has to be read as a whole."""
-    if type(shape) is not list or len(shape) < 4:
+    if words and kind is str and len(value) <= 15 and (value.isdigit() and value.isascii() or _DECIMAL.fullmatch(value)):
+        return float(value)
+    return None
+
+
+def _corners(shape: object) -> tuple[float | None, ...] | None:
+    """Two opposite corners of a box, the first one None if it is no box; None if only Spark's reading of the JSON can tell."""
+    if type(shape) is dict:
+        get = shape.get
+        named = x, y, w, h = get("x"), get("y"), get("w"), get("h")
+        sized = x is not None and y is not None and w is not None and h is not None
+        if not sized:
+            named = get("x1"), get("y1"), get("x2"), get("y2")
+        x, y, u, v = (None if n is None else _number(n, True) for n in named)
+        if x is None or y is None or u is None or v is None:
+            return NO_BOX if None in named else None
+        return (x, y, x + u, y + v) if sized else (x, y, u, v)
+    if type(shape) is not list or not shape:
         return None
     if type(shape[0]) is not list:
-        four = [_number(v, False) for v in shape] if len(shape) == 4 else [None]
-        return None if None in four else tuple(four)
+        if len(shape) != 4:
+            return NO_BOX
+        four = tuple(map(_number, shape))
+        return None if None in four else four
+    if len(shape) < 4:
+        return NO_BOX
     xs, ys = [], []
     for p in shape:
         if type(p) is not list or len(p) < 2:
@@ -146,6 +166,73 @@ def _corners(shape: object) -> tuple[float, float, float, float] | None:
     return None if None in xs or None in ys else (min(xs), min(ys), max(xs), max(ys))
 
 
+class _Odd(Exception):
+    """What is given is not plain; Spark's reading of the JSON tells what it means."""
+
+
+def _plain_shape(node: dict) -> list[int] | None:
+    """As ``first_shape``."""
+    more = node.get("metadata")
+    if more is not None and type(more) is not dict:
+        raise _Odd
+    found = None
+    for place in (node, more or {}):
+        for n in SHAPES:
+            value = place.get(n)
+            if value is None:
+                continue
+            if type(value) is not list or any((x := _number(v)) is None or abs(x) >= 1 << 31 for v in value):
+                raise _Odd
+            if found is None and len(value) >= 2:
+                found = [int(value[0]), int(value[1])]
+    return found
+
+
+def _plain_items(node: dict) -> list[tuple]:
+    """As ``boxed`` ``direct_items``: text, confidence and corners."""
+    items = node.get("items")
+    if items is None:
+        return []
+    if type(items) is not list or "_corrupt_record" in node or any(type(node.get(n) or []) is not list for n in LISTS):
+        raise _Odd
+    out = []
+    for i in items:
+        if type(i) is not dict:
+            raise _Odd
+        text = score = shape = None
+        at = [len(_PLACES)] * 3
+        for key, value in i.items():
+            if value is None or (place := _PLACES.get(key)) is None:
+                continue
+            of, rank = place
+            kind = type(value)
+            if of == 0:
+                if kind is not str:
+                    raise _Odd
+                if rank < at[0] and (value or key == TEXTS[-1]):
+                    text, at[0] = value, rank
+            elif rank > at[of]:
+                continue
+            elif of == 1:
+                if kind is str and value in EMPTY:
+                    continue
+                number = _number(value, True)
+                if number is None:
+                    raise _Odd
+                if kind is str or number:
+                    score, at[1] = number, rank
+            elif value if kind in (list, dict) else value not in EMPTY:
+                shape = _corners(value)
+                if shape is None:
+                    raise _Odd
+                at[2] = rank
+        if text is not None and shape and shape[0] is not None:
+            if not text.isascii() and text != text.encode("utf-8", "replace").decode():
+                raise _Odd
+            out.append((text, score, shape))
+    return out
+
+
 def _strings(values: list[str | None]) -> pa.Array:
     """Halves of surrogate pairs, which have no UTF-8, become question marks, as in the JVM."""
     try:
@@ -154,49 +241,94 @@ def _strings(values: list[str | None]) -> pa.Array:
         return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
-@F.arrow_udf(RAW)
-def _loose(pages: pa.Array) -> pa.Array:
-    if pages.null_count == len(pages):
-        return pa.nulls(len(pages), pa.list_(_RAW))
-    texts, scores, boxes, corners, broken, offsets = [], [], [], [], [], [0]
-    none = (None,) * 4
-    for page in pages.to_pylist():
-        try:
-            found = None if page is None else json.loads(page)
-        except (ValueError, RecursionError):
-            page = None
-        broken.append(page is None)
-        for text, score, shape in loose_items(found) if page is not None else ():
-            four = _corners(shape)
-            texts.append(_plain(text))
-            scores.append(_plain(score))
-            boxes.append(_plain(shape) if four is None else None)
-            corners.append(four or none)
-        offsets.append(len(texts))
-    sides = zip(*corners) if corners else [()] * 4
-    rows = pa.StructArray.from_arrays([_strings(texts), _strings(scores), _strings(boxes), *[pa.array(x, pa.float64()) for x in sides]], fields=list(_RAW))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array(broken))
+def _lists(values: list[list | None], of: pa.DataType, fill) -> pa.Array:
+    """Lists, side by side in one array that fill makes."""
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in values)], dtype=np.int32)
+    flat = fill([x for v in values if v is not None for x in v])
+    return pa.ListArray.from_arrays(pa.array(ends), flat, type=pa.list_(of), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+def _boxes(rows: list[tuple]) -> pa.Array:
+    """Items of plain texts, confidences and corners; their boxes as ``box`` gives them."""
+    x1, y1, x2, y2 = np.array([r[2] for r in rows], float).reshape(-1, 4).T
+    left, right, top, low = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
+    with np.errstate(over="ignore", invalid="ignore"):
+        sides = [left, top, right, low, (left + right) / 2, (top + low) / 2, right - left, low - top]
+        around = pa.StructArray.from_arrays([pa.array(np.rint(v * 100) / 100) for v in sides], fields=list(_BOX))
+    return pa.StructArray.from_arrays([_strings([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), around], fields=list(_ITEMS))
+
+
+def _raws(rows: list[tuple]) -> pa.Array:
+    return pa.StructArray.from_arrays([_strings([_plain(r[k]) for r in rows]) for k in range(3)], fields=list(_RAW))
+
+
+def _understood(page: str | None) -> tuple[bool, list[int] | None, list | None, list | None]:
+    """Whether the page is plain, its shape, and its items, boxed or else raw.
+
+    Where it is not plain, the items are those of the search, for Spark to take if its own reading gives none.
+    """
+    plain, shape, found = False, None, None
+    try:
+        node = None if page is None else json.loads(page)
+    except (ValueError, RecursionError):
+        page = None
+    if page is None:
+        return False, None, None, None
+    try:
+        if type(node) is dict:
+            shape, found = _plain_shape(node), _plain_items(node)
+        plain = type(node) is dict or type(node) is list and bool(node) and type(node[0]) is list
+    except _Odd:
+        shape = None
+    if found:
+        return True, shape, found, None
+    loose = list(loose_items(node))
+    rows = []
+    for text, score, box_ in loose:
+        if text is None or box_ is None:
+            continue
+        corners = _corners(box_)
+        if corners is None:
+            return plain, shape, None, loose
+        if corners[0] is None:
+            continue
+        number = None if score is None else _number(score, True)
+        if number is None and score is not None:
+            return plain, shape, None, loose
+        rows.append((_plain(text), number, corners))
+    return plain, shape, rows, None
+
+
+@F.arrow_udf(UNDERSTOOD)
+def _read(pages: pa.Array) -> pa.Array:
+    plain, shapes, rows, raws = zip(*map(_understood, pages.to_pylist())) if len(pages) else [()] * 4
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(plain, pa.bool_()), _lists(shapes, pa.int32(), lambda x: pa.array(x, pa.int32())),
+            _lists(rows, _ITEMS, _boxes), _lists(raws, _RAW, _raws)
+        ], names=["plain", "shape", "items", "raw"]
+    )
 
 
 def parse_pages(documents: DataFrame) -> DataFrame:
     """doc_id, image_shape, items, _corrupt_record from documents (doc_id, value: their JSON).
 
-    Items come from ``items``; only where these give none the whole document is searched, which takes Python.
+    Items come from ``items``; only where these give none the whole document is searched.  Pages whose values are
+    plain (``_understood``) are read a batch at a time in Python; all others as Spark reads JSON.
     """
     whole = documents.select("doc_id", F.regexp_replace("value", "^﻿", "").alias("value"))
-    # Lists of lists hold no page; to try them costs an exception each.
-    lists = F.col("value").rlike(r"^\s*\[\s*\[")
+    read = whole.withColumn("u", _read("value")).select("doc_id", "value", "u.plain", "u.shape", F.col("u.items").alias("plain_items"), "u.raw")
+    plain = F.col("plain")
     page = F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    read = whole.select("doc_id", "value", lists.alias("lists"), F.when(~lists, page).alias("p"))
+    read = read.withColumn("p", F.when(~plain, page))
     places = [F.col(f"p.{n}") for n in SHAPES] + [F.col(f"p.metadata.{n}") for n in SHAPES]
     read = read.select(
-        "doc_id", "value", first_shape(places).alias("image_shape"),
-        F.when(F.col("lists"), F.col("value")).otherwise(F.col("p._corrupt_record")).alias("_corrupt_record"),
-        boxed(direct_items(F.col("p.items"))).alias("items")
+        "doc_id", "plain", F.when(plain, F.col("shape")).otherwise(first_shape(places)).alias("image_shape"),
+        F.col("p._corrupt_record").alias("_corrupt_record"), boxed(direct_items(F.col("p.items"))).alias("items"),
+        F.coalesce("plain_items", boxed(F.col("raw"))).alias("_more")
     )
     none = F.col("items").isNull() | (F.size("items") == 0)
-    read = read.withColumn("_more", _loose(F.when(none, F.col("value"))))
-    items = F.when(none, F.coalesce(boxed(F.col("_more"), searched=True), F.col("items"))).otherwise(F.col("items"))
+    items = F.when(none, F.coalesce("_more", "items")).otherwise(F.col("items"))
     broken = F.when(F.col("items").isNull() & F.col("_more").isNull(), F.col("_corrupt_record"))
     return read.select("doc_id", "image_shape", items.alias("items"), broken.alias("_corrupt_record"))
 

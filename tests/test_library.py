@@ -358,3 +358,31 @@ def test_pixels(spark):
     assert abs(got.shape[0] - 400) <= 4 and abs(got.shape[1] - 242) <= 4
     red = pixels.red_components(got)
     assert len(red) == 2 and max(red, key=lambda c: c["aspect"])["center_y_ratio"] < min(red, key=lambda c: c["aspect"])["center_y_ratio"]
+
+
+def test_json_of_a_box_is_read_once(spark):
+    for name in ("dict_boxes", "legacy_items", "recursive_items"):
+        plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") <= 8, (name, plan.count("from_json("))
+
+
+def test_deep_pages_and_half_characters(spark):
+    deep = "[" * 2000 + '[[1,2,3,4],["in",1]]' + "]" * 2000
+    rows = ocr.parse_pages(spark.createDataFrame([(1, deep), (2, '[[[1,2,3,4],["a\\ud800",2]]]')], "doc_id long, value string")).orderBy("doc_id").collect()
+    assert [[(i.text, i.confidence, i.box.x2) for i in r["items"]] for r in rows] == [[("in", 1.0, 3.0)], [("a?", 2.0, 3.0)]]
+
+
+BOXES = [
+    "[4,3,1,2]", "[1,2,3]", '[1,2,3,"4"]', "[[1,2],[3,4],[5,6.5],[7,8]]", '[["1",2],[3,"4.5"],[5,6],[7,8],[-1,9]]', "[[1,2],[3,4],[5,6]]", "[[1,2],[3,4],[5,6],[7,null],[9,9]]",
+    '{"x":1,"y":"2","w":-3,"h":4.005}', '{"x1":"5","y1":1,"x2":2,"y2":"x"}', '{"x":1,"y":2,"w":3,"x1":5,"y1":6,"x2":7,"y2":8}', "{}", "[]", "0", "null", "[-0.0,0.0,1,2]",
+]
+
+
+def test_plain_pages_are_read_as_spark_reads_them(spark):
+    one = '{"text":"","label":"a","score":%s,"conf":%s,"box":%s,"points":[9,8,7,6]}'
+    scores = ("0.0", "0.00", "-0.0", "0", "1.50", '"0.0"', '"0.5"', "null", "false", "true", '"x"')
+    # A key that only Spark understands makes a page one for Spark.
+    pages = [f'{{{key}"image_shape":[5.9],"shape":[3,4],"items":[{one % (s, 0.7, b)}]}}' for b in BOXES for s in scores for key in ("", '"_corrupt_record":null,')]
+    rows = ocr.parse_pages(spark.createDataFrame(list(enumerate(pages)), "doc_id long, value string")).orderBy("doc_id").collect()
+    assert len(rows) == len(pages) and all(str(a[1:]) == str(b[1:]) for a, b in zip(rows[::2], rows[1::2]))
+    assert all(r.image_shape == [3, 4] for r in rows) and {len(r["items"]) for r in rows} == {0, 1}
