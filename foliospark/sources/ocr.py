@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,13 @@ UNDERSTOOD = from_arrow_type(
     pa.struct([("plain", pa.bool_()), ("shape", pa.list_(pa.int32())), ("items", pa.list_(_ITEMS)), ("raw", pa.list_(_RAW))])
 )
 NO_BOX = (None,) * 4
+#: Whole numbers below it are doubles too.
+_EXACT = 1 << 53
+_NUMBERS, _INNER = {int, float}, (dict, list)
 #: Which of an item's three values a name gives, and how early it is tried.
 _PLACES = {n: (k, i) for k, names in enumerate((TEXTS, CONFIDENCES, BOXES)) for i, n in enumerate(names)}
+#: An object without any of these says nothing itself, has no size, has no lists side by side.
+_SAYING, _SIZED, _LISTED = frozenset((*TEXTS, "rec_texts")), frozenset((*SHAPES, "metadata")), frozenset(LISTS)
 _DECIMAL = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
 COMMAND = "request_id string, image_file string, image_path string, output_file string, output_path string, _corrupt_record string"
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
@@ -81,7 +88,7 @@ def boxed(raw: Column) -> Column:
     return F.filter(whole, lambda r: r["text"].isNotNull() & r["box"].isNotNull())
 
 
-_encode = json.JSONEncoder(ensure_ascii=False).encode
+_encode, _decode = json.JSONEncoder(ensure_ascii=False).encode, json.JSONDecoder().decode
 
 
 def _plain(value: object) -> str | None:
@@ -97,38 +104,47 @@ def _some(node: dict, names: tuple[str, ...]) -> object:
     return found
 
 
-def loose_items(node: object) -> Iterator[tuple[object, object, object]]:
-    """Text, confidence and box anywhere in decoded JSON, outer before inner: objects with a text, parallel lists, and pairs of a box and [text, score]."""
+def loose_items(node: object) -> Iterator[tuple[object, object, object, tuple | None]]:
+    """Text, confidence and box anywhere in decoded JSON, outer before inner: objects with a text, parallel lists, and pairs of a box and [text, score].
+
+    With them the corners of an object's box where that is ``_four_points``; these are not searched, as they hold nothing.
+    """
     open_ = [node]
     while open_:
         node = open_.pop()
-        if isinstance(node, dict):
-            text = _some(node, TEXTS)
-            if text is not None:
-                yield text, _some(node, CONFIDENCES), _some(node, BOXES) or None
-            texts = node.get("rec_texts")
-            if isinstance(texts, list):
-                boxes = next((node[n] for n in BOX_LISTS if node.get(n)), None)
-                if isinstance(boxes, list):
-                    scores = node["rec_scores"] if isinstance(node.get("rec_scores"), list) else []
-                    yield from zip(texts, scores + [None] * len(texts), boxes)
-            inner = [v for v in node.values() if isinstance(v, (dict, list))]
-        elif isinstance(node, list):
-            inner = [v for v in node if isinstance(v, (dict, list))]
+        if type(node) is dict:
+            inner = [v for v in node.values() if type(v) in _INNER]
+            if not _SAYING.isdisjoint(node):
+                text = _some(node, TEXTS)
+                if text is not None:
+                    box_ = _some(node, BOXES) or None
+                    corners = _four_points(box_)
+                    yield text, _some(node, CONFIDENCES), box_, corners
+                    if corners:
+                        inner = [v for v in inner if v is not box_]
+                texts = node.get("rec_texts")
+                if type(texts) is list:
+                    boxes = next((node[n] for n in BOX_LISTS if node.get(n)), None)
+                    if type(boxes) is list:
+                        scores = node["rec_scores"] if type(node.get("rec_scores")) is list else []
+                        yield from zip(texts, scores + [None] * len(texts), boxes, [None] * len(texts))
+        elif type(node) is list:
+            inner = [v for v in node if type(v) in _INNER]
             for row in inner:
-                if isinstance(row, list) and len(row) > 1 and isinstance(row[1], list) and row[1]:
-                    yield row[1][0], row[1][1] if len(row[1]) > 1 else None, row[0]
+                if type(row) is list and len(row) > 1 and type(row[1]) is list and row[1]:
+                    yield row[1][0], row[1][1] if len(row[1]) > 1 else None, row[0], None
         else:
             continue
-        inner.reverse()
-        open_ += inner
+        if inner:
+            inner.reverse()
+            open_ += inner
 
 
 def _number(value: object, words: bool = False) -> float | None:
     """A number that is the same double to Python and to Spark; words: also a short decimal in a string."""
     kind = type(value)
     if kind is int:
-        return float(value) if -(1 << 53) < value < 1 << 53 else None
+        return float(value) if -_EXACT < value < _EXACT else None
     if kind is float:
         return value if math.isfinite(value) and (value or math.copysign(1, value) > 0) else None
     if words and kind is str and len(value) <= 15 and (value.isdigit() and value.isascii() or _DECIMAL.fullmatch(value)):
@@ -136,6 +152,22 @@ def _number(value: object, words: bool = False) -> float | None:
     return None
 
 
+def _four_points(shape: object) -> tuple[float, ...] | None:
+    """Two opposite corners around four points of two plain numbers, as most engines give them; None for anything else, also for an edge at 0, which has two signs."""
+    if type(shape) is not list or len(shape) != 4:
+        return None
+    try:
+        (a, b), (c, d), (e, f), (g, h) = shape
+        if {type(a), type(b), type(c), type(d), type(e), type(f), type(g), type(h)} <= _NUMBERS:
+            x, y, u, v = min(a, c, e, g), min(b, d, f, h), max(a, c, e, g), max(b, d, f, h)
+            if x and y and u and v and -_EXACT < x <= u < _EXACT and -_EXACT < y <= v < _EXACT:
+                total = a + b + c + d + e + f + g + h
+                return (x, y, u, v) if total == total else None  # not a number: compared, it says no to everything
+    except (TypeError, ValueError, OverflowError):
+        pass
+    return None
+
+
 def _corners(shape: object) -> tuple[float | None, ...] | None:
     """Two opposite corners of a box, the first one None if it is no box; None if only Spark's reading of the JSON can tell."""
     if type(shape) is dict:
@@ -157,6 +189,8 @@ def _corners(shape: object) -> tuple[float | None, ...] | None:
         return None if None in four else four
     if len(shape) < 4:
         return NO_BOX
+    if four := _four_points(shape):
+        return four
     xs, ys = [], []
     for p in shape:
         if type(p) is not list or len(p) < 2:
@@ -172,6 +206,8 @@ class _Odd(Exception):
 
 def _plain_shape(node: dict) -> list[int] | None:
     """As ``first_shape``."""
+    if _SIZED.isdisjoint(node):
+        return None
     more = node.get("metadata")
     if more is not None and type(more) is not dict:
         raise _Odd
@@ -193,7 +229,7 @@ def _plain_items(node: dict) -> list[tuple]:
     items = node.get("items")
     if items is None:
         return []
-    if type(items) is not list or "_corrupt_record" in node or any(type(node.get(n) or []) is not list for n in LISTS):
+    if type(items) is not list or "_corrupt_record" in node or not _LISTED.isdisjoint(node) and any(type(node.get(n) or []) is not list for n in LISTS):
         raise _Odd
     out = []
     for i in items:
@@ -250,7 +286,7 @@ def _lists(values: list[list | None], of: pa.DataType, fill) -> pa.Array:
 
 def _boxes(rows: list[tuple]) -> pa.Array:
     """Items of plain texts, confidences and corners; their boxes as ``box`` gives them."""
-    x1, y1, x2, y2 = np.array([r[2] for r in rows], float).reshape(-1, 4).T
+    x1, y1, x2, y2 = np.fromiter(chain.from_iterable([r[2] for r in rows]), float, 4 * len(rows)).reshape(-1, 4).T
     left, right, top, low = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
     with np.errstate(over="ignore", invalid="ignore"):
         sides = [left, top, right, low, (left + right) / 2, (top + low) / 2, right - left, low - top]
@@ -269,7 +305,7 @@ def _understood(page: str | None) -> tuple[bool, list[int] | None, list | None,
     """
     plain, shape, found = False, None, None
     try:
-        node = None if page is None else json.loads(page)
+        node = None if page is None else _decode(page)
     except (ValueError, RecursionError):
         page = None
     if page is None:
@@ -282,26 +318,33 @@ def _understood(page: str | None) -> tuple[bool, list[int] | None, list | None,
         shape = None
     if found:
         return True, shape, found, None
-    loose = list(loose_items(node))
     rows = []
-    for text, score, box_ in loose:
+    for text, score, box_, corners in loose_items(node):
         if text is None or box_ is None:
             continue
-        corners = _corners(box_)
         if corners is None:
-            return plain, shape, None, loose
-        if corners[0] is None:
-            continue
-        number = None if score is None else _number(score, True)
-        if number is None and score is not None:
-            return plain, shape, None, loose
-        rows.append((_plain(text), number, corners))
-    return plain, shape, rows, None
+            corners = _corners(box_)
+            if corners is None:
+                break
+            if corners[0] is None:
+                continue
+        if score is not None:
+            score = _number(score, True)
+            if score is None:
+                break
+        rows.append((text if type(text) is str else _plain(text), score, corners))
+    else:
+        return plain, shape, rows, None
+    return plain, shape, None, list(loose_items(node))
 
 
 @F.arrow_udf(UNDERSTOOD)
 def _read(pages: pa.Array) -> pa.Array:
-    plain, shapes, rows, raws = zip(*map(_understood, pages.to_pylist())) if len(pages) else [()] * 4
+    gc.disable()  # decoded JSON has no cycles, but makes so many objects that they would be looked for again and again
+    try:
+        plain, shapes, rows, raws = zip(*map(_understood, pages.to_pylist())) if len(pages) else [()] * 4
+    finally:
+        gc.enable()
     return pa.StructArray.from_arrays(
         [
             pa.array(plain, pa.bool_()), _lists(shapes, pa.int32(), lambda x: pa.array(x, pa.int32())),
@@ -316,7 +359,8 @@ def parse_pages(documents: DataFrame) -> DataFrame:
     Items come from ``items``; only where these give none the whole document is searched.  Pages whose values are
     plain (``_understood``) are read a batch at a time in Python; all others as Spark reads JSON.
     """
-    whole = documents.select("doc_id", F.regexp_replace("value", "^﻿", "").alias("value"))
+    marked = F.col("value").startswith("\ufeff")
+    whole = documents.select("doc_id", F.when(marked, F.expr("substr(value, 2)")).otherwise(F.col("value")).alias("value"))
     read = whole.withColumn("u", _read("value")).select("doc_id", "value", "u.plain", "u.shape", F.col("u.items").alias("plain_items"), "u.raw")
     plain = F.col("plain")
     page = F.from_json("value", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
@@ -324,9 +368,10 @@ def parse_pages(documents: DataFrame) -> DataFrame:
     places = [F.col(f"p.{n}") for n in SHAPES] + [F.col(f"p.metadata.{n}") for n in SHAPES]
     read = read.select(
         "doc_id", "plain", F.when(plain, F.col("shape")).otherwise(first_shape(places)).alias("image_shape"),
-        F.col("p._corrupt_record").alias("_corrupt_record"), boxed(direct_items(F.col("p.items"))).alias("items"),
-        F.coalesce("plain_items", boxed(F.col("raw"))).alias("_more")
+        F.col("p._corrupt_record").alias("_corrupt_record"), "plain_items",
+        F.when(~plain | F.col("plain_items").isNull(), F.transform(F.array(direct_items(F.col("p.items")), "raw"), boxed)).alias("_boxed")  # one plan for both
     )
+    read = read.select("doc_id", "image_shape", "_corrupt_record", F.col("_boxed")[0].alias("items"), F.coalesce("plain_items", F.col("_boxed")[1]).alias("_more"))
     none = F.col("items").isNull() | (F.size("items") == 0)
     items = F.when(none, F.coalesce("_more", "items")).otherwise(F.col("items"))
     broken = F.when(F.col("items").isNull() & F.col("_more").isNull(), F.col("_corrupt_record"))

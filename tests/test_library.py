@@ -386,3 +386,18 @@ def test_plain_pages_are_read_as_spark_reads_them(spark):
     rows = ocr.parse_pages(spark.createDataFrame(list(enumerate(pages)), "doc_id long, value string")).orderBy("doc_id").collect()
     assert len(rows) == len(pages) and all(str(a[1:]) == str(b[1:]) for a, b in zip(rows[::2], rows[1::2]))
     assert all(r.image_shape == [3, 4] for r in rows) and {len(r["items"]) for r in rows} == {0, 1}
+
+
+def test_search_reads_plain_points_once(spark):
+    shapes = {
+        "[[1,2],[9,2],[9,4.5],[1,4.5]]": (1, 2, 9, 4.5), "[[1,2],[9,2],[9,-0.0],[1,4.5]]": None, "[[true,2],[9,2],[9,4],[1,4]]": None, '[["1",2],[9,2],[9,4],[1,4]]': None,
+        "[[1,2],[9,2],[NaN,4.5],[1,4.5]]": None, "[[1,2],[9,2],[9,1e999],[1,4]]": None, "[[1,2],[9,2],[9,9007199254740993],[1,4]]": None, '["12","34","56","78"]': None, "[[1,2],[9,2],[9,4]]": None,
+        '[[1,2],[9,2],[9,4],[{"text":"in","box":[1,2,3,4]},4]]': None,
+    }
+    for shape, corners in shapes.items():
+        found = list(ocr.loose_items(json.loads('{"a":{"text":"t","box":%s}}' % shape)))
+        assert found[0][0] == "t" and found[0][3] == corners and [f[0] for f in found[1:]] == ["in"] * ("in" in shape), shape
+    plan = catalogue.queries()["recursive_items"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") <= 4 and "array_sort" not in plan and "regexp_replace" not in plan
+    marked = spark.createDataFrame([(1, '\ufeff{"a":{"text":"t","box":[1,2,3,4]}}')], "doc_id long, value string")
+    assert [i.text for i in ocr.parse_pages(marked).first()["items"]] == ["t"]
