@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import lines, mixing, near_duplicates, packing, quality, registry, secrets, substrings, suffixes, topk, toxicity
+from foliospark.llm import common, lines, mixing, near_duplicates, packing, quality, registry, secrets, substrings, suffixes, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -135,6 +137,39 @@ def test_recompression_names(spark):
     assert one[-2:] == two[-2:] and len(last.name) < len(rounds[0].name)
 
 
+def test_tables_start_few_processes_and_are_verified(spark, docs):
+    """A process for each file and each task's folder, none for checksum files; a table's damage is told."""
+    jvm = f"/proc/{spark.sparkContext._jvm.ProcessHandle.current().pid()}/stat"
+
+    def faults():  # of the processes that the JVM started and that have ended
+        return int(Path(jvm).read_text().rpartition(")")[2].split()[8])
+
+    numbers = spark.range(0, 4000, 1, 40)
+    common.table(numbers, "first")
+    one = faults()
+    numbers.write.parquet(common.shared_dir(spark) + f"/plain-{uuid.uuid4().hex}")
+    two = faults()
+    found = common.table(numbers, "few")
+    assert faults() - two < 0.8 * (two - one)
+    assert sorted(r.id for r in found.collect()) == list(range(4000))
+    folder = Path(found.table_path)
+    assert not list(folder.glob(".part*.crc"))
+    part = max(folder.glob("part*"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 4] ^= 1  # in the page's values, the footer is longer than they are
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)crc|checksum|could not read|cannot read"):
+        spark.read.options(**common.VERIFIED).schema(found.schema).parquet(found.table_path).collect()
+    common.forget(found)
+
+
+def test_names_are_not_written(docs, monkeypatch):
+    tags = []
+    monkeypatch.setattr(substrings, "table", lambda df, tag: tags.append(tag) or common.table(df, tag))
+    substrings.remove_repeated_words(docs)
+    assert "spans" in tags and "names" not in tags
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     found = [
