@@ -207,6 +207,30 @@ def test_near_duplicates(docs, odd, alike):
         assert rows(near_duplicates.near_duplicates(d), "n_shingles", "component_id", "kept") == want
 
 
+def test_packing_merges_words_together(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    whole, tokenizer, alone = Tokenizer.from_file(path), packing.WordTokenizer(path), []
+    one = tokenizer._piece
+    tokenizer._piece = lambda piece: alone.append(piece) or one(piece)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 64)
+    monkeypatch.setattr(packing, "MERGED_AT_ONCE", 50)
+    texts = [t.encode() for _, t in pairs(docs)] + [
+        b"", b" ", b" a\x00b\x1cc\x0bd ", "É'LL d's ŸŽ 12ab ªº ŉ İ ß é́ 日本 a\u00a0b\u2028c".encode(), b"<|endoftext|>x <|ENDOFTEXT|> <| a<b",
+        b"\xff\xc3 \xe6\x97 x\xc3", b"x" * 300 + b" " + b"ab1" * 200, "é".encode() * 33
+    ]
+    for kind in (pa.binary(), pa.large_binary()):
+        ids, at = tokenizer(pa.array([b"left out", *texts], kind).slice(1))
+        assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+        for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+    assert len(tokenizer(pa.array([], pa.binary()))[0]) == 0
+    # Only what is too long to be merged with others asks the library by itself.
+    assert alone and all(len(x.decode()) > packing.PIECE_CHARS for x in alone)
+
+
 def test_packing_round_trip(docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
